@@ -17,6 +17,18 @@ _AWKWARD = re.compile(r" \s|\s |^ | $")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Numbers(dict):
+    """Numbers chunks as they are first looked up, and remembers which are new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class ChunkEncoder:
     """Token ids, and where tokens start, of whole texts.
 
@@ -32,7 +44,8 @@ class ChunkEncoder:
 
     def _clear(self) -> None:
         """A chunk's number leads to a slice of ``ids`` and ``starts``."""
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
+        self.stored = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 16, np.int64)
@@ -40,7 +53,7 @@ class ChunkEncoder:
         self.used = 0
 
     def _store(self, chunks: list[str], ids, starts, counts) -> None:
-        n, k = len(self.number), len(chunks)
+        n, k = self.stored, len(chunks)
         while self.used + len(ids) > len(self.ids):
             self.ids, self.starts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.ids, self.starts))
         while n + k > len(self.begin):
@@ -49,11 +62,13 @@ class ChunkEncoder:
         self.starts[self.used : self.used + len(ids)] = starts
         self.count[n : n + k] = counts
         self.begin[n : n + k] = self.used + np.cumsum(counts) - counts
-        self.number.update(zip(chunks, range(n, n + k)))
+        self.stored += k
         self.used += len(ids)
 
     def _fill(self, chunks: list[str]) -> None:
         """Encode chunks in one call, joined by spaces, and cut the ids where chunks start."""
+        if not chunks:
+            return
         begin = np.cumsum([0] + [len(c) + 1 for c in chunks])
         got = self.tokenizer.encode(self.space + " ".join(chunks), add_special_tokens=False)
         at = np.array([o[0] for o in got.offsets], dtype=np.int64)
@@ -61,6 +76,8 @@ class ChunkEncoder:
         self._store(chunks, got.ids, at - np.repeat(begin[:-1], counts), counts)
 
     def split(self, text: str) -> list[str]:
+        if not self.space:  # white space is dropped by the word pattern, so every space is a safe cut
+            return (text.lower() if text.isascii() else text).split(" ")
         return _SAFE.split(text) if _AWKWARD.search(text) else text.split(" ")
 
     def _look_up(self, texts: list[str]):
@@ -69,17 +86,24 @@ class ChunkEncoder:
             self._clear()
         split = [self.split(t) for t in texts]
         rest = list(chain.from_iterable(p[1:] for p in split))
-        need = [c for c in dict.fromkeys(rest) if c not in self.number]
-        odd = [c for c in need if not c or c[0].isspace() or c[-1].isspace()]
-        for c in odd:  # white space at a chunk's edge would touch its neighbour in the joined text
-            got = self.tokenizer.encode(self.space + c, add_special_tokens=False)
-            self._store([c], got.ids, [o[0] for o in got.offsets], [len(got.ids)])
-        if odd:
-            need = [c for c in need if c not in self.number]
-        for i in range(0, len(need), 256):  # short joins: the library's cost a character grows with the length
-            self._fill(need[i : i + 256])
+        numbers = np.fromiter(map(self.number.__getitem__, rest), np.int64, len(rest))
+        new, self.number.new = self.number.new, []
+        run: list[str] = []
+        for c in new:
+            # white space at a chunk's edge would touch its neighbour in the joined text
+            if not c or c[0].isspace() or c[-1].isspace():
+                self._fill(run)
+                run = []
+                got = self.tokenizer.encode(self.space + c, add_special_tokens=False)
+                self._store([c], got.ids, [o[0] for o in got.offsets], [len(got.ids)])
+                continue
+            run.append(c)
+            if len(run) == 256:  # short joins: the library's cost a character grows with the length
+                self._fill(run)
+                run = []
+        self._fill(run)
         first = [self.tokenizer.encode(p[0], add_special_tokens=False) if p[0] else None for p in split]
-        return split, np.fromiter(map(self.number.__getitem__, rest), np.int64, len(rest)), first
+        return split, numbers, first
 
     def _gather(self, numbers: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = self.count[numbers]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import output, packing, tokens
+from . import mixing, output, packing, quality_rules, sharding, simhash, substrings, tokens
 from .common import read, scratch_dir
 
 
@@ -25,11 +25,48 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(read(spark, sf_dir, "documents"), shingle=4, bits=4)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score")
+    )
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.strip_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/token-orc-{uuid.uuid4().hex}"
     output.write_token_orc(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return output.token_digest(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_packing, op10_token_orc)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op3_packing,
+        op4_simhash,
+        op5_quality_rules,
+        op6_substring_dedup,
+        op8_mixing,
+        op9_sharding,
+        op10_token_orc,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
