@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, output, packing, quality_rules, sharding, simhash, substrings, tokens
+from . import mixing, output, packing, quality_rules, sharding, simhash, site_quality, substrings, tokens, vptree
 from .common import read, scratch_dir
 
 
@@ -17,6 +17,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), rule="majority")
 
 
+def op2_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, factor=0.7)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     placed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -40,6 +45,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.strip_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("section", F.concat_ws("/", "source", "lang"))
+    judged = site_quality.site_quality(docs, read(spark, sf_dir, "labels"), host="source", path="section")
+    return judged.select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "score", "kept")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source", "source_size", "target", "taken")
@@ -60,10 +71,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op2_vptree,
         op3_packing,
         op4_simhash,
         op5_quality_rules,
         op6_substring_dedup,
+        op7_site_quality,
         op8_mixing,
         op9_sharding,
         op10_token_orc,

@@ -42,8 +42,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """Words of several texts at once: byte offsets, the text of each, and 64-bit hashes."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], table: bytes | None = None):
         data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        if table is not None:
+            data = [d.translate(table) for d in data]
         self.data = b"\n".join(data)
         raw = np.frombuffer(self.data, np.uint8)
         edge = np.diff(np.concatenate([[0], (~_SPACE[raw]).view(np.int8), [0]]))
