@@ -68,3 +68,11 @@ def word_count(text: str = "text") -> Column:
 def tasks(spark: SparkSession) -> int:
     """Partitions for a shuffle that feeds Python: the session's setting, which grows with the cluster."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shielded(docs: DataFrame, op) -> DataFrame:
+    """Apply ``op`` to rows whose other columns bear names that no operator uses, and give back ``docs``' columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    hidden = {c: f"_column{i}" for i, c in enumerate(others)}
+    out = op(docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(h) for c, h in hidden.items())))
+    return out.select(*(F.col(hidden[c]).alias(c) if c in hidden else F.col(c) for c in docs.columns))

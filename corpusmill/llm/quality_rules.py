@@ -106,4 +106,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         F.coalesce(total / F.nullif(F.size("_grams"), F.lit(0)), F.lit(0.0)).alias("score"),
     )
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    verdict = ~F.col("base_failed") & (F.col("score") >= threshold)
+    # a filter on the verdict must not be pushed below this step: it would repeat the array work inside its lambdas
+    return rows.withColumn("kept", F.explode(F.array(verdict)))

@@ -133,10 +133,132 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, bits: int = 4) -> DataFram
     return rows.join(members, "fp").select(id_back("doc_key").alias("doc_id"), hexed.alias("fingerprint"), id_back("component").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, bits: int = 4) -> DataFrame:
+#: Bytes of a wide fingerprint, and the position triples under which it is listed.
+WIDE = 128
+TRIPLES = np.array([np.random.default_rng([7, c]).choice(WIDE, 3, replace=False) for c in range(256)])
+_STEPS = np.random.default_rng(11).integers(0, 2**64, size=WIDE // 8, dtype=np.uint64)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+#: Posting lists of at most so many fingerprints give all their pairs; longer ones give chains and stars.
+SHORT_LIST = 48
+
+
+def wide_fingerprint(text: str, shingle: int) -> bytes:
+    """SimHash of ``8 * WIDE`` bits over word shingles, from one hash of each; no words give zeros."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(WIDE)
+    shingles = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    base = np.array([xxhash.xxh3_64_intdigest(x) for x in shingles], dtype=np.uint64)
+    total = np.zeros((WIDE, 8), np.int64)
+    place = 256 * np.arange(8)
+    for i in range(0, len(base), 1 << 14):
+        part = base[i : i + (1 << 14)]
+        for k, step in enumerate(_STEPS):
+            h = (part ^ step) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+            counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + place).ravel(), minlength=2048).reshape(8, 256)
+            total[8 * k : 8 * k + 8] += counts @ _BITS
+    return np.packbits(2 * total.ravel() > len(base)).tobytes()
+
+
+def _pairs_of_lists(key: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Candidate pairs of members of equal keys, from rows sorted by both."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(starts, len(key)))
+    place = np.arange(len(key)) - np.repeat(starts, sizes)
+    size = np.repeat(sizes, sizes)
+    out = []
+    rows = np.flatnonzero((size > 1) & (size <= SHORT_LIST))
+    step = 1
+    while len(rows):
+        rows = rows[place[rows] + step < size[rows]]
+        out.append(np.stack([node[rows], node[rows + step]], axis=1))
+        step += 1
+    long = np.flatnonzero(size > SHORT_LIST)
+    if len(long):
+        first = long - place[long]
+        for pivot in (0, 1, 2, 3):
+            at = long[place[long] > pivot]
+            out.append(np.stack([node[at - place[at] + pivot], node[at]], axis=1))
+        at = long[(place[long] > 0) & (long > first)]
+        out.append(np.stack([node[at - 1], node[at]], axis=1))
+    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return np.unique(pairs, axis=0)
+
+
+def wide_links(distinct: DataFrame, most_share: float) -> DataFrame:
+    """Edges ``(u, v)`` of fingerprints ``(node, wide)`` whose differing bits are at most ``most_share`` of all.
+
+    Every fingerprint is listed under 256 fixed triples of (position, byte) postings. A pair that shares ``m`` of the
+    bytes stands together under each triple with chance ``(m / WIDE) ** 3``; pairs of differing texts share a byte
+    with chance 1 / 256 and so hardly ever a triple. Pairs of a list are distinct fingerprints; lists longer than
+    ``SHORT_LIST`` are near copies of one text, which the stars and chains of 256 lists connect without all pairs.
+    Candidates are verified on their bytes and bits.
+    """
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = np.arange(len(TRIPLES), dtype=np.int64) << 24
+        for pdf in batches:
+            wide = np.frombuffer(b"".join(pdf["wide"]), np.uint8).reshape(-1, WIDE).astype(np.int64)
+            a, b, d = (wide[:, TRIPLES[:, k]] for k in range(3))
+            keys = c + (a << 16 | b << 8 | d)
+            yield pd.DataFrame({"key": keys.ravel(), "node": np.repeat(pdf["node"].to_numpy(), len(TRIPLES))})
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = pd.DataFrame({"key": np.zeros(0, np.int64), "node": np.zeros(0, np.int64)})
+        for pdf in batches:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+            open_list = (pdf["key"] == pdf["key"].iloc[-1]).to_numpy()
+            rest, done = pdf[open_list], pdf[~open_list]
+            if len(done):
+                yield pd.DataFrame(_pairs_of_lists(done["key"].to_numpy(), done["node"].to_numpy()), columns=["u", "v"])
+        if len(rest):
+            yield pd.DataFrame(_pairs_of_lists(rest["key"].to_numpy(), rest["node"].to_numpy()), columns=["u", "v"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            a, b = (np.frombuffer(b"".join(pdf[x]), np.uint64).reshape(-1, WIDE // 8) for x in ("a", "b"))
+            near = np.bitwise_count(a ^ b).sum(axis=1) <= most_share * 8 * WIDE
+            yield pdf.loc[near, ["u", "v"]]
+
+    listed = distinct.mapInPandas(post, "key long, node long")
+    ordered = listed.repartition(tasks(distinct.sparkSession), "key").sortWithinPartitions("key", "node")
+    pairs = ordered.mapInPandas(pair, "u long, v long").distinct()
+    both = pairs.join(distinct.select(F.col("node").alias("u"), F.col("wide").alias("a")), "u")
+    both = both.join(distinct.select(F.col("node").alias("v"), F.col("wide").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInPandas(verify, "u long, v long")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_key, component)`` by wide fingerprints: texts whose shingle sets have about this Jaccard similarity.
+
+    64 bits tell only texts apart that differ by a few shingles: at a similarity of 0.8 they differ in ten bits, more
+    than the bytes of a short fingerprint can guarantee. ``8 * WIDE`` bits differ in ``acos(2 s / (1 + s)) / pi`` of
+    all, within 1.2 points, and share enough bytes to be found.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            wide = [wide_fingerprint(t, shingle) for t in pdf["text"]]
+            node = [np.int64(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64)) for w in wide]
+            yield pd.DataFrame({"doc_key": pdf["doc_key"], "node": node, "wide": wide})
+
+    most_share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    rows = documents(docs).select(id_key().alias("doc_key"), "text").mapInPandas(run, "doc_key long, node long, wide binary")
+    rows = materialize(rows, "wide-fingerprints")
+    distinct = rows.groupBy("node").agg(F.min("doc_key").alias("first"), F.max("wide").alias("wide"))
+    distinct = materialize(distinct, "distinct-wide")
+    roots = connected(wide_links(distinct.select("node", "wide"), most_share))
+    grouped = distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = grouped.groupBy("root").agg(F.min("first").alias("component"))
+    members = grouped.select("node", "root").join(smallest, "root").select("node", "component")
+    return rows.select("doc_key", "node").join(members, "node").select("doc_key", "component")
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest id; of rows with that id, one."""
-    groups = simhash_groups(docs, shingle, bits)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key("component_id").alias("_kept")).distinct()
+    kept = near_groups(docs, shingle, similarity).filter("doc_key = component").select(F.col("component").alias("_kept")).distinct()
     rows = docs.withColumn("_key", id_key()).join(kept, F.col("_key") == F.col("_kept"), "left_semi")
     one = Window.partitionBy("_key").orderBy(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     return rows.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select(*docs.columns)
