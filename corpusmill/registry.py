@@ -22,3 +22,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from corpusmill.plans import relational  # noqa: F401
