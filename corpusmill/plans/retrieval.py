@@ -133,7 +133,7 @@ def rt13(spark, d):
     f"""with {_BENCH}, {_BM25}, a as (select * from {_TOP('b')} where rank <= 50),
     r as (select a.qid, a.doc_id, a.score, round(len(list_intersect(list_distinct({TOK('query')}), list_distinct({TOK('text')}))) / len(list_distinct({TOK('query')})), 6) as rerank, contains(text, '|') as t
     from a join documents using (doc_id) join queries using (qid)), s2 as (select *, row_number() over (partition by qid order by rerank desc, doc_id) as i from r),
-    f as (select qid, doc_id, round(0.4 * score / 100 + 0.4 * rerank + 0.2 * t::int, 6) as score from s2 where i <= 20) select * from {_TOP('f')} where rank <= 5""",
+    f2 as (select qid, doc_id, round(0.4 * score / 100 + 0.4 * rerank + 0.2 * t::int, 6) as score from s2 where i <= 20) select * from {_TOP('f2')} where rank <= 5""",
 )
 def rt10(spark, d):
     queries, docs = tables(spark, d, "benchmark", "documents")
