@@ -235,7 +235,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     64 bits tell only texts apart that differ by a few shingles: at a similarity of 0.8 they differ in ten bits, more
     than the bytes of a short fingerprint can guarantee. ``8 * WIDE`` bits differ in ``acos(2 s / (1 + s)) / pi`` of
-    all, within 1.2 points, and share enough bytes to be found.
+    all, with a standard error of 1.1 points, and share enough bytes to be found. Two standard errors are allowed, so
+    texts at the threshold are caught and some down to 0.75 are too.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,7 +245,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
             node = [np.int64(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64)) for w in wide]
             yield pd.DataFrame({"doc_key": pdf["doc_key"], "node": node, "wide": wide})
 
-    most_share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    most_share = share + 2 * float(np.sqrt(share * (1 - share) / (8 * WIDE)))  # two standard errors of the estimate
     rows = documents(docs).select(id_key().alias("doc_key"), "text").mapInPandas(run, "doc_key long, node long, wide binary")
     rows = materialize(rows, "wide-fingerprints")
     distinct = rows.groupBy("node").agg(F.min("doc_key").alias("first"), F.max("wide").alias("wide"))

@@ -1,0 +1,298 @@
+"""Brute force on a small fixture with nulls, blanks, copies, near copies, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from corpusmill.llm import chunks, components, fmindex, mixing, output, packing, quality_rules, sharding, simhash, site_quality, substrings, tokens, vptree
+
+BYTES, LOWER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, kept boolean, words string, shard int"
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choices("abcdefghiéß", k=rng.randint(2, 9))) for _ in range(400)]
+    passage = " ".join(rng.choices(vocabulary, k=60))
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice([3, 20, 80, 300]))) for _ in range(40)]
+    texts += [texts[1], texts[1], texts[2] + " x", texts[3].upper() + ".\n" + texts[4], passage + "\n" + texts[5], texts[6] + " " + passage]
+    texts += ["", " \n ", None, "a", "one\ttwo  three\x0bfour", "x " * 200, "same line here\nsame line here\n", " ".join(rng.choices(vocabulary, k=6000)), "# $ % & | < > *"]
+    out = [(i, t, "en", [None, "a", "b", "c", "hot"][min(i % 9, 4)], len(t or ""), 7, 0.5, True, "w", 3) for i, t in enumerate(texts)]
+    return [*out, out[1], (None, texts[7], None, "a", 1, None, None, None, None, None), (5, "another text with an old id", "en", "b", 1, 1, 1.0, False, "", 0)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 3 and 1, 1 if i % 11 == 0 else 0) for i in range(0, 50, 2)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+def test_chunks_equal_whole_texts(rows):
+    odd = ["", " ", "  a  b ", "a\n b", "\n", "x  ", "<|endoftext|> a <|endoftext|>", "日本 é́  b", "a \x1c b \x85 c", " 22's it's", "Σ ΟΣ x", "́ a ́b", "İ I x"]
+    texts = odd + [r[1] or "" for r in rows]
+    for path, byte_level in ((BYTES, True), (LOWER, False)):
+        encoder = chunks.ChunkEncoder(path, byte_level, limit=50)
+        whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+        for _ in range(2):
+            assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in whole]
+        if byte_level:
+            assert [x.tolist() for x in encoder.token_starts(texts)] == [[o[0] for o in e.offsets] for e in whole]
+
+
+def test_section_tokens(docs, none, rows):
+    for rule in tokens.RULES:
+        got = tokens.section_tokens(docs, BYTES, rule).toPandas()
+        assert abs(got.n_tokens.sum() - sum(d for d in got.drop_duplicates(["doc_id", "doc_tokens"]).doc_tokens) - got[(got.doc_id == 1) & (got.section_no == 0)].doc_tokens.iloc[0]) < 1e-6
+        assert (got.groupby(["doc_id", "doc_tokens"]).n_tokens.sum().round(6) % 1 == 0).all()
+    assert tokens.section_tokens(none, BYTES).count() == 0
+    shares, whole, touched = tokens.attribute(np.array([[0, 2], [2, 5], [5, 7]]), np.array([[0, 3], [3, 7]]), "majority")
+    assert shares.tolist() == [1, 2] and whole.tolist() == [1, 1] and touched.tolist() == [1, 1]
+    assert tokens.attribute(np.array([[0, 4]]), np.array([[0, 2], [2, 4]]), "majority")[0].tolist() == [1, 0]
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 16))
+    v[100:140] = v[50]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, [None] * 16), (704, [1.0, 2.0]), (705, [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for factor, least in ((1.0, 1.0), (0.7, 0.9)):
+        got = vptree.nearest(df, df.filter("vec_id % 50 = 0 or vec_id > 700"), k=5, factor=factor, shard_rows=200).toPandas()
+        assert got[got.query_id == 704].vec_id.tolist() == [705] and not set(got.query_id) & {700, 701, 702, 703}
+        hits = 0
+        for q in range(0, 600, 50):
+            s = np.round(unit @ unit[q], 12)
+            s[q] = -9
+            best = np.lexsort((np.arange(600), -s))[:5]
+            mine = got[got.query_id == q].sort_values("rank")
+            hits += len(set(best) & set(mine.vec_id))
+            if factor == 1:
+                assert mine.vec_id.tolist() == best.tolist()
+        assert hits >= least * 60
+    assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_packing(docs, none, rows):
+    got = packing.pack_documents(docs, BYTES).toPandas()
+    tokenizer = Tokenizer.from_file(BYTES)
+    wanted = collections.Counter()
+    for r in rows:
+        ids = np.array(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1], "<u4")
+        for s in range(0, len(ids), 2048):
+            wanted[(r[0], s, zlib.crc32(ids[s : s + 2048].tobytes()))] += 1
+    mine = collections.Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.start, r.ids_crc32) for r in got.itertuples())
+    assert mine == wanted
+    got = got.sort_values(["sequence_id", "offset"])
+    assert ((got.groupby("sequence_id").length.cumsum() - got.length) == got.offset).all()
+    assert got.groupby("sequence_id").length.sum().max() <= 2048
+    assert sorted(got.sequence_id.unique()) == list(range(got.sequence_id.nunique()))
+    assert packing.pack_documents(none, BYTES).count() == 0
+    sequences = packing.packed_sequences(docs, BYTES).toPandas()
+    assert sequences.ids.map(len).sum() == got.length.sum()
+
+
+def test_plan_fills_windows():
+    rng = random.Random(5)
+    histogram = collections.Counter(rng.randint(1, 2048) for _ in range(20000))
+    plan = packing.plan_tiers(histogram)
+    total = sum(k * v for k, v in histogram.items())
+    sums = collections.Counter()
+    for length, _, n, first, per, _, _ in plan:
+        for s in range(n // per):
+            sums[first + s] += length * per
+    assert sum(sums.values()) == total and max(sums.values()) <= 2048
+    assert sum(2048 - x for x in sums.values() if x & (x - 1)) < 0.01 * total
+
+
+def small_fingerprint(t):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    s = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else ([" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(s))
+
+
+def test_simhash_groups(docs, none, rows):
+    prints = [(-1 if r[0] is None else r[0], small_fingerprint(r[1])) for r in rows]
+    root = list(range(len(prints)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if bin(prints[i][1] ^ prints[j][1]).count("1") <= 4:
+                root[find(i)] = find(j)
+    least = collections.defaultdict(lambda: 10**9)
+    for i, (doc, _) in enumerate(prints):
+        least[find(i)] = min(least[find(i)], doc)
+    wanted = collections.Counter((d, f"{f:016x}", least[find(i)]) for i, (d, f) in enumerate(prints))
+    got = simhash.simhash_groups(docs, 4, 4).fillna(-1).collect()
+    assert collections.Counter(map(tuple, got)) == wanted
+    assert simhash.simhash_groups(none).count() == 0
+
+
+def test_forest_connects_what_pairs_connect():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**32, 8, dtype=np.uint64)
+    members = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 32, 60, dtype=np.uint64)) for b in base]))
+    a, b = simhash.forest(members, 4)
+    assert len(a) == len(members) - 8
+
+
+def test_near_dedup_keeps_one_of_similar_texts(spark):
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)]
+    base = [rng.choices(vocabulary, k=300) for _ in range(20)]
+    rows = []
+    for i, w in enumerate(base):
+        rows.append((3 * i, " ".join(w)))
+        near = list(w)
+        for at in rng.sample(range(300), 5):  # about 25 of 296 shingles: similarity 0.84
+            near[at] = "changed"
+        rows.append((3 * i + 1, " ".join(near)))
+    rows += [(1000, rows[0][1]), (0, rows[0][1]), (2000, None), (2001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.near_dedup(df).collect())
+    assert kept == [3 * i for i in range(20)] + [2000]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)]
+    got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 120)}
+
+
+def test_quality_rules(docs, none, labels, rows):
+    got = quality_rules.quality_rules(docs, labels)
+    assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    for r in got.collect():
+        t, w = r["text"] or "", words(r["text"])
+        triples = collections.Counter(zip(w, w[1:], w[2:]))
+        covered = {k + x for k in range(len(w) - 2) if triples[tuple(w[k : k + 3])] > 1 for x in range(3)}
+        lines = [x for x in t.split("\n") if words(x)]
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(covered))
+        assert (r["n_symbols"], r["n_dup_lines"]) == (len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+        assert r["base_failed"] == (len(w) < 50 or 2 * len(covered) > len(w))
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= quality_rules.THRESHOLD)
+    assert got.count() == len(rows)
+    assert quality_rules.quality_rules(none, labels).count() == 0
+    assert {r["score"] for r in quality_rules.quality_rules(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_strip_repeats(docs, none, rows):
+    keyed = [(-1 if r[0] is None else r[0], words(r[1])) for r in rows]
+    first = {}
+    for i, w in sorted(keyed, key=lambda x: x[0]):
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    wanted = collections.Counter()
+    for i, w in keyed:
+        gone = {k + x for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for x in range(13)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        wanted[(i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
+    got = substrings.strip_repeats(docs)
+    assert collections.Counter(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").fillna(-1).collect())) == wanted
+    assert all(hashlib.sha256(" ".join(words(r["kept_text"])).encode()).hexdigest() == r["kept_sha256"] for r in got.collect())
+    assert substrings.strip_repeats(none).count() == 0
+
+
+def test_fm_index():
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 4, n).astype(np.uint32) for n in rng.integers(5, 60, 30)]
+    lengths = np.array([len(p) for p in parts])
+    index = fmindex.FMIndex(np.concatenate(parts), lengths)
+    places = [(i, k) for i, p in enumerate(parts) for k in range(len(p) - 4)]
+    count = collections.Counter(tuple(parts[i][k : k + 5]) for i, k in places)
+    ends = np.array([index.starts[i] + k + 5 for i, k in places])
+    which, lo, hi = index.find(ends, 5, least=1)
+    assert (hi - lo).tolist() == [count[tuple(parts[i][k : k + 5])] for i, k in places]
+
+
+def test_site_quality(docs, none, labels, rows):
+    got = site_quality.site_quality(docs, labels, "source", "lang")
+    assert got.count() == len(rows) and got.filter("score is null or kept is null").count() == 0
+    assert site_quality.site_quality(none, labels, "source", "lang").count() == 0
+    assert site_quality.site_quality(docs, labels.limit(0), "source", "lang").filter("not kept").count() == 0
+
+
+def test_mixing(docs, none, rows):
+    got = mixing.mix(docs).toPandas()
+    assert len(got) == len(rows) and (got.taken <= 2 * got["size"]).all()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(sizes.values())
+    while True:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        free -= over
+    target |= {s: level * weight[s] for s in free}
+    for s in order:
+        mine = got[got.source.isna()] if s is None else got[got.source == s]
+        assert abs(mine.target.iloc[0] - target[s]) < 1e-6 and mine.source_size.iloc[0] == sizes[s]
+        assert abs(mine.taken.sum() - target[s]) <= mine["size"].max() / 2
+    again = mixing.mix(docs.repartition(5)).toPandas()
+    assert sorted(map(tuple, got.fillna(-1).values.tolist()), key=str) == sorted(map(tuple, again.fillna(-1).values.tolist()), key=str)
+    assert mixing.mix(none).count() == 0
+
+
+def test_sharding(spark, docs, none, rows):
+    got = sharding.shard(docs).toPandas()
+    assert sorted(got["size"]) == sorted(len((r[1] or "").encode()) + 1 for r in rows)
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    assert sharding.shard(none).count() == 0
+    many = spark.createDataFrame([(i, "one hot text" if i % 3 == 0 else f"text {i}" * (1 + i % 7)) for i in range(3000)], "doc_id long, text string")
+    sums = sharding.shard(many).groupby("shard").sum("size").toPandas()["sum(size)"]
+    assert len(sums) == 8 and sums.max() / sums.min() < 1.1
+
+
+def test_token_orc(spark, docs, none, rows, tmp_path):
+    path = f"{tmp_path}/tokens"
+    output.write_token_orc(docs, path, LOWER)
+    tokenizer = Tokenizer.from_file(LOWER)
+    start, wanted = 0, []
+    for i, text in sorted(((-1 if r[0] is None else r[0]), r[1] or "") for r in rows):
+        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        wanted.append((i, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = output.token_digest(spark, path).fillna(-1).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(wanted)
+    by_start = sorted(got, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in by_start] == [w[0] for w in wanted] and by_start[-1]["start"] + by_start[-1]["n_tokens"] == start
+    assert [r["doc_id"] for r in output.read_token_orc(spark, path, [3]).collect()] == [3]
+    output.write_token_orc(none, f"{path}-none", LOWER)
+    assert output.token_digest(spark, f"{path}-none").count() == 0
