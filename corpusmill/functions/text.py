@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -87,7 +88,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratio of matching blocks of two texts, as ``difflib`` counts it; no Spark function computes it."""
     from difflib import SequenceMatcher
