@@ -82,4 +82,34 @@ QUERIES = {
         op10_token_orc,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_substring_dedup": f"""
+        with d as (select doc_id, {_WORDS} as w from documents),
+        windows as (select doc_id, k, array_to_string(w[k : k + 12], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d)),
+        firsts as (select s, min(doc_id) as first from windows group by s),
+        gone as (select distinct doc_id, k + j as p from windows join firsts using (s), range(13) r(j) where first < doc_id),
+        words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+        kept as (select doc_id, string_agg(word, ' ' order by p) as t from words anti join gone using (doc_id, p) group by doc_id),
+        n as (select doc_id, count(*) as n from gone group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from d left join kept using (doc_id) left join n using (doc_id)""",
+    "op8_mixing": f"""
+        with s as (select doc_id, source, len({_WORDS})::bigint as size from documents),
+        p as (select source, sum(size)::bigint as source_size from s group by source),
+        w as (select *, ([3, 1, 2])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight, source_size * 2::double as most from p),
+        l as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(most) over b, 0)) / (sum(weight) over () - coalesce(sum(weight) over b, 0)) as level
+            from w window b as (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+        t as (select source, source_size, least(most, weight * coalesce(max(case when level <= most / weight then level end) over (), max(level) over ())) as target from l),
+        r as (select s.*, source_size, target, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint as whole,
+            (('0x' || substr(md5(doc_id || ':mix'), 1, 13))::bigint + 0.5::double) / 4503599627370496::double as u from s join t on s.source is not distinct from t.source),
+        q as (select *, target - whole * source_size as wanted, least(target / nullif(source_size, 0) - whole, 1 - 1e-9::double) as p from r),
+        o as (select *, (u / (1 - u)) / (p / (1 - p)) as odds from q where size > 0 and wanted > 0 and p > 0),
+        c as (select *, odds / (1 + odds) as place, sum(size) over (partition by source order by odds / (1 + odds), doc_id, size rows unbounded preceding) as upto from o),
+        g as (select *, wanted - coalesce(max(case when upto <= wanted then upto end) over (partition by source), 0) as gap from c),
+        f as (select *, row_number() over (partition by source, upto > wanted order by abs(gap - size), place, doc_id, size) as nth from g),
+        m as (select doc_id, source, size from f where upto <= wanted or (nth = 1 and abs(gap - size) < gap))
+        select q.doc_id, q.size, q.source, q.source_size, q.target, (q.whole + (m.doc_id is not null)::int) * q.size as taken
+        from q left join m on q.doc_id = m.doc_id""",
+}
