@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from corpusmill.plans import files, relational, retrieval, streams, text  # noqa: F401
+    from corpusmill.plans import files, relational, retrieval, scores, streams, text  # noqa: F401
