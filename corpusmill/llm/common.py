@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside an operator; it sorts before every other id, as nulls do.
 NULL_ID = -(2**63)
 
+#: Spark drops an execution's shuffle files when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: ASCII white space, the separators of words in every operator here.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -38,7 +41,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")  # what was written needs its shuffle files no more
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

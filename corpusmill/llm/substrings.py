@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_back, id_key, materialize
+from .common import id_key, materialize, tasks
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -100,12 +100,58 @@ def _batches(pdf: pd.DataFrame, characters: int = 2_000_000) -> Iterator[pd.Data
 
 
 def _find_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Segments as ``(meet, row_key, place)``; rows of one ``meet`` meet in one task.
+
+    A route that several texts of a batch hold is known to be shared: its places are negated, one of them is sent
+    where all rows of the route meet, and the others anywhere. So a route that a third of all texts hold puts one row
+    a batch in one place, not one a text.
+    """
     for pdf in batches:
         for part in _batches(pdf):
             w = Words(part["text"].tolist())
             route, at, n = segments(w)
+            if not len(at):
+                continue
             text = w.text_no[at]
-            yield pd.DataFrame({"route": route.view(np.int64), "row_key": part["row_key"].to_numpy()[text], "place": (at - w.first[text]) << 8 | n})
+            row_key = part["row_key"].to_numpy()[text]
+            order = np.argsort(route, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], route[order][1:] != route[order][:-1]]))
+            sizes = np.diff(np.append(starts, len(order)))
+            several = text[order][starts] < text[order][starts + sizes - 1]
+            known, sent = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            known[order] = np.repeat(several, sizes)
+            sent[order[starts]] = True
+            place = (at - w.first[text]) << 8 | n
+            anywhere = _mix(route + _mix(row_key.view(np.uint64) + at.astype(np.uint64)))
+            meet = np.where(sent | ~known, route, anywhere).view(np.int64)
+            yield pd.DataFrame({"meet": meet, "row_key": row_key, "place": np.where(known, ~place, place)})
+
+
+def _keep_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places of routes that more than one row holds, from rows sorted by ``meet``."""
+
+    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
+        meet, row_key, place = (pdf[c].to_numpy() for c in ("meet", "row_key", "place"))
+        starts = np.flatnonzero(np.concatenate([[True], meet[1:] != meet[:-1]]))
+        several = np.minimum.reduceat(row_key, starts) < np.maximum.reduceat(row_key, starts)
+        several |= np.minimum.reduceat(place, starts) < 0
+        keep = np.repeat(several, np.diff(np.append(starts, len(meet))))
+        return pd.DataFrame({"row_key": row_key[keep], "place": np.where(place < 0, ~place, place)[keep]})
+
+    rest: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        if rest and pdf["meet"].iloc[-1] == rest[0]["meet"].iloc[0]:
+            rest.append(pdf)
+            continue
+        pdf = pd.concat([*rest, pdf], ignore_index=True)
+        open_group = (pdf["meet"] == pdf["meet"].iloc[-1]).to_numpy()
+        rest = [pdf[open_group]]
+        if not open_group.all():
+            yield shared(pdf[~open_group])
+    if rest:
+        yield shared(pd.concat(rest, ignore_index=True))
 
 
 def _cut_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,10 +222,13 @@ def _cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for text, spans in zip(pdf["text"], pdf["spans"]):
+        for text, spans, copy in zip(pdf["text"], pdf["spans"], pdf["copy"]):
             data = text.encode("utf-8", "surrogatepass")
             words = data.split()
-            if spans is None or not len(spans):
+            if copy and len(words) >= WINDOW:  # every window of a copy starts in the first one
+                out.append((len(words), len(words), hashlib.sha256(b"").hexdigest(), ""))
+                continue
+            if copy or spans is None or not len(spans):
                 out.append((len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest(), text))
                 continue
             spans = np.asarray(spans, np.int64)
@@ -194,23 +243,26 @@ def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rest = b"".join(data[b:e] for b, e in zip(w.begin[~gone], upto[~gone]))
             out.append((len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), rest.decode("utf-8", "surrogatepass")))
         made = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept_text"], index=pdf.index)
-        yield pd.concat([pdf.drop(columns=["text", "spans"]), made], axis=1)
+        yield pd.concat([pdf.drop(columns=["text", "spans", "copy"]), made], axis=1)
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
+def repeated_spans(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """``(row_key, spans)`` for rows ``(row_key, doc_key, text)``: word intervals to remove, start and end in one long.
 
-    1. Each text gives its segments' routes and places, no words. Routes of one row only are dropped.
+    ``row_key`` tells texts apart, ``firsts`` has the least document of each: only that one's segments are cut.
+
+    1. Each text gives its segments' routes and places, no words, in one shuffle. Routes of one row only are dropped.
     2. Rows that are left are read again and give the words of their segments; equal segments are merged with their
        least document before they move, so a passage in a third of all documents is one row a task.
     3. Shards of different segments are indexed; a segment that occurs in many documents is there once.
     4. The least document of each window goes back to the places where its segment stands.
     """
     spark = rows.sparkSession
-    found = materialize(rows.select("row_key", "text").mapInPandas(_find_segments, "route long, row_key long, place long"), "segments")
-    shared = found.groupBy("route").agg(F.min("row_key").alias("a"), F.max("row_key").alias("b")).filter("a < b").select("route")
-    marks = found.join(shared, "route", "left_semi").groupBy("row_key").agg(F.collect_list("place").alias("marks"))
-    cut = rows.join(marks, "row_key").mapInPandas(_cut_segments, "route long, row_key long, doc_key long, start long, content long, words binary")
+    found = rows.select("row_key", "text").mapInPandas(_find_segments, "meet long, row_key long, place long")
+    meeting = found.repartition(tasks(spark), "meet").sortWithinPartitions("meet")
+    marks = meeting.mapInPandas(_keep_shared, "row_key long, place long").groupBy("row_key").agg(F.collect_list("place").alias("marks"))
+    marked = rows.join(marks.join(firsts, "row_key"), "row_key").filter("doc_key = first_doc").drop("first_doc")
+    cut = marked.mapInPandas(_cut_segments, "route long, row_key long, doc_key long, start long, content long, words binary")
     cut = materialize(cut, "cut-segments")
     shards = max(1, cut.count() // SHARD_SEGMENTS)
     different = cut.groupBy("route", "content").agg(F.min("doc_key").alias("first"), F.max("words").alias("words"))
@@ -225,15 +277,17 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
 
     A word goes if a window of 13 words covers it whose words also start in a document with a smaller id. Windows are
     judged on the input. Texts of fewer words, null and empty ones lose nothing. A null id counts as the smallest;
-    rows with equal ids are not earlier than each other. Documents differ by id and text, equal rows are treated alike.
+    rows with equal ids are not earlier than each other. Of equal texts the least document's is searched, the others go whole.
     Words are told apart by hash: windows agree in 64 bits of their longest three-word gram and 32 bits of each word.
     """
-    added = ["n_words", "n_removed", "kept_sha256", "kept_text", "row_key", "doc_key", "spans"]
+    added = ["n_words", "n_removed", "kept_sha256", "kept_text", "row_key", "doc_key", "first_doc", "spans"]
     others = [c for c in docs.columns if c not in added and c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(*others, text.alias("text"), id_key().alias("doc_key"), F.xxhash64(id_key(), text).alias("row_key"))
-    spans = repeated_spans(keyed.select("row_key", "doc_key", "text"))
-    joined = keyed.drop("doc_key").join(spans, "row_key", "left").drop("row_key")
-    kept = joined.drop("text", "spans")
+    keyed = docs.select(*others, text.alias("text"), id_key().alias("doc_key"), F.xxhash64(text).alias("row_key"))
+    firsts = materialize(keyed.groupBy("row_key").agg(F.min("doc_key").alias("first_doc")), "first-copies")
+    spans = repeated_spans(keyed.select("row_key", "doc_key", "text"), firsts)
+    found = firsts.join(spans, "row_key", "left")
+    joined = keyed.join(found, "row_key").withColumn("copy", F.col("doc_key") > F.col("first_doc")).drop("row_key", "doc_key", "first_doc")
+    kept = joined.drop("text", "spans", "copy")
     schema = kept.schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
     return joined.mapInPandas(_strip, schema)
