@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -40,31 +41,34 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.space = " " if byte_level else ""
         self.limit = limit
+        #: marks that end many chunks; each must be one token, which starts where the letters or digits before it end
+        marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        self.marks = {m: ids[0] for m, ids in marks.items() if len(ids) == 1}
         self._clear()
 
     def _clear(self) -> None:
         """A chunk's number leads to a slice of ``ids`` and ``starts``."""
         self.number = _Numbers()
-        self.stored = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _store(self, chunks: list[str], ids, starts, counts) -> None:
-        n, k = self.stored, len(chunks)
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids, self.starts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.ids, self.starts))
-        while n + k > len(self.begin):
+        while len(self.number) > len(self.begin):
             self.begin, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.count))
         self.ids[self.used : self.used + len(ids)] = ids
         self.starts[self.used : self.used + len(ids)] = starts
-        self.count[n : n + k] = counts
-        self.begin[n : n + k] = self.used + np.cumsum(counts) - counts
-        self.stored += k
+        self.count[numbers] = counts
+        self.begin[numbers] = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
 
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+
     def _fill(self, chunks: list[str]) -> None:
         """Encode chunks in one call, joined by spaces, and cut the ids where chunks start."""
         if not chunks:
@@ -73,11 +77,50 @@ class ChunkEncoder:
         got = self.tokenizer.encode(self.space + " ".join(chunks), add_special_tokens=False)
         at = np.array([o[0] for o in got.offsets], dtype=np.int64)
         counts = np.diff(np.searchsorted(at, begin))
-        self._store(chunks, got.ids, at - np.repeat(begin[:-1], counts), counts)
+        self._store(self._numbers(chunks), got.ids, at - np.repeat(begin[:-1], counts), counts)
+
+    def _compose(self, chunks: list[str]) -> None:
+        """Chunks of a known core and one mark: the core's tokens and the mark's."""
+        core = self._numbers([c[:-1] for c in chunks])
+        flat, ends = self._gather(core, np.arange(self.used))
+        n = len(chunks)
+        at = np.insert(flat, ends[1:], 0)
+        last = ends[1:] + np.arange(n)
+        ids, starts = self.ids[at], self.starts[at]
+        ids[last] = [self.marks[c[-1]] for c in chunks]
+        starts[last] = np.fromiter(map(len, chunks), np.int64, n) - 1 + len(self.space)
+        self._store(self._numbers(chunks), ids, starts, np.diff(ends) + 1)
+
+    def _encode_new(self) -> None:
+        """Encode chunks that were numbered since the last call."""
+        run: list[str] = []
+        composed: list[str] = []
+        at = 0
+        while at < len(self.number.new):  # cores that no text held by themselves join the list as it is read
+            c = self.number.new[at]
+            at += 1
+            # white space at a chunk's edge would touch its neighbour in the joined text
+            if not c or c[0].isspace() or c[-1].isspace():
+                got = self.tokenizer.encode(self.space + c, add_special_tokens=False)
+                self._store(self._numbers([c]), got.ids, [o[0] for o in got.offsets], np.array([len(got.ids)]))
+            elif c[-1] in self.marks and c[-2:-1].isalnum():
+                self.number[c[:-1]]
+                composed.append(c)
+            else:
+                run.append(c)
+                if len(run) == 256:  # short joins: the library's cost a character grows with the length
+                    self._fill(run)
+                    run = []
+        self._fill(run)
+        if composed:
+            self._compose(composed)
+        self.number.new = []
 
     def split(self, text: str) -> list[str]:
-        if not self.space:  # white space is dropped by the word pattern, so every space is a safe cut
-            return (text.lower() if text.isascii() else text).split(" ")
+        if not self.space:  # white space is dropped by the word pattern, so every space and line feed is a safe cut
+            if text.isascii() or ("Σ" not in text and is_normalized("NFC", text)):  # a sigma's lower case depends on its place
+                text = text.lower()
+            return text.replace("\n", " ").split(" ")
         return _SAFE.split(text) if _AWKWARD.search(text) else text.split(" ")
 
     def _look_up(self, texts: list[str]):
@@ -85,23 +128,8 @@ class ChunkEncoder:
         if len(self.number) > self.limit:
             self._clear()
         split = [self.split(t) for t in texts]
-        rest = list(chain.from_iterable(p[1:] for p in split))
-        numbers = np.fromiter(map(self.number.__getitem__, rest), np.int64, len(rest))
-        new, self.number.new = self.number.new, []
-        run: list[str] = []
-        for c in new:
-            # white space at a chunk's edge would touch its neighbour in the joined text
-            if not c or c[0].isspace() or c[-1].isspace():
-                self._fill(run)
-                run = []
-                got = self.tokenizer.encode(self.space + c, add_special_tokens=False)
-                self._store([c], got.ids, [o[0] for o in got.offsets], [len(got.ids)])
-                continue
-            run.append(c)
-            if len(run) == 256:  # short joins: the library's cost a character grows with the length
-                self._fill(run)
-                run = []
-        self._fill(run)
+        numbers = self._numbers(list(chain.from_iterable(p[1:] for p in split)))
+        self._encode_new()
         first = [self.tokenizer.encode(p[0], add_special_tokens=False) if p[0] else None for p in split]
         return split, numbers, first
 
