@@ -122,10 +122,10 @@ def rt34(spark, d):
     return stored.join(fresh, "vec_id").select("vec_id", (F.round(cosine(F.col("embedding"), F.col("fresh")), 4) > 0.9).alias("ok"))
 
 
-@query("rt13_retrieval_quality", f"with {_BENCH}, {_BM25}, t as (select * from {_TOP('b')} where rank <= 10) select qid, count(distinct source) as sources, count(*) as n, round(avg(score), 4) as mean from t join documents using (doc_id) group by 1")
+@query("rt13_retrieval_quality", f"with {_BENCH}, {_BM25}, t as (select * from {_TOP('b')} where rank <= 10) select qid, count(distinct source) as sources, count(*) as n, round(avg(score), 9) as mean from t join documents using (doc_id) group by 1")
 def rt13(spark, d):
     hits = bench_bm25(spark, d, 10).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return hits.groupBy("qid").agg(F.countDistinct("source").alias("sources"), F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"))
+    return hits.groupBy("qid").agg(F.countDistinct("source").alias("sources"), F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean"))
 
 
 @query(
@@ -273,7 +273,7 @@ def ev17(spark, d):
 
 @query(
     "ev19_known_source",
-    f"with {_SIM}, t as (select t.qid, t.rank, t.score, a.label = b.label as same from {_TOP('cos')} t join embeddings a on a.vec_id = t.qid join embeddings b on b.vec_id = t.doc_id where rank <= 10) select qid, max((rank <= 1 and same)::int) as r1, max((rank <= 3 and same)::int) as r3, max((rank <= 5 and same)::int) as r5, max(same::int) as r10, round(avg(score) filter (where same), 5) as mean from t group by 1",
+    f"with {_SIM}, t as (select t.qid, t.rank, t.score, a.label = b.label as same from {_TOP('cos')} t join embeddings a on a.vec_id = t.qid join embeddings b on b.vec_id = t.doc_id where rank <= 10) select qid, max((rank <= 1 and same)::int) as r1, max((rank <= 3 and same)::int) as r3, max((rank <= 5 and same)::int) as r5, max(same::int) as r10, round(avg(score) filter (where same), 9) as mean from t group by 1",
 )
 def ev19(spark, d):
     labels = table(spark, d, "embeddings").select("vec_id", "label")
@@ -281,7 +281,7 @@ def ev19(spark, d):
     hits = hits.join(labels.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("b")), "doc_id").join(labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("a")), "qid")
     same = F.col("a") == F.col("b")
     at = lambda k: F.max(((F.col("rank") <= k) & same).cast("int")).alias(f"r{k}")
-    return hits.groupBy("qid").agg(at(1), at(3), at(5), at(10), F.round(F.avg(F.when(same, F.col("score"))), 5).alias("mean"))
+    return hits.groupBy("qid").agg(at(1), at(3), at(5), at(10), F.round(F.avg(F.when(same, F.col("score"))), 9).alias("mean"))
 
 
 @query(

@@ -190,11 +190,11 @@ def rt16(spark, d):
     return hits.select("qid", "doc_id", F.round(F.col("score") + 0.05 * 3 + 0.1 * (F.col("label") % 2) + 0.15 * (F.col("label") == 3).cast("int"), 6).alias("ensemble"))
 
 
-@query("rt17_accuracy_estimate", f"with {_SIM}, t as (select * from {_TOP('cos')} where rank <= 5) select qid, round(least(99.0, 80 + 10 * avg(score) filter (where rank <= 3) + 5 * (max(score) > 0.5)::int), 4) as accuracy, round(avg(score), 5) as confidence from t group by 1")
+@query("rt17_accuracy_estimate", f"with {_SIM}, t as (select * from {_TOP('cos')} where rank <= 5) select qid, round(least(99.0, 80 + 10 * avg(score) filter (where rank <= 3) + 5 * (max(score) > 0.5)::int), 8) as accuracy, round(avg(score), 9) as confidence from t group by 1")
 def rt17(spark, d):
     hits = RT.vector_top_k(asked(spark, d), vectors(spark, d), "qid", "doc_id", 5)
     accuracy = 80 + 10 * F.avg(F.when(F.col("rank") <= 3, F.col("score"))) + 5 * (F.max("score") > 0.5).cast("int")
-    return hits.groupBy("qid").agg(F.round(F.least(F.lit(99.0), accuracy), 4).alias("accuracy"), F.round(F.avg("score"), 5).alias("confidence"))
+    return hits.groupBy("qid").agg(F.round(F.least(F.lit(99.0), accuracy), 8).alias("accuracy"), F.round(F.avg("score"), 9).alias("confidence"))
 
 
 @query("rt24_context_score", f"select conv_id, turn, round(0.4 * least(1, overlap * 1.2) + 0.3 * pow(0.5, turn) + 0.3 * least(1, ln(turn + 2) / ln(10)), 6) as score from (select conv_id, turn, case when len(x) = 0 then 0.0 else len(list_intersect(x, y)) / len(x) end as overlap from (select a.conv_id, a.turn, list_distinct({TOK('a.text')}) as x, list_distinct({TOK('b.text')}) as y from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'))")
