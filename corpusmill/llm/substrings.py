@@ -63,8 +63,9 @@ class Words:
 def segments(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of one text routed alike: ``(route, first window, windows)`` by word position in the batch.
 
-    A window is routed by the least of its grams, in the order of their length, longest first, and hash. Equal
-    windows have equal routes wherever they stand. Long grams are rare, so a route has few different windows.
+    A window is routed by the least of its grams, in the order of their length, longest first, and hash. The length
+    is that of the words without what separates them, so equal windows have equal routes wherever they stand and
+    however they are spaced. Long grams are rare, so most routes have few different windows.
     """
     n = len(w.hash)
     if n < WINDOW:
@@ -73,7 +74,8 @@ def segments(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gram = np.zeros(g, np.uint64)
     for k in range(GRAM):
         gram = gram * np.uint64(_BASE) + w.hash[k : g + k]
-    length = np.minimum(w.end[GRAM - 1 :] - w.begin[:g], 63).astype(np.uint64)
+    size = w.end - w.begin
+    length = np.minimum(sum(size[k : g + k] for k in range(GRAM)), 63).astype(np.uint64)
     least = ((np.uint64(63) - length) << np.uint64(58)) | (_mix(gram) >> np.uint64(6))
     span, have = WINDOW - GRAM + 1, 1
     while have < span:

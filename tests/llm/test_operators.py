@@ -222,6 +222,29 @@ def test_strip_repeats(docs, none, rows):
     assert substrings.strip_repeats(none).count() == 0
 
 
+def removed(rows):
+    """Words that brute force removes of each ``(doc_id, text)``, by id."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        for k in range(len(words(t)) - 12):
+            first.setdefault(tuple(words(t)[k : k + 13]), i)
+    for i, t in rows:
+        w = words(t)
+        out[i] = len({k + x for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for x in range(13)})
+    return out
+
+
+def test_strip_repeats_of_other_spacing(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghi", k=rng.randint(2, 9))) for _ in range(400)]
+    passage = rng.choices(vocabulary, k=40)
+    texts = [" ".join(rng.choices(vocabulary, k=20)) + "\n" + gap.join(passage) for gap in (" ", "  ", "\r\n", "\n\n", "\n        ", "\t")]
+    texts.append("".join(x + " " * rng.randint(1, 9) for x in passage))
+    rows = list(enumerate(texts))
+    got = substrings.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == removed(rows) == {0: 0} | {i: 40 for i in range(1, 7)}
+
+
 def test_fm_index():
     rng = np.random.default_rng(4)
     parts = [rng.integers(0, 4, n).astype(np.uint32) for n in rng.integers(5, 60, 30)]
