@@ -138,8 +138,10 @@ WIDE = 128
 TRIPLES = np.array([np.random.default_rng([7, c]).choice(WIDE, 3, replace=False) for c in range(256)])
 _STEPS = np.random.default_rng(11).integers(0, 2**64, size=WIDE // 8, dtype=np.uint64)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-#: Posting lists of at most so many fingerprints give all their pairs; longer ones give chains and stars.
+#: Posting lists of at most so many fingerprints give all their pairs; members of longer ones are compared in families.
 SHORT_LIST = 48
+#: Members of a family's block; beyond ``MOST_BLOCKS`` of them blocks grow, up to the largest.
+FAMILY_BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 2048, 64, 16384
 
 
 def wide_fingerprint(text: str, shingle: int) -> bytes:
@@ -162,8 +164,8 @@ def wide_fingerprint(text: str, shingle: int) -> bytes:
     return np.packbits(2 * total.ravel() > len(base)).tobytes()
 
 
-def _pairs_of_lists(key: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Candidate pairs of members of equal keys, from rows sorted by both."""
+def _pairs_of_lists(key: np.ndarray, node: np.ndarray) -> pd.DataFrame:
+    """All pairs of members of equal keys, from rows sorted by both; of long lists stars that hold their members together."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
     place = np.arange(len(key)) - np.repeat(starts, sizes)
@@ -175,16 +177,54 @@ def _pairs_of_lists(key: np.ndarray, node: np.ndarray) -> np.ndarray:
         rows = rows[place[rows] + step < size[rows]]
         out.append(np.stack([node[rows], node[rows + step]], axis=1))
         step += 1
-    long = np.flatnonzero(size > SHORT_LIST)
-    if len(long):
-        first = long - place[long]
-        for pivot in (0, 1, 2, 3):
-            at = long[place[long] > pivot]
-            out.append(np.stack([node[at - place[at] + pivot], node[at]], axis=1))
-        at = long[(place[long] > 0) & (long > first)]
-        out.append(np.stack([node[at - 1], node[at]], axis=1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return np.unique(pairs, axis=0)
+    long = np.flatnonzero((size > SHORT_LIST) & (place > 0))
+    stars = np.unique(np.stack([node[long - place[long]], node[long]], axis=1), axis=0)
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    both = np.concatenate([pairs, stars])
+    return pd.DataFrame({"u": both[:, 0], "v": both[:, 1], "star": np.arange(len(both)) >= len(pairs)})
+
+
+def wide_forest(node: np.ndarray, wide: np.ndarray, bits: float) -> np.ndarray:
+    """Edges that connect rows of ``wide`` as all pairs within ``bits`` do, found as ``forest`` finds them."""
+    out: list[np.ndarray] = []
+    queue: list[int] = []
+    left = np.arange(len(node))
+    rest = wide
+    while len(left):
+        if not queue:
+            queue, left, rest = [int(left[0])], left[1:], rest[1:]
+        at = queue.pop()
+        near = np.bitwise_count(rest ^ wide[at]).sum(axis=1, dtype=np.int64) <= bits
+        if near.any():
+            found = left[near]
+            out.append(np.stack([np.full(len(found), node[at]), node[found]], axis=1))
+            queue.extend(found.tolist())
+            left, rest = left[~near], rest[~near]
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def family_links(stars: DataFrame, distinct: DataFrame, bits: float) -> DataFrame:
+    """Edges ``(u, v)`` that connect members of long lists as all their pairs within ``bits`` do.
+
+    Lists with common members form a family, whose members are dealt into blocks; each two blocks of a family meet in
+    one task, so every pair of a family is compared wherever its lists are, and a task holds two blocks at most. The
+    wide bits of a member move once a block. Near copies are reached by the first comparisons; a family without any
+    costs its square.
+    """
+    roots = materialize(connected(stars), "families")
+    n = F.col("n")
+    blocks = F.greatest(F.least(F.ceil(n / FAMILY_BLOCK), F.lit(MOST_BLOCKS)), F.ceil(n / LARGEST_BLOCK)).cast("int")
+    sizes = materialize(roots.groupBy("root").agg(F.count("*").alias("n")).select("root", blocks.alias("blocks")), "family-sizes")
+    placed = roots.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(distinct, "node")
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))))
+    met = placed.select("root", "block", "node", "wide", other.alias("other"))
+    met = met.select("root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "wide")
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = np.frombuffer(b"".join(pdf["wide"]), np.uint64).reshape(-1, WIDE // 8)
+        return pd.DataFrame(wide_forest(pdf["node"].to_numpy(), wide, bits), columns=["u", "v"])
+
+    return met.groupBy("root", "p", "q").applyInPandas(search, "u long, v long")
 
 
 def wide_links(distinct: DataFrame, most_share: float) -> DataFrame:
@@ -192,9 +232,9 @@ def wide_links(distinct: DataFrame, most_share: float) -> DataFrame:
 
     Every fingerprint is listed under 256 fixed triples of (position, byte) postings. A pair that shares ``m`` of the
     bytes stands together under each triple with chance ``(m / WIDE) ** 3``; pairs of differing texts share a byte
-    with chance 1 / 256 and so hardly ever a triple. Pairs of a list are distinct fingerprints; lists longer than
-    ``SHORT_LIST`` are near copies of one text, which the stars and chains of 256 lists connect without all pairs.
-    Candidates are verified on their bytes and bits.
+    with chance 1 / 256 and so hardly ever a triple. Pairs of a list are distinct fingerprints, verified on their bits.
+    Lists longer than ``SHORT_LIST``, of near copies of one text or of texts made from one template, are united to
+    families, in which every pair is compared.
     """
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,9 +252,9 @@ def wide_links(distinct: DataFrame, most_share: float) -> DataFrame:
             open_list = (pdf["key"] == pdf["key"].iloc[-1]).to_numpy()
             rest, done = pdf[open_list], pdf[~open_list]
             if len(done):
-                yield pd.DataFrame(_pairs_of_lists(done["key"].to_numpy(), done["node"].to_numpy()), columns=["u", "v"])
+                yield _pairs_of_lists(done["key"].to_numpy(), done["node"].to_numpy())
         if len(rest):
-            yield pd.DataFrame(_pairs_of_lists(rest["key"].to_numpy(), rest["node"].to_numpy()), columns=["u", "v"])
+            yield _pairs_of_lists(rest["key"].to_numpy(), rest["node"].to_numpy())
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -224,10 +264,12 @@ def wide_links(distinct: DataFrame, most_share: float) -> DataFrame:
 
     listed = distinct.mapInPandas(post, "key long, node long")
     ordered = listed.repartition(tasks(distinct.sparkSession), "key").sortWithinPartitions("key", "node")
-    pairs = ordered.mapInPandas(pair, "u long, v long").distinct()
+    found = materialize(ordered.mapInPandas(pair, "u long, v long, star boolean").distinct(), "list-pairs")
+    pairs, stars = found.filter("not star").select("u", "v"), found.filter("star").select("u", "v")
     both = pairs.join(distinct.select(F.col("node").alias("u"), F.col("wide").alias("a")), "u")
     both = both.join(distinct.select(F.col("node").alias("v"), F.col("wide").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInPandas(verify, "u long, v long")
+    short = both.select("u", "v", "a", "b").mapInPandas(verify, "u long, v long")
+    return short if stars.isEmpty() else short.unionByName(family_links(stars, distinct.select("node", "wide"), most_share * 8 * WIDE))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -182,6 +182,27 @@ def test_near_dedup_keeps_one_of_similar_texts(spark):
     assert kept == [3 * i for i in range(20)] + [2000]
 
 
+def test_wide_links_of_a_template_family(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base, own = rng.integers(0, 256, 128, dtype=np.uint8), rng.choice(128, 52, replace=False)
+    wide = []
+    for _ in range(100):  # a pair shares the template's bytes only, and so long lists only
+        a = base.copy()
+        a[own] = rng.integers(0, 256, 52, dtype=np.uint8)
+        b = a.copy()
+        b[own] ^= np.array([3, 6, 12, 24, 48, 96], np.uint8)[rng.integers(0, 6, 52)]
+        wide += [a, b]
+    bits = np.unpackbits(np.array(wide), axis=1)
+    near = {(i, j) for i in range(200) for j in range(i + 1, 200) if (bits[i] != bits[j]).sum() <= 0.174 * 1024}
+    assert {(i, i + 1) for i in range(0, 200, 2)} <= near
+    want = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(sorted(near), "u long, v long")).collect()}
+    df = spark.createDataFrame([(i, bytes(w)) for i, w in enumerate(wide)], "node long, wide binary")
+    for block in (2048, 30):
+        monkeypatch.setattr(simhash, "FAMILY_BLOCK", block, raising=False)
+        got = components.connected(simhash.wide_links(df, 0.174))
+        assert {r["node"]: r["root"] for r in got.collect()} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)]
     got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
