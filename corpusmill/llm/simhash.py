@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, id_back, id_key, materialize, tasks
@@ -273,7 +273,8 @@ def wide_links(distinct: DataFrame, most_share: float) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_key, component)`` by wide fingerprints: texts whose shingle sets have about this Jaccard similarity.
+    """``(doc_key, text_hash, first_key, first_hash)`` by wide fingerprints: texts whose shingle sets have about this
+    Jaccard similarity. The first of a group is its row of the smallest id, then text hash; a null id is the smallest.
 
     64 bits tell only texts apart that differ by a few shingles: at a similarity of 0.8 they differ in ten bits, more
     than the bytes of a short fingerprint can guarantee. ``8 * WIDE`` bits differ in ``acos(2 s / (1 + s)) / pi`` of
@@ -285,24 +286,29 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         for pdf in batches:
             wide = [wide_fingerprint(t, shingle) for t in pdf["text"]]
             node = [np.int64(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64)) for w in wide]
-            yield pd.DataFrame({"doc_key": pdf["doc_key"], "node": node, "wide": wide})
+            yield pd.DataFrame({"doc_key": pdf["doc_key"], "text_hash": pdf["text_hash"], "node": node, "wide": wide})
 
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most_share = share + 2 * float(np.sqrt(share * (1 - share) / (8 * WIDE)))  # two standard errors of the estimate
-    rows = documents(docs).select(id_key().alias("doc_key"), "text").mapInPandas(run, "doc_key long, node long, wide binary")
-    rows = materialize(rows, "wide-fingerprints")
-    distinct = rows.groupBy("node").agg(F.min("doc_key").alias("first"), F.max("wide").alias("wide"))
+    rows = documents(docs).select(id_key().alias("doc_key"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = materialize(rows.mapInPandas(run, "doc_key long, text_hash long, node long, wide binary"), "wide-fingerprints")
+    distinct = rows.groupBy("node").agg(F.min(F.struct("doc_key", "text_hash")).alias("first"), F.max("wide").alias("wide"))
     distinct = materialize(distinct, "distinct-wide")
     roots = connected(wide_links(distinct.select("node", "wide"), most_share))
     grouped = distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component"))
     members = grouped.select("node", "root").join(smallest, "root").select("node", "component")
-    return rows.select("doc_key", "node").join(members, "node").select("doc_key", "component")
+    found = rows.select("doc_key", "text_hash", "node").join(members, "node")
+    return found.select("doc_key", "text_hash", F.col("component.doc_key").alias("first_key"), F.col("component.text_hash").alias("first_hash"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id; of rows with that id, one."""
-    kept = near_groups(docs, shingle, similarity).filter("doc_key = component").select(F.col("component").alias("_kept")).distinct()
-    rows = docs.withColumn("_key", id_key()).join(kept, F.col("_key") == F.col("_kept"), "left_semi")
-    one = Window.partitionBy("_key").orderBy(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return rows.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select(*docs.columns)
+    """``docs`` with one row of each group: that of the smallest id, then text hash; of rows equal in both, one.
+
+    Rows are named by id and text, so groups whose first rows share an id, or have none, keep one row each.
+    """
+    groups = near_groups(docs, shingle, similarity).filter("doc_key = first_key and text_hash = first_hash")
+    kept = groups.select(F.col("first_key").alias("_kept"), F.col("first_hash").alias("_kept_hash")).distinct()
+    rows = docs.withColumn("_key", id_key()).withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    rows = rows.join(kept, (F.col("_key") == F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    return rows.dropDuplicates(["_key", "_hash"]).select(*docs.columns)

@@ -182,6 +182,16 @@ def test_near_dedup_keeps_one_of_similar_texts(spark):
     assert kept == [3 * i for i in range(20)] + [2000]
 
 
+def test_near_dedup_keeps_one_row_of_each_group_without_ids(spark):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(100)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:8]] + [(None, texts[0]), (10, texts[0]), (11, texts[1]), (12, texts[1])]
+    rows += [(5, texts[8]), (5, texts[9]), (6, texts[9]), (5, texts[10]), (4, texts[10]), (7, texts[11])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r["doc_id"] or 0), texts.index(r["text"])) for r in simhash.near_dedup(df).collect())
+    assert kept == [(0, i) for i in range(8)] + [(4, 10), (5, 8), (5, 9), (7, 11)]
+
+
 def test_wide_links_of_a_template_family(spark, monkeypatch):
     rng = np.random.default_rng(6)
     base, own = rng.integers(0, 256, 128, dtype=np.uint8), rng.choice(128, 52, replace=False)
