@@ -20,6 +20,8 @@ GRAM = 3
 MOST_WINDOWS = 64
 #: Segments a shard's index holds, about.
 SHARD_SEGMENTS = 40_000
+#: Routes of more different segments are not indexed; their windows are compared one by one.
+ROUTE_SEGMENTS = 4_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -205,6 +207,42 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"content": pdf["content"], "least": [x.tobytes() for x in np.split(least, cuts[:-1])]})
 
 
+def _cut_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Windows of different segments as ``(content, first, nth, window)``, the window by a 64-bit hash of its words."""
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        parts = [np.frombuffer(x, np.uint32) for x in pdf["words"]]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        symbols = np.concatenate(parts).astype(np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(symbols) * _powers(_BASE, len(symbols)), dtype=np.uint64)])
+        windows = lengths - WINDOW + 1
+        segment = np.repeat(np.arange(len(parts)), windows)
+        nth = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = (np.cumsum(lengths) - lengths)[segment] + nth
+        window = _mix((total[at + WINDOW] - total[at]) * _powers(_INVERSE, len(symbols) + 1)[at])
+        yield pd.DataFrame({"content": pdf["content"].to_numpy()[segment], "first": pdf["first"].to_numpy()[segment], "nth": nth, "window": window.view(np.int64)})
+
+
+def window_least(different: DataFrame) -> DataFrame:
+    """What ``_search`` finds, without an index: the least document of each window by a sum over equal windows.
+
+    Least documents are found in tasks before they move. A window of many segments meets one row when it is joined
+    back, which adaptive execution splits. Of a segment at most ``MOST_WINDOWS`` rows are collected.
+    """
+    windows = different.mapInPandas(_cut_windows, "content long, first long, nth long, window long")
+    sums = windows.groupBy("window").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+    shared = materialize(sums.filter("n > 1").select("window", "least"), "shared-windows")
+    each = windows.join(shared, "window", "left").select("content", F.struct("nth", F.coalesce("least", "first").alias("least")).alias("w"))
+    listed = each.groupBy("content").agg(F.sort_array(F.collect_list("w")).alias("w")).select("content", F.col("w.least").alias("least"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"content": pdf["content"], "least": [np.asarray(x, np.int64).tobytes() for x in pdf["least"]]})
+
+    return listed.mapInPandas(pack, "content long, least binary")
+
+
 def _cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Word intervals of windows that start in an earlier document."""
     for pdf in batches:
@@ -256,7 +294,9 @@ def repeated_spans(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     1. Each text gives its segments' routes and places, no words, in one shuffle. Routes of one row only are dropped.
     2. Rows that are left are read again and give the words of their segments; equal segments are merged with their
        least document before they move, so a passage in a third of all documents is one row a task.
-    3. Shards of different segments are indexed; a segment that occurs in many documents is there once.
+    3. Shards of different segments are indexed; a segment that occurs in many documents is there once. Where windows
+       reach from a common passage into each document's own words, a route has a different segment a document: routes of
+       more than ``ROUTE_SEGMENTS`` are not indexed, their windows are grouped one by one. So an index is bounded.
     4. The least document of each window goes back to the places where its segment stands.
     """
     spark = rows.sparkSession
@@ -268,8 +308,14 @@ def repeated_spans(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     cut = materialize(cut, "cut-segments")
     shards = max(1, cut.count() // SHARD_SEGMENTS)
     different = cut.groupBy("route", "content").agg(F.min("doc_key").alias("first"), F.max("words").alias("words"))
+    different = materialize(different, "different-segments")
+    hot = materialize(different.groupBy("route").count().filter(F.col("count") > ROUTE_SEGMENTS).select("route"), "hot-routes")
+    any_hot = not hot.isEmpty()  # at most one route in ROUTE_SEGMENTS segments, so they are broadcast
+    few = different.join(F.broadcast(hot), "route", "left_anti") if any_hot else different
     shard = F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard")
-    least = different.select(shard, "content", "first", "words").groupBy("shard").applyInPandas(_search, "content long, least binary")
+    least = few.select(shard, "content", "first", "words").groupBy("shard").applyInPandas(_search, "content long, least binary")
+    if any_hot:
+        least = least.unionByName(window_least(different.join(F.broadcast(hot), "route", "left_semi")))
     covered = cut.select("row_key", "doc_key", "start", "content").join(least, "content").mapInPandas(_cover, "row_key long, span long")
     return covered.groupBy("row_key").agg(F.collect_list("span").alias("spans"))
 

@@ -276,6 +276,26 @@ def test_strip_repeats_of_other_spacing(spark):
     assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == removed(rows) == {0: 0} | {i: 40 for i in range(1, 7)}
 
 
+def test_strip_repeats_bounds_an_index(spark, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghi", k=rng.randint(2, 5))) for _ in range(300)]
+    passage = ["".join(rng.choices("abcdefghi", k=30)) for _ in range(3)] + rng.choices(vocabulary, k=20)
+    own = [rng.choices(vocabulary, k=30) for _ in range(300)]
+    rows = [(i, " ".join(own[i] + passage)) for i in range(300)] + [(300 + i, " ".join(own[i][-6:] + passage)) for i in range(10)]
+    search = substrings._search
+
+    def bounded(pdf):
+        if len(pdf) > 150:
+            raise ValueError(f"{len(pdf)} segments in one index")
+        return search(pdf)
+
+    monkeypatch.setattr(substrings, "_search", bounded)
+    monkeypatch.setattr(substrings, "SHARD_SEGMENTS", 40)
+    monkeypatch.setattr(substrings, "ROUTE_SEGMENTS", 10, raising=False)
+    got = substrings.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == removed(rows)
+
+
 def test_fm_index():
     rng = np.random.default_rng(4)
     parts = [rng.integers(0, 4, n).astype(np.uint32) for n in rng.integers(5, 60, 30)]
