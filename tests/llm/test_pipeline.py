@@ -1,6 +1,9 @@
 """The pipeline's stages on generated tables: columns stay, decisions take effect."""
 
+import collections
+
 import corpus_pipeline
+from corpusmill.llm import mixing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -16,3 +19,14 @@ def test_stages(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).toPandas()
     assert (pieces.groupby("doc_id").length.sum() % pieces.groupby("doc_id").doc_tokens.first() == 0).all()
     assert set(pieces.doc_id) == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_mixture_follows_the_decision_of_each_row(spark):
+    rows = [(i if i % 4 else None, " ".join(["w"] * (5 + i % 7)), "abc"[i % 3]) for i in range(120)]
+    rows += [(i, " ".join(["v"] * (20 + i % 5)), "abc"[(i + 1) % 3]) for i in range(1, 60)]  # ids in two sources
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        wanted[(r["doc_id"], r["source"], r["size"])] += r["copies"]
+    got = collections.Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in corpus_pipeline.mixture(spark, docs, DATA).collect())
+    assert got == +wanted
