@@ -1,56 +1,66 @@
-"""Whole-text encoding with a cache of space-delimited chunks.
+"""Whole-text encoding with a cache of chunks.
 
-A single space between two characters that are not white space always starts a new pre-token in the byte-level
-pattern, and is dropped in the word pattern. So a text can be cut before such spaces, each distinct chunk encoded
-once, and the ids joined again: the result equals encoding the whole text.
+A single space, or a line feed, between two characters that are not white space always starts a new pre-token in the
+byte-level pattern; in the word pattern white space only separates. So a text can be cut there, each distinct chunk
+encoded once, and the ids joined again: the result equals encoding the whole text. Arrow splits a batch of texts and
+numbers its distinct chunks, so only those are looked up one by one.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
-from unicodedata import is_normalized
 
 import numpy as np
-from tokenizers import Tokenizer
+import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-_AWKWARD = re.compile(r" \s|\s |^ | $")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-
-
-class _Numbers(dict):
-    """Numbers chunks as they are first looked up, and remembers which are new."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        n = self[chunk] = len(self)
-        self.new.append(chunk)
-        return n
+#: Texts with white space that touches other white space or an edge, or that is neither space nor line feed (RE2).
+_AWKWARD = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^ | $"
+#: Texts whose lower case is the same character by character, before and after normalisation: no combining marks, no
+#: dotted capital I, no sigma.
+_LOWERED = r"^[\x00-\x7f\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]*$"
+#: Chunks of Latin letters alone are one pre-token after the line feed, and a mark after them is another.
+_LETTERS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}"
+_DELIMITER = "\x01"
 
 
 class ChunkEncoder:
     """Token ids, and where tokens start, of whole texts.
 
-    ``byte_level``: chunks after the first carry the space before them. ``limit``: distinct chunks kept per worker;
-    beyond it the cache is emptied, which costs time but never changes a result.
+    ``byte_level``: chunks after the first carry the space before them, or begin with their line feed. ``starts``:
+    whether :meth:`token_starts` will be asked for. ``limit``: distinct chunks kept per worker; beyond it the cache is
+    emptied, which costs time but never changes a result.
     """
 
-    def __init__(self, path: str, byte_level: bool, limit: int = 400_000):
+    def __init__(self, path: str, byte_level: bool, starts: bool = False, limit: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.space = " " if byte_level else ""
-        self.limit = limit
-        #: marks that end many chunks; each must be one token, which starts where the letters or digits before it end
+        self.byte_level, self.with_starts, self.limit = byte_level, starts, limit
+        # the same model without the pattern, for chunks known to be one pre-token each
+        self.plain = Tokenizer.from_file(path)
+        if not byte_level:
+            self.plain.normalizer = normalizers.Lowercase()
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(_DELIMITER), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        #: tokens that begin a chunk (byte level: space or line feed first), or end one (word pattern)
+        edge = (lambda t: t[0] in "ĠĊ") if byte_level else (lambda t: t.endswith("</w>"))
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if edge(t)]] = True
+        #: marks that end many chunks; each must be one token, which starts where the letters before it end
         marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
         self.marks = {m: ids[0] for m, ids in marks.items() if len(ids) == 1}
         self._clear()
 
     def _clear(self) -> None:
         """A chunk's number leads to a slice of ``ids`` and ``starts``."""
-        self.number = _Numbers()
+        self.number: dict[str, int] = {}
+        self.first_number: dict[str, int] = {}
+        self.numbered = 0
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 16, np.int32)
+        self.starts = np.zeros(1 << 16 if self.with_starts else 0, np.int32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
@@ -58,80 +68,162 @@ class ChunkEncoder:
     def _store(self, numbers: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids, self.starts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.ids, self.starts))
-        while len(self.number) > len(self.begin):
+        while self.numbered > len(self.begin):
             self.begin, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.count))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[self.used : self.used + len(ids)] = starts
+        if self.with_starts:
+            self.starts[self.used : self.used + len(ids)] = starts
         self.count[numbers] = counts
         self.begin[numbers] = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
 
-    def _numbers(self, chunks: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+    def _lead(self, chunk: str) -> str:
+        """What stands before a chunk in its text, beyond what the chunk itself holds."""
+        return " " if self.byte_level and chunk[:1] != "\n" else ""
+
+    def _encode(self, tokenizer: Tokenizer, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """Ids and, where asked for, token starts of texts. Without starts the library skips its bookkeeping."""
+        if not self.with_starts:
+            return [(np.array(e.ids, np.uint32), None) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [(np.array(e.ids, np.uint32), np.array([o[0] for o in e.offsets], np.int64)) for e in found]
 
-    def _fill(self, chunks: list[str]) -> None:
-        """Encode chunks in one call, joined by spaces, and cut the ids where chunks start."""
-        if not chunks:
-            return
-        begin = np.cumsum([0] + [len(c) + 1 for c in chunks])
-        got = self.tokenizer.encode(self.space + " ".join(chunks), add_special_tokens=False)
-        at = np.array([o[0] for o in got.offsets], dtype=np.int64)
-        counts = np.diff(np.searchsorted(at, begin))
-        self._store(self._numbers(chunks), got.ids, at - np.repeat(begin[:-1], counts), counts)
+    def _single(self, numbers: list[int], texts: list[str]) -> None:
+        """Texts encoded one by one."""
+        if texts:
+            got = self._encode(self.tokenizer, texts)
+            counts = np.array([len(ids) for ids, _ in got])
+            starts = np.concatenate([at for _, at in got]) if self.with_starts else None
+            self._store(np.array(numbers), np.concatenate([ids for ids, _ in got]), starts, counts)
+
+    def _letters(self, chunks: list[str]) -> None:
+        """Chunks of one pre-token (after their line feed), many a call, cut at the tokens that begin or end one."""
+        for i in range(0, len(chunks), 256):
+            part = chunks[i : i + 256]
+            pieces = [_DELIMITER + c if c[0] != "\n" else _DELIMITER + "\n" + _DELIMITER + c[1:] for c in part]
+            if self.byte_level:
+                pieces = [_DELIMITER + " " + c if c[0] != "\n" else p for c, p in zip(part, pieces)]
+            ids, at = self._encode(self.plain, ["".join(pieces)])[0]
+            edges = np.flatnonzero(self.edge[ids])
+            bounds = np.append(edges, len(ids)) if self.byte_level else np.append(0, edges + 1)
+            counts = np.diff(bounds)
+            if len(counts) != len(part):
+                raise ValueError("the tokenizer does not mark the edges of words")
+            starts = None
+            if at is not None:
+                length = np.fromiter(map(len, pieces), np.int64, len(part))
+                # a delimiter stands before each piece, and another after a line feed
+                starts = at - np.repeat(np.cumsum(length) - length + 1, counts)
+                fed = np.repeat(np.fromiter((c[0] == "\n" for c in part), bool, len(part)), counts)
+                starts -= fed & (starts > 0)
+            self._store(np.array([self.number[c] for c in part]), ids, starts, counts)
 
     def _compose(self, chunks: list[str]) -> None:
         """Chunks of a known core and one mark: the core's tokens and the mark's."""
-        core = self._numbers([c[:-1] for c in chunks])
-        flat, ends = self._gather(core, np.arange(self.used))
+        core = np.array([self.number[c[:-1]] for c in chunks])
         n = len(chunks)
+        flat, ends = self._gather(core, np.arange(self.used))
         at = np.insert(flat, ends[1:], 0)
         last = ends[1:] + np.arange(n)
-        ids, starts = self.ids[at], self.starts[at]
+        ids = self.ids[at]
         ids[last] = [self.marks[c[-1]] for c in chunks]
-        starts[last] = np.fromiter(map(len, chunks), np.int64, n) - 1 + len(self.space)
-        self._store(self._numbers(chunks), ids, starts, np.diff(ends) + 1)
-
-    def _encode_new(self) -> None:
-        """Encode chunks that were numbered since the last call."""
-        run: list[str] = []
-        composed: list[str] = []
-        at = 0
-        while at < len(self.number.new):  # cores that no text held by themselves join the list as it is read
-            c = self.number.new[at]
-            at += 1
-            # white space at a chunk's edge would touch its neighbour in the joined text
-            if not c or c[0].isspace() or c[-1].isspace():
-                got = self.tokenizer.encode(self.space + c, add_special_tokens=False)
-                self._store(self._numbers([c]), got.ids, [o[0] for o in got.offsets], np.array([len(got.ids)]))
-            elif c[-1] in self.marks and c[-2:-1].isalnum():
-                self.number[c[:-1]]
-                composed.append(c)
-            else:
-                run.append(c)
-                if len(run) == 256:  # short joins: the library's cost a character grows with the length
-                    self._fill(run)
-                    run = []
-        self._fill(run)
+        starts = None
+        if self.with_starts:
+            starts = self.starts[at]
+            starts[last] = [len(self._lead(c)) + len(c) - 1 for c in chunks]
+        self._store(np.array([self.number[c] for c in chunks]), ids, starts, np.diff(ends) + 1)
+
+    def _others(self, chunks: list[str]) -> None:
+        """Any other chunks, joined and cut by character offsets, or alone where white space at an edge would touch a neighbour."""
+        alone = [c for c in chunks if not c or c[-1].isspace() or (c[0].isspace() and not (self.byte_level and c[0] == "\n" and not c[1].isspace()))]
+        self._single([self.number[c] for c in alone], [self._lead(c) + c for c in alone])
+        left = set(alone)
+        run = [c for c in chunks if c not in left]
+        for i in range(0, len(run), 256):
+            part = run[i : i + 256]
+            pieces = [self._lead(c) + c for c in part] if self.byte_level else [c + " " for c in part]
+            begin = np.cumsum([0] + [len(p) for p in pieces])
+            got = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
+            at = np.array([o[0] for o in got.offsets], dtype=np.int64)
+            counts = np.diff(np.searchsorted(at, begin))
+            self._store(np.array([self.number[c] for c in part]), np.array(got.ids, np.uint32), at - np.repeat(begin[:-1], counts), counts)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Number and encode chunks that are not known yet."""
+        array = pa.array(chunks, pa.string())
+        letters = pc.match_substring_regex(array, f"^\n?[{_LETTERS}]+$").to_numpy(zero_copy_only=False)
+        marks = re.escape("".join(self.marks))
+        marked = pc.match_substring_regex(array, f"^\n?[{_LETTERS}]+[{marks}]$").to_numpy(zero_copy_only=False) if marks else np.zeros(len(chunks), bool)
+        if not self.byte_level:  # a line feed is white space like any other there
+            fed = pc.starts_with(array, "\n").to_numpy(zero_copy_only=False)
+            letters, marked = letters & ~fed, marked & ~fed
+        whole = [chunks[i] for i in np.flatnonzero(letters)]
+        composed = [chunks[i] for i in np.flatnonzero(marked)]
+        rest = [chunks[i] for i in np.flatnonzero(~letters & ~marked)]
+        for c in chunks:
+            self.number[c] = self.numbered
+            self.numbered += 1
+        for c in composed:  # cores that no text held by themselves
+            if c[:-1] not in self.number:
+                self.number[c[:-1]] = self.numbered
+                self.numbered += 1
+                whole.append(c[:-1])
+        self._letters(whole)
+        self._others(rest)
         if composed:
             self._compose(composed)
-        self.number.new = []
-
-    def split(self, text: str) -> list[str]:
-        if not self.space:  # white space is dropped by the word pattern, so every space and line feed is a safe cut
-            if text.isascii() or ("Σ" not in text and is_normalized("NFC", text)):  # a sigma's lower case depends on its place
-                text = text.lower()
-            return text.replace("\n", " ").split(" ")
-        return _SAFE.split(text) if _AWKWARD.search(text) else text.split(" ")
-
-    def _look_up(self, texts: list[str]):
-        """Chunks of all texts, the numbers of those after each text's first, and what the first ones encode to."""
-        if len(self.number) > self.limit:
+
+    def _numbers(self, values: pa.Array) -> np.ndarray:
+        """The number of each chunk; new ones are encoded."""
+        coded = values.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        new = [c for c in different if c not in self.number]
+        if new:
+            self._learn(new)
+        numbers = np.fromiter(map(self.number.__getitem__, different), np.int64, len(different))
+        return numbers[coded.indices.to_numpy()]
+
+    def _first_numbers(self, chunks: list[str]) -> np.ndarray:
+        """First chunks of texts have nothing before them, so they are numbered apart at the byte level."""
+        new = [c for c in dict.fromkeys(chunks) if c not in self.first_number]
+        for c in new:
+            self.first_number[c] = self.numbered
+            self.numbered += 1
+        self._single([self.first_number[c] for c in new], new)
+        return np.fromiter(map(self.first_number.__getitem__, chunks), np.int64, len(chunks))
+
+    def _split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Chunks of all texts in a row, and where each text's begin."""
+        array = pa.array(texts, pa.string())
+        if self.byte_level:
+            awkward = pc.match_substring_regex(array, _AWKWARD).to_numpy(zero_copy_only=False)
+            cut = pc.split_pattern(pc.replace_substring(array, "\n", " \n"), " ")
+            if awkward.any():
+                parts, sizes = [], []
+                at = 0
+                ends = cut.offsets.to_numpy()
+                for i in np.flatnonzero(awkward):  # rows between awkward ones stay as Arrow cut them
+                    parts += [cut.values.slice(ends[at], ends[i] - ends[at]), pa.array(_SAFE.split(texts[i]), pa.string())]
+                    sizes += [np.diff(ends[at : i + 1]), [len(parts[-1])]]
+                    at = i + 1
+                parts.append(cut.values.slice(ends[at], ends[-1] - ends[at]))
+                sizes.append(np.diff(ends[at:]))
+                return pa.concat_arrays(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            return cut.values, cut.offsets.to_numpy()
+        lowered = pc.match_substring_regex(array, _LOWERED).to_numpy(zero_copy_only=False)
+        array = pa.array([t.lower() if low else t for t, low in zip(texts, lowered)], pa.string())
+        cut = pc.split_pattern(pc.replace_substring(array, "\n", " "), " ")
+        return cut.values, cut.offsets.to_numpy()
+
+    def _look_up(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        if self.numbered > self.limit:
             self._clear()
-        split = [self.split(t) for t in texts]
-        numbers = self._numbers(list(chain.from_iterable(p[1:] for p in split)))
-        self._encode_new()
-        first = [self.tokenizer.encode(p[0], add_special_tokens=False) if p[0] else None for p in split]
-        return split, numbers, first
+        chunks, begin = self._split(texts)
+        numbers = self._numbers(chunks)
+        if self.byte_level:
+            heads = begin[:-1]
+            numbers[heads] = self._first_numbers(chunks.take(pa.array(heads)).to_pylist())
+        return numbers, chunks, begin
 
     def _gather(self, numbers: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = self.count[numbers]
@@ -139,33 +231,31 @@ class ChunkEncoder:
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[numbers] - (ends - counts), counts)
         return flat[at], np.concatenate([[0], ends])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split, numbers, first = self._look_up(texts)
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin and the last ends."""
+        numbers, _, begin = self._look_up(texts)
         flat, ends = self._gather(numbers, self.ids)
-        out, n = [], 0
-        for p, f in zip(split, first):
-            m = n + len(p) - 1
-            out.append(np.concatenate([np.array(f.ids if f else [], np.uint32), flat[ends[n] : ends[m]]]))
-            n = m
-        return out
+        return flat, ends[begin]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        flat, ends = self.encode_flat(texts)
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
     def token_starts(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text the character at which each token starts, in order."""
-        split, numbers, first = self._look_up(texts)
+        """For each text the character at which each token starts, in order (byte level only)."""
+        numbers, chunks, begin = self._look_up(texts)
         flat, ends = self._gather(numbers, self.starts)
-        out, n = [], 0
-        for p, f in zip(split, first):
-            m = n + len(p) - 1
-            lengths = np.fromiter(map(len, p), np.int64, len(p))
-            # a chunk begins at the space before it (byte level) or right after that space
-            begin = np.cumsum(lengths[:-1] + 1) - (1 if self.space else 0)
-            rest = flat[ends[n] : ends[m]] + np.repeat(begin, self.count[numbers[n:m]])
-            out.append(np.concatenate([np.array([o[0] for o in f.offsets] if f else [], np.int64), rest]))
-            n = m
-        return out
-
-
-def text_batches(texts, size: int = 4_000_000):
+        length = pc.utf8_length(chunks).to_numpy() + ~pc.starts_with(chunks, "\n").to_numpy(zero_copy_only=False)
+        heads = begin[:-1]
+        length[heads] = pc.utf8_length(chunks.take(pa.array(heads))).to_numpy()
+        upto = np.cumsum(length) - length
+        upto -= np.repeat(upto[heads], np.diff(begin))
+        flat = flat + np.repeat(upto, self.count[numbers])
+        ends = ends[begin]
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def text_batches(texts, size: int = 8_000_000):
     """Slices of a list of texts holding about ``size`` characters each, one text at least."""
     start = total = 0
     for i, t in enumerate(texts):

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,35 +17,57 @@ from .common import documents, id_back, id_key
 
 END_ID = 1
 
+STORED = "doc_key long, n_tokens int, part int, part_start long, ids array<int>"
+
+
+def closed(flat: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts in a row with ``end_id`` after each, and where each text's begin and the last ends."""
+    return np.insert(flat, ends[1:], np.uint32(end_id)), ends + np.arange(len(ends))
+
 
 def encode_documents(df: DataFrame, tokenizer: str, byte_level: bool, end_id: int = END_ID) -> DataFrame:
-    """``(doc_key, ids)`` for rows ``(doc_key, text)``: ids of the whole text and then ``end_id``."""
+    """``(doc_key, n_tokens, part, part_start, ids)`` for rows ``(doc_key, text)``: ids of the whole text and ``end_id``.
+
+    ``part`` is the task's partition and ``part_start`` the ids that stand before the row in it.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(tokenizer, byte_level)
-        for pdf in batches:
-            keys, texts = pdf["doc_key"].to_numpy(), pdf["text"].tolist()
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
             for lo, hi in text_batches(texts):
-                ids = [np.append(x, np.uint32(end_id)).astype(np.int32) for x in encoder.encode(texts[lo:hi])]
-                yield pd.DataFrame({"doc_key": keys[lo:hi], "ids": ids})
-
-    return df.mapInPandas(run, "doc_key long, ids array<int>")
+                ids, ends = closed(*encoder.encode_flat(texts[lo:hi]), end_id)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_key").slice(lo, hi - lo),
+                        pa.array(np.diff(ends).astype(np.int32)),
+                        pa.array(np.full(hi - lo, part, np.int32)),
+                        pa.array(before + ends[:-1]),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                    ],
+                    names=["doc_key", "n_tokens", "part", "part_start", "ids"],
+                )
+                before += int(ends[-1])
+
+    return df.select("doc_key", "text").mapInArrow(run, STORED)
 
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer: str, byte_level: bool = False, stripe_mb: int = 16) -> None:
-    """Encode every text and write ``(doc_key, n_tokens, ids)`` as ORC in ascending document order.
-
-    Documents are range-partitioned on their id before they are encoded, so files, stripes and row groups hold
-    ascending, disjoint id ranges: stripe and row-group statistics prune a range lookup, the Bloom filter prunes a
-    point lookup, and integer run-length encoding (ORC's default for ints) stores the ids. Null ids come first and
-    are stored as the smallest long; null and empty texts hold the end id alone; rows with the same id stay in one
-    file, ordered by text.
+    """Encode every text and write ``doc_key, n_tokens, part, part_start, ids`` as ORC in ascending document order.
+
+    Documents are range-partitioned on their id, and on a hash of their text within equal ids, before they are
+    encoded, so files, stripes and row groups hold ascending id ranges: stripe and row-group statistics prune a range
+    lookup, the Bloom filter prunes a point lookup, and integer run-length encoding (ORC's default for ints) stores
+    the ids. Null ids come first, stored as the smallest long, and are spread over files by their texts; null and
+    empty texts hold the end id alone; rows with the same id follow one another by the hash of their text. An empty
+    table gives a folder without rows.
     """
-    rows = documents(docs).select(id_key().alias("doc_key"), "text")
-    ordered = rows.repartitionByRange(F.col("doc_key")).sortWithinPartitions("doc_key", "text")
-    encoded = encode_documents(ordered, tokenizer, byte_level).select("doc_key", F.size("ids").alias("n_tokens"), "ids")
+    rows = documents(docs).select(id_key().alias("doc_key"), F.xxhash64("text").alias("text_hash"), "text")
+    ordered = rows.repartitionByRange("doc_key", "text_hash").sortWithinPartitions("doc_key", "text_hash")
     (
-        encoded.write.option("orc.compress", "ZSTD")
+        encode_documents(ordered, tokenizer, byte_level)
+        .write.option("orc.compress", "ZSTD")
         .option("orc.stripe.size", str(stripe_mb << 20))
         .option("orc.row.index.stride", "1000")
         .option("orc.create.index", "true")
@@ -55,7 +79,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, byte_level: bool
 
 def read_token_orc(spark, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """``(doc_id, n_tokens, ids)``; with ``doc_ids`` the reader skips stripes and row groups by statistics and Bloom filter."""
-    df = spark.read.schema("doc_key long, n_tokens int, ids array<int>").orc(path)
+    df = spark.read.schema(STORED).orc(path)
     if doc_ids is not None:
         df = df.filter(F.col("doc_key").isin(doc_ids))
     return df.withColumn("doc_id", id_back("doc_key")).select("doc_id", "n_tokens", "ids")
@@ -64,27 +88,21 @@ def read_token_orc(spark, path: str, doc_ids: list[int] | None = None) -> DataFr
 def token_digest(spark, path: str) -> DataFrame:
     """Per stored document its global start, length and crc32 of its ids, read back from the files.
 
-    Files hold disjoint ascending id ranges. Starts are sums in two steps: totals per file (one row each), then
-    positions within a file, whose size is bounded by the writer. A file that the reader splits keeps its order by id.
+    A row's start is what its part stored before it plus the totals of the parts before its own. Parts hold ascending
+    ranges, and there is one row a part in the only sum that has an order, so no file is ever sorted or held whole.
     """
 
     def crc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sums = [zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) for x in pdf["ids"]]
-            yield pd.DataFrame({"doc_key": pdf["doc_key"], "file": pdf["file"], "n_tokens": pdf["n_tokens"], "ids_crc32": sums})
+            yield pdf.drop(columns=["ids"]).assign(ids_crc32=sums)
 
-    stored = spark.read.schema("doc_key long, n_tokens int, ids array<int>").orc(path)
-    rows = stored.select("doc_key", "n_tokens", "ids", F.col("_metadata.file_path").alias("file")).mapInPandas(
-        crc, "doc_key long, file string, n_tokens long, ids_crc32 long"
-    )
+    stored = spark.read.schema(STORED).orc(path)
+    rows = stored.mapInPandas(crc, "doc_key long, n_tokens long, part int, part_start long, ids_crc32 long")
     # the sums read the stored counts only: the ids column is pruned from that scan
-    per_file = stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("doc_key").alias("first"), F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_file.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("file").orderBy("doc_key", "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(starts, "file").select(
-        id_back("doc_key").alias("doc_id"),
-        (F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).cast("long").alias("start"),
-        "n_tokens",
-        "ids_crc32",
+    per_part = stored.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_part.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    return rows.join(F.broadcast(starts), "part").select(
+        id_back("doc_key").alias("doc_id"), (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder, text_batches
 from .common import documents, id_back, id_key, materialize
-from .output import END_ID, encode_documents
+from .output import END_ID, closed, encode_documents
 
 TIERS = (256, 512, 1024, 2048)
 
@@ -100,7 +100,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, window: int = TIERS[-1], with
     rows = documents(docs).select(id_key().alias("doc_key"), "text")
     if not with_ids:
         return encode_digests(rows, tokenizer, window)
-    return encode_documents(rows, tokenizer, byte_level=True).mapInPandas(run, schema)
+    return encode_documents(rows, tokenizer, byte_level=True).select("doc_key", "ids").mapInPandas(run, schema)
 
 
 def encode_digests(rows: DataFrame, tokenizer: str, window: int, end_id: int = END_ID) -> DataFrame:
@@ -112,12 +112,12 @@ def encode_digests(rows: DataFrame, tokenizer: str, window: int, end_id: int = E
             keys, texts = pdf["doc_key"].tolist(), pdf["text"].tolist()
             for lo, hi in text_batches(texts):
                 out = []
-                for key, ids in zip(keys[lo:hi], encoder.encode(texts[lo:hi])):
-                    data = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
-                    n = len(data) // 4
-                    for start in range(0, n, window):
-                        piece = data[4 * start : 4 * (start + window)]
-                        out.append((key, start, len(piece) // 4, zlib.crc32(piece), n))
+                ids, ends = closed(*encoder.encode_flat(texts[lo:hi]), end_id)
+                data, ends = ids.astype("<u4").data.cast("B"), ends.tolist()
+                for key, begin, end in zip(keys[lo:hi], ends[:-1], ends[1:]):
+                    for start in range(begin, end, window):
+                        stop = min(start + window, end)
+                        out.append((key, start - begin, stop - start, zlib.crc32(data[4 * start : 4 * stop]), end - begin))
                 yield pd.DataFrame(out, columns=["doc_key", "start", "length", "ids_crc32", "doc_tokens"])
 
     return rows.mapInPandas(run, "doc_key long, start long, length int, ids_crc32 long, doc_tokens long")

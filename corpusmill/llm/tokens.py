@@ -70,7 +70,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "majority") -> D
         raise ValueError(f"rule must be one of {RULES}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder(tokenizer, byte_level=True)
+        encoder = ChunkEncoder(tokenizer, byte_level=True, starts=True)
         for pdf in batches:
             ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             for lo, hi in text_batches(texts):
