@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -53,7 +54,7 @@ def test_chunks_equal_whole_texts(rows):
     odd = ["", " ", "  a  b ", "a\n b", "\n", "x  ", "<|endoftext|> a <|endoftext|>", "日本 é́  b", "a \x1c b \x85 c", " 22's it's", "Σ ΟΣ x", "́ a ́b", "İ I x"]
     texts = odd + [r[1] or "" for r in rows]
     for path, byte_level in ((BYTES, True), (LOWER, False)):
-        encoder = chunks.ChunkEncoder(path, byte_level, limit=50)
+        encoder = chunks.ChunkEncoder(path, byte_level, starts=byte_level, limit=50)
         whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
         for _ in range(2):
             assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in whole]
@@ -61,6 +62,21 @@ def test_chunks_equal_whole_texts(rows):
             assert [x.tolist() for x in encoder.token_starts(texts)] == [[o[0] for o in e.offsets] for e in whole]
 
 
+def test_chunks_equal_whole_texts_of_odd_characters():
+    rng = random.Random(4)
+    pool = [*"aAbZéÉßİIıΣσς.,;'|!0123\n\n    \t\r\x0b\x1c\x85\xa0\x00\x01", "\u0301", "\u0323", "\u2003", "\u3000", "日", "<|endoftext|>", "'s", "foo", "ｈ", "—", "ǅ", "\u212b", "각", "🙂"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 14))) for _ in range(4000)] + ["".join(rng.choices("aAbZéß.,' \n", k=rng.randint(0, 40))) for _ in range(2000)]
+    texts += ["\u0130\u0323 x", "A\u0130\u0301 x"]  # lower-casing before normalising would change these
+    for path, byte_level in ((BYTES, True), (LOWER, False)):
+        encoder = chunks.ChunkEncoder(path, byte_level, starts=byte_level, limit=1000)
+        whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+        for i in range(0, len(texts), 500):
+            part, want = texts[i : i + 500], whole[i : i + 500]
+            assert [x.tolist() for x in encoder.encode(part)] == [e.ids for e in want]
+            if byte_level:
+                assert [x.tolist() for x in encoder.token_starts(part)] == [[o[0] for o in e.offsets] for e in want]
+
+
 def test_section_tokens(docs, none, rows):
     for rule in tokens.RULES:
         got = tokens.section_tokens(docs, BYTES, rule).toPandas()
@@ -165,6 +181,28 @@ def test_forest_connects_what_pairs_connect():
     assert len(a) == len(members) - 8
 
 
+def test_every_choice_of_shared_bytes_is_covered():
+    for bits in range(1, 8):
+        for width in range(1, 9 - bits):
+            lists = [set(c) for c in simhash.covering(bits, width)]
+            for shared in itertools.combinations(range(8), 8 - bits):
+                assert any(c <= set(shared) for c in lists)
+
+
+def test_links_are_the_same_at_every_width(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    near = [b ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k, replace=False).astype(np.uint64)) for b in base for k in (2, 4, 5)]
+    hot = (np.uint64(0xABCD) << np.uint64(48)) | rng.integers(0, 2**47, 300, dtype=np.uint64)  # long lists of two bytes
+    fp = np.unique(np.concatenate([base, near, hot]).view(np.int64))
+    differ = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64))
+    want = grouped_by_pairs(fp.tolist(), [(int(fp[a]), int(fp[b])) for a, b in np.argwhere(differ <= 4) if a < b])
+    df = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+    for width in (1, 2, 3, 4):
+        edges = [(r["u"], r["v"]) for r in simhash.links(df, 4, width).collect()]
+        assert grouped_by_pairs(fp.tolist(), edges) == want
+
+
 def test_near_dedup_keeps_one_of_similar_texts(spark):
     rng = random.Random(2)
     vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)]
@@ -192,25 +230,74 @@ def test_near_dedup_keeps_one_row_of_each_group_without_ids(spark):
     assert kept == [(0, i) for i in range(8)] + [(4, 10), (5, 8), (5, 9), (7, 11)]
 
 
-def test_wide_links_of_a_template_family(spark, monkeypatch):
-    rng = np.random.default_rng(6)
-    base, own = rng.integers(0, 256, 128, dtype=np.uint8), rng.choice(128, 52, replace=False)
-    wide = []
-    for _ in range(100):  # a pair shares the template's bytes only, and so long lists only
-        a = base.copy()
-        a[own] = rng.integers(0, 256, 52, dtype=np.uint8)
-        b = a.copy()
-        b[own] ^= np.array([3, 6, 12, 24, 48, 96], np.uint8)[rng.integers(0, 6, 52)]
-        wide += [a, b]
-    bits = np.unpackbits(np.array(wide), axis=1)
-    near = {(i, j) for i in range(200) for j in range(i + 1, 200) if (bits[i] != bits[j]).sum() <= 0.174 * 1024}
-    assert {(i, i + 1) for i in range(0, 200, 2)} <= near
-    want = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(sorted(near), "u long, v long")).collect()}
-    df = spark.createDataFrame([(i, bytes(w)) for i, w in enumerate(wide)], "node long, wide binary")
-    for block in (2048, 30):
-        monkeypatch.setattr(simhash, "FAMILY_BLOCK", block, raising=False)
-        got = components.connected(simhash.wide_links(df, 0.174))
-        assert {r["node"]: r["root"] for r in got.collect()} == want
+def grouped_by_pairs(nodes, near):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in near:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def similarities(texts):
+    sets = {i: set(zip(*(words(t.lower())[k:] for k in range(5)))) for i, t in texts.items()}
+    return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+
+
+def test_near_groups_of_a_template_family(spark, monkeypatch):
+    """Texts of one template are about 0.6 alike and share posting lists; only each one's near copy is a link."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)]
+    template, texts = rng.choices(vocabulary, k=300), {}
+    for i in range(0, 160, 2):
+        mine = list(template)
+        at = rng.randrange(220)
+        mine[at : at + 60] = rng.choices(vocabulary, k=60)
+        texts[i] = " ".join(mine)
+        mine[rng.randrange(280)] = "changed"
+        texts[i + 1] = " ".join(mine)
+    pairs = similarities(texts)
+    want = grouped_by_pairs(texts, [p for p, j in pairs.items() if j >= 0.8])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for apart, block in ((8, 2048), (0, 2048), (0, 30), (1000, 2048)):
+        monkeypatch.setattr(simhash, "MOST_APART", apart)
+        monkeypatch.setattr(simhash, "FAMILY_BLOCK", block)
+        got = {r["doc_key"]: r["first_key"] for r in simhash.near_groups(df).collect()}
+        assert got == want
+
+
+def test_near_groups_against_all_pairs(spark):
+    """Recall of links at 0.8, and no group without one, on generated documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if len(words(r["text"])) >= 5}
+    pairs = [p for p, j in similarities(texts).items() if j >= 0.8]
+    want = grouped_by_pairs(texts, pairs)
+    got = {r["doc_key"]: r["first_key"] for r in simhash.near_groups(docs).collect()}
+    assert all(want[d] == want[f] for d, f in got.items() if d in want)  # nothing joins that pairs do not join
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+
+
+def test_posting_lists_read_in_batches(spark):
+    rng = np.random.default_rng(9)
+    wide = [bytes(128) if i % 3 else rng.integers(0, 256, 128, dtype=np.uint8).tobytes() for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(wide)), "node long, wide binary").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = simhash.posting_lists(df, simhash.choices_for(60)[:5]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    zero = [i for i in range(60) if i % 3]
+    assert sorted({(r["a"], r["b"]) for r in rows if not r["listed"]}) == [(zero[0], i) for i in zero[1:]]
+    lists = collections.defaultdict(list)
+    for r in rows:
+        if r["listed"]:
+            lists[r["a"]].append(r["b"])
+    assert len(lists) == 5 and all(sorted(x) == zero for x in lists.values())
 
 
 def test_components(spark):
