@@ -37,50 +37,70 @@ def targets(sources: DataFrame, share: float, weights: tuple[float, ...], cap: f
     return rows.select("source", "source_size", F.least(F.col("most"), level * F.col("weight")).alias("target"))
 
 
+def inclusion_levels(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each source ``l`` the ``level`` and the greatest importance ``fit`` that is not certain.
+
+    A document is included with chance ``level * importance``, one at most, such that sizes times chances add up to the
+    words ``wanted`` of its source. Documents above ``fit`` would exceed one and are certain. Sums go over distinct
+    importances, so a source with a third of all rows is one row an importance.
+    """
+    groups = rows.filter((F.col("size") > 0) & (F.col("importance") > 0)).groupBy("source", "importance").agg(F.sum("size").cast("double").alias("words"))
+    groups = groups.join(wanted.filter("wanted > 0").select("s", "wanted"), F.col("source").eqNullSafe(F.col("s")))
+    above = Window.partitionBy("source").orderBy(F.desc("importance")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("source").orderBy("importance").rowsBetween(Window.unboundedPreceding, 0)
+    level = (F.col("wanted") - F.coalesce(F.sum("words").over(above), F.lit(0.0))) / F.sum(F.col("words") * F.col("importance")).over(upto)
+    fits = groups.withColumn("level", level).filter(F.col("level") * F.col("importance") < 1)
+    return fits.groupBy("source").agg(F.max(F.struct("importance", "level")).alias("at")).select(F.col("source").alias("l"), F.col("at.importance").alias("fit"), F.col("at.level").alias("level"))
+
+
 def mix(
     docs: DataFrame,
     share: float = 1.5,
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     cap: float = 2.0,
     seed: str = "mix",
-    importance: str | None = None,
+    importance: Column | None = None,
 ) -> DataFrame:
     """How many words of each document the mix takes: ``doc_id, size, source, source_size, target, copies, taken``.
 
-    A source's target is met by whole copies of all its documents, as many as fit, and by a sample of documents for
-    the rest. The sample takes documents in the order of random odds over inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``,
-    while they fit into the words left, and then the one document whose size comes nearest to the last gap, if it
-    brings the sum nearer. ``p`` is the share of the source still wanted, times the document's ``importance`` over its
-    source's mean where that column is named.
+    A source's target is met by whole copies of all its documents, as many as fit, and by a fixed-size sample for the
+    rest, drawn with unequal chances in proportion to ``importance``: an expression over ``size`` and the columns of
+    ``docs``, by default the root of the size, so that long documents are likelier than short ones, and less than by
+    their length. It is taken to two decimals; null, NaN and negative ones are zero. Documents whose chance would exceed
+    one are certain and get one more whole copy. The others are ranked by random odds over inclusion odds,
+    ``(u / (1 - u)) / (p / (1 - p))`` (Pareto order sampling), and taken while they fit into the words left, and then the
+    one document whose size comes nearest to the last gap, if it brings the sum nearer.
 
     The order is cut without sorting a source: sums of 4,096 slices of the order show the slice where the words run
     out, and only that slice is sorted. So a source with a third of all rows is summed by many tasks. Numbers are
     drawn from ``doc_id``: reruns agree. Null texts and texts without words have size 0 and are never sampled; null
-    sources form a source of their own; equal rows are drawn alike, ties fall to the smaller id, then size.
+    sources form a source of their own; equal rows are drawn alike, ties fall to the smaller id, then size. An empty
+    table gives no rows; columns other than ``doc_id, text, source`` are read by ``importance`` only.
     """
-    cols = [id_key().alias("doc_key"), "source", word_count().alias("size")]
-    weight = F.col(importance).cast("double") if importance else F.lit(1.0)
-    rows = materialize(docs.select(*cols, F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(0.0)).alias("importance")), "sizes")
-    per_source = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"), (F.sum(F.col("importance") * F.col("size")) / F.sum("size")).alias("mean_importance")
-    )
-    wanted = targets(per_source.select("source", "source_size"), share, weights, cap)
+    sized = docs.withColumn("size", word_count())
+    weight = F.coalesce((F.sqrt("size") if importance is None else importance).cast("double"), F.lit(0.0))
+    weight = F.when(F.isnan(weight) | (weight < 0), 0.0).otherwise(F.round(weight, 2))
+    rows = materialize(sized.select(id_key().alias("doc_key"), "source", "size", weight.alias("importance")), "sizes")
+    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    wanted = targets(per_source, share, weights, cap)
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    wanted = (
-        wanted.join(per_source.select(F.col("source").alias("s"), "mean_importance"), F.col("source").eqNullSafe(F.col("s")))
-        .drop("s")
-        .withColumn("whole", F.floor(rate).cast("long"))
-        .withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("p", rate - F.col("whole"))
-    )
+    wanted = wanted.withColumn("whole", F.floor(rate).cast("long")).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
     wanted = materialize(wanted.withColumnRenamed("source", "s"), "targets")
+    levels = materialize(inclusion_levels(rows, wanted), "levels")
 
+    drawn = rows.join(wanted, rows.source.eqNullSafe(wanted.s))
+    drawn = drawn.join(levels, drawn.source.eqNullSafe(levels.l), "left").drop("l")
+    may = (F.col("size") > 0) & (F.col("importance") > 0) & (F.col("wanted") > 0)
+    drawn = drawn.withColumn("certain", may & (F.col("importance") > F.coalesce("fit", F.lit(0.0))))
     u = uniform(F.col("doc_key"), seed)
-    p = F.least(F.col("p") * F.col("importance") / F.col("mean_importance"), F.lit(1 - 1e-9))
+    p = F.when(may & ~F.col("certain"), F.col("level") * F.col("importance"))
     pareto = (u / (1 - u)) / (p / (1 - p))
-    drawn = rows.join(wanted, rows.source.eqNullSafe(wanted.s)).withColumn("place", F.when(p > 0, pareto / (1 + pareto)))
+    drawn = drawn.withColumn("place", F.when(p > 0, pareto / (1 + pareto)))
     drawn = drawn.withColumn("slice", F.floor(F.col("place") * BUCKETS).cast("int"))
-    eligible = drawn.filter((F.col("size") > 0) & F.col("place").isNotNull() & (F.col("wanted") > 0))
+    sure = drawn.filter("certain").groupBy("s").agg(F.sum("size").alias("sure")).withColumnRenamed("s", "c")
+    left = materialize(wanted.select("s", "wanted").join(sure, F.col("s").eqNullSafe(F.col("c")), "left").select("s", (F.col("wanted") - F.coalesce("sure", F.lit(0))).alias("rest")), "words-left")
+    eligible = drawn.filter(F.col("place").isNotNull()).drop("wanted").withColumnRenamed("s", "t")
+    eligible = eligible.join(left, eligible.t.eqNullSafe(left.s)).drop("t").withColumnRenamed("rest", "wanted")
 
     slices = eligible.groupBy("s", "slice").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
     upto = Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
@@ -113,10 +133,8 @@ def mix(
         .join(filler, drawn.s.eqNullSafe(filler.f), "left")
         .withColumn(
             "sampled",
-            (F.col("size") > 0)
-            & (F.col("wanted") > 0)
-            & F.col("place").isNotNull()
-            & (F.col("stop").isNull() | (at < F.col("stop")) | F.coalesce(at == F.struct("best.place", "best.doc_key", "best.size"), F.lit(False))),
+            F.col("certain")
+            | (F.col("place").isNotNull() & (F.col("stop").isNull() | (at < F.col("stop")) | F.coalesce(at == F.struct("best.place", "best.doc_key", "best.size"), F.lit(False)))),
         )
         .withColumn("copies", F.col("whole") + F.coalesce(F.col("sampled"), F.lit(False)).cast("long"))
     )

@@ -19,7 +19,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
-    return vptree.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, factor=0.7)
+    return vptree.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, factor=0.16)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,12 +104,18 @@ ORACLE_SQL: dict[str, str] = {
         t as (select source, source_size, least(most, weight * coalesce(max(case when level <= most / weight then level end) over (), max(level) over ())) as target from l),
         r as (select s.*, source_size, target, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint as whole,
             (('0x' || substr(md5(doc_id || ':mix'), 1, 13))::bigint + 0.5::double) / 4503599627370496::double as u from s join t on s.source is not distinct from t.source),
-        q as (select *, target - whole * source_size as wanted, least(target / nullif(source_size, 0) - whole, 1 - 1e-9::double) as p from r),
-        o as (select *, (u / (1 - u)) / (p / (1 - p)) as odds from q where size > 0 and wanted > 0 and p > 0),
+        q as (select *, target - whole * source_size as wanted, round(sqrt(size), 2) as w from r),
+        g as (select source, w, any_value(wanted) as wanted, sum(size)::double as words from q where size > 0 and wanted > 0 group by source, w),
+        v as (select source, w, (wanted - coalesce(sum(words) over (partition by source order by w desc rows between unbounded preceding and 1 preceding), 0))
+            / sum(words * w) over (partition by source order by w rows unbounded preceding) as level from g),
+        fit as (select source, max(w) as fit, arg_max(level, w) as level from v where level * w < 1 group by source),
+        d as (select q.*, size > 0 and wanted > 0 and w > coalesce(fit, 0) as certain, level * w as p from q left join fit on q.source is not distinct from fit.source),
+        k as (select *, wanted - coalesce(sum(case when certain then size end) over (partition by source), 0) as remaining from d),
+        o as (select *, (u / (1 - u)) / (p / (1 - p)) as odds from k where size > 0 and wanted > 0 and not certain),
         c as (select *, odds / (1 + odds) as place, sum(size) over (partition by source order by odds / (1 + odds), doc_id, size rows unbounded preceding) as upto from o),
-        g as (select *, wanted - coalesce(max(case when upto <= wanted then upto end) over (partition by source), 0) as gap from c),
-        f as (select *, row_number() over (partition by source, upto > wanted order by abs(gap - size), place, doc_id, size) as nth from g),
-        m as (select doc_id, source, size from f where upto <= wanted or (nth = 1 and abs(gap - size) < gap))
+        h as (select *, remaining - coalesce(max(case when upto <= remaining then upto end) over (partition by source), 0) as gap from c),
+        f as (select *, row_number() over (partition by source, upto > remaining order by abs(gap - size), place, doc_id, size) as nth from h),
+        m as (select doc_id, source, size from f where upto <= remaining or (nth = 1 and abs(gap - size) < gap) union all select doc_id, source, size from d where certain)
         select q.doc_id, q.size, q.source, q.source_size, q.target, (q.whole + (m.doc_id is not null)::int) * q.size as taken
         from q left join m on q.doc_id = m.doc_id""",
 }

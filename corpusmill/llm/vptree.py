@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,39 +117,50 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     )
 
 
+#: Queries whose vectors take no more bytes in all are sent to every task of the index; more are dealt to shards in blocks.
+MOST_BROADCAST = 32 << 20
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 5,
-    factor: float = 0.7,
+    factor: float = 0.16,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    shard_rows: int = 8192,
-    block_rows: int = 1024,
+    shard_rows: int = 16384,
+    block_rows: int = 16384,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` nearest rows other than itself by cosine, ties to smaller ids.
 
-    Rows are dealt to shards of about ``shard_rows`` by a hash of their id, one tree a shard, stored once. Blocks of
-    queries visit every shard of their dimension, and the shards' best are merged by rank. Both are of bounded size,
-    so tasks and memory do not grow with the corpus, only their number does. ``factor`` 1 is exact; smaller factors
-    prune more. Equal ids count as one row's own; a query with fewer candidates gets all of them.
+    Rows are dealt to shards of about ``shard_rows`` by a hash of their id, one tree a shard, stored once. Queries, in
+    blocks of about ``block_rows``, visit every shard of their dimension, and the shards' best are merged by rank. If
+    all blocks are small, measured by ``MOST_BROADCAST``, they are broadcast past the shards and no index moves; else
+    each block meets each shard in a task of bounded size. ``factor`` 1 is exact; smaller factors prune more: a half is
+    skipped where the triangle inequality leaves no point within ``factor`` times the k-th distance found so far.
+
+    Rows equal in id and vector count once. Rows of one id and different vectors are queries and candidates of their
+    own, but no row finds its own id. A query with fewer candidates gets all of them. Null ids, null, zero or not
+    finite vectors take no part; an empty table gives no rows. Extra columns are not read.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     shards = max(1, round(rows.count() / shard_rows))
-    asked = usable(queries, id_col, vector_col)
+    asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id", "v"])
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
+        pdf = pdf.assign(bytes=[_blob(x) for x in pdf["v"]]).drop_duplicates(["vec_id", "bytes"]).sort_values(["vec_id", "bytes"])
         v = np.stack(pdf["v"].to_numpy())
-        tree = VPTree(v / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(v).max(axis=1, keepdims=True))
+        scaled = v / np.abs(v).max(axis=1, keepdims=True)  # components of at most 1 keep squares finite
+        tree = VPTree(scaled / np.linalg.norm(scaled, axis=1, keepdims=True))
         ids = pdf["vec_id"].to_numpy(np.int64)
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "ids": [_blob(ids)], "points": [_blob(v)], "tree": [tree.dump()]})
 
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     index = materialize(sharded.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids binary, points binary, tree binary"), "vp-index")
 
-    blocks_n = max(1, round(asked.count() / block_rows))
+    size = asked.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    blocks_n = max(1, round(size[0] / block_rows))
 
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(pdf["v"].to_numpy())
@@ -156,17 +168,21 @@ def nearest(
 
     blocked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks_n)).cast("int"))
     blocks = blocked.groupBy("dim", "block").applyInPandas(gather, "dim int, block int, query_ids binary, queries binary")
-    visits = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["dim", "shard"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 yield search_block(r, k, factor)
 
-    # one shard and block is one task's unit, however few files the index came in
-    spread = visits.repartition(max(1, min(shards * blocks_n, 4096)), "shard", "block")
-    found = spread.mapInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    if 8 * size[1] + 8 * size[0] <= MOST_BROADCAST:
+        # one shard is one task's unit, however few files the index came in
+        spread = index.repartition(max(1, min(shards, 4096)), "shard")
+        visits = spread.join(F.broadcast(blocks), "dim")
+    else:
+        visits = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["dim", "shard"])
+        visits = visits.repartition(max(1, min(shards * blocks_n, 4096)), "shard", "block")
+    found = visits.select("dim", "ids", "points", "tree", "query_ids", "queries").mapInPandas(search, "query_id long, query_hash long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -195,4 +211,5 @@ def search_block(r, k: int, factor: float) -> pd.DataFrame:
     unit = queries / norm_q[:, None]
     tree.search(points, unit, k, factor, leaf)
     row, col = np.nonzero(best_score > -np.inf)
-    return pd.DataFrame({"query_id": query_ids[row], "vec_id": best_id[row, col], "score": best_score[row, col]})
+    digest = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in np.frombuffer(r.queries).reshape(-1, r.dim)], np.uint64).view(np.int64)
+    return pd.DataFrame({"query_id": query_ids[row], "query_hash": digest[row], "vec_id": best_id[row, col], "score": best_score[row, col]})
