@@ -26,9 +26,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set, as in tests, a local one is made."""
+    """The folder that driver and executors share; only where none is set and all run on one machine, a local one is made."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -78,9 +80,14 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shielded(docs: DataFrame, op) -> DataFrame:
-    """Apply ``op`` to rows whose other columns bear names that no operator uses, and give back ``docs``' columns."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    hidden = {c: f"_column{i}" for i, c in enumerate(others)}
-    out = op(docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(h) for c, h in hidden.items())))
-    return out.select(*(F.col(hidden[c]).alias(c) if c in hidden else F.col(c) for c in docs.columns))
+def hidden(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but ``keep`` under names that no operator uses, and what gives its columns back."""
+    names = {c: f"_column{i}" for i, c in enumerate(docs.columns) if c not in keep}
+    renamed = docs.select(*keep, *(F.col(f"`{c}`").alias(h) for c, h in names.items()))
+    return renamed, [F.col(names[c]).alias(c) if c in names else F.col(c) for c in docs.columns]
+
+
+def shielded(docs: DataFrame, op, *keep: str) -> DataFrame:
+    """Apply ``op`` to rows whose columns other than ``doc_id``, ``text`` and ``keep`` are hidden, and give back ``docs``' columns."""
+    renamed, back = hidden(docs, "doc_id", "text", *keep)
+    return op(renamed).select(*back)

@@ -50,8 +50,7 @@ class WaveletMatrix:
 class FMIndex:
     """Index of several sequences, each closed by a separator; symbols are any unsigned integers.
 
-    ``find`` searches patterns backwards, many at a time, and drops a pattern as soon as fewer than ``least``
-    occurrences of its suffix are left.
+    ``matching_statistics`` searches backwards over the wavelet matrix, many positions at a time.
     """
 
     def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
@@ -74,18 +73,25 @@ class FMIndex:
     def step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.first[symbol] + self.matrix.walk(symbol, at) - self.zero[symbol]
 
-    def find(self, ends: np.ndarray, length: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Patterns of ``length`` symbols that end before text positions ``ends``: which of them occur ``least`` times
-        or more, and their intervals of the suffix order."""
+    def matching_statistics(self, ends: np.ndarray, most: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text position the longest match of at most ``most`` symbols that ends before it and stands in
+        ``least`` places or more: its length, and the interval of the suffix order that holds these places.
+
+        All positions are searched backwards at once; one is dropped when fewer places are left.
+        """
+        length = np.zeros(len(ends), np.int64)
+        best_lo, best_hi = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.text), np.int64)
         which = np.arange(len(ends))
-        symbol = self.text[ends - 1]
-        lo, hi = self.first[symbol], self.first[symbol + 1]
-        for back in range(2, length + 1):
-            keep = hi - lo >= least
+        lo, hi = best_lo, best_hi
+        for back in range(1, most + 1):
+            symbol = self.text[ends[which] - back]
+            if back == 1:
+                lo, hi = self.first[symbol], self.first[symbol + 1]
+            else:
+                lo, hi = self.step(symbol, lo), self.step(symbol, hi)
+            keep = (hi - lo >= least) & (symbol > 0)
             which, lo, hi = which[keep], lo[keep], hi[keep]
             if not len(which):
                 break
-            symbol = self.text[ends[which] - back]
-            lo, hi = self.step(symbol, lo), self.step(symbol, hi)
-        keep = hi - lo >= least
-        return which[keep], lo[keep], hi[keep]
+            length[which], best_lo[which], best_hi[which] = back, lo, hi
+        return length, best_lo, best_hi

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_PATTERN, SPACES
+from .common import SPACE_PATTERN, SPACES, hidden
 
 #: Buckets of the hashed multinomials, and pseudo-counts spread over them.
 BUCKETS = 1 << 15
@@ -86,8 +86,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     reaches the threshold. Null texts have no words. Rows with null or repeated ids are judged as rows. Columns of
     these names in the input are replaced. Without labels all scores are 0.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "words"]
-    docs = docs.drop(*added)
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+    docs, back = hidden(docs.drop(*added), "doc_id", "text")
     table = ",".join(f"{x:.6f}" for x in log_ratios(docs, labels, buckets))
     weights = F.split(F.lit(table), ",").cast("array<double>")
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -108,4 +108,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     )
     verdict = ~F.col("base_failed") & (F.col("score") >= threshold)
     # a filter on the verdict must not be pushed below this step: it would repeat the array work inside its lambdas
-    return rows.withColumn("kept", F.explode(F.array(verdict)))
+    return rows.withColumn("kept", F.explode(F.array(verdict))).select(*back, *added)

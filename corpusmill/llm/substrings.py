@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, materialize, tasks
+from .common import hidden, id_key, materialize, tasks
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -186,7 +186,11 @@ def _cut_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each different segment of a shard the least document of each of its windows, by backward search."""
+    """For each different segment of a shard the least document of each of its windows.
+
+    Matching statistics of the segments against the shard's index tell where a match reaches the threshold of
+    ``WINDOW`` words; the interval of the suffix order there holds all places of that window.
+    """
     parts = [np.frombuffer(x, np.uint32) for x in pdf["words"]]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     index = FMIndex(np.concatenate(parts), lengths)
@@ -198,7 +202,9 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     owner = np.repeat(np.arange(len(parts)), lengths + 1)  # segment of each text position
     by_order = first[owner[index.order]]
     least = first[segment]
-    which, lo, hi = index.find(ends, WINDOW)
+    matched, lo, hi = index.matching_statistics(ends, WINDOW)
+    which = np.flatnonzero(matched == WINDOW)
+    lo, hi = lo[which], hi[which]
     if len(which):
         intervals, back = np.unique(np.stack([lo, hi], axis=1), axis=0, return_inverse=True)
         low = np.minimum.reduceat(np.append(by_order, by_order[-1]), intervals.ravel())[::2]
@@ -328,14 +334,19 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     rows with equal ids are not earlier than each other. Of equal texts the least document's is searched, the others go whole.
     Words are told apart by hash: windows agree in 64 bits of their longest three-word gram and 32 bits of each word.
     """
-    added = ["n_words", "n_removed", "kept_sha256", "kept_text", "row_key", "doc_key", "first_doc", "spans"]
-    others = [c for c in docs.columns if c not in added and c != "text"]
+    added = ["n_words", "n_removed", "kept_sha256", "kept_text"]
+    docs, back = hidden(docs.drop(*added), "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(*others, text.alias("text"), id_key().alias("doc_key"), F.xxhash64(text).alias("row_key"))
-    firsts = materialize(keyed.groupBy("row_key").agg(F.min("doc_key").alias("first_doc")), "first-copies")
+    keyed = docs.withColumn("was", F.col("text")).withColumn("text", text).withColumn("doc_key", id_key())
+    keyed = keyed.withColumn("row_key", F.xxhash64("text")).withColumn("row_check", F.xxhash64(F.lit(1), "text"))
+    firsts = materialize(keyed.groupBy("row_key", "row_check").agg(F.min("doc_key").alias("first_doc")), "first-copies")
+    # different texts of one 64-bit hash, about n * n / 2 ** 65 of n texts, go by their other hash
+    clash = [r["row_key"] for r in firsts.groupBy("row_key").count().filter("count > 1").collect()]
+    key = F.when(F.col("row_key").isin(clash), F.col("row_check")).otherwise(F.col("row_key")) if clash else F.col("row_key")
+    keyed, firsts = keyed.withColumn("row_key", key).drop("row_check"), firsts.select(key.alias("row_key"), "first_doc")
     spans = repeated_spans(keyed.select("row_key", "doc_key", "text"), firsts)
     found = firsts.join(spans, "row_key", "left")
     joined = keyed.join(found, "row_key").withColumn("copy", F.col("doc_key") > F.col("first_doc")).drop("row_key", "doc_key", "first_doc")
     kept = joined.drop("text", "spans", "copy")
     schema = kept.schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
-    return joined.mapInPandas(_strip, schema)
+    return joined.mapInPandas(_strip, schema).withColumnRenamed("was", "text").select(*back, *added)
