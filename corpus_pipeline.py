@@ -33,12 +33,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out whole documents so that sources meet their targets; rows of one id each by their own decision."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n")).agg(F.max("copies").alias("_copies"))
-    # the operator decides by id, source and size, so the decision of rows equal in these is one
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n"))
-    rows = docs.withColumn("_size", word_count()).join(taken, same)
-    repeated = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
-    return repeated.select(*docs.columns)
+
+    def repeat(d: DataFrame) -> DataFrame:
+        taken = mixing.mix(d).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n")).agg(F.max("copies").alias("_copies"))
+        # the operator decides by id, source and size, so the decision of rows equal in these is one
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n"))
+        rows = d.withColumn("_size", word_count()).join(taken, same)
+        return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
+
+    return shielded(docs, repeat, "source")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
