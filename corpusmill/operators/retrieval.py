@@ -12,22 +12,31 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``term, key, tf, dl``: one row for each term of each document."""
-    rows = docs.select(key, T.tokens(text).alias("w")).withColumn("dl", F.size("w"))
-    return rows.select(key, "dl", F.explode("w").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+#: Query terms that are sent to every task, so that postings of other terms never leave it; more are joined by key.
+MOST_TERMS = 500_000
+
+
+def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """``term, key, dl, tf``: one row for each term of each document, or for each of the given ``terms`` only."""
+    rows = docs.select(key, T.tokens(text).alias("w")).withColumn("dl", F.size("w")).select(key, "dl", F.explode_outer("w").alias("term"))
+    # an outer explode, as a plain one has the optimizer add a filter that finds the words a second time
+    rows = rows.filter("term is not null") if terms is None else rows.join(terms, "term", "left_semi")
+    return rows.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, qid: str, key: str, text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``qid, key, score`` of every document that shares a term with the query.
 
-    ``idf = ln((N - df + 0.5) / (df + 0.5))`` may be negative; a term counts as often as the query holds it. Only
-    postings of query terms are joined, and partial sums by query and document are made before the shuffle.
+    ``idf = ln((N - df + 0.5) / (df + 0.5))`` may be negative; a term counts as often as the query holds it. Words that
+    no query asks for are dropped where they are read; postings of the others are shuffled once, for document
+    frequencies and for scores, and partial sums by query and document are made before the last shuffle.
     """
-    p = postings(docs, key, text)
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(text))).alias("mean"))
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
     q = queries.select(qid, F.explode(T.tokens("query")).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("qf"))
+    terms = q.select("term").distinct()
+    p = postings(docs, key, text, F.broadcast(terms) if terms.count() <= MOST_TERMS else terms)
+    size = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(text), F.lit(T.WORD))).alias("mean"))
+    # every posting counts once; tf is kept in the sum so that both uses of the postings share one exchange
+    df = p.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
     q = q.join(df, "term").crossJoin(F.broadcast(size))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
@@ -40,30 +49,41 @@ def top(scored: DataFrame, qid: str, key: str, score: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _blocks(df: DataFrame, key: str, vector: str, name: str, rows: int) -> tuple[DataFrame, int]:
-    """Rows packed into matrices of about ``rows`` vectors: ``name, name_keys, name_matrix``."""
+#: Query vectors of no more bytes in all are broadcast.
+MOST_BROADCAST = 32 << 20
+
+
+def _blocks(df: DataFrame, key: str, vector: str, name: str, rows: int, session: str | None) -> tuple[DataFrame, int]:
+    """Rows packed into matrices of about ``rows`` vectors, of one session each: ``session, name, name_keys, name_matrix``."""
     n = max(1, df.count() // rows)
 
     def pack(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         matrix = np.stack(pdf["_vector"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({name: [k[0]], f"{name}_keys": [pdf["_key"].to_numpy(np.int64).tobytes()], f"{name}_matrix": [matrix.tobytes()]})
+        return pd.DataFrame({"session": [k[0]], name: [k[1]], f"{name}_keys": [pdf["_key"].to_numpy(np.int64).tobytes()], f"{name}_matrix": [matrix.tobytes()]})
 
-    dealt = df.select(F.col(key).cast("long").alias("_key"), F.col(vector).alias("_vector"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name))
-    return dealt.filter("_vector is not null").groupBy(name).applyInPandas(pack, f"{name} int, {name}_keys binary, {name}_matrix binary"), n
+    of = F.col(session).cast("string") if session else F.lit("all")
+    dealt = df.select(of.alias("session"), F.col(key).cast("long").alias("_key"), F.col(vector).alias("_vector"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name))
+    return dealt.filter("_vector is not null").groupBy("session", name).applyInPandas(pack, f"session string, {name} int, {name}_keys binary, {name}_matrix binary"), n
 
 
 def vector_top_k(
-    queries: DataFrame, vectors: DataFrame, qid: str, key: str, k: int, metric: str = "cosine", threshold: float | None = None, itself: bool = False, rows: int = 4096
+    queries: DataFrame, vectors: DataFrame, qid: str, key: str, k: int, metric: str = "cosine", threshold: float | None = None, itself: bool = False, rows: int = 16384, session: str | None = None
 ) -> DataFrame:
     """``qid, key, score, rank`` by exact search; metric ``cosine`` (similarity), ``l2`` (1 - distance) or ``dot``.
 
     Both tables are dealt into blocks of bounded size; every block of queries meets every block of vectors in one
     task, which keeps only its ``k`` best a query. Scores are rounded to 6 places, ties go to the smaller key.
-    ``threshold`` keeps scores above it only. A query does not find its own key unless ``itself``.
+    ``threshold`` keeps scores above it only. A query does not find its own key unless ``itself``. With ``session``, a
+    column of both tables, a query meets vectors of its session only. Query blocks that take ``MOST_BROADCAST`` bytes or
+    less in all are sent past the vectors, which then do not move again.
     """
-    q, _ = _blocks(queries, qid, "embedding", "q", rows)
-    v, n = _blocks(vectors, key, "embedding", "v", rows)
-    met = q.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(v, "v").repartition(max(1, min(n * 4, 2048)), "q", "v")
+    q, _ = _blocks(queries, qid, "embedding", "q", rows, session)
+    v, n = _blocks(vectors, key, "embedding", "v", rows, session)
+    size = queries.agg(F.coalesce(F.sum(8 * F.size("embedding") + 8), F.lit(0))).first()[0]
+    if size <= MOST_BROADCAST:
+        met = v.join(F.broadcast(q), "session")
+    else:
+        met = q.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(v, ["session", "v"]).repartition(max(1, min(n * 4, 2048)), "session", "q", "v")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
