@@ -104,3 +104,49 @@ def dedupe_chunks(chunks: DataFrame, by: list[str], content: str, order: str) ->
     hashed = chunks.withColumn("hash", F.md5(content))
     nth = F.row_number().over(Window.partitionBy(*by, "hash").orderBy(order))
     return hashed.withColumn("duplicate", nth > 1)
+
+
+def _hash_mod(text: Column, n: Column) -> Column:
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), n)
+
+
+def contrastive_pairs(terms: DataFrame, key: str, term: str, negatives: int, per_bucket: int = 64) -> DataFrame:
+    """``key, term, label``: the rows of ``terms (key, term)``, and for each key ``negatives`` terms of other keys.
+
+    Terms are dealt to buckets of about ``per_bucket`` by hash. A key draws a bucket for each of its negatives and takes
+    the term of it that a hash of term, key and draw puts first, among those that are not its own. So draws are random,
+    repeatable, and cost a bucket, not the vocabulary. A draw whose bucket holds own terms only gives none.
+    """
+    distinct = terms.select(term).distinct()
+    buckets = F.broadcast(distinct.agg(F.greatest(F.floor(F.count("*") / per_bucket), F.lit(1)).alias("n")))
+    dealt = distinct.crossJoin(buckets).withColumn("bucket", _hash_mod(F.col(term), F.col("n"))).drop("n")
+    slots = terms.select(key).distinct().withColumn("slot", F.explode(F.array(*map(F.lit, range(negatives))))).crossJoin(buckets)
+    name = F.concat_ws(":", F.col(key).cast("string"), F.col("slot").cast("string"))
+    drawn = slots.withColumn("bucket", _hash_mod(name, F.col("n"))).drop("n").join(dealt, "bucket").join(terms, [key, term], "left_anti")
+    order = F.md5(F.concat_ws(":", F.col(term), name))
+    negative = drawn.groupBy(key, "slot").agg(F.min_by(term, order).alias(term))
+    return terms.select(key, term, F.lit(1).alias("label")).unionByName(negative.select(key, term, F.lit(0).alias("label")))
+
+
+def stratified_split(df: DataFrame, stratum: str, order: Column, shares: list[tuple[str, float]]) -> DataFrame:
+    """``df`` with ``part``: of each stratum the first rows in ``order`` (a hex string that tells rows apart) go to the
+    first part, as many as its share of the stratum rounded down, and so on; the rest goes to the last part.
+
+    Ranks are counted in two steps, by the order's first three digits and then among equal ones, so a stratum with most
+    rows is ranked by many tasks.
+    """
+    rows = df.withColumn("_order", order).withColumn("_slice", F.substring("_order", 1, 3))
+    counts = rows.groupBy(stratum, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(stratum).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_total", F.sum("_n").over(Window.partitionBy(stratum))).drop("_n")
+    counts = counts.withColumnRenamed(stratum, "_stratum").withColumnRenamed("_slice", "_s")
+    within = F.row_number().over(Window.partitionBy(stratum, "_slice").orderBy("_order"))
+    ranked = rows.withColumn("_rank", within).join(counts, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_slice") == F.col("_s"))).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    part, upto = F.lit(shares[-1][0]), F.lit(0.0)
+    bounds = []
+    for name, share in shares[:-1]:
+        upto = upto + F.floor(F.col("_total") * share)
+        bounds.append((name, upto))
+    for name, bound in reversed(bounds):
+        part = F.when(F.col("_rank") <= bound, name).otherwise(part)
+    return ranked.select(*df.columns, part.alias("part"))

@@ -59,7 +59,7 @@ def rt03(spark, d):
     return R.vector_top_k(asked(spark, d), vectors(spark, d), "qid", "doc_id", 20, threshold=0.3)
 
 
-_HYBRID = f"""queries as (select doc_id as qid, substr(text, 1, 200) as query from documents join embeddings on doc_id = vec_id where doc_id % 20 = 0), {_BM25}, {_SIM},
+_HYBRID = f"""queries as (select doc_id as qid, text as query from documents join embeddings on doc_id = vec_id where doc_id % 20 = 0), {_BM25}, {_SIM},
     v as (select * from {_TOP('cos')} where rank <= 20), l as (select * from {_TOP('b')} where rank <= 20),
     u as (select qid, doc_id, coalesce(v.score, 0) as v, coalesce(l.score, 0) as b from v full outer join l using (qid, doc_id)),
     n as (select *, case when max(v) over w = min(v) over w then 0.5 else (v - min(v) over w) / (max(v) over w - min(v) over w) end as vs,
@@ -69,7 +69,7 @@ _HYBRID = f"""queries as (select doc_id as qid, substr(text, 1, 200) as query fr
 def arms(spark, d, k=20):
     docs = table(spark, d, "documents")
     q = asked(spark, d)
-    texts = q.join(docs, F.col("qid") == F.col("doc_id")).select("qid", F.substring("text", 1, 200).alias("query"))
+    texts = q.join(docs, F.col("qid") == F.col("doc_id")).select("qid", F.col("text").alias("query"))
     vector = R.vector_top_k(q, vectors(spark, d), "qid", "doc_id", k)
     lexical = R.top(R.bm25(texts, docs, "qid", "doc_id", "text"), "qid", "doc_id", "score", k)
     return vector, lexical
@@ -180,13 +180,13 @@ def rt21(spark, d):
     return pairs(spark, d).select("conv_id", "turn", F.round(F.least(F.lit(1.0), score), 6).alias("confidence"))
 
 
-_EVAL = f"with {_BENCH}, {_BM25}, h as (select t.qid, rank, contains(lower(text), lower(substr(query, 1, 40))) as relevant from {_TOP('b')} t join documents using (doc_id) join queries using (qid) where rank <= 10)"
+_EVAL = f"with {_BENCH}, {_BM25}, h as (select t.qid, rank, contains(lower(text), lower(query)) as relevant from {_TOP('b')} t join documents using (doc_id) join queries using (qid) where rank <= 10)"
 
 
 def judged(spark, d):
     queries, docs = tables(spark, d, "benchmark", "documents")
     hits = bench_bm25(spark, d, 10).join(docs.select("doc_id", "text"), "doc_id").join(queries.select(F.col("item_id").alias("qid"), F.col("text").alias("query")), "qid")
-    return hits.select("qid", "rank", F.contains(F.lower("text"), F.lower(F.substring("query", 1, 40))).alias("relevant"))
+    return hits.select("qid", "rank", F.contains(F.lower("text"), F.lower("query")).alias("relevant"))
 
 
 _METRICS = """m as (select qid, max(case when rank <= 5 then relevant::int else 0 end) as hit, coalesce(1.0 / min(rank) filter (where relevant), 0) as mrr,
@@ -205,19 +205,30 @@ def ev06(spark, d):
     return m.agg(F.round(F.avg("hit"), 6).alias("hit"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
-@query("ev04_recall_precision", _EVAL + " select qid, count(*) filter (where relevant) / greatest(count(*), 1) as precision, (count(*) filter (where relevant) > 0)::int as recall from h where rank <= 5 group by 1")
+_NAMED = f"""with {_BENCH}, {_BM25}, truth as (select distinct item_id as qid, source from benchmark join documents on doc_id in (item_id, item_id + 1)), h as (select t.qid, rank, source, g.source is not null as relevant
+    from {_TOP('b')} t join documents using (doc_id) left join truth g using (qid, source) where rank <= 5), n as (select qid, count(*) as truths from truth group by 1)"""
+
+
+def named(spark, d):
+    """The five best documents of each passage by source, and the sources that are right: those of two documents of its number."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    bench = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array("item_id", F.col("item_id") + 1)).alias("doc_id"))
+    truth = bench.join(docs, "doc_id").select("qid", "source").distinct()
+    return bench_bm25(spark, d, 5).join(docs, "doc_id"), truth
+
+
+@query("ev04_recall_precision", _NAMED + " select qid, round(count(distinct source) filter (where relevant) / count(*), 6) as precision, round(count(distinct source) filter (where relevant) / any_value(truths), 6) as recall from h join n using (qid) group by 1")
 def ev04(spark, d):
-    n = F.count_if("relevant")
-    return judged(spark, d).filter("rank <= 5").groupBy("qid").agg((n / F.greatest(F.count("*"), F.lit(1))).alias("precision"), (n > 0).cast("int").alias("recall"))
+    return E.set_metrics(*named(spark, d), "qid", "source", 5)
 
 
 @query(
     "ev05_ndcg_variant",
-    _EVAL + " select qid, round(sum(case when rank = 1 then 1.0 else 1.0 / log2(rank) end) filter (where relevant and rank <= 5), 6) as dcg from h group by 1",
+    _NAMED + """, g as (select qid, any_value(truths) as truths, sum(case when relevant then case when rank = 1 then 1.0::double else 1 / log2(rank) end else 0 end) as dcg from h join n using (qid) group by 1)
+    select qid, round(dcg / list_sum(list_transform(range(1, least(truths, 5) + 1), lambda i: case when i = 1 then 1.0::double else 1 / log2(i) end)), 6) as ndcg from g""",
 )
 def ev05(spark, d):
-    gain = F.when(F.col("rank") == 1, F.lit(1.0)).otherwise(1.0 / F.log2("rank"))
-    return judged(spark, d).groupBy("qid").agg(F.round(F.sum(F.when(F.col("relevant") & (F.col("rank") <= 5), gain)), 6).alias("dcg"))
+    return E.listed_ndcg(*named(spark, d), "qid", "source", 5)
 
 
 @query(
@@ -286,12 +297,11 @@ def ev19(spark, d):
 
 @query(
     "jn09_pairs",
-    f"""with t as (select item_id, unnest(list_distinct({TOK('text')})) as w from benchmark), r as (select * from t where w in (select w from t group by 1 having count(*) between 2 and 20))
-    select a.item_id as a, b.item_id as b, count(*) as shared from r a join r b on a.w = b.w and a.item_id < b.item_id group by 1, 2 having count(*) >= 2""",
+    f"""with t as (select item_id, unnest(list_distinct({TOK('text')})) as w from benchmark)
+    select a.item_id as a, b.item_id as b, count(*) as shared from t a join t b on a.w = b.w and a.item_id < b.item_id group by 1, 2 having count(*) >= 2""",
 )
 def jn09(spark, d):
+    """Passages that share two words or more: every word counts, however many passages hold it."""
     words = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens("text"))).alias("w"))
-    n = F.count("*").over(Window.partitionBy("w"))
-    rare = words.withColumn("n", n).filter("n between 2 and 20").drop("n")
-    a, b = rare.select(F.col("item_id").alias("a"), "w"), rare.select(F.col("item_id").alias("b"), "w")
+    a, b = words.select(F.col("item_id").alias("a"), "w"), words.select(F.col("item_id").alias("b"), "w")
     return a.join(b, "w").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 2")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import mining as M
+from corpusmill.operators import ranking as K
 from corpusmill.operators import relational as R
 from corpusmill.operators import retrieval as RT
 from corpusmill.plans.retrieval import _BENCH, _BM25, _HYBRID, _SIM, _TOP, arms, asked, bench_bm25, vectors
@@ -130,11 +131,25 @@ def tx17(spark, d):
     return table(spark, d, C).select("conv_id", "turn", F.least(F.coalesce(n, F.lit(10)), F.lit(20)).alias("n"), F.lower("text").rlike("(recent|latest|new)").alias("recent"))
 
 
-@query("tx25_priority", "select doc_id, round(least(1, ln(1 + n_chars) / 10) * 0.6 + least(1, len(regexp_extract_all(text, chr(10))) / 20.0) * 0.4, 4) as quality, round(case when contains(lower(text), 'license') then 0.8 else 0.3 end + 0.2 * least(1, n_chars / 10000.0), 4) as priority from documents")
+_LINES = "len(string_split(text, chr(10)))"
+_BULLETS = r"len(regexp_extract_all(text, '(?m)^[-*#|].*$'))"
+
+
+@query(
+    "tx25_priority",
+    f"""with f as (select doc_id, case when contains(lower(text), 'license') then 'manual' when contains(text, '|') then 'report' else 'unknown' end as kind, {_LINES} as sections, {_BULLETS} as bullets, length(text) as n,
+    len(regexp_extract_all(text, '[A-Z]')) / greatest(length(text), 1) as upper, len(regexp_extract_all(text, '[0-9]')) / greatest(length(text), 1) as digits,
+    (contains(lower(text), 'token')::int + contains(lower(text), 'http')::int + contains(text, '@')::int) / 2 as domain from documents)
+    select doc_id, round(least(1, 0.35::double * least(1, (sections + bullets / 2) / 25) + 0.3 * least(1, ln(1 + n) / 8) + 0.2 * (1 - abs(upper - 0.1)) + 0.15 * least(1, digits * 5)), 4) as quality,
+    round(least(1, 0.4::double * case kind when 'manual' then 0.85 when 'report' then 0.75 else 0.5 end + 0.25 * least(1, (sections + bullets / 2) / 20) + 0.2 * domain / 6 + 0.15 * least(1, ln(1 + n) / 8)), 4) as priority from f""",
+)
 def tx25(spark, d):
-    quality = F.least(F.lit(1.0), F.log1p(F.col("n_chars").cast("double")) / 10) * 0.6 + F.least(F.lit(1.0), F.regexp_count("text", F.lit("\n")) / 20.0) * 0.4
-    priority = F.when(F.contains(F.lower("text"), F.lit("license")), 0.8).otherwise(0.3) + 0.2 * F.least(F.lit(1.0), F.col("n_chars") / 10000.0)
-    return table(spark, d, D).select("doc_id", F.round(quality, 4).alias("quality"), F.round(priority, 4).alias("priority"))
+    low, n = F.lower("text"), F.length("text")
+    kind = F.when(F.contains(low, F.lit("license")), "manual").when(F.contains("text", F.lit("|")), "report").otherwise("unknown")
+    share = lambda p: F.regexp_count("text", F.lit(p)) / F.greatest(n, F.lit(1))
+    lines, bullets = F.size(F.split("text", "\n")), F.regexp_count("text", F.lit("(?m)^[-*#|].*$"))
+    domain = (F.contains(low, F.lit("token")).cast("int") + F.contains(low, F.lit("http")).cast("int") + F.contains("text", F.lit("@")).cast("int")) / 2
+    return table(spark, d, D).select("doc_id", K.quality(lines, bullets, n, share("[A-Z]"), share("[0-9]")).alias("quality"), K.priority(kind, lines, bullets, domain, n).alias("priority"))
 
 
 _AUDIT = {"ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "mail": "[a-z0-9._]+@[a-z0-9]+[.][a-z]+", "key": "[0-9a-f]{32,}"}
@@ -169,11 +184,17 @@ def rt11(spark, d):
     return bench_bm25(spark, d, 10).join(table(spark, d, D), "doc_id").select("qid", "doc_id", F.round(F.least(score / 10, F.lit(1.0)), 6).alias("domain"))
 
 
-@query("rt12_rerank_fallback", f"with {_BENCH}, {_BM25}, t as (select * from {_TOP('b')} where rank <= 20), r as (select qid, t.doc_id, coalesce(case when lang = 'en' then n_chars end, score) as score from t join documents using (doc_id)), f2 as (select qid, doc_id, score::double as score from r) select * from {_TOP('f2')} where rank <= 5")
+@query(
+    "rt12_rerank_fallback",
+    f"""with {_BENCH}, {_BM25}, t as (select * from {_TOP('b')} where rank <= 20), r as (select t.qid, t.doc_id, score, case when t.qid % 5 <> 0 then len(list_intersect(list_distinct({TOK('query')}), list_distinct({TOK('text')}))) / len(list_distinct({TOK('query')})) end as rerank
+    from t join documents using (doc_id) join queries using (qid)), f2 as (select qid, doc_id, round(coalesce(rerank, score), 6) as score from r) select * from {_TOP('f2')} where rank <= 5""",
+)
 def rt12(spark, d):
-    rows = bench_bm25(spark, d, 20).join(table(spark, d, D), "doc_id")
-    reranked = F.when(F.col("lang") == "en", F.col("n_chars").cast("double"))
-    return RT.top(rows.select("qid", "doc_id", F.coalesce(reranked, "score").alias("score")), "qid", "doc_id", "score", 5)
+    """Token overlap reranks the first stage; where the reranker gave nothing (every fifth question) its order stays."""
+    queries, docs = tables(spark, d, "benchmark", D)
+    rows = bench_bm25(spark, d, 20).join(docs.select("doc_id", T.tokens("text").alias("w")), "doc_id").join(queries.select(F.col("item_id").alias("qid"), T.tokens("text").alias("q")), "qid")
+    rerank = F.when(F.col("qid") % 5 != 0, T.overlap(F.col("q"), F.col("w")))
+    return RT.top(rows.select("qid", "doc_id", F.round(F.coalesce(rerank, "score"), 6).alias("score")), "qid", "doc_id", "score", 5)
 
 
 @query("rt14_ensemble_weights", "with w as (select conv_id, turn, m, (case m when 'a' then 0.5 when 'b' then 0.3 else 0.2 end * case when m = 'a' and contains(text, '?') then 1.5 when m = 'b' and length(text) > 200 then 1.3 else 1 end)::double as w from conversations, (values ('a'), ('b'), ('c')) v(m)) select conv_id, turn, m, round(w / sum(w) over (partition by conv_id, turn), 6) as weight from w")
@@ -184,17 +205,55 @@ def rt14(spark, d):
     return rows.select("conv_id", "turn", "m", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("conv_id", "turn")), 6).alias("weight"))
 
 
-@query("rt16_ensemble_score", f"with {_SIM}, t as (select * from {_TOP('cos')} where rank <= 10) select qid, doc_id, round(score + 0.05 * 3 + 0.1 * (label % 2) + 0.15 * (label = 3)::int, 6) as ensemble from t join embeddings on vec_id = doc_id")
+_ASKS = ["the", "und", "que"]
+_VERSIONS = ["4.16", "4.15", "4.14"]
+
+
+@query(
+    "rt16_ensemble_score",
+    f"""with {_SIM}, t as (select t.qid, t.doc_id, t.score, lower(a.text) as q, lower(b.text) as c, a.lang as ql, b.lang as cl from {_TOP('cos')} t join documents a on a.doc_id = t.qid join documents b on b.doc_id = t.doc_id where rank <= 10)
+    select qid, doc_id, round(score + 3 * 0.05 + case when regexp_matches(q, 'the|und|que') and regexp_matches(c, 'the|und|que') then 0.1 else 0 end
+    + case when (contains(q, '4.16') and contains(c, '4.16')) or (contains(q, '4.15') and contains(c, '4.15')) or (contains(q, '4.14') and contains(c, '4.14')) then 0.15 else 0 end + case when ql = cl then 0.1 else 0 end, 6) as ensemble from t""",
+)
 def rt16(spark, d):
-    hits = RT.vector_top_k(asked(spark, d), vectors(spark, d), "qid", "doc_id", 10).join(vectors(spark, d).select("doc_id", "label"), "doc_id")
-    return hits.select("qid", "doc_id", F.round(F.col("score") + 0.05 * 3 + 0.1 * (F.col("label") % 2) + 0.15 * (F.col("label") == 3).cast("int"), 6).alias("ensemble"))
+    """Similarity and 0.05 a model, 0.1 if question and text hold words of the domain, 0.15 for a shared version, 0.1 for the right kind of document."""
+    docs = table(spark, d, D).select("doc_id", F.lower("text").alias("c"), F.col("lang").alias("cl"))
+    hits = RT.vector_top_k(asked(spark, d), vectors(spark, d), "qid", "doc_id", 10).join(docs, "doc_id").join(docs.select(F.col("doc_id").alias("qid"), F.col("c").alias("q"), F.col("cl").alias("ql")), "qid")
+    words = "|".join(_ASKS)
+    version = reduce(lambda a, b: a | b, (F.contains("q", F.lit(v)) & F.contains("c", F.lit(v)) for v in _VERSIONS))
+    bonus = lambda c, w: F.when(c, w).otherwise(0.0)
+    score = F.col("score") + 3 * 0.05 + bonus(F.col("q").rlike(words) & F.col("c").rlike(words), 0.1) + bonus(version, 0.15) + bonus(F.col("ql") == F.col("cl"), 0.1)
+    return hits.select("qid", "doc_id", F.round(score, 6).alias("ensemble"))
 
 
-@query("rt17_accuracy_estimate", f"with {_SIM}, t as (select * from {_TOP('cos')} where rank <= 5) select qid, round(least(99.0, 80 + 10 * avg(score) filter (where rank <= 3) + 5 * (max(score) > 0.5)::int), 8) as accuracy, round(avg(score), 9) as confidence from t group by 1")
+@query(
+    "rt17_accuracy_estimate",
+    f"""with {_SIM}, t as (select t.qid, t.score, t.rank, lower(b.text) as c, a.lang || '-' || a.source as wanted, a.lang as kind, b.lang || '-' || b.source as name from {_TOP('cos')} t join documents a on a.doc_id = t.qid join documents b on b.doc_id = t.doc_id where rank <= 5),
+    m as (select qid, sum(((contains(c, 'the')::int + contains(c, 'und')::int + contains(c, 'que')::int) / 3) * 5) filter (where rank <= 3) as terms, sum(case when contains(name, kind) then 3 when contains(name, 'src1') then 1 else 0 end) filter (where rank <= 3) as kinds,
+    case when count(*) >= 3 and min(score) filter (where rank <= 3) > 0 then min(score) filter (where rank <= 3) / max(score) filter (where rank <= 3) * 5 else 0 end as even, avg(score) filter (where score > 0) as sure, max(score) as best,
+    count(*) filter (where rank <= 3 and (contains(name, kind) or contains(name, 'src1'))) / 3 as right_kind from t group by 1)
+    select qid, round(least(99.0, 80 + 0.8 * 10 + coalesce(terms, 0) + kinds + even), 6) as accuracy, round(least(1, (0.8 + case when best > 0 then least(sure, 1) else 0.5 end + right_kind) / 3), 6) as confidence from m""",
+)
 def rt17(spark, d):
-    hits = RT.vector_top_k(asked(spark, d), vectors(spark, d), "qid", "doc_id", 5)
-    accuracy = 80 + 10 * F.avg(F.when(F.col("rank") <= 3, F.col("score"))) + 5 * (F.max("score") > 0.5).cast("int")
-    return hits.groupBy("qid").agg(F.round(F.least(F.lit(99.0), accuracy), 8).alias("accuracy"), F.round(F.avg("score"), 9).alias("confidence"))
+    """80, ten times the sureness of the question's class, five for terms found and three or one for the document's name in each of the
+    first three hits, five for even scores; 99 at most. Confidence: mean of sureness, scores and share of right names."""
+    docs = table(spark, d, D).select("doc_id", F.lower("text").alias("c"), F.concat_ws("-", "lang", "source").alias("name"), "lang")
+    hits = RT.vector_top_k(asked(spark, d), vectors(spark, d), "qid", "doc_id", 5).join(docs.drop("lang"), "doc_id").join(docs.select(F.col("doc_id").alias("qid"), F.col("lang").alias("kind")), "qid")
+    first = F.col("rank") <= 3
+    terms = sum(F.contains("c", F.lit(t)).cast("int") for t in ("the", "und", "que")) / 3 * 5
+    named, generic = F.contains("name", "kind"), F.contains("name", F.lit("src1"))
+    low, high = F.min(F.when(first, F.col("score"))), F.max(F.when(first, F.col("score")))
+    m = hits.groupBy("qid").agg(
+        F.coalesce(F.sum(F.when(first, terms)), F.lit(0.0)).alias("terms"),
+        F.sum(F.when(first, F.when(named, 3).when(generic, 1).otherwise(0))).alias("kinds"),
+        F.when((F.count("*") >= 3) & (low > 0), F.try_divide(low, high) * 5).otherwise(0.0).alias("even"),
+        F.avg(F.when(F.col("score") > 0, F.col("score"))).alias("sure"),
+        F.max("score").alias("best"),
+        (F.count_if(first & (named | generic)) / 3).alias("right_kind"),
+    )
+    sure = F.when(F.col("best") > 0, F.least("sure", F.lit(1.0))).otherwise(0.5)
+    accuracy = F.least(F.lit(99.0), 80 + 0.8 * 10 + F.col("terms") + F.col("kinds") + F.col("even"))
+    return m.select("qid", F.round(accuracy, 6).alias("accuracy"), F.round(F.least(F.lit(1.0), (0.8 + sure + F.col("right_kind")) / 3), 6).alias("confidence"))
 
 
 @query("rt24_context_score", f"select conv_id, turn, round(0.4 * least(1, overlap * 1.2) + 0.3 * pow(0.5, turn) + 0.3 * least(1, ln(turn + 2) / ln(10)), 6) as score from (select conv_id, turn, case when len(x) = 0 then 0.0 else len(list_intersect(x, y)) / len(x) end as overlap from (select a.conv_id, a.turn, list_distinct({TOK('a.text')}) as x, list_distinct({TOK('b.text')}) as y from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'))")
@@ -218,7 +277,7 @@ def rt32(spark, d):
 @query("ev07_alpha_sweep", f"with {_HYBRID}, f3 as (select alpha, qid, doc_id, row_number() over (partition by alpha, qid order by round(alpha * vs + (1 - alpha) * bs, 6) desc, doc_id) as rank from n, (values (0.0::double), (0.5), (1.0)) a(alpha)) select alpha, round(avg(len(list_intersect(list_distinct({TOK('query')}), list_distinct({TOK('text')}))) / len(list_distinct({TOK('query')}))), 5) as share from f3 join documents using (doc_id) join queries using (qid) where rank <= 5 and len({TOK('query')}) > 0 group by 1")
 def ev07(spark, d):
     docs = table(spark, d, D)
-    asked_texts = docs.select(F.col("doc_id").alias("qid"), F.substring("text", 1, 200).alias("query"))
+    asked_texts = docs.select(F.col("doc_id").alias("qid"), F.col("text").alias("query"))
     vector, lexical = arms(spark, d)
     fused = reduce(lambda a, b: a.unionByName(b), (RT.fuse(vector, lexical, "qid", "doc_id", x, 5).withColumn("alpha", F.lit(x)) for x in (0.0, 0.5, 1.0)))
     rows = fused.join(docs.select("doc_id", "text"), "doc_id").join(asked_texts, "qid").filter(F.size(T.tokens("query")) > 0)
@@ -239,10 +298,17 @@ def ev18(spark, d):
     return table(spark, d, C).groupBy("role").agg(F.round(F.avg(score), 6).alias("quality"))
 
 
-@query("ds03_pairs", f"with t as (select doc_id, unnest(list_distinct({TOK('text')})) as term from documents), p as (select doc_id, min(term) as positive from t where length(term) > 6 group by 1) select doc_id, positive from p")
+@query(
+    "ds03_pairs",
+    f"""with t as (select distinct doc_id, term from (select doc_id, unnest({TOK('text')}) as term from documents) where length(term) > 9), n as (select greatest(1, count(distinct term) // 64) as b from t),
+    w as (select term, ('0x' || substr(md5(term), 1, 8))::bigint % b as bucket from (select distinct term from t), n),
+    s as (select doc_id, slot, ('0x' || substr(md5(doc_id || ':' || slot), 1, 8))::bigint % b as bucket from (select distinct doc_id from t), (values (0), (1), (2)) v(slot), n),
+    c as (select doc_id, slot, term from s join w using (bucket) anti join t using (doc_id, term)), g as (select doc_id, slot, arg_min(term, md5(term || ':' || doc_id || ':' || slot)) as term from c group by 1, 2)
+    select doc_id, term as positive, 1 as label from t union all select doc_id, term, 0 from g""",
+)
 def ds03(spark, d):
-    terms = table(spark, d, D).select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term")).filter(F.length("term") > 6)
-    return terms.groupBy("doc_id").agg(F.min("term").alias("positive"))
+    terms = table(spark, d, D).select("doc_id", F.explode(T.tokens("text")).alias("term")).filter(F.length("term") > 9).distinct()
+    return M.contrastive_pairs(terms, "doc_id", "term", 3).withColumnRenamed("term", "positive")
 
 
 @query("ds05_glossary", "select conv_id, turn, case when contains(lower(text), 'the') then text || ' article' else text end || case when contains(lower(case when contains(lower(text), 'the') then text || ' article' else text end), 'art') then ' craft' else '' end as expanded from conversations")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
 from corpusmill.operators import mining as M
+from corpusmill.operators import ranking as K
 from corpusmill.registry import query
 from corpusmill.sources.tables import table, tables
 
@@ -316,14 +317,15 @@ def tx15(spark, d):
 
 @query(
     "tx18_privacy",
-    """select doc_id, case when regexp_matches(lower(text), '(token = |license|copyright)') or regexp_matches(text, '[a-z0-9._]+@[a-z0-9]+[.][a-z]+')
-    or regexp_matches(lower(array_to_string(string_split(text, chr(10))[1:5], ' ')), 'licensed') then 'private' else 'public' end as privacy from documents""",
+    "select doc_id, case when " + " or ".join(f"contains(lower(text), '{w}')" for w in K.CONFIDENTIAL) + " or " + " or ".join(f"regexp_matches(lower(text), '{p}')" for p in K.CONFIDENTIAL_PATTERNS)
+    + " or len(list_filter(string_split(lower(text), chr(10))[1:5] || string_split(lower(text), chr(10))[-5:], lambda x: contains(x, 'confidential') or contains(x, 'private') or contains(x, 'restricted'))) > 0 then 'private' else 'public' end as privacy"
+    " from (select doc_id, text || case when doc_id % 7 = 0 then chr(10) || 'Strictly  Confidential' when doc_id % 7 = 1 then ' do  not share' else '' end as text from documents)",
 )
 def tx18(spark, d):
-    low = F.lower("text")
-    head = F.lower(F.array_join(F.slice(F.split("text", "\n"), 1, 5), " "))
-    private = low.rlike("(token = |license|copyright)") | F.col("text").rlike("[a-z0-9._]+@[a-z0-9]+[.][a-z]+") | head.rlike("licensed")
-    return table(spark, d, D).select("doc_id", F.when(private, "private").otherwise("public").alias("privacy"))
+    """Every seventh text is given a marking of each kind, as invented words hold none."""
+    i = F.col("doc_id") % 7
+    marked = F.concat("text", F.when(i == 0, "\nStrictly  Confidential").when(i == 1, " do  not share").otherwise(""))
+    return table(spark, d, D).select("doc_id", K.confidentiality(marked).alias("privacy"))
 
 
 @query(
@@ -424,16 +426,20 @@ def tx32(spark, d):
     return table(spark, d, D).groupBy(M.first_match(rules, "other").alias("kind")).agg(F.count("*").alias("n"))
 
 
+_TECH = r"list_distinct(regexp_extract_all(text, '[A-Z]{2,}[0-9]*|[0-9]+[.][0-9]+'))"
+
+
 @query(
     "tx44_importance",
-    f"""select conv_id, turn, round(least(1.0, 0.3 + least(len({WORDS('text')}) / 200.0, 0.4) + case when contains(text, '?') then 0.1 else 0 end), 6) as importance,
-    round(greatest(0, least(1, 1 - abs(len({WORDS('text')}) / greatest(len({SENT('text')}), 1) - 15) / 30)), 6) as readability from conversations""",
+    f"""with t as (select conv_id, turn, text, {_TECH} as terms, len({WORDS('text')}) as n, len({SENT('text')}) as s from conversations)
+    select conv_id, turn, round(least(1, case when n between 50 and 200 then 0.2::double when n between 20 and 400 then 0.1 else 0 end + least(0.3, 5 * len(terms) / greatest(n, 1)) + case when (upper(text) = text and lower(text) <> text) or regexp_matches(text, '^#+\\s+') then 0.2 else 0 end
+    + case when regexp_matches(lower(text), '\\b(?:step|procedure|method|instruction|how to)\\b') then 0.2 else 0 end + least(0.1, 0.02 * len(regexp_extract_all(text, '\\b\\d+(?:\\.\\d+)?\\b')))), 6) as importance,
+    case when n = 0 or s = 0 then 0.5 else round((case when n / s between 10 and 20 then 1.0::double when n / s between 5 and 30 then 0.7 else 0.4 end + greatest(0.2, 1 - 3 * len(terms) / n)) / 2, 6) end as readability from t""",
 )
 def tx44(spark, d):
-    words, n = F.size(T.split_words("text")), F.greatest(F.size(T.sentences("text")), F.lit(1))
-    importance = F.least(F.lit(1.0), 0.3 + F.least(words / 200.0, F.lit(0.4)) + F.when(F.contains("text", F.lit("?")), 0.1).otherwise(0.0))
-    readability = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(words / n - 15) / 30))
-    return table(spark, d, C).select("conv_id", "turn", F.round(importance, 6).alias("importance"), F.round(readability, 6).alias("readability"))
+    terms = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z]{2,}[0-9]*|[0-9]+[.][0-9]+)"), 1))
+    readability = K.readability(F.size(T.split_words("text")), F.size(T.sentences("text")), terms)
+    return table(spark, d, C).select("conv_id", "turn", F.round(K.importance(F.col("text"), terms), 6).alias("importance"), F.round(readability, 6).alias("readability"))
 
 
 @query("tx45_row_text", "select p_partkey, 'p_name: ' || p_name || ', p_brand: ' || p_brand || ', p_size: ' || p_size as row_text from part")
@@ -510,8 +516,9 @@ def ds02(spark, d):
 
 @query(
     "ds04_split",
-    "select doc_id, case when b < 80 then 'train' when b < 90 then 'validation' else 'test' end as part from (select doc_id, ('0x' || substr(md5(doc_id || ':split'), 1, 8))::bigint % 100 as b from labels)",
+    """with r as (select doc_id, quality, row_number() over (partition by quality order by md5(doc_id || ':split')) as i, count(*) over (partition by quality) as n from labels)
+    select doc_id, quality, case when i <= floor(n * 0.8::double) then 'train' when i <= floor(n * 0.8::double) + floor(n * 0.1::double) then 'validation' else 'test' end as part from r""",
 )
 def ds04(spark, d):
-    b = F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":split"))), 1, 8), 16, 10).cast("long"), F.lit(100))
-    return table(spark, d, "labels").select("doc_id", F.when(b < 80, "train").when(b < 90, "validation").otherwise("test").alias("part"))
+    order = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":split")))
+    return M.stratified_split(table(spark, d, "labels").select("doc_id", "quality"), "quality", order, [("train", 0.8), ("validation", 0.1), ("test", 0.1)])
\ No newline at end of file
