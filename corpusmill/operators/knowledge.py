@@ -8,15 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Acronyms that are words; fixed values.
-NOT_ACRONYMS = ["THE", "AND", "FOR", "NOT", "ALL", "ARE", "BUT", "CAN", "HAS", "NEW", "NOW", "OLD", "SEE", "USE", "WAS", "WHO"]
+#: Short words in capitals that are no acronyms, for texts in English; pass a list of the corpus's own.
+COMMON_WORDS = ("THE", "AND", "FOR", "NOT", "ALL", "ARE", "BUT", "CAN", "HAS", "YOU", "WAS", "WHO", "NO", "OR", "IF", "IT", "IS", "IN", "ON", "AT", "TO")
 
 
 # --- acronyms and synonyms ----------------------------------------------------------------------------------------
-def acronyms(docs: DataFrame, key: str, text: str) -> DataFrame:
+def acronyms(docs: DataFrame, key: str, text: str, words: tuple[str, ...] = COMMON_WORDS) -> DataFrame:
     """``key, acronym, definition, method``: ``Name (ABC)``, ``ABC: name`` and ``ABC - name``; later methods win.
 
-    Acronyms have 2 to 10 capitals or digits, not all one letter, and are no common word.
+    Acronyms have 2 to 10 capitals or digits, not all one letter, and are none of ``words``.
     """
     methods = [(1, r"((?:[A-Z][\p{L}]+ ){1,6}\([A-Z0-9]{2,10}\))"), (2, r"(?m)(^[A-Z0-9]{2,10}: [^\n.]{3,100})"), (3, r"(?m)(^[A-Z0-9]{2,10} - [^\n.]{3,100})")]
 
@@ -29,7 +29,7 @@ def acronyms(docs: DataFrame, key: str, text: str) -> DataFrame:
     acronym = F.when(named, F.regexp_extract("hit", r"\(([A-Z0-9]+)\)", 1)).otherwise(F.regexp_extract("hit", "^([A-Z0-9]+)", 1))
     definition = F.when(named, F.regexp_extract("hit", r"^(.*) \(", 1)).otherwise(F.regexp_replace("hit", "^[A-Z0-9]+(: | - )", ""))
     rows = rows.select(key, "pos", "method", acronym.alias("acronym"), F.trim(definition).alias("definition"))
-    valid = ~F.col("acronym").isin(NOT_ACRONYMS) & F.col("acronym").rlike("[A-Z]") & ~F.col("acronym").rlike(r"^(.)\1+$")
+    valid = ~F.col("acronym").isin(*words) & F.col("acronym").rlike("[A-Z]") & ~F.col("acronym").rlike(r"^(.)\1+$")
     return rows.filter(valid).groupBy(key, "acronym").agg(F.max_by("definition", F.struct("method", "pos")).alias("definition"), F.max("method").alias("method"))
 
 
@@ -94,22 +94,48 @@ def entity_spans(docs: DataFrame, key: str, text: str, lexicon: dict[str, list[s
 
 
 #: Unit spellings and what they are counted as; fixed values.
-UNITS = {"v": "V", "volt": "V", "volts": "V", "nm": "Nm", "n·m": "Nm", "rpm": "rpm", "°c": "C", "c": "C", "a": "A", "w": "W", "mm": "mm", "hz": "Hz"}
+UNITS = {"volts": "V", "volt": "V", "amps": "A", "amp": "A", "c": "C", "°c": "C", "ohms": "Ω", "ohm": "Ω", "nm": "Nm", "rpm": "rpm", "hz": "Hz", "w": "W"}
+
+
+def normal_unit(unit: Column) -> Column:
+    """The unit that a spelling counts as, any other one as it is written; null for none."""
+    known = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(unit))), F.nullif(F.trim(unit), F.lit("")))
 
 
 def specifications(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, name, value, unit`` of ``name: 5V``, ``name (rpm): 1500`` and ``name = 10-20 Nm``; ranges give their mean.
+    """``key, name, value, unit`` of ``name: 5V``, ``name (rpm): 1500``, ``name is 3`` and ``name = 10-20 Nm``.
 
-    Only known units count; a bare number needs its unit in brackets.
+    Ranges, with a hyphen or an en dash, give their mean. What follows the number is no unit if it runs on as a word, or
+    if another specification follows and it is longer than two letters and not known. A value without a unit takes that
+    in brackets at the end of its name.
     """
-    pattern = r"([A-Za-z][A-Za-z ]{1,30}?)\s*(?:\(([^)\s]{1,5})\))?\s*[:=]\s*(\d+(?:\.\d+)?)(?:\s*-\s*(\d+(?:\.\d+)?))?[ ]*(°?[A-Za-z·]{0,5})"
+    name = r"[A-Za-z][A-Za-z0-9_ \-/()]{2,40}"
+    pattern = rf"(?i)({name}?)\s*(?:[:=]|\bis\b)\s*(\d+(?:\.\d+)?(?:\s*[–-]\s*\d+(?:\.\d+)?)?)(?=([\s\S]{{0,30}}))\s*([A-Za-z%Ωμ/°]{{0,5}})(?=([A-Za-z]?))"
     part = lambda i: F.regexp_extract_all(text, F.lit(pattern), i)
-    zipped = F.arrays_zip(part(1).alias("name"), part(2).alias("bracket"), part(3).alias("low"), part(4).alias("high"), part(5).alias("unit"))
-    rows = docs.select(key, F.explode(zipped).alias("s")).select(key, "s.*")
-    units = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))
-    unit = F.coalesce(F.try_element_at(units, F.lower("unit")), F.when(F.col("unit") == "", F.try_element_at(units, F.lower("bracket"))))
-    low, high = F.col("low").cast("double"), F.nullif(F.col("high"), F.lit("")).cast("double")
-    return rows.select(key, F.lower(F.trim("name")).alias("name"), ((low + F.coalesce(high, low)) / 2).alias("value"), unit.alias("unit")).filter("unit is not null")
+    zipped = F.arrays_zip(*(part(i).alias(n) for i, n in enumerate(("name", "raw", "ahead", "unit", "on"), 1)))
+    rows = docs.select(key, F.explode(zipped).alias("s")).select(key, "s.*").withColumn("name", F.trim("name"))
+    long_one = (F.length("unit") > 2) & ~F.lower("unit").isin(*UNITS)
+    dropped = (F.col("on") != "") | (F.col("ahead").rlike(rf"(?i)\s+{name}:") & long_one)
+    bracket = F.regexp_extract("name", r"^.+?\(([A-Za-z%Ωμ/°]{1,6})\)$", 1)
+    inside = F.when(F.length(normal_unit(bracket)) <= 5, normal_unit(bracket))
+    unit = F.when(~dropped, normal_unit(F.col("unit")))
+    base = F.when(unit.isNull() & inside.isNotNull(), F.trim(F.regexp_extract("name", r"^(.+?)\([^()]*\)$", 1))).otherwise(F.col("name"))
+    numbers = F.transform(F.split(F.regexp_replace("raw", r"\s", ""), "[–-]"), lambda x: x.cast("double"))
+    mean = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x) / F.size(numbers)
+    return rows.select(key, F.lower(base).alias("name"), mean.alias("value"), F.coalesce(unit, inside).alias("unit"))
+
+
+def classified_by_name(docs: DataFrame, name: str, text: str, kinds: dict[str, list[str]], categories: dict[str, str], topics: list[str]) -> DataFrame:
+    """``docs`` with ``product, version, kind, category, topics`` by rules: product and version from the file name, the
+    first kind of which a word is in name or text, its category, and the topics that the text holds."""
+    plain = F.lower(F.concat_ws(" ", name, text))
+    kind = F.coalesce(*(F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(plain, w)), F.lit(k)) for k, words in kinds.items()), F.lit("unknown"))
+    version = F.nullif(F.regexp_extract(name, r"[vV_ -](\d+(?:\.\d+)+)", 1), F.lit(""))
+    product = F.nullif(F.regexp_extract(name, r"^([A-Za-z0-9]+)", 1), F.lit(""))
+    rows = docs.withColumn("product", product).withColumn("version", version).withColumn("kind", kind)
+    category = F.coalesce(*(F.when(F.col("kind") == k, F.lit(c)) for k, c in categories.items()), F.lit("general"))
+    return rows.withColumn("category", category).withColumn("topics", F.filter(F.array(*map(F.lit, topics)), lambda t: F.contains(F.lower(text), t)))
 
 
 def steps(docs: DataFrame, key: str, text: str, verbs: list[str]) -> DataFrame:
@@ -205,7 +231,7 @@ def index_entries(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Markdown index to entries: ``key, section, entry, content`` by ``## `` sections and ``### `` entries."""
     parts = docs.select(key, F.posexplode(F.split(F.concat(F.lit("\n"), text), "\n## ")).alias("section", "s")).filter("section > 0")
     rows = parts.select(key, "section", F.posexplode(F.split("s", "\n### ")).alias("nth", "e")).filter("nth > 0")
-    return rows.select(key, "section", F.split_part("e", F.lit("\n"), F.lit(1)).alias("entry"), F.trim(F.regexp_replace("e", "^[^\n]*\n?", "")).alias("content"))
+    return rows.select(key, "section", F.split_part("e", F.lit("\n"), F.lit(1)).alias("entry"), F.regexp_replace(F.regexp_replace("e", "^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("content"))
 
 
 def security_class(docs: DataFrame, name: str, text: str, rules: list[tuple[str, str]]) -> DataFrame:

@@ -113,20 +113,51 @@ def trailing(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataF
 
 
 # --- aggregates ---------------------------------------------------------------------------------------------------
-def nearest_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], before: dict[str, int] | None = None) -> DataFrame:
-    """``sorted[floor(p * n)]`` by position from 0, less ``before`` positions, at least the first.
+def _same(a: DataFrame, b: DataFrame, by: list[str]) -> Column:
+    """Join condition of equal keys, nulls included."""
+    return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[f"_{c}"]) for c in by))
+
+
+def at_positions(df: DataFrame, by: list[str], value: str, wanted: dict[str, Column], slices: int = 4096) -> DataFrame:
+    """For each group the values at given positions, from 0, of its sorted values without nulls: one column a name.
 
-    Ranks by window and picks by conditional max, so no group is gathered in one value.
+    ``wanted`` are expressions over ``_n``, the group's size. Each group's range of values is cut into slices; counts of
+    slices tell which ones hold a wanted position, and only their rows are ranked. So no group is sorted in one task, or
+    gathered in one value, unless most of its values lie in one slice.
     """
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    bounds = rows.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    named = bounds.select(*(F.col(c).alias(f"_{c}") for c in by), "_low", "_high", "_n")
+    cut = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * slices)).otherwise(F.lit(0)).alias("_slice")
+    sliced = rows.join(named, _same(rows, named, by)).select(*by, "_v", "_n", cut)
+    counts = sliced.groupBy(*by, "_slice").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+    base = F.sum("_k").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")
+    asked = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.cast("long").alias("at")) for n, c in wanted.items())))
+    holding = counts.withColumn("_base", base).withColumn("_w", asked).filter((F.col("_w.at") >= F.col("_base")) & (F.col("_w.at") < F.col("_base") + F.col("_k")))
+    holding = holding.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_slice").alias("_s"), F.col("_w.name").alias("_name"), (F.col("_w.at") - F.col("_base")).alias("_at"))
+    places = holding.groupBy(*(f"_{c}" for c in by), "_s").agg(F.collect_list(F.struct("_name", "_at")).alias("_places"))
+    met = sliced.join(places, _same(sliced, places, by) & (sliced["_slice"] == places["_s"])).select(*by, "_slice", "_v", "_places")
+    nth = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_v")) - 1
+    hit = met.withColumn("_nth", nth).withColumn("_p", F.explode("_places")).filter(F.col("_p._at") == F.col("_nth"))
+    return hit.groupBy(*by).agg(*(F.max(F.when(F.col("_p._name") == n, F.col("_v"))).alias(n) for n in wanted))
+
+
+def nearest_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], before: dict[str, int] | None = None) -> DataFrame:
+    """``sorted[floor(p * n)]`` by position from 0, less ``before`` positions, at least the first."""
     before = before or {}
-    at = Window.partitionBy(*by).orderBy(value)
-    rows = df.filter(F.col(value).isNotNull())
-    rows = rows.withColumn("_nth", F.row_number().over(at) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    pick = [
-        F.max(F.when(F.col("_nth") == F.greatest(F.least(F.floor(F.lit(p) * F.col("_n")) - before.get(name, 0), F.col("_n") - 1), F.lit(0)), F.col(value))).alias(name)
-        for name, p in shares.items()
-    ]
-    return rows.groupBy(*by).agg(*pick)
+    at = {name: F.greatest(F.least(F.floor(F.lit(p) * F.col("_n")) - before.get(name, 0), F.col("_n") - 1), F.lit(0)) for name, p in shares.items()}
+    return at_positions(df, by, value, at)
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles, between two values in proportion. Groups without values give no row."""
+    place = lambda p: F.lit(p) * (F.col("_n") - 1)
+    at = {f"{name}{side}": f(place(p)) for name, p in shares.items() for side, f in (("_lower", F.floor), ("_upper", F.ceil))}
+    found = at_positions(df, by, value, at)
+    sizes = df.filter(F.col(value).isNotNull()).groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.count("*").alias("_n"))
+    rows = found.join(sizes, _same(found, sizes, by))
+    between = lambda name, p: F.col(f"{name}_lower") + (place(p) - F.floor(place(p))) * (F.col(f"{name}_upper") - F.col(f"{name}_lower"))
+    return rows.select(*by, *(between(name, p).alias(name) for name, p in shares.items()))
 
 
 def trend(df: DataFrame, by: list[str], order: str, value: str, flat: float = 0.1) -> DataFrame:

@@ -352,11 +352,13 @@ def ag16(spark, d):
     round(quantile_cont(value, 0.99), 6) as p99, min(value) as least, max(value) as most, round(stddev_samp(value), 6) as sd from events group by 1""",
 )
 def ag17(spark, d):
-    p = lambda x: F.round(F.percentile("value", x), 6)
-    return table(spark, d, "events").groupBy("event_type").agg(
-        F.round(F.avg("value"), 6).alias("mean"), p(0.5).alias("median"), p(0.95).alias("p95"), p(0.99).alias("p99"),
-        F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.stddev_samp("value"), 6).alias("sd"),
-    )
+    events = table(spark, d, "events").select("event_type", "value")
+    sums = events.groupBy("event_type").agg(
+        F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.stddev_samp("value"), 6).alias("sd")
+    )
+    shares = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    found = R.percentiles(events, ["event_type"], "value", shares).select("event_type", *(F.round(n, 6).alias(n) for n in shares))
+    return sums.join(found, "event_type", "left")
 
 
 @query(
@@ -523,7 +525,8 @@ def ag38(spark, d):
     select event_type, list_filter([case when p95 > 60 then 'p95' end, case when fails > 0.02 then 'failures' end], lambda x: x is not null) as reasons from s""",
 )
 def ag40(spark, d):
-    s = table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", 0.95).alias("p95"), F.avg(F.when(F.col("value") > 100, 1.0).otherwise(0.0)).alias("fails"))
+    events = table(spark, d, "events").select("event_type", "value")
+    s = events.groupBy("event_type").agg(F.avg(F.when(F.col("value") > 100, 1.0).otherwise(0.0)).alias("fails")).join(R.percentiles(events, ["event_type"], "value", {"p95": 0.95}), "event_type", "left")
     reasons = F.array_compact(F.array(F.when(F.col("p95") > 60, "p95"), F.when(F.col("fails") > 0.02, "failures")))
     return s.select("event_type", reasons.alias("reasons"))
 
@@ -558,10 +561,10 @@ def ag44(spark, d):
     round(median(value) filter (where value > 0), 6) as median from events group by 1""",
 )
 def ag45(spark, d):
-    positive = F.when(F.col("value") > 0, F.col("value"))
-    return table(spark, d, "events").groupBy("user_id").agg(
-        F.round(F.avg(F.when(F.col("event_type") != "error", 1.0).otherwise(0.0)), 6).alias("pass_rate"), F.round(F.avg(positive), 6).alias("mean"), F.round(F.median(positive), 6).alias("median")
-    )
+    events, positive = table(spark, d, "events"), F.when(F.col("value") > 0, F.col("value"))
+    sums = events.groupBy("user_id").agg(F.round(F.avg(F.when(F.col("event_type") != "error", 1.0).otherwise(0.0)), 6).alias("pass_rate"), F.round(F.avg(positive), 6).alias("mean"))
+    middle = R.percentiles(events.select("user_id", positive.alias("value")), ["user_id"], "value", {"median": 0.5})
+    return sums.join(middle, "user_id", "left").withColumn("median", F.round("median", 6))
 
 
 @query("wn01_top_k", "select * from (select event_type, event_id, value, row_number() over (partition by event_type order by value desc, event_id)::int as rank from events) where rank <= 10")

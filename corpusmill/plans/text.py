@@ -9,6 +9,7 @@ from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
 from corpusmill.operators import mining as M
 from corpusmill.operators import ranking as K
+from corpusmill.operators import relational as R
 from corpusmill.registry import query
 from corpusmill.sources.tables import table, tables
 
@@ -490,7 +491,8 @@ def ag37(spark, d):
 def ag29(spark, d):
     n = F.size(T.split_words("text")).cast("long")
     rows = table(spark, d, D).select("lang", n.alias("n"), F.contains("text", F.lit("License")).alias("refs"))
-    return rows.groupBy("lang").agg(F.round(F.avg("n"), 4).alias("mean"), F.median("n").alias("median"), F.min("n").alias("least"), F.max("n").alias("most"), F.count_if("refs").alias("with_refs"))
+    sums = rows.groupBy("lang").agg(F.round(F.avg("n"), 4).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"), F.count_if("refs").alias("with_refs"))
+    return sums.join(R.percentiles(rows, ["lang"], "n", {"median": 0.5}), "lang", "left")
 
 
 @query(

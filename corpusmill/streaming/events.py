@@ -18,12 +18,22 @@ def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     return stream.parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Run the stream over all input there is and return its result; for small results such as counters."""
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}")
+def finished(stream: DataFrame, checkpoint: str) -> DataFrame:
+    """Run an aggregate over all input there is and return its last result, from files that each batch writes anew.
+
+    The result goes from the executors to the shared folder; a batch that is run again overwrites its own files.
+    """
+    path = f"{checkpoint}/stream-{uuid.uuid4().hex}"
+    batches = []
+
+    def store(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/out-{batch_id}")
+        batches.append(batch_id)
+
+    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").foreachBatch(store)
     writer.trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(f"{path}/out-{max(batches)}") if batches else spark.createDataFrame([], stream.schema)
 
 
 def appended(stream: DataFrame, checkpoint: str) -> DataFrame:

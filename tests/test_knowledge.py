@@ -32,8 +32,9 @@ def test_lookups(spark):
 
 
 def test_specifications(spark):
-    got = {(r["name"], r["value"], r["unit"]) for r in K.specifications(docs(spark, "Voltage: 5V\nspeed (rpm): 1500\ntorque = 10-20 Nm\nbogusvalue: 10XYZ"), "doc_id", "text").collect()}
-    assert got == {("voltage", 5.0, "V"), ("speed", 1500.0, "rpm"), ("torque", 15.0, "Nm")}
+    text = "Voltage: 5V; speed (rpm): 1500; torque = 10–20 Nm; heat is 20 °C; loss: 3; length: 4 meters; bogusvalue: 10XYZ"
+    got = {(r["name"], r["value"], r["unit"]) for r in K.specifications(docs(spark, text, None, ""), "doc_id", "text").collect()}
+    assert got == {("voltage", 5.0, "V"), ("speed", 1500.0, "rpm"), ("torque", 15.0, "Nm"), ("bogusvalue", 10.0, "XYZ"), ("heat", 20.0, "C"), ("loss", 3.0, None), ("length", 4.0, None)}
 
 
 def test_steps(spark):

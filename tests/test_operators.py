@@ -58,7 +58,7 @@ def test_streams_agree_with_batch(spark):
     for f in (lambda e: S.sliding_limit(e, 3, 3600.0), lambda e: S.ttl_cache(e, 86400.0)):
         streamed = S.appended(f(S.event_stream(spark, data)), folder)
         assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, f(batch).collect()))
-    counted = S.finished(S.counters(S.event_stream(spark, data), "event_type"), "complete", folder)
+    counted = S.finished(S.counters(S.event_stream(spark, data), "event_type"), folder)
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, S.counters(batch, "event_type").collect()))
 
 
