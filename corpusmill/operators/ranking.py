@@ -217,3 +217,68 @@ REFERENCES = [
 def cross_references(text: Column) -> Column:
     """What the six patterns find, pattern by pattern, whatever its case."""
     return F.concat(*(F.regexp_extract_all(text, F.lit("(?i)" + p), 1) for p in REFERENCES))
+
+
+#: Categories of questions, first match wins; fixed values.
+QUESTION_CATEGORIES = {
+    "technical_setup": ["how to", "how do", "setup", "install", "configure"],
+    "explanatory": ["what is", "explain", "definition", "meaning"],
+    "troubleshooting": ["error", "problem", "issue", "fail", "broken"],
+    "user_management": ["user", "role", "permission", "admin", "access"],
+    "reporting": ["report", "dashboard", "analytics", "statistics"],
+}
+
+#: Types of questions, first match wins; fixed values.
+QUESTION_TYPES = {
+    "technical": ["install", "config", "setup", "active directory", "server", "network", "deployment"],
+    "code": ["code", "function", "algorithm", "programming", "python", "javascript"],
+    "math": ["calculate", "solve", "derivative", "integral", "equation", "math"],
+    "creative": ["write", "create", "design", "story", "poem"],
+    "chat": ["hello", "hi", "how are you", "good morning"],
+}
+
+#: Phrases that tell a response's doubt; fixed values.
+DOUBTS = ["i'm not sure", "uncertain", "maybe", "possibly", "i think", "perhaps"]
+
+
+def first_class(text: Column, classes: dict[str, list[str]], default: str) -> Column:
+    """The first class of which a word or phrase is in the lower-cased text."""
+    low, out = F.lower(text), F.lit(default)
+    for name, words in reversed(classes.items()):
+        out = F.when(F.exists(array_of(words), lambda w: F.contains(low, w)), name).otherwise(out)
+    return out
+
+
+def response_confidence(question: Column, response: Column, context: Column, chunks: Column, adjust: Column) -> Column:
+    """0.5, up to 0.2 for chunks of context and 0.1 each for words of question and response in it, less 0.2 without any;
+    ``adjust`` for the model; less 0.1 below 10 words, plus 0.05 above 50; less 0.15 for doubt; between 0 and 1."""
+    around, said = T.split_words(F.lower(context)), T.split_words(F.lower(response))
+    shared = lambda x: F.when(F.size(F.array_intersect(x, around)) > 0, 0.1).otherwise(0.0)
+    with_context = F.least(F.lit(0.2), chunks * 0.05) + shared(T.split_words(F.lower(question))) + shared(said)
+    n = F.size(T.split_words(response))
+    length = F.when(n < 10, -0.1).when(n > 50, 0.05).otherwise(0.0)
+    doubt = F.when(F.exists(array_of(DOUBTS), lambda d: F.contains(F.lower(response), d)), 0.15).otherwise(0.0)
+    score = 0.5 + F.when(chunks > 0, with_context).otherwise(-0.2) + adjust + length - doubt
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def with_fallback(asked: DataFrame, results: list[tuple[str, DataFrame]], qid: str, mode: str) -> DataFrame:
+    """Results of each question's mode, or, where it gives none, of the next mode in the list: ``results`` with ``mode``."""
+    out, waiting = None, None
+    for name, rows in results:
+        here = asked.filter(F.col(mode) == name).select(qid)
+        here = here if waiting is None else here.unionByName(waiting)
+        found = rows.join(here, qid, "left_semi").withColumn(mode, F.lit(name))
+        waiting = here.join(rows.select(qid).distinct(), qid, "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def reranked_parts(parts: DataFrame, qid: str, relevance: str, confidence: str, text: str, order: str, k: int = 5) -> DataFrame:
+    """``qid, answer, relevance``: the ``k`` parts of an answer best by 0.8 relevance and 0.2 confidence, joined by blank lines,
+    and their mean relevance."""
+    score = F.round(0.8 * F.col(relevance) + 0.2 * F.col(confidence), 6)
+    nth = F.row_number().over(Window.partitionBy(qid).orderBy(score.desc(), order))
+    best = parts.withColumn("_n", nth).filter(F.col("_n") <= k)
+    rows = best.groupBy(qid).agg(F.sort_array(F.collect_list(F.struct("_n", text))).alias("p"), F.round(F.avg(relevance), 6).alias("relevance"))
+    return rows.select(qid, F.array_join(F.col(f"p.{text}"), "\n\n").alias("answer"), "relevance")

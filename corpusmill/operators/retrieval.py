@@ -43,6 +43,37 @@ def bm25(queries: DataFrame, docs: DataFrame, qid: str, key: str, text: str, k1:
     return q.join(p, "term").groupBy(qid, key).agg(F.round(F.sum(F.col("qf") * idf * tf), 6).alias("score"))
 
 
+def grams(df: DataFrame, key: str, text: str, stop: list[str]) -> DataFrame:
+    """``key, term``: words of two characters or more without stop words, and pairs of them that follow one another."""
+    found = df.select(key, F.filter(T.tokens(text), lambda w: (F.length(w) > 1) & ~w.isin(*stop)).alias("_w"))
+    w = F.col("_w")  # a column of its own, as an expression would be worked out anew inside the function below
+    pairs = F.transform(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
+    return found.withColumn("_p", pairs).select(key, F.explode_outer(F.concat("_w", "_p")).alias("term")).filter("term is not null")
+
+
+def tfidf(queries: DataFrame, docs: DataFrame, qid: str, key: str, text: str, stop: list[str], min_df: int = 2, max_share: float = 0.8, features: int = 5000) -> DataFrame:
+    """``qid, key, score``: cosine of tf-idf vectors over the ``features`` most frequent one- and two-word grams.
+
+    Grams of fewer than ``min_df`` documents or more than ``max_share`` of all are no features; equal frequencies fall to the
+    smaller gram. Weights are ``tf (ln((1 + N) / (1 + df)) + 1)``.
+    """
+    counts = grams(docs, key, text, stop).groupBy("term", key).agg(F.count("*").alias("tf"))
+    n = docs.agg(F.count("*").alias("n"))
+    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n))
+    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_share)).orderBy(F.desc("total"), "term").limit(features)
+    words = F.broadcast(kept.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    asked = grams(queries, qid, "query", stop).groupBy("term", qid).agg(F.count("*").alias("tf"))
+
+    def weights(rows: DataFrame, of: str, name: str) -> DataFrame:
+        return rows.join(words, "term").select(of, "term", (F.col("tf") * F.col("idf")).alias(name))
+
+    d, q = weights(counts, key, "d"), weights(asked, qid, "q")
+    length = lambda rows, of, name: rows.groupBy(of).agg(F.sqrt(F.sum(F.col(name) * F.col(name))).alias(f"{name}_length"))
+    dots = q.join(d, "term").groupBy(qid, key).agg(F.sum(F.col("q") * F.col("d")).alias("dot"))
+    scored = dots.join(length(q, qid, "q"), qid).join(length(d, key, "d"), key)
+    return scored.select(qid, key, F.round(F.col("dot") / (F.col("q_length") * F.col("d_length")), 6).alias("score"))
+
+
 def top(scored: DataFrame, qid: str, key: str, score: str, k: int) -> DataFrame:
     """Each query's ``k`` best, ties to the smaller key, with their rank."""
     order = Window.partitionBy(qid).orderBy(F.desc(score), key)

@@ -344,3 +344,52 @@ def tx43(spark, d):
     made = F.concat("text", F.lit(" See section "), i, F.lit("."), (F.col("item_id") % 3).cast("string"), F.lit(" and [ref"), i, F.lit("] (see page "), i, F.lit(")"))
     rows = bench.select(F.col("item_id").alias("id"), made.alias("text")).unionByName(docs.select((F.col("doc_id") + 1000000).alias("id"), "text"))
     return rows.select("id", K.cross_references(F.col("text")).alias("refs"))
+
+
+_STOP = ["the", "of", "and", "to", "in", "is"]
+_GRAMS = "list_filter({0}, lambda w: length(w) > 1 and w not in ('the', 'of', 'and', 'to', 'in', 'is'))"
+
+
+@query(
+    "rt08_tfidf",
+    f"""with w as (select doc_id, {_GRAMS.format(TOK('text'))} as w from documents), g as (select doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from w),
+    c as (select doc_id, term, count(*) as tf from g group by 1, 2), n as (select count(*) as n from documents), s as (select term, count(*) as df, sum(tf) as total from c group by 1),
+    v as (select term, ln((1 + n) / (1 + df)) + 1 as idf from s, n where df >= 2 and df <= n * 0.8 order by total desc, term limit 5000),
+    x as (select item_id, {_GRAMS.format(TOK('text'))} as w from benchmark), y as (select item_id as qid, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from x),
+    q as (select qid, term, count(*) * any_value(idf) as q from y join v using (term) group by 1, 2), d as (select doc_id, term, tf * idf as d from c join v using (term)),
+    ql as (select qid, sqrt(sum(q * q)) as l from q group by 1), dl as (select doc_id, sqrt(sum(d * d)) as l from d group by 1),
+    r as (select qid, doc_id, round(sum(q * d) / (any_value(ql.l) * any_value(dl.l)), 6) as score from q join d using (term) join ql using (qid) join dl using (doc_id) group by 1, 2)
+    select * from {_TOP('r')} where rank <= 10""",
+)
+def rt08(spark, d):
+    bench, docs = tables(spark, d, "benchmark", D)
+    scored = R.tfidf(bench.select(F.col("item_id").alias("qid"), F.col("text").alias("query")), docs, "qid", "doc_id", "text", _STOP)
+    return R.top(scored, "qid", "doc_id", "score", 10)
+
+
+@query(
+    "rt18_mode_fallback",
+    f"""with {_SIM}, t as (select * from {_TOP('cos')} where rank <= 5), m as (select distinct qid, qid // 20 % 3 as m from cos), a as (select * from t where score > 0.55), b as (select * from t where score > 0.45),
+    k as (select m.qid, case when m = 0 and a.qid is not null then 'maximum' when m <= 1 and b.qid is not null then 'balanced' else 'speed' end as mode from m left join (select distinct qid from a) a using (qid) left join (select distinct qid from b) b using (qid))
+    select qid, doc_id, mode from (select qid, doc_id, 'maximum' as mode from a union all select qid, doc_id, 'balanced' from b union all select qid, doc_id, 'speed' from t) join k using (qid, mode)""",
+)
+def rt18(spark, d):
+    hits = R.vector_top_k(asked(spark, d), vectors(spark, d), "qid", "doc_id", 5)
+    m = F.floor(F.col("qid") / 20) % 3
+    questions = asked(spark, d).select("qid", F.when(m == 0, "maximum").when(m == 1, "balanced").otherwise("speed").alias("mode"))
+    modes = [("maximum", hits.filter("score > 0.55")), ("balanced", hits.filter("score > 0.45")), ("speed", hits)]
+    return K.with_fallback(questions, modes, "qid", "mode").select("qid", "doc_id", "mode")
+
+
+@query(
+    "rt23_reranked_parts",
+    f"""with p as (select u.conv_id, a.turn, a.text, case when len({TOK('u.text')}) = 0 then 0 else len(list_intersect(list_distinct({TOK('u.text')}), {TOK('a.text')})) / len(list_distinct({TOK('u.text')})) end as relevance, 0.5::double + (a.turn % 5) / 10 as confidence
+    from (select conv_id, arg_min(text, turn) as text from conversations where role = 'user' group by 1) u join conversations a on a.conv_id = u.conv_id and a.role = 'assistant'),
+    n as (select *, row_number() over (partition by conv_id order by round(0.8 * relevance + 0.2 * confidence, 6) desc, turn) as i from p) select conv_id, md5(string_agg(text, chr(10) || chr(10) order by i)) as answer_md5, round(avg(relevance), 6) as relevance from n where i <= 5 group by 1""",
+)
+def rt23(spark, d):
+    turns = table(spark, d, C)
+    questions = turns.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    parts = turns.filter("role = 'assistant'").join(questions, "conv_id")
+    parts = parts.withColumn("relevance", T.overlap(T.tokens("question"), T.tokens("text"))).withColumn("confidence", 0.5 + F.col("turn") % 5 / 10)
+    return K.reranked_parts(parts, "conv_id", "relevance", "confidence", "text", "turn").select("conv_id", F.md5("answer").alias("answer_md5"), "relevance")

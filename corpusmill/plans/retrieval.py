@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import evaluation as E
+from corpusmill.operators import ranking as K
 from corpusmill.operators import retrieval as R
-from corpusmill.plans.text import TOK, pairs
+from corpusmill.plans.text import TOK, WORDS, pairs
 from corpusmill.registry import query
 from corpusmill.sources.tables import table, tables
 
@@ -173,11 +174,29 @@ def rt28(spark, d):
     return contexts(spark, d).groupBy("qid").agg(F.round(e, 6).alias("efficiency"))
 
 
-@query("rt21_response_confidence", f"select conv_id, turn, round(least(1.0, 0.5 + least(0.2, length(a) / 2000.0) + case when len(list_intersect({TOK('q')}, {TOK('a')})) > 2 then 0.1 else 0 end - case when contains(a, '?') then 0.15 else 0 end), 6) as confidence from (select a.conv_id, a.turn, a.text as q, b.text as a from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant')")
+_TOLD = """(select a.conv_id, a.turn, string_agg(b.text, ' ' order by b.turn) as context, count(*) as chunks from conversations a join conversations b on a.conv_id = b.conv_id and b.turn < a.turn group by 1, 2)"""
+
+
+def told(spark, d):
+    """``conv_id, turn, context, chunks``: what was said before each turn; a conversation's turns are few."""
+    turns = table(spark, d, "conversations")
+    earlier = turns.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("text").alias("said"))
+    rows = turns.join(earlier, (F.col("conv_id") == F.col("c")) & (F.col("t") < F.col("turn"))).groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("t", "said"))).alias("s"))
+    return rows.select("conv_id", "turn", F.array_join("s.said", " ").alias("context"), F.size("s").alias("chunks"))
+
+
+@query(
+    "rt21_response_confidence",
+    f"""with p as (select q.*, coalesce(x.context, '') as context, coalesce(x.chunks, 0) as chunks from (select a.conv_id, a.turn, a.text as q, b.text as a from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant') q left join {_TOLD} x using (conv_id, turn))
+    select conv_id, turn, round(greatest(0, least(1, 0.5::double + case when chunks > 0 then least(0.2, chunks * 0.05) + case when len(list_intersect({WORDS('lower(q)')}, {WORDS('lower(context)')})) > 0 then 0.1 else 0 end + case when len(list_intersect({WORDS('lower(a)')}, {WORDS('lower(context)')})) > 0 then 0.1 else 0 end else -0.2 end
+    + case conv_id % 3 when 0 then -0.1 when 1 then 0.05 else 0 end + case when len({WORDS('a')}) < 10 then -0.1 when len({WORDS('a')}) > 50 then 0.05 else 0 end
+    - case when regexp_matches(lower(a), 'i''m not sure|uncertain|maybe|possibly|i think|perhaps') then 0.15 else 0 end)), 6) as confidence from p""",
+)
 def rt21(spark, d):
-    both = F.size(F.array_intersect(T.tokens("q"), T.tokens("a")))
-    score = 0.5 + F.least(F.lit(0.2), F.length("a") / 2000.0) + F.when(both > 2, 0.1).otherwise(0.0) - F.when(F.contains("a", F.lit("?")), 0.15).otherwise(0.0)
-    return pairs(spark, d).select("conv_id", "turn", F.round(F.least(F.lit(1.0), score), 6).alias("confidence"))
+    rows = pairs(spark, d).join(told(spark, d), ["conv_id", "turn"], "left").fillna({"context": "", "chunks": 0})
+    model = F.when(F.col("conv_id") % 3 == 0, -0.1).when(F.col("conv_id") % 3 == 1, 0.05).otherwise(0.0)
+    score = K.response_confidence(F.col("q"), F.col("a"), F.col("context"), F.col("chunks"), model)
+    return rows.select("conv_id", "turn", F.round(score, 6).alias("confidence"))
 
 
 _EVAL = f"with {_BENCH}, {_BM25}, h as (select t.qid, rank, contains(lower(text), lower(query)) as relevant from {_TOP('b')} t join documents using (doc_id) join queries using (qid) where rank <= 10)"

@@ -13,7 +13,7 @@ from corpusmill.operators import ranking as K
 from corpusmill.operators import relational as R
 from corpusmill.operators import retrieval as RT
 from corpusmill.plans.retrieval import _BENCH, _BM25, _HYBRID, _SIM, _TOP, arms, asked, bench_bm25, vectors
-from corpusmill.plans.text import SENT, TOK, WORDS, pairs
+from corpusmill.plans.text import SENT, TOK, WORDS, cascade, pairs
 from corpusmill.registry import query
 from corpusmill.sources.tables import table, tables
 
@@ -111,11 +111,10 @@ def tx11(spark, d):
     return table(spark, d, C).select("conv_id", "turn", (base - F.when(F.size(T.split_words("text")) > 2, 0.1).otherwise(0.0)).alias("alpha"))
 
 
-@query("tx13_question_type", "select conv_id, turn, case when regexp_matches(lower(text), '(token|code|server)') then 'technical' when regexp_matches(text, '[0-9]+ *[-+*/=] *[0-9]+') then 'math' when contains(text, '?') then 'factual' else 'chat' end as kind, case when length(text) > 400 then 'complex' when length(text) < 80 then 'simple' else 'moderate' end as complexity from conversations")
+@query("tx13_question_type", "select conv_id, turn, " + cascade(K.QUESTION_TYPES, "text", "factual") + " as kind, case when length(text) > 400 then 'complex' when length(text) < 80 then 'simple' else 'moderate' end as complexity from conversations")
 def tx13(spark, d):
-    kind = M.first_match([("technical", F.lower("text").rlike("(token|code|server)")), ("math", F.col("text").rlike("[0-9]+ *[-+*/=] *[0-9]+")), ("factual", F.contains("text", F.lit("?")))], "chat")
     size = M.first_match([("complex", F.length("text") > 400), ("simple", F.length("text") < 80)], "moderate")
-    return table(spark, d, C).select("conv_id", "turn", kind.alias("kind"), size.alias("complexity"))
+    return table(spark, d, C).select("conv_id", "turn", K.first_class(F.col("text"), K.QUESTION_TYPES, "factual").alias("kind"), size.alias("complexity"))
 
 
 @query("tx16_decomposition", f"with p as (select conv_id, turn, unnest(list_filter({SENT('text')}, lambda x: length(x) > 0)[1:5]) as part, generate_subscripts({SENT('text')}[1:5], 1) as i from conversations where len({WORDS('text')}) >= 15) select conv_id, turn, i::int as i, part, array_to_string({WORDS('part')}[1:3], ' ') as topic from p")

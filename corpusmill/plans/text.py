@@ -19,6 +19,14 @@ WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')".form
 SENT = r"list_filter(list_transform(regexp_split_to_array({}, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')".format
 COLL = r"trim(regexp_replace({}, '\s+', ' ', 'g'))".format
 STOP = ["the", "of", "and", "to", "in", "is", "der", "die", "das", "und", "de", "la", "le", "et", "el", "y"]
+
+
+def cascade(classes: dict[str, list[str]], column: str, default: str) -> str:
+    """SQL of a first-match cascade of substrings."""
+    found = (" or ".join(f"contains(lower({column}), '{w}')" for w in words) for words in classes.values())
+    return "case " + " ".join(f"when {f} then '{c}'" for f, c in zip(found, classes)) + f" else '{default}' end"
+
+
 STOPS = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
 
 
@@ -296,10 +304,9 @@ def tx10(spark, d):
     return M.classify(table(spark, d, D), "doc_id", "text", _CLASSES, "general").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("tx14_category", "select conv_id, turn, case when contains(text, '?') then 'question' when length(text) > 300 then 'long' when role = 'system' then 'system' else 'other' end as category from conversations")
+@query("tx14_category", "select conv_id, turn, " + cascade(K.QUESTION_CATEGORIES, "text", "general") + " as category from conversations")
 def tx14(spark, d):
-    rules = [("question", F.contains("text", F.lit("?"))), ("long", F.length("text") > 300), ("system", F.col("role") == "system")]
-    return table(spark, d, C).select("conv_id", "turn", M.first_match(rules, "other").alias("category"))
+    return table(spark, d, C).select("conv_id", "turn", K.first_class(F.col("text"), K.QUESTION_CATEGORIES, "general").alias("category"))
 
 
 @query(
