@@ -24,10 +24,12 @@ def src01(spark, d):
     return rows.select("doc_id", "source", F.length("text").alias("n")).orderBy("doc_id")
 
 
-@query("src02_csv_lines", "select 'CSV Headers: n_nationkey | n_name | n_regionkey' || chr(10) || string_agg(n_nationkey || ' | ' || n_name || ' | ' || n_regionkey, chr(10) order by n_nationkey) as content from nation")
+@query("src02_csv_lines", "select 'CSV Headers: n_nationkey | n_name | n_regionkey' || chr(10) || string_agg(n_nationkey || ' | ' || n_name || ', \"the\" ' || n_regionkey || ' | ' || n_regionkey, chr(10) order by n_nationkey) as content from nation")
 def src02(spark, d):
+    """A field that holds commas and quotes is one field."""
     path = place(spark)
-    table(spark, d, "nation").orderBy("n_nationkey").coalesce(1).write.option("header", True).csv(path)
+    rows = table(spark, d, "nation").select("n_nationkey", F.concat("n_name", F.lit(', "the" '), "n_regionkey").alias("n_name"), "n_regionkey")
+    rows.repartitionByRange(1, "n_nationkey").sortWithinPartitions("n_nationkey").write.option("header", True).option("escape", '"').csv(path)
     return files.csv_lines(spark, path).select("content")
 
 
@@ -74,7 +76,15 @@ def src09(spark, d):
     return files.round_trip(table(spark, d, "documents"), place(spark), ["doc_id", "text"])
 
 
-@query("src11_catalog")
+_KINDS = "replace(replace(replace(lower(data_type), 'integer', 'int'), 'varchar', 'string'), 'timestamp', 'timestamp_ntz')"
+
+
+@query(
+    "src11_catalog",
+    f"select table_name as \"table\", column_name as \"column\", column_index::int as position, case data_type when 'FLOAT[]' then 'array<float>' when 'DOUBLE[]' then 'array<double>' else {_KINDS} end as type, true as nullable, n as rows from duckdb_columns() join ("
+    + " union all ".join(f"select '{n}' as t, count(*) as n from {n}" for n in TABLES)
+    + ") on t = table_name where not internal",
+)
 def src11(spark, d):
     return files.catalog_profile({n: table(spark, d, n) for n in TABLES})
 

@@ -422,30 +422,39 @@ def ag22(spark, d):
 
 @query(
     "ag23_quality_score",
-    f"""select event_type, round(0.8 * avg(mean) + 0.2 * greatest(0, 10 - stddev_samp(mean)) - least(5, stddev_samp(mean)), 6) as score from ({_DAILY}) group by 1""",
+    f"""with d as ({_DAILY} union all select 'all', date_trunc('day', ts)::date, avg(value) from events group by 2), x as (select *, row_number() over (partition by event_type order by day) - 1 as i from d),
+    s as (select event_type, arg_max(mean, day) as current, coalesce(stddev_samp(mean), 0) as sd, regr_slope(mean, i) as slope, count(*) as points from x group by 1)
+    select round(avg(case when event_type = 'all' then greatest(0, least(100, current + case when points > 1 and slope >= 0.1 then 5 else 0 end - least(5, sd))) else 0.8 * current + 0.2 * greatest(0, 10 - sd) end), 6) as score from s""",
 )
 def ag23(spark, d):
-    daily = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("mean"))
-    sd = F.stddev_samp("mean")
-    return daily.groupBy("event_type").agg(F.round(0.8 * F.avg("mean") + 0.2 * F.greatest(F.lit(0.0), 10 - sd) - F.least(F.lit(5.0), sd), 6).alias("score"))
+    """Mean of a score for each type's daily series, 0.8 of its last value and 0.2 of its evenness, and one for all events:
+    the last value, five more if it improves, less the spread, up to five."""
+    events = table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    daily = events.unionByName(events.withColumn("event_type", F.lit("all"))).groupBy("event_type", "day").agg(F.avg("value").alias("mean"))
+    s = daily.groupBy("event_type").agg(F.max_by("mean", "day").alias("current"), F.coalesce(F.stddev_samp("mean"), F.lit(0.0)).alias("sd"))
+    s = s.join(R.trend(daily, ["event_type"], "day", "mean").select("event_type", "trend"), "event_type")
+    every = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("current") + F.when(F.col("trend") == "improving", 5).otherwise(0) - F.least(F.lit(5.0), "sd")))
+    score = F.when(F.col("event_type") == "all", every).otherwise(0.8 * F.col("current") + 0.2 * F.greatest(F.lit(0.0), 10 - F.col("sd")))
+    return s.agg(F.round(F.avg(score), 6).alias("score"))
 
 
 @query(
     "ag24_flaky",
-    """with s as (select user_id, count(*) as runs, count(*) filter (where event_type = 'error') as failures, var_samp(value) filter (where value > 0) as variance,
-    max(ts) filter (where event_type = 'error') as last_failure from events group by 1)
-    select user_id, runs, failures, round(failures / runs, 6) as rate, round(variance, 4) as variance, last_failure,
-    case when runs >= 50 then 'high' when runs >= 20 then 'medium' else 'low' end as confidence from s where runs >= 3 and failures > 0 and failures < runs""",
+    """with s as (select user_id, count(*) as runs, count(*) filter (where event_type = 'error') as failures, coalesce(var_samp(value) filter (where value > 0), 0) as variance, avg(value) filter (where value > 0) as mean,
+    max(ts) filter (where event_type = 'error') as last_failure from events group by 1), r as (select *, failures / runs as rate from s where runs >= 3 and failures > 0 and failures < runs)
+    select user_id, runs, failures, round(rate, 6) as rate, round(variance, 4) as variance, round(mean, 4) as mean, last_failure,
+    round(least(1, case when rate between 0.2 and 0.8 then 0.8::double when rate between 0.1 and 0.9 then 0.6 else 0.3 end + least(0.2, runs * 0.02) + least(0.1, variance * 0.1)), 6) as confidence from r""",
 )
 def ag24(spark, d):
-    failed = F.col("event_type") == "error"
+    failed, positive = F.col("event_type") == "error", F.when(F.col("value") > 0, F.col("value"))
     s = table(spark, d, "events").groupBy("user_id").agg(
-        F.count("*").alias("runs"), F.count_if(failed).alias("failures"), F.var_samp(F.when(F.col("value") > 0, F.col("value"))).alias("variance"),
+        F.count("*").alias("runs"), F.count_if(failed).alias("failures"), F.coalesce(F.var_samp(positive), F.lit(0.0)).alias("variance"), F.avg(positive).alias("mean"),
         F.max(F.when(failed, F.col("ts"))).alias("last_failure"),
     )
-    s = s.filter("runs >= 3 and failures > 0 and failures < runs")
-    tier = F.when(F.col("runs") >= 50, "high").when(F.col("runs") >= 20, "medium").otherwise("low")
-    return s.select("user_id", "runs", "failures", F.round(F.col("failures") / F.col("runs"), 6).alias("rate"), F.round("variance", 4).alias("variance"), "last_failure", tier.alias("confidence"))
+    s = s.filter("runs >= 3 and failures > 0 and failures < runs").withColumn("rate", F.col("failures") / F.col("runs"))
+    base = F.when(F.col("rate").between(0.2, 0.8), 0.8).when(F.col("rate").between(0.1, 0.9), 0.6).otherwise(0.3)
+    sure = F.least(F.lit(1.0), base + F.least(F.lit(0.2), F.col("runs") * 0.02) + F.least(F.lit(0.1), F.col("variance") * 0.1))
+    return s.select("user_id", "runs", "failures", F.round("rate", 6).alias("rate"), F.round("variance", 4).alias("variance"), F.round("mean", 4).alias("mean"), "last_failure", F.round(sure, 6).alias("confidence"))
 
 
 @query(
@@ -460,21 +469,34 @@ def ag25(spark, d):
 @query(
     "ag27_performance_score",
     """with w as (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as i from events),
-    s as (select event_type, count(*) as n, avg(case when value < 20 then 1.0 else 0.0 end) as success, avg(value) as mean from w where i <= 200 group by 1 having count(*) >= 5)
-    select event_type, n, round(0.5 * success + 0.3 * least(1.0, mean / 100) + 0.2 * 1000 / greatest(mean, 100), 6) as score from s""",
+    s as (select event_type, count(*) as n, avg(case when value < 20 then 1.0 else 0.0 end) as success, avg(least(1.0, value / 100)) as sure, avg(value) as mean from w where i <= 200 group by 1 having count(*) >= 5),
+    r as (select event_type, n, 0.5 * success + 0.3 * sure + 0.2 * 1000 / greatest(mean, 100) as score from s)
+    select event_type, n, round(score, 6) as score, case when score > 0.8 then 'excellent' when score > 0.6 then 'good' when score > 0.4 then 'average' else 'poor' end as label, event_type = (select event_type from r order by score desc, event_type limit 1) as best from r""",
 )
 def ag27(spark, d):
     last = R.trailing(table(spark, d, "events"), ["event_type"], [F.desc("ts"), F.desc("event_id")], 200)
-    s = last.groupBy("event_type").agg(F.count("*").alias("n"), F.avg(F.when(F.col("value") < 20, 1.0).otherwise(0.0)).alias("success"), F.avg("value").alias("mean")).filter("n >= 5")
-    score = 0.5 * F.col("success") + 0.3 * F.least(F.lit(1.0), F.col("mean") / 100) + 0.2 * 1000 / F.greatest(F.col("mean"), F.lit(100.0))
-    return s.select("event_type", "n", F.round(score, 6).alias("score"))
+    s = last.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.avg(F.when(F.col("value") < 20, 1.0).otherwise(0.0)).alias("success"), F.avg(F.least(F.lit(1.0), F.col("value") / 100)).alias("sure"), F.avg("value").alias("mean")
+    )
+    score = 0.5 * F.col("success") + 0.3 * F.col("sure") + 0.2 * 1000 / F.greatest(F.col("mean"), F.lit(100.0))
+    s = s.filter("n >= 5").withColumn("score", score)
+    best = F.broadcast(s.agg(F.max_by("event_type", F.struct("score")).alias("_best")))
+    label = F.when(F.col("score") > 0.8, "excellent").when(F.col("score") > 0.6, "good").when(F.col("score") > 0.4, "average").otherwise("poor")
+    return s.crossJoin(best).select("event_type", "n", F.round("score", 6).alias("score"), label.alias("label"), (F.col("event_type") == F.col("_best")).alias("best"))
 
 
-@query("ag28_classification_statistics", "select lang, count(*) filter (where quality = 1) as good, count(*) filter (where quality = 0) as bad, round(avg(quality), 4) as mean_quality from documents join labels using (doc_id) group by 1")
+@query(
+    "ag28_classification_statistics",
+    """with j as (select lang, source, quality, toxic, n_chars from documents join labels using (doc_id)) select 'type' as kind, lang as name, count(*) as n, round(avg(quality), 4) as quality, round(avg(1 - toxic), 4) as confidence, round(avg(least(1, n_chars / 10000)), 4) as priority from j group by 2
+    union all select 'domain', source, count(*), round(avg(quality), 4), round(avg(1 - toxic), 4), round(avg(least(1, n_chars / 10000)), 4) from j group by 2""",
+)
 def ag28(spark, d):
     docs, labels = tables(spark, d, D, "labels")
-    rows = docs.join(labels, "doc_id").groupBy("lang")
-    return rows.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"), F.round(F.avg("quality"), 4).alias("mean_quality"))
+    joined = docs.select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id")
+    named = joined.withColumn("_k", F.explode(F.array(F.struct(F.lit("type").alias("kind"), F.col("lang").alias("name")), F.struct(F.lit("domain").alias("kind"), F.col("source").alias("name")))))
+    mean = lambda c, n: F.round(F.avg(c), 4).alias(n)
+    by = named.groupBy(F.col("_k.kind").alias("kind"), F.col("_k.name").alias("name"))
+    return by.agg(F.count("*").alias("n"), mean(F.col("quality"), "quality"), mean(1 - F.col("toxic"), "confidence"), mean(F.least(F.lit(1.0), F.col("n_chars") / 10000), "priority"))
 
 
 @query("ag32_metric_summary", "select event_type, count(*) as n, round(avg(value), 6) as mean, min(value) as least, max(value) as most from events group by 1")
@@ -508,15 +530,23 @@ def ag36(spark, d):
 @query(
     "ag38_consensus",
     """with a as (select conv_id, turn, length(text) as n, row_number() over (partition by conv_id order by length(text), turn) as i, count(*) over (partition by conv_id) as c,
-    1.0 / (1 + turn) as confidence from conversations where role = 'assistant')
-    select conv_id, max(turn) filter (where i = c // 2 + 1) as median_turn, round(1 - stddev_samp(confidence), 6) as agreement from a group by 1 having count(*) > 1""",
+    1.0::double / (1 + turn) as confidence from conversations where role = 'assistant')
+    select conv_id, min(turn) as best_turn, max(turn) filter (where i = c // 2 + 1) as median_turn, round(greatest(0, least(1, 1 - stddev_samp(confidence))), 6) as agreement, round(least(1, max(confidence) / greatest(avg(confidence), 0.1)), 6) as lead,
+    0.7::double as median_agreement from a group by 1 having count(*) > 1""",
 )
 def ag38(spark, d):
+    """Three ways to one answer: of the greatest confidence, with evenness or lead as agreement, and of the median length."""
     answers = table(spark, d, "conversations").filter("role = 'assistant'").withColumn("confidence", 1.0 / (1 + F.col("turn")))
     w = Window.partitionBy("conv_id")
     a = answers.withColumn("i", F.row_number().over(w.orderBy(F.length("text"), "turn"))).withColumn("c", F.count("*").over(w))
-    median = F.max(F.when(F.col("i") == F.floor(F.col("c") / 2) + 1, F.col("turn")))
-    return a.groupBy("conv_id").agg(F.count("*").alias("n"), median.alias("median_turn"), F.round(1 - F.stddev_samp("confidence"), 6).alias("agreement")).filter("n > 1").drop("n")
+    by = a.groupBy("conv_id").agg(
+        F.count("*").alias("n"),
+        F.max_by("turn", "confidence").alias("best_turn"),
+        F.max(F.when(F.col("i") == F.floor(F.col("c") / 2) + 1, F.col("turn"))).alias("median_turn"),
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.stddev_samp("confidence"))), 6).alias("agreement"),
+        F.round(F.least(F.lit(1.0), F.max("confidence") / F.greatest(F.avg("confidence"), F.lit(0.1))), 6).alias("lead"),
+    )
+    return by.filter("n > 1").drop("n").withColumn("median_agreement", F.lit(0.7))
 
 
 @query(
@@ -538,12 +568,17 @@ def ag41(spark, d):
 
 @query(
     "ag43_completeness",
-    """select count(*) filter (where text is not null and text <> '') as texts, count(*) filter (where contains(text, '@')) as contacts,
-    round(100.0 * count(*) filter (where contains(text, '@')) / count(*), 4) as share from documents""",
+    """with f as (select unnest([{'field': 'text', 'filled': text <> ''}, {'field': 'lang', 'filled': lang <> ''}, {'field': 'source', 'filled': source <> ''}, {'field': 'contacts', 'filled': len(regexp_extract_all(text, '[a-z0-9._]+@[a-z0-9]+[.][a-z]+')) > 0}, {'field': 'licence', 'filled': contains(text, 'License')}], recursive := true) from documents)
+    select field, count(*) filter (where filled) as filled, round(100.0 * count(*) filter (where filled) / count(*), 4) as share from f group by 1""",
 )
 def ag43(spark, d):
-    has = F.count_if(F.contains("text", F.lit("@")))
-    return table(spark, d, D).agg(F.count_if(F.col("text").isNotNull() & (F.col("text") != "")).alias("texts"), has.alias("contacts"), F.round(100.0 * has / F.count("*"), 4).alias("share"))
+    """How many documents hold each field, plain ones and lists found in the text, and their share of all."""
+    has = lambda c: F.coalesce(c != "", F.lit(False))
+    contacts = F.size(F.regexp_extract_all("text", F.lit("([a-z0-9._]+@[a-z0-9]+[.][a-z]+)"), 1)) > 0
+    fields = {"text": has(F.col("text")), "lang": has(F.col("lang")), "source": has(F.col("source")), "contacts": contacts, "licence": F.contains("text", F.lit("License"))}
+    rows = table(spark, d, D).select(F.explode(F.array(*(F.struct(F.lit(n).alias("field"), c.alias("filled")) for n, c in fields.items()))).alias("f")).select("f.*")
+    filled = F.count_if("filled")
+    return rows.groupBy("field").agg(filled.alias("filled"), F.round(100.0 * filled / F.count("*"), 4).alias("share"))
 
 
 @query(

@@ -252,7 +252,9 @@ def ev05(spark, d):
 
 @query(
     "ev08_win_loss",
-    f"with {_HYBRID}, g as (select vs - bs as g from n), c as (select count(*) filter (where g > 0.05) as wins, count(*) filter (where g < -0.05) as losses, count(*) filter (where abs(g) <= 0.05) as ties from g) select *, round(1 - (pow(wins - losses, 2) / (wins + losses)) / (pow(wins - losses, 2) / (wins + losses) + 1), 6) as p from c",
+    f"""with {_HYBRID}, g as (select vs - bs as g from n), c as (select count(*) filter (where g > 0.05) as wins, count(*) filter (where g < -0.05) as losses, count(*) filter (where abs(g) <= 0.05) as ties, count(*) as t from g),
+    x as (select *, (pow(wins - t / 2, 2) + pow(losses - t / 2, 2)) / (t / 2) as chi, wins / t as w, losses / t as l from c)
+    select wins, losses, ties, round(1 - chi / (chi + 1), 6) as p, round(w - l - 1.96 * sqrt((w * (1 - w) + l * (1 - l)) / t), 6) as low, round(w - l + 1.96 * sqrt((w * (1 - w) + l * (1 - l)) / t), 6) as high from x""",
 )
 def ev08(spark, d):
     vector, lexical = arms(spark, d)

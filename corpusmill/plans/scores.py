@@ -18,14 +18,23 @@ from corpusmill.registry import query
 from corpusmill.sources.tables import table, tables
 
 C, D = "conversations", "documents"
+_VERSIONS = ["4.16", "4.15", "4.14"]
 
 
-@query("ag30_strategy_comparison", f"select 'lines' as strategy, count(*) as n, round(avg(length(x)), 4) as mean from (select unnest(string_split(text, chr(10))) as x from documents) union all select 'sentences', count(*), round(avg(length(x)), 4) from (select unnest({SENT('text')}) as x from documents)")
+@query(
+    "ag30_strategy_comparison",
+    f"""with c as (select 'lines' as strategy, unnest(string_split(text, chr(10))) as x from documents union all select 'sentences', unnest({SENT('text')}) from documents)
+    select strategy, count(*) as n, round(avg(length(x)), 4) as mean, round(avg(len({WORDS('x')})), 4) as mean_words, count(*) filter (where regexp_matches(x, '[A-Z]{{2,}}|[0-9]+[.][0-9]+')) as technical, count(*) filter (where length(x) < 40) as short, count(*) filter (where length(x) between 40 and 400) as normal, count(*) filter (where length(x) > 400) as long from c group by 1""",
+)
 def ag30(spark, d):
     docs = table(spark, d, D)
     one = lambda name, x: docs.select(F.lit(name).alias("strategy"), F.explode(x).alias("x"))
     both = one("lines", F.split("text", "\n")).unionByName(one("sentences", T.sentences("text")))
-    return both.groupBy("strategy").agg(F.count("*").alias("n"), F.round(F.avg(F.length("x")), 4).alias("mean"))
+    n = F.length("x")
+    return both.groupBy("strategy").agg(
+        F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean"), F.round(F.avg(F.size(T.split_words("x"))), 4).alias("mean_words"), F.count_if(F.col("x").rlike("[A-Z]{2,}|[0-9]+[.][0-9]+")).alias("technical"),
+        F.count_if(n < 40).alias("short"), F.count_if(n.between(40, 400)).alias("normal"), F.count_if(n > 400).alias("long"),
+    )
 
 
 @query("ag35_embedding_store", "select label, count(*) as n, list_sort(list(distinct len(embedding)::int)) as dimensions, round(avg(embedding[1]::double), 5) as mean_first from embeddings group by 1")
@@ -176,11 +185,30 @@ def rt07(spark, d):
     return RT.top(scaled, "qid", "doc_id", "score", 5)
 
 
-@query("rt11_domain_score", f"with {_BENCH}, {_BM25}, t as (select * from {_TOP('b')} where rank <= 10) select qid, doc_id, round(least((contains(text, '|')::int + contains(lower(text), 'license')::int + 2 * regexp_matches(text, '[0-9]+[.][0-9]+')::int + 1.5 * (lang = 'en')::int) / 10, 1)::double, 6) as domain from t join documents using (doc_id)")
+DOMAIN = {"common": ["the", "und", "que"], "endings": ["tion", "ment", "heit"], "codes": ["src1", "src2", "en"]}
+_MATCHED = " + ".join(
+    "case when " + " or ".join(f"contains(lower(query), '{t}')" for t in ts) + " then " + " + ".join(f"contains(lower(text), '{t}')::int + 0.5 * contains(name, '{t}')::int" for t in ts) + " else 0 end" for ts in DOMAIN.values()
+)
+_VERSION = " or ".join(f"contains(lower({{0}}), '{v}')" for v in _VERSIONS)
+
+
+@query(
+    "rt11_domain_score",
+    f"""with {_BENCH}, {_BM25}, t as (select t.qid, t.doc_id, query, text, source || '-' || lang as name from {_TOP('b')} t join documents using (doc_id) join queries using (qid) where rank <= 10)
+    select qid, doc_id, round(least(({_MATCHED} + case when ({_VERSION.format('query')}) and ({_VERSION.format('text')}) then 2 else 0 end + case when contains(name, '-en') and contains(lower(query), 'the') then 1.5 when contains(name, '-de') and contains(lower(query), 'und') then 1.5 else 0 end) / 10, 1)::double, 6) as domain from t""",
+)
 def rt11(spark, d):
-    flag = lambda c, w: c.cast("int") * w
-    score = flag(F.contains("text", F.lit("|")), 1.0) + flag(F.contains(F.lower("text"), F.lit("license")), 1.0) + flag(F.col("text").rlike("[0-9]+[.][0-9]+"), 2.0) + flag(F.col("lang") == "en", 1.5)
-    return bench_bm25(spark, d, 10).join(table(spark, d, D), "doc_id").select("qid", "doc_id", F.round(F.least(score / 10, F.lit(1.0)), 6).alias("domain"))
+    """For each category that the question names, one for each of its terms in the text and a half for each in the name; two for a
+    version where the question has one; 1.5 for the kind of document that it asks for; a tenth of the sum, 1 at most."""
+    bench, docs = tables(spark, d, "benchmark", D)
+    named = docs.select("doc_id", F.lower("text").alias("c"), F.concat_ws("-", "source", "lang").alias("name"))
+    rows = bench_bm25(spark, d, 10).join(named, "doc_id").join(bench.select(F.col("item_id").alias("qid"), F.lower("text").alias("q")), "qid")
+    has = lambda column, terms: reduce(lambda a, b: a | b, (F.contains(column, F.lit(t)) for t in terms))
+    inside = lambda terms: sum(F.contains("c", F.lit(t)).cast("int") + 0.5 * F.contains("name", F.lit(t)).cast("int") for t in terms)
+    score = sum(F.when(has("q", terms), inside(terms)).otherwise(0.0) for terms in DOMAIN.values())
+    score = score + F.when(has("q", _VERSIONS) & has("c", _VERSIONS), 2.0).otherwise(0.0)
+    score = score + F.when(has("name", ["-en"]) & has("q", ["the"]), 1.5).when(has("name", ["-de"]) & has("q", ["und"]), 1.5).otherwise(0.0)
+    return rows.select("qid", "doc_id", F.round(F.least(score / 10, F.lit(1.0)), 6).alias("domain"))
 
 
 @query(
@@ -205,7 +233,6 @@ def rt14(spark, d):
 
 
 _ASKS = ["the", "und", "que"]
-_VERSIONS = ["4.16", "4.15", "4.14"]
 
 
 @query(
@@ -255,10 +282,21 @@ def rt17(spark, d):
     return m.select("qid", F.round(accuracy, 6).alias("accuracy"), F.round(F.least(F.lit(1.0), (0.8 + sure + F.col("right_kind")) / 3), 6).alias("confidence"))
 
 
-@query("rt24_context_score", f"select conv_id, turn, round(0.4 * least(1, overlap * 1.2) + 0.3 * pow(0.5, turn) + 0.3 * least(1, ln(turn + 2) / ln(10)), 6) as score from (select conv_id, turn, case when len(x) = 0 then 0.0 else len(list_intersect(x, y)) / len(x) end as overlap from (select a.conv_id, a.turn, list_distinct({TOK('a.text')}) as x, list_distinct({TOK('b.text')}) as y from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'))")
+REASONING = {"analysis": ["the", "and"], "synthesis": ["tion", "und"], "comparison": ["versus", "que"]}
+_BOOST = " * ".join("case when " + "(" + " or ".join(f"contains(lower(q), '{t}')" for t in ts) + ") and (" + " or ".join(f"contains(lower(a), '{t}')" for t in ts) + ") then 1.2::double else 1 end" for ts in REASONING.values())
+
+
+@query(
+    "rt24_context_score",
+    f"""select conv_id, turn, round(0.4 * least(1, overlap * {_BOOST}) + 0.3 * pow(0.5, turn) + 0.3 * least(1, ln(turn + 2) / ln(10)), 6) as score from (select *, case when len(x) = 0 then 0.0 else len(list_intersect(x, y)) / len(x) end as overlap
+    from (select a.conv_id, a.turn, a.text as q, b.text as a, list_distinct({WORDS('lower(a.text)')}) as x, list_distinct({WORDS('lower(b.text)')}) as y from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'))""",
+)
 def rt24(spark, d):
-    overlap = F.least(F.lit(1.0), T.overlap(T.tokens("q"), T.tokens("a")) * 1.2)
-    score = 0.4 * overlap + 0.3 * F.pow(F.lit(0.5), "turn") + 0.3 * T.frequency(F.col("turn") + 1)
+    """0.4 overlap, a fifth more for each group of reasoning words that question and text share, 0.3 recency, 0.3 frequency."""
+    has = lambda c, terms: reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(t)) for t in terms))
+    boost = reduce(lambda a, b: a * b, (F.when(has("q", ts) & has("a", ts), 1.2).otherwise(1.0) for ts in REASONING.values()))
+    overlap = T.overlap(T.split_words(F.lower("q")), T.split_words(F.lower("a")))
+    score = 0.4 * F.least(F.lit(1.0), overlap * boost) + 0.3 * F.pow(F.lit(0.5), "turn") + 0.3 * T.frequency(F.col("turn") + 1)
     return pairs(spark, d).select("conv_id", "turn", F.round(score, 6).alias("score"))
 
 
@@ -283,12 +321,19 @@ def ev07(spark, d):
     return rows.groupBy("alpha").agg(F.round(F.avg(T.overlap(T.tokens("query"), T.tokens("text"))), 5).alias("share"))
 
 
-@query("ev13_method_summary", "select event_type as method, round(avg(value), 6) as mean, round(avg((value < 100)::int), 6) as reliability, avg(value) < 1.2 * (select avg(value) from events where event_type = 'view') as advised from events group by 1")
+@query(
+    "ev13_method_summary",
+    "with s as (select event_type as method, avg(value) as m, avg((value < 100)::int) as r from events group by 1) select method, round(m, 6) as mean, round(r, 6) as reliability, method = (select method from s order by m, method limit 1) as fastest, method = (select method from s order by r desc, method limit 1) as most_reliable, m < 1.2 * (select m from s where method = 'view') as advised from s",
+)
 def ev13(spark, d):
-    events = table(spark, d, "events")
-    base = F.broadcast(events.filter("event_type = 'view'").agg(F.avg("value").alias("base")))
-    s = events.groupBy(F.col("event_type").alias("method")).agg(F.avg("value").alias("m"), F.round(F.avg((F.col("value") < 100).cast("int")), 6).alias("reliability"))
-    return s.crossJoin(base).select("method", F.round("m", 6).alias("mean"), "reliability", (F.col("m") < 1.2 * F.col("base")).alias("advised"))
+    s = table(spark, d, "events").groupBy(F.col("event_type").alias("method")).agg(F.avg("value").alias("m"), F.avg((F.col("value") < 100).cast("int")).alias("r"))
+    best = s.agg(
+        F.min_by("method", F.struct("m", "method")).alias("first"), F.min_by("method", F.struct(-F.col("r"), "method")).alias("sure"), F.max(F.when(F.col("method") == "view", F.col("m"))).alias("base")
+    )
+    rows = s.crossJoin(F.broadcast(best))
+    return rows.select(
+        "method", F.round("m", 6).alias("mean"), F.round("r", 6).alias("reliability"), (F.col("method") == F.col("first")).alias("fastest"), (F.col("method") == F.col("sure")).alias("most_reliable"), (F.col("m") < 1.2 * F.col("base")).alias("advised")
+    )
 
 
 @query("ev18_response_quality", "select role, round(avg(case when length(text) between 50 and 500 then 0.4 else 0.1 end + case when contains(text, '.') then 0.3 else 0 end + 0.3 * (not contains(lower(text), 'unknown'))::int), 6) as quality from conversations group by 1")
@@ -323,11 +368,22 @@ def ds06(spark, d):
     return table(spark, d, D).join(templates, "lang").select("doc_id", F.replace("template", F.lit("{}"), F.col("doc_id").cast("string")).alias("question"))
 
 
-@query("rt31_keyword_match", "with p as (select page_id, regexp_extract(html, '<title>(.*?)</title>', 1) as title, url from pages), s as (select item_id as qid, page_id, round(0.6 * contains(lower(title), w)::int + 0.4 * contains(lower(url), w)::int, 6)::double as score from p, (select item_id, lower(string_split(text, ' ')[1]) as w from benchmark)) select qid, page_id as doc_id, score from s where score > 0.1")
+_WEIGHTS = (("text", 0.6), ("description", 0.4), ("tags", 0.3))
+
+
+@query(
+    "rt31_keyword_match",
+    f"""with p as (select page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) as text, regexp_extract(html, '<title>(.*?)</title>', 1) as description, regexp_replace(url, '[^A-Za-z]+', ' ', 'g') as tags from pages),
+    w as (select page_id, 0.6::double as weight, unnest(list_distinct({TOK('text')})) as w from p union all select page_id, 0.4, unnest(list_distinct({TOK('description')})) from p union all select page_id, 0.3, unnest(list_distinct({TOK('tags')})) from p),
+    q as (select item_id as qid, unnest(list_distinct({TOK('text')})) as w, len(list_distinct({TOK('text')})) as n from benchmark),
+    s as (select qid, page_id as doc_id, round(sum(weight) / any_value(n), 6) as score from q join w using (w) group by 1, 2) select qid, doc_id, score, rank from (select *, row_number() over (partition by qid order by score desc, doc_id)::int as rank from s where score > 0.1) where rank <= 20""",
+)
 def rt31(spark, d):
+    """Share of a question's words in a page's heading, title and address, weighted 0.6, 0.4 and 0.3; above 0.1, the best 20."""
     pages, bench = tables(spark, d, "pages", "benchmark")
-    words = bench.select(F.col("item_id").alias("qid"), F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("w"))
-    p = pages.select(F.col("page_id").alias("doc_id"), F.lower(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"), F.lower("url").alias("url"))
-    score = F.round(0.6 * F.contains("title", "w").cast("int") + 0.4 * F.contains("url", "w").cast("int"), 6)
-    found = p.join(words, F.contains("title", "w") | F.contains("url", "w")).select("qid", "doc_id", score.alias("score"))
-    return found.filter("score > 0.1")
+    found = lambda p: F.regexp_extract("html", p, 1)
+    parts = pages.select(F.col("page_id").alias("doc_id"), found("<h1>(.*?)</h1>").alias("text"), found("<title>(.*?)</title>").alias("description"), F.regexp_replace("url", "[^A-Za-z]+", " ").alias("tags"))
+    words = reduce(lambda a, b: a.unionByName(b), (parts.select("doc_id", F.lit(w).alias("weight"), F.explode(F.array_distinct(T.tokens(c))).alias("w")) for c, w in _WEIGHTS))
+    asked_words = bench.select(F.col("item_id").alias("qid"), F.array_distinct(T.tokens("text")).alias("ws")).select("qid", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    scored = asked_words.join(words, "w").groupBy("qid", "doc_id").agg(F.round(F.sum("weight") / F.max("n"), 6).alias("score"))
+    return RT.top(scored.filter("score > 0.1"), "qid", "doc_id", "score", 20)
\ No newline at end of file

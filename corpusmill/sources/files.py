@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 
 
 def csv_lines(spark: SparkSession, path: str, most: int = 100) -> DataFrame:
-    """``file, content`` of CSV files: the header row, then rows up to ``most`` in file order, and a mark if more follow."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("block"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("block", F.monotonically_increasing_id())))
-    line = F.regexp_replace("value", ",", " | ")
-    shown = F.when(F.col("nth") == 1, F.concat(F.lit("CSV Headers: "), line)).when(F.col("nth") <= most, line).when(F.col("nth") == most + 1, F.lit("... (truncated)"))
-    return rows.filter(F.col("nth") <= most + 1).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", shown.alias("s")))), lambda x: x["s"]), "\n").alias("content"))
+    """``file, content`` of CSV files: the header row, then rows up to ``most`` in file order, and a mark if more follow.
+
+    Files are read whole, as a quoted field may hold line feeds; quotes within a field are doubled.
+    """
+
+    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv
+        from itertools import islice
+
+        for pdf in batches:
+            out = []
+            for text in pdf["content"]:
+                rows = list(islice(csv.reader(text.splitlines(keepends=True)), most + 1))
+                lines = [" | ".join(r) for r in rows[:most]] + (["... (truncated)"] if len(rows) > most else [])
+                out.append("\n".join(["CSV Headers: " + lines[0], *lines[1:]]) if lines else "")
+            yield pd.DataFrame({"file": pdf["file"], "content": out})
+
+    return whole_texts(spark, path).mapInPandas(render, "file string, content string")
 
 
 def whole_texts(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
