@@ -250,3 +250,33 @@ def merged_classes(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> D
     other = b.select(key, F.col("confidence").alias("_confidence"), *(F.col(f).alias(f"_{f}") for f in fields))
     rows = a.join(other, key)
     return rows.select(key, *(F.coalesce(known(f), known(f"_{f}"), F.lit("unknown")).alias(f) for f in fields), F.greatest("confidence", "_confidence").alias("confidence"))
+
+
+def snapshot(docs: DataFrame, key: str, text: str, lexicon: dict[str, list[str]], connecting: list[str], verbs: list[str]) -> dict[str, DataFrame]:
+    """All that is mined of each document: ``entities``, ``specifications``, ``steps`` and ``relations``, one table each."""
+    entities = entity_spans(docs, key, text, lexicon)
+    links = entity_spans(docs, key, text, {"verb": connecting})
+    return {"entities": entities, "specifications": specifications(docs, key, text), "steps": steps(docs, key, text, verbs), "relations": relations(entities, links, key)}
+
+
+def snapshot_counts(docs: DataFrame, key: str, mined: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each table for each document, zeros included."""
+    out = docs.select(key).distinct()
+    for name, rows in mined.items():
+        out = out.join(rows.groupBy(key).agg(F.count("*").alias(name)), key, "left")
+    return out.fillna(0, list(mined))
+
+
+def term_context(queries: DataFrame, acronym_table: DataFrame, synonym_table: DataFrame, most: int = 3, terms: int = 3) -> DataFrame:
+    """``qid, context``: a text of the acronyms that a question names, ``most`` at most, and of the synonyms of its first
+    ``terms`` words, ``most`` a word, by their type; null where there is nothing to tell."""
+    named = relevant_acronyms(queries, acronym_table, most)
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(" = ", "acronym", "definition").alias("t")))), lambda x: x["t"]), "; ")
+    named = named.groupBy("qid").agg(F.concat(F.lit("Acronyms: "), listed).alias("acronyms"))
+    words = F.slice(F.regexp_extract_all("query", F.lit(r"([\p{L}\p{N}_]+)"), 1), 1, terms)
+    each = queries.select("qid", F.posexplode(words).alias("nth", "query")).select(F.struct("qid", "nth").alias("qid"), "query")
+    found = relevant_synonyms(each, synonym_table, most).select("qid.qid", "qid.nth", "rank", "term_type", F.concat_ws(" ~ ", "term", "synonym").alias("t"))
+    by_type = found.groupBy("qid", "term_type").agg(F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("nth", "rank", "t"))), lambda x: x["t"])), "; ").alias("s"))
+    lines = by_type.groupBy("qid").agg(F.array_join(F.sort_array(F.collect_list(F.concat("term_type", F.lit(": "), "s"))), "\n").alias("synonyms"))
+    both = queries.select("qid").distinct().join(named, "qid", "left").join(lines, "qid", "left")
+    return both.select("qid", F.nullif(F.concat_ws("\n", "acronyms", "synonyms"), F.lit("")).alias("context"))

@@ -156,16 +156,18 @@ def fuse(vector: DataFrame, lexical: DataFrame, qid: str, key: str, alpha: float
     return top(mixed.withColumn("score", F.round(alpha * F.col("vs") + (1 - alpha) * F.col("bs"), 6)), qid, key, "score", k).select(qid, key, "score", "rank")
 
 
-def pack_context(ranked: DataFrame, qid: str, strategy: str, budget: int, source: str = "source", tokens: str = "tokens", score: str = "score", key: str = "key") -> DataFrame:
+def pack_context(ranked: DataFrame, qid: str, strategy: str, budget: int | str, source: str = "source", tokens: str = "tokens", score: str = "score", key: str = "key") -> DataFrame:
     """Context chosen under a token budget from each query's short ranked list: ``qid, key, position``.
 
     ``balanced``: the longest prefix in order of score. ``diverse``: a source used before is skipped once three
     sources are in use; stops at the first overflow. ``deep``: the three sources of best score, one after the other,
-    each until an overflow; the budget is shared.
+    each until an overflow; the budget is shared. ``budget`` may name a column that holds each query's own.
     """
+    most = budget
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, key], ascending=[False, True])
+        budget = pdf[most].iloc[0] if isinstance(most, str) else most
         used, chosen, seen = 0, [], set()
         if strategy == "deep":
             for s in pdf.groupby(source, sort=False)[score].max().sort_values(ascending=False, kind="stable").index[:3]:
@@ -187,3 +189,25 @@ def pack_context(ranked: DataFrame, qid: str, strategy: str, budget: int, source
         return pd.DataFrame({qid: pdf[qid].iloc[0], key: chosen, "position": range(1, len(chosen) + 1)}).astype({qid: "int64"})
 
     return ranked.groupBy(qid).applyInPandas(choose, f"{qid} long, {key} long, position int")
+
+
+#: How the context of a kind of reasoning is packed; others are balanced. Fixed values.
+STRATEGIES = {"synthesis": "diverse", "comprehensive": "diverse", "chain_of_thought": "deep", "analytical": "deep"}
+
+
+def assembled_context(ranked: DataFrame, questions: DataFrame, history: DataFrame, qid: str, budget: int, turns: int = 5) -> DataFrame:
+    """``qid, key, position`` of context for ``questions (qid, reasoning)``: the budget less 1.3 tokens a word of each one's last
+    ``turns`` rows of ``history (qid, turn, words)``, spent on ``ranked`` by the strategy of its reasoning."""
+    last = history.withColumn("_n", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("turn")))).filter(F.col("_n") <= turns)
+    spent = last.groupBy(qid).agg(F.floor(F.sum("words") * 1.3).alias("_spent"))
+    left = questions.join(spent, qid, "left").select(qid, "reasoning", (F.lit(budget) - F.coalesce("_spent", F.lit(0))).alias("budget"))
+    rows = ranked.join(left, qid)
+    named = lambda s: [k for k, v in STRATEGIES.items() if v == s]
+    parts = [pack_context(rows.filter(F.col("reasoning").isin(named(s))), qid, s, "budget") for s in ("diverse", "deep")]
+    rest = rows.filter(~F.coalesce(F.col("reasoning").isin(list(STRATEGIES)), F.lit(False)))
+    return parts[0].unionByName(parts[1]).unionByName(pack_context(rest, qid, "balanced", "budget"))
+
+
+def used_context(assembled: DataFrame, key: str = "key") -> DataFrame:
+    """How often each piece of context was used: what usage counters grow by."""
+    return assembled.groupBy(key).agg(F.count("*").alias("uses"))

@@ -164,3 +164,24 @@ def snk05(spark, d):
     rows = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
     even = F.col("n_nationkey") % 2 == 0
     return files.markdown_index(rows.select(F.concat(F.lit("A"), "n_name").alias("acronym"), F.col("r_name").alias("definition"), F.when(even, 0.5).otherwise(0.9).alias("confidence"), (~even).alias("verified"), F.array("r_name", F.lit("b"), F.lit("c")).alias("sources")))
+
+
+@query("tx42_snapshot", "select p_partkey as doc_id, 2::bigint as entities, 2::bigint as specifications, 2::bigint as steps, 1::bigint as relations from part")
+def tx42(spark, d):
+    texts = parts(spark, d, "'The Pump of ", "p_size", "' is connected to the valve.\nVoltage: ", "p_size", "' volts; speed (rpm): ", "p_size", "'\nStep 1: open it\n- bullet")
+    mined = K.snapshot(texts, "doc_id", "text", {"part": ["pump", "valve"]}, ["connected to"], ["install"])
+    return K.snapshot_counts(texts, "doc_id", mined)
+
+
+@query(
+    "tx37_term_context",
+    """with s as (select distinct 'meter' || (p_size % 5) as term, 'gauge' || p_size as synonym, p_size / 50 as confidence, p_size as usage from part), r as (select *, row_number() over (partition by term order by confidence desc, usage desc, synonym) as i from s),
+    t as (select term, string_agg(term || ' ~ ' || synonym, '; ' order by i) as l from r where i <= 3 group by 1) select p_partkey as qid, 'Acronyms: AB' || p_size || ' = alpha' || chr(10) || 'gauge: ' || l as context from part join t on term = 'meter' || (p_partkey % 5)""",
+)
+def tx37(spark, d):
+    part = table(spark, d, "part")
+    i = (F.col("p_partkey") % 5).cast("string")
+    queries = part.select(F.col("p_partkey").alias("qid"), F.concat(F.lit("Meter"), i, F.lit(" and ab"), _s("p_size")).alias("query"))
+    acronyms = part.select(F.concat(F.lit("AB"), _s("p_size")).alias("acronym"), F.lit("alpha").alias("definition"), (F.col("p_size") / 50).alias("confidence"), F.col("p_size").alias("usage_count")).distinct()
+    synonyms = part.select(F.concat(F.lit("meter"), (F.col("p_size") % 5).cast("string")).alias("term"), F.concat(F.lit("gauge"), _s("p_size")).alias("synonym"), F.lit("gauge").alias("term_type"), (F.col("p_size") / 50).alias("confidence"), F.col("p_size").alias("usage_count")).distinct()
+    return K.term_context(queries, acronyms, synonyms)

@@ -11,7 +11,7 @@ from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
 from corpusmill.operators import ranking as K
 from corpusmill.operators import retrieval as R
-from corpusmill.plans.retrieval import _BENCH, _BM25, _SIM, _TOP, asked, bench_bm25, vectors
+from corpusmill.plans.retrieval import _BENCH, _BM25, _SIM, _TOP, asked, bench_bm25, contexts, vectors
 from corpusmill.plans.text import TOK, WORDS, pairs
 from corpusmill.registry import query
 from corpusmill.sources.tables import table, tables
@@ -393,3 +393,16 @@ def rt23(spark, d):
     parts = turns.filter("role = 'assistant'").join(questions, "conv_id")
     parts = parts.withColumn("relevance", T.overlap(T.tokens("question"), T.tokens("text"))).withColumn("confidence", 0.5 + F.col("turn") % 5 / 10)
     return K.reranked_parts(parts, "conv_id", "relevance", "confidence", "text", "turn").select("conv_id", F.md5("answer").alias("answer_md5"), "relevance")
+
+
+@query("rt37_context_assembly")
+def rt37(spark, d):
+    reasoning = F.element_at(F.array(*map(F.lit, ["synthesis", "analytical", "plain", "comprehensive"])), (F.col("item_id") % 4 + 1).cast("int"))
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), reasoning.alias("reasoning"))
+    history = table(spark, d, C).select(F.col("conv_id").alias("qid"), "turn", F.size(T.split_words("text")).alias("words"))
+    return R.assembled_context(contexts(spark, d), questions, history, "qid", 3000)
+
+
+@query("rt37_context_usage")
+def rt37_usage(spark, d):
+    return R.used_context(rt37(spark, d))
