@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusmill.llm import chunks, components, fmindex, mixing, output, packing, quality_rules, sharding, simhash, site_quality, substrings, tokens, vptree
@@ -96,7 +97,7 @@ def test_nearest(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     hits = 0
-    for factor, least in ((1.0, 1.0), (0.7, 0.9)):
+    for factor, least in ((1.0, 1.0), (0.16, 0.9)):
         got = vptree.nearest(df, df.filter("vec_id % 50 = 0 or vec_id > 700"), k=5, factor=factor, shard_rows=200).toPandas()
         assert got[got.query_id == 704].vec_id.tolist() == [705] and not set(got.query_id) & {700, 701, 702, 703}
         hits = 0
@@ -112,6 +113,25 @@ def test_nearest(spark):
     assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(120, 8)))]
+    rows += [rows[50], rows[50], rows[16], (50, rng.normal(size=8).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    results = []
+    for most in (vptree.MOST_BROADCAST, 0):
+        monkeypatch.setattr(vptree, "MOST_BROADCAST", most)
+        got = vptree.nearest(df, df.filter("vec_id % 50 = 0"), factor=1.0, shard_rows=40, block_rows=2)
+        results.append(sorted(map(tuple, got.collect())))
+    assert results[0] == results[1]
+    got = got.toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 5, 50: 10, 100: 5}  # two different vectors bear id 50
+    v = np.array([r[1] for r in rows[:120]])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    best = [i for i in np.argsort(-(unit @ unit[50])) if i != 50][:5]
+    assert all(((got.query_id == 50) & (got["rank"] == r + 1) & (got.vec_id == i)).any() for r, i in enumerate(best))
+
+
 def test_packing(docs, none, rows):
     got = packing.pack_documents(docs, BYTES).toPandas()
     tokenizer = Tokenizer.from_file(BYTES)
@@ -264,8 +284,8 @@ def test_near_groups_of_a_template_family(spark, monkeypatch):
     pairs = similarities(texts)
     want = grouped_by_pairs(texts, [p for p, j in pairs.items() if j >= 0.8])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    for apart, block in ((8, 2048), (0, 2048), (0, 30), (1000, 2048)):
-        monkeypatch.setattr(simhash, "MOST_APART", apart)
+    for small, block in ((16, 2048), (2, 30), (1000, 2048)):
+        monkeypatch.setattr(simhash, "SMALL_LIST", small)
         monkeypatch.setattr(simhash, "FAMILY_BLOCK", block)
         got = {r["doc_key"]: r["first_key"] for r in simhash.near_groups(df).collect()}
         assert got == want
@@ -391,8 +411,15 @@ def test_fm_index():
     places = [(i, k) for i, p in enumerate(parts) for k in range(len(p) - 4)]
     count = collections.Counter(tuple(parts[i][k : k + 5]) for i, k in places)
     ends = np.array([index.starts[i] + k + 5 for i, k in places])
-    which, lo, hi = index.find(ends, 5, least=1)
-    assert (hi - lo).tolist() == [count[tuple(parts[i][k : k + 5])] for i, k in places]
+    length, lo, hi = index.matching_statistics(ends, 5, least=1)
+    assert (length == 5).all() and (hi - lo).tolist() == [count[tuple(parts[i][k : k + 5])] for i, k in places]
+    all_ends = [(i, k) for i, p in enumerate(parts) for k in range(1, len(p) + 1)]
+    length, lo, hi = index.matching_statistics(np.array([index.starts[i] + k for i, k in all_ends]), 60)
+    joined = [tuple(p) for p in parts]
+    for (i, k), n, places_n in zip(all_ends, length, hi - lo):
+        def occurs(m):
+            return sum(joined[j][s : s + m] == joined[i][k - m : k] for j in range(len(joined)) for s in range(len(joined[j]) - m + 1))
+        assert n and occurs(n) == places_n >= 2 and (n == k or occurs(n + 1) == 1)
 
 
 def test_site_quality(docs, none, labels, rows):
@@ -430,6 +457,16 @@ def test_mixing(docs, none, rows):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_odds_are_unequal(spark):
+    rows = [(i, " ".join(["w"] * 10), "a", 4.0 if i % 2 else 1.0) for i in range(4000)] + [(5000, " ".join(["w"] * 10), "a", 1e6), (5001, "w w w", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, importance double")
+    got = mixing.mix(docs, share=0.4, importance=F.col("importance")).toPandas()
+    n = {x: got[(got.doc_id < 4000) & (got.doc_id % 2 == x)].copies.sum() for x in (0, 1)}
+    # chances in proportion: 1600 documents are wanted, so 0.16 and 0.64 of the two halves
+    assert abs(n[0] - 320) < 60 and abs(n[1] - 1280) < 60 and abs(got.taken.sum() - got.target.iloc[0]) <= 5
+    assert got[got.doc_id == 5000].copies.iloc[0] == 1 and got[got.doc_id == 5001].copies.iloc[0] == 0
+
+
 def test_sharding(spark, docs, none, rows):
     got = sharding.shard(docs).toPandas()
     assert sorted(got["size"]) == sorted(len((r[1] or "").encode()) + 1 for r in rows)
