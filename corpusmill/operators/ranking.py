@@ -39,7 +39,7 @@ def enhanced(df: DataFrame, text: str, patterns: dict[str, list[str]], synonyms:
     """
     low = F.lower(text)
     known = F.filter(array_of(list(synonyms)), lambda k: F.contains(low, F.lower(k)))
-    terms = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2,})\b"), 1), F.regexp_extract_all(text, F.lit(r"\b(\d+\.\d+(?:\.\d+)?)\b"), 1), known))
+    terms = F.array_distinct(F.concat(F.filter(F.regexp_extract_all(text, F.lit(f"({T.WORD})"), 1), lambda w: w.rlike("^[A-Z]{2,}$")), F.regexp_extract_all(text, F.lit(r"\b(\d+\.\d+(?:\.\d+)?)\b"), 1), known))
     df = df.withColumn("query_type", best_class(F.col(text), patterns, "general")).withColumn("terms", F.sort_array(terms))
     meant = [F.when(F.array_contains("terms", k), array_of(v)) for k, v in synonyms.items()]
     meant += [F.when(F.array_contains("terms", k), array_of([v])) for k, v in acronyms.items()]

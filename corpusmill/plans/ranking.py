@@ -34,7 +34,7 @@ _CLASS = "case when greatest({0}) = 0 then 'general' {1} end".format(
     ", ".join("(" + " + ".join(f"regexp_matches(lower(text), '{p}')::int" for p in ps) + ")" for ps in PATTERNS.values()),
     " ".join(f"when {' + '.join(f'regexp_matches(lower(text), {chr(39)}{p}{chr(39)})::int' for p in ps)} = greatest({', '.join('(' + ' + '.join(f'regexp_matches(lower(text), {chr(39)}{p}{chr(39)})::int' for p in qs) + ')' for qs in PATTERNS.values())}) then '{c}'" for c, ps in PATTERNS.items()),
 )
-_TERMS = r"list_sort(list_distinct(regexp_extract_all(text, '\b[A-Z]{2,}\b') || regexp_extract_all(text, '\b\d+\.\d+(?:\.\d+)?\b') || " + f"list_filter({sql_list(SYNONYMS)}, lambda k: contains(lower(text), k))))"
+_TERMS = r"list_sort(list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z]{2,}')) || regexp_extract_all(text, '\b\d+\.\d+(?:\.\d+)?\b') || " + f"list_filter({sql_list(SYNONYMS)}, lambda k: contains(lower(text), k))))"
 _GROWN = " || ".join(
     [f"case when list_contains(terms, '{k}') then {sql_list(v)} else [] end" for k, v in SYNONYMS.items()]
     + [f"case when list_contains(terms, '{k}') then ['{v}'] else [] end" for k, v in ACRONYMS.items()]
