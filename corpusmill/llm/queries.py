@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, output, packing, quality_rules, sharding, simhash, site_quality, substrings, tokens, vptree
+from . import language_id, merkle, mixing, output, packing, quality_rules, sharding, simhash, site_quality, spelling, substrings, tokens, vptree
 from .common import read, scratch_dir
 
 
@@ -67,6 +67,22 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.token_digest(spark, path)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy", "accepted")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.manifest(read(spark, sf_dir, "documents"), tampered=merkle.every_third(F.col("doc_id")))
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +96,9 @@ QUERIES = {
         op8_mixing,
         op9_sharding,
         op10_token_orc,
+        op11_language_id,
+        op12_spelling,
+        op13_merkle,
     )
 }
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
