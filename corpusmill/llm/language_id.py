@@ -71,7 +71,7 @@ class Model:
         clean = [w if w.isalpha() else "".join(c for c in w if c.isalpha()) for w in words]
         total, length = np.zeros((len(words), len(self.languages))), np.zeros(len(words), np.int64)
         rows = [i for i, w in enumerate(clean) if w]
-        if not rows:
+        if not rows or not self.languages:
             return total, length
         sizes = np.array([len(clean[i]) + 2 for i in rows])
         codes = codes_of("".join(BEGIN + clean[i] + END for i in rows))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, merkle, mixing, output, packing, quality_rules, sharding, simhash, site_quality, spelling, substrings, tokens, vptree
+from . import language_id, merkle, mixing, oracles, output, packing, quality_rules, sharding, simhash, site_quality, spelling, substrings, tokens, vptree
 from .common import read, scratch_dir
 
 
@@ -104,6 +104,7 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    **oracles.ORACLE_SQL,
     "op6_substring_dedup": f"""
         with d as (select doc_id, {_WORDS} as w from documents),
         windows as (select doc_id, k, array_to_string(w[k : k + 12], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d)),
