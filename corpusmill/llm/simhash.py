@@ -265,11 +265,16 @@ def _wide(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64).reshape(-1, WIDE // 8)
 
 
+#: Kinds of rows that posting lists give.
+LED, PAIR, MEMBER = 0, 1, 2
+
+
 def posting_lists(distinct: DataFrame, choices: np.ndarray) -> DataFrame:
-    """Lists of fingerprints ``(node, wide)`` that share all bytes of a choice: ``(listed, a, b)``.
+    """Lists of fingerprints ``(node, wide)`` that share all bytes of a choice: ``(kind, a, b)``.
 
-    Not ``listed``: an edge from the least node of a list to another member. ``listed``: ``a`` is the list and ``b`` a
-    member, for lists of three or more. A list is read in order and never held, so its length does not matter.
+    ``LED``: the least node of a list of three or more, and another member. ``PAIR``: the two members of a list of two.
+    ``MEMBER``: ``a`` is a list of three or more and ``b`` a member. A list is read in order and never held, so its
+    length does not matter.
     """
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,18 +302,23 @@ def posting_lists(distinct: DataFrame, choices: np.ndarray) -> DataFrame:
             first = starts if new[0] else np.concatenate([[-seen], starts])
             place = np.arange(n) - first[group]
             lead = heads[group]
-            edge = place >= 1
             third = np.flatnonzero(place == 2)
             seconds = np.where(third > 0, node[np.maximum(third - 1, 0)], second)
-            more = place >= 2
-            a = np.concatenate([lead[edge], key[third], key[third], key[more]])
-            b = np.concatenate([node[edge], lead[third], seconds, node[more]])
-            yield pd.DataFrame({"listed": np.arange(len(a)) >= edge.sum(), "a": a, "b": b})
+            more = np.flatnonzero(place >= 2)
+            two = np.flatnonzero((place[:-1] == 1) & new[1:])  # whose list ends with them
+            ended = [(leader, second)] if new[0] and seen == 2 else []  # the list of two before this batch
+            a = np.concatenate([[x for x, _ in ended], lead[two], lead[third], lead[more], key[third], key[third], key[more]])
+            b = np.concatenate([[y for _, y in ended], node[two], seconds, node[more], lead[third], seconds, node[more]])
+            n_two, n_led = len(ended) + len(two), len(third) + len(more)
+            kind = np.repeat([PAIR, LED, MEMBER], [n_two, n_led, len(a) - n_two - n_led])
+            yield pd.DataFrame({"kind": kind, "a": a.astype(np.int64), "b": b.astype(np.int64)})
             last_key, leader, second, seen = key[-1], lead[-1], node[-1], int(place[-1]) + 1
+        if seen == 2:
+            yield pd.DataFrame({"kind": [PAIR], "a": [leader], "b": [second]})
 
     listed = distinct.select("node", "wide").mapInPandas(post, "key long, node long")
     ordered = listed.repartition(tasks(distinct.sparkSession), "key").sortWithinPartitions("key", "node")
-    return ordered.mapInPandas(pair, "listed boolean, a long, b long")
+    return ordered.mapInPandas(pair, "kind int, a long, b long")
 
 
 def verified(pairs: DataFrame, distinct: DataFrame, sets: DataFrame | None, bounds: Bounds) -> DataFrame:
@@ -368,17 +378,22 @@ def family_links(roots: DataFrame, parts: DataFrame, distinct: DataFrame, sets:
 def near_links(distinct: DataFrame, sets_of, similarity: float) -> DataFrame:
     """Edges ``(u, v)`` that connect the texts ``(node, wide)`` whose shingle sets are at least ``similarity`` alike.
 
-    1. Texts are listed under many choices of (position, byte) postings. Of every list the least node meets each other
-       member: as many pairs as members. Shared positional bytes are tallied a pair, then bits, then shingle sets compared.
-    2. Verified pairs connect most lists of near copies. Long lists that are still in parts are joined to families, which
-       are searched in blocks. In short ones, members of different parts and families are paired.
+    1. Texts are listed under many choices of (position, byte) postings. Every text meets one leader, of those that lead
+       its lists the one it shares most lists with, so near copies cost one pair each however many lists they share. The
+       members of a list of two meet. Shared positional bytes are tallied a pair, then bits, then shingle sets compared.
+    2. Verified pairs connect most lists of near copies, and a list in one part needs no more. Long lists that are still in
+       parts are joined to families, which are searched in blocks. In short ones, members of different parts and families
+       are paired. So every list ends in one part, or all its pairs across parts have been compared.
     ``sets_of`` gives ``(node, shingles)`` for a table of nodes.
     """
     bounds = Bounds(similarity)
     found = materialize(posting_lists(distinct, choices_for(distinct.count())), "posting-lists")
-    pairs = found.filter("not listed").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    meets = found.filter(F.col("kind") != MEMBER).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
+    meets = materialize(meets, "meetings")
+    most = meets.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v")
+    pairs = most.unionByName(meets.filter(F.col("kind") == PAIR).select("u", "v")).distinct()
     near = materialize(verified(pairs, distinct, None, bounds), "near-pairs")
-    members = found.filter("listed").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    members = found.filter(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("node"))
     active = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).unionByName(members.select("node")).distinct()
     sets = materialize(sets_of(active), "shingle-sets")
     edges = materialize(verified(near, distinct, sets, bounds), "near-edges")

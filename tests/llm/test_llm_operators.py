@@ -312,12 +312,49 @@ def test_posting_lists_read_in_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     zero = [i for i in range(60) if i % 3]
-    assert sorted({(r["a"], r["b"]) for r in rows if not r["listed"]}) == [(zero[0], i) for i in zero[1:]]
+    assert sorted({(r["a"], r["b"]) for r in rows if r["kind"] == simhash.LED}) == [(zero[0], i) for i in zero[1:]]
     lists = collections.defaultdict(list)
     for r in rows:
-        if r["listed"]:
+        if r["kind"] == simhash.MEMBER:
             lists[r["a"]].append(r["b"])
     assert len(lists) == 5 and all(sorted(x) == zero for x in lists.values())
+    assert not [r for r in rows if r["kind"] == simhash.PAIR]
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 1000])
+def test_lists_of_two(spark, batch):
+    wide = [bytes([i // 2] * 128) for i in range(20)] + [bytes([200] * 128)] * 3 + [bytes([250] * 128)]
+    df = spark.createDataFrame(list(enumerate(wide)), "node long, wide binary").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rows = simhash.posting_lists(df, simhash.choices_for(60)[:2]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = collections.Counter((r["kind"], r["b"] if r["kind"] == simhash.MEMBER else (r["a"], r["b"])) for r in rows)
+    want = {(simhash.PAIR, (i, i + 1)): 2 for i in range(0, 20, 2)} | {(simhash.LED, (20, i)): 2 for i in (21, 22)} | {(simhash.MEMBER, i): 2 for i in (20, 21, 22)}
+    assert by == want
+
+
+def test_near_copies_cost_one_pair_each(spark, monkeypatch):
+    """A group of some thousand near copies, each in more than a hundred lists, is verified by a few pairs a member."""
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
+    texts = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(400)] = f"x{rng.randint(0, 10**6)}"
+        texts.append((i, " ".join(w)))
+    asked, whole = [], simhash.verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    groups = simhash.near_groups(spark.createDataFrame(texts, "doc_id long, text string")).toPandas()
+    assert set(groups.first_key) == {0}
+    assert asked[0] <= 6 * 2000 and sum(asked) <= 14 * 2000  # of each member in turn with the leaders of its lists: over 100 * 2000
 
 
 def test_components(spark):
@@ -457,6 +494,21 @@ def test_mixing(docs, none, rows):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    """Rows without ids, rows of one id, and equal rows are drawn each on their own, so sums come near their targets."""
+    rows = [(None, f"text {i} " + "w " * 8, "a") for i in range(400)]
+    rows += [(i % 8, f"text {i} " + "w " * 8, "b") for i in range(400)]
+    rows += [(None, "one hot text of exactly ten words it is all", "c")] * 400 + [(7, "same " * 10, "d")] * 300 + [(None, None, "e")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, second = (mixing.mix(docs.repartition(n), share=0.4).toPandas() for n in (3, 6))
+    for x in "abcd":
+        mine = first[first.source == x]
+        assert abs(mine.taken.sum() - mine.target.iloc[0]) <= 5 and mine.target.iloc[0] > 100
+    key = ["size", "source", "target", "copies", "mark", "nth"]
+    assert sorted(map(tuple, first[key].values.tolist())) == sorted(map(tuple, second[key].values.tolist()))
+    assert sorted(first[first.source == "d"].nth) == list(range(300))
+
+
 def test_mixing_odds_are_unequal(spark):
     rows = [(i, " ".join(["w"] * 10), "a", 4.0 if i % 2 else 1.0) for i in range(4000)] + [(5000, " ".join(["w"] * 10), "a", 1e6), (5001, "w w w", "a", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, importance double")
