@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import mixing, packing, quality_rules, simhash, substrings
-from corpusmill.llm.common import materialize, read, shielded, word_count
+from corpusmill.llm.common import materialize, read, shielded
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +32,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out whole documents so that sources meet their targets; rows of one id each by their own decision."""
+    """Repeat or leave out whole documents so that sources meet their targets; each row by its own decision."""
 
     def repeat(d: DataFrame) -> DataFrame:
-        taken = mixing.mix(d).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n")).agg(F.max("copies").alias("_copies"))
-        # the operator decides by id, source and size, so the decision of rows equal in these is one
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n"))
-        rows = d.withColumn("_size", word_count()).join(taken, same)
+        taken = mixing.mix(d).select(F.col("mark").alias("_mark"), F.col("nth").alias("_nth"), F.col("copies").alias("_copies"))
+        rows = d.withColumn("mark", mixing.row_mark())
+        if not taken.filter("_nth > 0").isEmpty():
+            # equal rows have decisions of their own: they are numbered as the operator does
+            rows = mixing.numbered(materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered"))
+        else:
+            rows = rows.withColumn("nth", F.lit(0).cast("long"))
+        rows = rows.join(taken, (F.col("mark") == F.col("_mark")) & (F.col("nth") == F.col("_nth")))
         return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
 
     return shielded(docs, repeat, "source")

@@ -16,6 +16,30 @@ def uniform(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def row_mark(source: str = "source") -> Column:
+    """A digest of id, whole text and source; rows that agree in it are interchangeable."""
+    doc_id = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
+    return F.md5(F.concat_ws(":", doc_id, F.md5(F.coalesce(F.col("text"), F.lit(""))), F.coalesce(F.concat(F.lit("+"), F.col(source).cast("string")), F.lit("-"))))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Stored ``rows`` with ``nth``, from 0 among rows of one ``mark``; ``_row`` is a row's ``monotonically_increasing_id``.
+
+    Repeated rows are numbered where they lie, and what earlier partitions hold is added from counts, so a row repeated
+    any number of times is never in one task. Tables without repeated rows are not shuffled for it.
+    """
+    repeated = materialize(rows.groupBy("mark").agg(F.count("*").alias("_n")).filter("_n > 1").select("mark"), "repeated-rows")
+    if repeated.isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    part = F.shiftright("_row", 33).alias("_part")
+    some = rows.join(repeated, "mark", "left_semi").select("*", part)
+    before = Window.partitionBy("mark").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = some.groupBy("mark", "_part").agg(F.count("*").alias("_n")).select("mark", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    here = F.row_number().over(Window.partitionBy("mark", "_part").orderBy("_row")) - 1
+    some = some.withColumn("_here", here).join(bases, ["mark", "_part"]).select(*rows.columns, (F.col("_base") + F.col("_here")).alias("nth"))
+    return rows.join(repeated, "mark", "left_anti").withColumn("nth", F.lit(0).cast("long")).select(*some.columns).unionByName(some)
+
+
 def targets(sources: DataFrame, share: float, weights: tuple[float, ...], cap: float) -> DataFrame:
     """Targets of sources ``(source, source_size)``: weight shares of ``share`` times all sizes, none above its cap.
 
@@ -61,7 +85,7 @@ def mix(
     seed: str = "mix",
     importance: Column | None = None,
 ) -> DataFrame:
-    """How many words of each document the mix takes: ``doc_id, size, source, source_size, target, copies, taken``.
+    """How many words of each document the mix takes: ``doc_id, size, source, source_size, target, copies, taken, mark, nth``.
 
     A source's target is met by whole copies of all its documents, as many as fit, and by a fixed-size sample for the
     rest, drawn with unequal chances in proportion to ``importance``: an expression over ``size`` and the columns of
@@ -73,14 +97,16 @@ def mix(
 
     The order is cut without sorting a source: sums of 4,096 slices of the order show the slice where the words run
     out, and only that slice is sorted. So a source with a third of all rows is summed by many tasks. Numbers are
-    drawn from ``doc_id``: reruns agree. Null texts and texts without words have size 0 and are never sampled; null
-    sources form a source of their own; equal rows are drawn alike, ties fall to the smaller id, then size. An empty
-    table gives no rows; columns other than ``doc_id, text, source`` are read by ``importance`` only.
+    drawn from ``mark``, a digest of id, text and source, and ``nth``, the number among rows equal in these: reruns agree,
+    and rows of one id or without any, or equal rows, are drawn each on their own. Null texts and texts without words
+    have size 0 and are never sampled; null sources form a source of their own. An empty table gives no rows; columns
+    other than ``doc_id, text, source`` are read by ``importance`` only.
     """
     sized = docs.withColumn("size", word_count())
     weight = F.coalesce((F.sqrt("size") if importance is None else importance).cast("double"), F.lit(0.0))
     weight = F.when(F.isnan(weight) | (weight < 0), 0.0).otherwise(F.round(weight, 2))
-    rows = materialize(sized.select(id_key().alias("doc_key"), "source", "size", weight.alias("importance")), "sizes")
+    rows = sized.select(id_key().alias("doc_key"), row_mark().alias("mark"), "source", "size", weight.alias("importance"), F.monotonically_increasing_id().alias("_row"))
+    rows = numbered(materialize(rows, "sizes")).drop("_row")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = targets(per_source, share, weights, cap)
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
@@ -92,7 +118,7 @@ def mix(
     drawn = drawn.join(levels, drawn.source.eqNullSafe(levels.l), "left").drop("l")
     may = (F.col("size") > 0) & (F.col("importance") > 0) & (F.col("wanted") > 0)
     drawn = drawn.withColumn("certain", may & (F.col("importance") > F.coalesce("fit", F.lit(0.0))))
-    u = uniform(F.col("doc_key"), seed)
+    u = uniform(F.concat_ws(":", "mark", F.col("nth").cast("string")), seed)
     p = F.when(may & ~F.col("certain"), F.col("level") * F.col("importance"))
     pareto = (u / (1 - u)) / (p / (1 - p))
     drawn = drawn.withColumn("place", F.when(p > 0, pareto / (1 + pareto)))
@@ -111,20 +137,20 @@ def mix(
     )
     cut = materialize(cut.withColumnRenamed("s", "c"), "cuts")
     placed = eligible.join(cut, eligible.s.eqNullSafe(cut.c)).drop("c")
-    running = Window.partitionBy("s").orderBy("place", "doc_key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("s").orderBy("place", "mark", "nth").rowsBetween(Window.unboundedPreceding, 0)
     edge = placed.filter(F.col("slice") == F.col("cut")).withColumn("upto", F.col("base") + F.sum("size").over(running))
     # words taken from the cut slice before its first document that does not fit, and where that document stands
     last = edge.groupBy("s").agg(
         F.max(F.when(F.col("upto") <= F.col("wanted"), F.col("upto"))).alias("reached"),
-        F.min(F.when(F.col("upto") > F.col("wanted"), F.struct("place", "doc_key", "size"))).alias("stop"),
+        F.min(F.when(F.col("upto") > F.col("wanted"), F.struct("place", "mark", "nth"))).alias("stop"),
     )
     last = materialize(last.withColumnRenamed("s", "l"), "edges")
-    at = F.struct("place", "doc_key", "size")
+    at = F.struct("place", "mark", "nth")
     joined = placed.join(last, placed.s.eqNullSafe(last.l)).drop("l")
     gap = F.col("wanted") - F.coalesce(F.col("reached"), F.col("base"))
     rest = joined.filter(at >= F.col("stop")).withColumn("gap", gap)
     nearest = rest.groupBy("s").agg(
-        F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "place", "doc_key", "size")).alias("best"), F.first("gap").alias("gap")
+        F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "place", "mark", "nth")).alias("best"), F.first("gap").alias("gap")
     )
     filler = materialize(nearest.filter("best.miss < gap").select(F.col("s").alias("f"), "best"), "fillers")
 
@@ -134,10 +160,10 @@ def mix(
         .withColumn(
             "sampled",
             F.col("certain")
-            | (F.col("place").isNotNull() & (F.col("stop").isNull() | (at < F.col("stop")) | F.coalesce(at == F.struct("best.place", "best.doc_key", "best.size"), F.lit(False)))),
+            | (F.col("place").isNotNull() & (F.col("stop").isNull() | (at < F.col("stop")) | F.coalesce(at == F.struct("best.place", "best.mark", "best.nth"), F.lit(False)))),
         )
         .withColumn("copies", F.col("whole") + F.coalesce(F.col("sampled"), F.lit(False)).cast("long"))
     )
     return chosen.select(
-        id_back("doc_key").alias("doc_id"), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        id_back("doc_key").alias("doc_id"), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "mark", "nth"
     )

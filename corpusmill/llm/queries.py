@@ -116,14 +116,16 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, len(w)::bigint as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
         from d left join kept using (doc_id) left join n using (doc_id)""",
     "op8_mixing": f"""
-        with s as (select doc_id, source, len({_WORDS})::bigint as size from documents),
+        with d0 as (select doc_id, source, len({_WORDS})::bigint as size,
+            md5(coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, '')) || ':' || coalesce('+' || source, '-')) as mark from documents),
+        s as (select *, row_number() over (partition by mark) - 1 as nth from d0),
         p as (select source, sum(size)::bigint as source_size from s group by source),
         w as (select *, ([3, 1, 2])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight, source_size * 2::double as most from p),
         l as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(most) over b, 0)) / (sum(weight) over () - coalesce(sum(weight) over b, 0)) as level
             from w window b as (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding)),
         t as (select source, source_size, least(most, weight * coalesce(max(case when level <= most / weight then level end) over (), max(level) over ())) as target from l),
         r as (select s.*, source_size, target, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint as whole,
-            (('0x' || substr(md5(doc_id || ':mix'), 1, 13))::bigint + 0.5::double) / 4503599627370496::double as u from s join t on s.source is not distinct from t.source),
+            (('0x' || substr(md5(mark || ':' || nth || ':mix'), 1, 13))::bigint + 0.5::double) / 4503599627370496::double as u from s join t on s.source is not distinct from t.source),
         q as (select *, target - whole * source_size as wanted, round(sqrt(size), 2) as w from r),
         g as (select source, w, any_value(wanted) as wanted, sum(size)::double as words from q where size > 0 and wanted > 0 group by source, w),
         v as (select source, w, (wanted - coalesce(sum(words) over (partition by source order by w desc rows between unbounded preceding and 1 preceding), 0))
@@ -132,10 +134,10 @@ ORACLE_SQL: dict[str, str] = {
         d as (select q.*, size > 0 and wanted > 0 and w > coalesce(fit, 0) as certain, level * w as p from q left join fit on q.source is not distinct from fit.source),
         k as (select *, wanted - coalesce(sum(case when certain then size end) over (partition by source), 0) as remaining from d),
         o as (select *, (u / (1 - u)) / (p / (1 - p)) as odds from k where size > 0 and wanted > 0 and not certain),
-        c as (select *, odds / (1 + odds) as place, sum(size) over (partition by source order by odds / (1 + odds), doc_id, size rows unbounded preceding) as upto from o),
+        c as (select *, odds / (1 + odds) as place, sum(size) over (partition by source order by odds / (1 + odds), mark, nth rows unbounded preceding) as upto from o),
         h as (select *, remaining - coalesce(max(case when upto <= remaining then upto end) over (partition by source), 0) as gap from c),
-        f as (select *, row_number() over (partition by source, upto > remaining order by abs(gap - size), place, doc_id, size) as nth from h),
-        m as (select doc_id, source, size from f where upto <= remaining or (nth = 1 and abs(gap - size) < gap) union all select doc_id, source, size from d where certain)
-        select q.doc_id, q.size, q.source, q.source_size, q.target, (q.whole + (m.doc_id is not null)::int) * q.size as taken
-        from q left join m on q.doc_id = m.doc_id""",
+        f as (select *, row_number() over (partition by source, upto > remaining order by abs(gap - size), place, mark, nth) as nearest from h),
+        m as (select mark, nth from f where upto <= remaining or (nearest = 1 and abs(gap - size) < gap) union all select mark, nth from d where certain)
+        select q.doc_id, q.size, q.source, q.source_size, q.target, (q.whole + (m.mark is not null)::int) * q.size as taken
+        from q left join m on q.mark = m.mark and q.nth = m.nth""",
 }
