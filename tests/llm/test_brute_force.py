@@ -143,6 +143,25 @@ def test_shards(spark, rows):
     assert collections.Counter(map(tuple, got[key].fillna(-1).values)) == collections.Counter(map(tuple, again[key].fillna(-1).values))
 
 
+def test_shards_keep_groups_that_ranges_cut(spark):
+    """Groups of 3.6 % of a shard, over a range's share, stay whole; rows equal in text and id are cut when they are a third."""
+    rows = [(230 * j + i, f"group {i:03d} " + "w" * 25, "x") for i in range(230) for j in range(20)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, x string").repartition(3)).toPandas()
+    assert (got.groupby("text_crc32").shard.nunique() == 1).all()
+    shares = got.groupby("shard")["size"].sum()
+    assert len(shares) == 8 and shares.max() / shares.min() < 1.2
+
+    rows = [(None, None)] * 900 + [(None, "hot and equal")] * 400 + [(i, f"own {i}") for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, again = (sharding.shard(docs.repartition(k), shards=4).toPandas() for k in (2, 5))
+    shares = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and len(shares) == 4 and shares.max() / shares.min() < 1.1
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    key = ["doc_id", "size", "text_crc32", "shard", "slot"]
+    assert collections.Counter(map(tuple, got[key].fillna(-1).values)) == collections.Counter(map(tuple, again[key].fillna(-1).values))
+
+
 def test_steps_are_balanced(spark):
     rng = random.Random(3)
     pieces = [(i, 0, rng.choice([5, 60, 200, 300, 700, 1500, 2048]), i, 1) for i in range(6000)]
