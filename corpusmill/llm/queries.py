@@ -19,7 +19,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
-    return vptree.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, factor=0.16)
+    return vptree.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, recall=0.95)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

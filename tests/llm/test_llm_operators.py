@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -113,6 +114,26 @@ def test_nearest(spark):
     assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [16, 64])
+def test_recall_is_measured(spark, tmp_path, dim):
+    """The factor follows the vectors: recall over all queries keeps to what was wanted in few and many dimensions."""
+    rng = np.random.default_rng(dim)
+    v = rng.normal(size=(20000, dim))
+    pd.DataFrame({"vec_id": np.arange(20000), "embedding": list(v)}).to_parquet(f"{tmp_path}/vectors.parquet")
+    df = spark.read.parquet(f"{tmp_path}/vectors.parquet")
+    got = vptree.nearest(df, df.filter("vec_id % 50 = 0"), recall=0.95).toPandas()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    scores = unit[::50] @ unit.T
+    scores[np.arange(400), np.arange(0, 20000, 50)] = -9
+    best = np.argsort(-scores, axis=1)[:, :5]
+    mine = got.groupby("query_id").vec_id.apply(set)
+    recall = sum(len(set(b) & mine[50 * i]) for i, b in enumerate(best)) / 2000
+    assert len(got) == 2000 and recall >= 0.93 and got.sample_recall.iloc[0] >= 0.95 and got.factor.nunique() == 1
+    if dim == 16:
+        given = vptree.nearest(df, df.filter("vec_id % 50 = 0"), factor=0.16)
+        assert given.filter("sample_recall is not null").isEmpty() and got.factor.iloc[0] > 0.16
+
+
 def test_nearest_of_repeated_rows(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(120, 8)))]
