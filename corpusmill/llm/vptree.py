@@ -118,7 +118,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 #: Factors that are tried, from the one that prunes most to exact search.
-FACTORS = (0.05, 0.08, 0.12, 0.16, 0.22, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0)
+FACTORS = (0.05, 0.1, 0.16, 0.25, 0.4, 0.65, 1.0)
 
 #: Queries whose vectors take no more bytes in all are sent to every task of the index; more are dealt to shards in blocks.
 MOST_BROADCAST = 32 << 20
@@ -130,7 +130,7 @@ def nearest(
     k: int = 5,
     factor: float | None = None,
     recall: float = 0.95,
-    sample: int = 256,
+    sample: int = 128,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     shard_rows: int = 16384,
@@ -230,10 +230,12 @@ def search_block(r, k: int, factor: float) -> pd.DataFrame:
         # einsum sums each pair alike, so equal vectors get equal scores in any leaf
         scores = np.einsum("ij,kj->ik", queries[which], points[at]) / (norm_q[which, None] * norm_p[at])
         scores[query_ids[which, None] == ids[at]] = -np.inf
-        every = np.concatenate([best_score[which], scores], axis=1)
-        every_id = np.concatenate([best_id[which], np.broadcast_to(ids[at], scores.shape)], axis=1)
+        better = scores.max(axis=1) >= best_score[which, -1]  # the rest keep what they have
+        some, scores = which[better], scores[better]
+        every = np.concatenate([best_score[some], scores], axis=1)
+        every_id = np.concatenate([best_id[some], np.broadcast_to(ids[at], scores.shape)], axis=1)
         top = np.lexsort((every_id, -every), axis=1)[:, :k]
-        best_score[which], best_id[which] = np.take_along_axis(every, top, 1), np.take_along_axis(every_id, top, 1)
+        best_score[some], best_id[some] = np.take_along_axis(every, top, 1), np.take_along_axis(every_id, top, 1)
         return np.sqrt(np.maximum(0, 2 - 2 * best_score[which, -1]))
 
     unit = queries / norm_q[:, None]
