@@ -398,8 +398,9 @@ def near_links(distinct: DataFrame, sets_of, similarity: float) -> DataFrame:
     sets = materialize(sets_of(active), "shingle-sets")
     edges = materialize(verified(near, distinct, sets, bounds), "near-edges")
     parts = connected(edges).withColumnRenamed("root", "part")
-    placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part"))
-    per_part = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    # parts are looked up a text, with all its lists, and then counted a list: a join by membership would look up each text in each list
+    listed = members.groupBy("node").agg(F.collect_list("key").alias("keys")).join(parts, "node", "left")
+    per_part = listed.select(F.explode("keys").alias("key"), F.coalesce("part", "node").alias("part")).groupBy("key", "part").agg(F.count("*").alias("n"))
     lists = per_part.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("n_parts")).filter("n_parts > 1").select("key", "size")
     # from here lists are rows of parts, not of members: a list of many near copies has a few
     open_parts = materialize(per_part.select("key", "part").join(lists, "key"), "open-parts")
@@ -417,7 +418,8 @@ def near_links(distinct: DataFrame, sets_of, similarity: float) -> DataFrame:
     # short lists whose parts are not all in one family, by members
     own = F.coalesce("family", "part")
     short = open_parts.filter(F.col("size") <= SMALL_LIST).join(joined, "part", "left").groupBy("key").agg(F.min(own).alias("a"), F.max(own).alias("b"))
-    short = placed.join(short.filter("a != b").select("key"), "key").join(joined, "part", "left").select("key", "node", own.alias("family"))
+    short = members.join(short.filter("a != b").select("key"), "key").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    short = short.join(joined, "part", "left").select("key", "node", own.alias("family"))
     other = short.select("key", F.col("node").alias("x"), F.col("family").alias("x_family"))
     met = short.join(other, "key").filter("node < x and family != x_family").select(F.col("node").alias("u"), F.col("x").alias("v")).distinct()
     return edges.unionByName(verified(verified(met, distinct, None, bounds), distinct, sets, bounds))
