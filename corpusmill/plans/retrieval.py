@@ -314,15 +314,3 @@ def ev19(spark, d):
     same = F.col("a") == F.col("b")
     at = lambda k: F.max(((F.col("rank") <= k) & same).cast("int")).alias(f"r{k}")
     return hits.groupBy("qid").agg(at(1), at(3), at(5), at(10), F.round(F.avg(F.when(same, F.col("score"))), 9).alias("mean"))
-
-
-@query(
-    "jn09_pairs",
-    f"""with t as (select item_id, unnest(list_distinct({TOK('text')})) as w from benchmark)
-    select a.item_id as a, b.item_id as b, count(*) as shared from t a join t b on a.w = b.w and a.item_id < b.item_id group by 1, 2 having count(*) >= 2""",
-)
-def jn09(spark, d):
-    """Passages that share two words or more: every word counts, however many passages hold it."""
-    words = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens("text"))).alias("w"))
-    a, b = words.select(F.col("item_id").alias("a"), "w"), words.select(F.col("item_id").alias("b"), "w")
-    return a.join(b, "w").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 2")

@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import relational as R
 from corpusmill.plans.text import COLL
 from corpusmill.registry import query
+from corpusmill.sources.scratch import folder
 from corpusmill.sources.tables import table
 from corpusmill.streaming import events as S
 
 
-def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def batch(spark, d):
     return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
