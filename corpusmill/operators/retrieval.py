@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.sources.scratch import stored
 
 
 #: Query terms that are sent to every task, so that postings of other terms never leave it; more are joined by key.
@@ -43,6 +44,110 @@ def bm25(queries: DataFrame, docs: DataFrame, qid: str, key: str, text: str, k1:
     return q.join(p, "term").groupBy(qid, key).agg(F.round(F.sum(F.col("qf") * idf * tf), 6).alias("score"))
 
 
+#: Bytes of text of a block of documents, and of queries.
+BLOCK_BYTES = 8 << 20
+
+
+def _term_blocks(df: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """Texts packed into blocks of about ``BLOCK_BYTES``: their keys, lengths and postings sorted by term, a term by its hash."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    n = max(1, size // BLOCK_BYTES)
+
+    def pack(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_key")
+        lengths = pdf["_w"].map(len).to_numpy()
+        term, row = np.concatenate([*pdf["_w"], np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(pdf)), lengths)
+        order = np.lexsort((row, term))
+        term, row = term[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])])) if len(term) else np.zeros(0, np.int64)
+        tf = np.diff(np.append(first, len(term)))
+        terms, starts = np.unique(term[first], return_index=True)
+        arrays = {"keys": pdf["_key"].to_numpy(np.int64), "lengths": lengths.astype(np.int64), "terms": terms, "starts": np.append(starts, len(first)), "rows": row[first], "tf": tf}
+        return pd.DataFrame({"block": [k[0]]} | {name: [a.astype(np.int64).tobytes()] for name, a in arrays.items()})
+
+    words = F.transform(T.tokens(text), lambda w: F.xxhash64(w)).alias("_w")
+    dealt = df.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("_key"), words, F.pmod(F.xxhash64(key, F.lit(9)), F.lit(n)).cast("int").alias("block"))
+    return dealt.groupBy("block").applyInPandas(pack, "block int, keys binary, lengths binary, terms binary, starts binary, rows binary, tf binary"), n
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, qid: str, key: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``qid, key, score, rank``: the ``k`` best of ``bm25`` for each of ``queries (qid, query)``, which may be whole texts.
+
+    Documents and queries are packed into blocks of bounded size, and each block of queries meets each block of documents in
+    one task, which scores them from postings and keeps ``k`` a query. So what is shuffled is ``k`` rows for each query and
+    block of documents, whatever words the texts share; scores of pairs that do not come to the top never leave their task. Terms
+    are told apart by 64 bits of hash. Few queries are sent past the documents. Null texts match nothing but count as documents.
+    """
+    blocks = stored(_term_blocks(docs, key, text)[0], "postings")
+    asked, q_blocks = _term_blocks(queries, qid, "query")
+    asked = stored(asked, "asked")
+
+    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                yield pd.DataFrame({"term": np.frombuffer(r.terms, np.int64), "df": np.diff(np.frombuffer(r.starts, np.int64))})
+
+    def weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                starts, terms = np.frombuffer(r.starts, np.int64), np.frombuffer(r.terms, np.int64)
+                yield pd.DataFrame({"block": r.block, "row": np.frombuffer(r.rows, np.int64), "term": np.repeat(terms, np.diff(starts)), "tf": np.frombuffer(r.tf, np.int64)})
+
+    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums = [np.frombuffer(x, np.int64) for x in pdf["lengths"]]
+            yield pd.DataFrame({"n": [sum(map(len, sums))], "words": [sum(int(x.sum()) for x in sums)]})
+
+    n = docs.count()
+    with_text, words = blocks.select("lengths").mapInPandas(lengths, "n long, words long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    mean = words / max(with_text, 1)
+    df = blocks.select("terms", "starts").mapInPandas(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    parts = asked.select("block", "terms", "starts", "rows", "tf").mapInPandas(weighted, "block int, row long, term long, tf long").join(df, "term")
+    parts = parts.select("block", "row", "term", (F.col("tf") * idf).alias("w"))
+
+    def query_block(k: tuple, keys: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "term"])
+        ids = np.frombuffer(keys["keys"].iloc[0], np.int64)
+        starts = np.searchsorted(pdf["row"].to_numpy(), np.arange(len(ids) + 1))
+        return pd.DataFrame({"q_block": [k[0]], "q_keys": [ids.tobytes()], "q_starts": [starts.tobytes()], "q_terms": [pdf["term"].to_numpy(np.int64).tobytes()], "q_weights": [pdf["w"].to_numpy(float).tobytes()]})
+
+    q = asked.select("block", "keys").groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(query_block, "q_block int, q_keys binary, q_starts binary, q_terms binary, q_weights binary")
+    q = stored(q, "query-blocks")
+    size = q.agg(F.coalesce(F.sum(F.octet_length("q_terms") * 2 + F.octet_length("q_keys") * 2), F.lit(0))).first()[0]
+    if size <= MOST_BROADCAST:
+        met = blocks.repartition(max(1, min(blocks.count(), 4096)), "block").crossJoin(F.broadcast(q))
+    else:
+        met = blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).join(q, "q_block")
+        met = met.repartition(max(1, min(blocks.count() * q_blocks, 4096)), "block", "q_block")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                keys, length, terms, starts, rows, tf = (np.frombuffer(getattr(r, c), np.int64) for c in ("keys", "lengths", "terms", "starts", "rows", "tf"))
+                if not len(terms):
+                    continue
+                gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[rows] / mean))
+                ids, ends = np.frombuffer(r.q_keys, np.int64), np.frombuffer(r.q_starts, np.int64)
+                q_terms, q_weights = np.frombuffer(r.q_terms, np.int64), np.frombuffer(r.q_weights, float)
+                place = np.minimum(np.searchsorted(terms, q_terms), len(terms) - 1)
+                here = terms[place] == q_terms
+                out = []
+                for i in range(len(ids)):
+                    own = np.flatnonzero(here[ends[i] : ends[i + 1]]) + ends[i]
+                    begin, count = starts[place[own]], starts[place[own] + 1] - starts[place[own]]
+                    at = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+                    score = np.bincount(rows[at], gain[at] * np.repeat(q_weights[own], count), len(keys))
+                    found = np.flatnonzero(np.bincount(rows[at], minlength=len(keys)))
+                    score = np.round(score[found], 6)
+                    best = np.lexsort((keys[found], -score))[:k]
+                    out.append((np.full(len(best), ids[i]), keys[found[best]], score[best]))
+                if out:
+                    yield pd.DataFrame(dict(zip((qid, key, "score"), map(np.concatenate, zip(*out)))))
+
+    return top(met.mapInPandas(search, f"{qid} long, {key} long, score double"), qid, key, "score", k)
+
+
 def grams(df: DataFrame, key: str, text: str, stop: list[str]) -> DataFrame:
     """``key, term``: words of two characters or more without stop words, and pairs of them that follow one another."""
     found = df.select(key, F.filter(T.tokens(text), lambda w: (F.length(w) > 1) & ~w.isin(*stop)).alias("_w"))

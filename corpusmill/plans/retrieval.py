@@ -24,8 +24,7 @@ _TOP = "(select qid, doc_id, score, row_number() over (partition by qid order by
 
 def bench_bm25(spark, d, k):
     queries, docs = tables(spark, d, "benchmark", "documents")
-    scored = R.bm25(queries.select(F.col("item_id").alias("qid"), F.col("text").alias("query")), docs, "qid", "doc_id", "text")
-    return R.top(scored, "qid", "doc_id", "score", k)
+    return R.bm25_top(queries.select(F.col("item_id").alias("qid"), F.col("text").alias("query")), docs, "qid", "doc_id", "text", k)
 
 
 @query("rt04_bm25", f"with {_BENCH}, {_BM25} select * from {_TOP('b')} where rank <= 10")
@@ -72,7 +71,7 @@ def arms(spark, d, k=20):
     q = asked(spark, d)
     texts = q.join(docs, F.col("qid") == F.col("doc_id")).select("qid", F.col("text").alias("query"))
     vector = R.vector_top_k(q, vectors(spark, d), "qid", "doc_id", k)
-    lexical = R.top(R.bm25(texts, docs, "qid", "doc_id", "text"), "qid", "doc_id", "score", k)
+    lexical = R.bm25_top(texts, docs, "qid", "doc_id", "text", k)
     return vector, lexical
 
 
