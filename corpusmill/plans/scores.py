@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import mining as M
+from corpusmill.operators import questions as Q
 from corpusmill.operators import ranking as K
 from corpusmill.operators import relational as R
 from corpusmill.operators import retrieval as RT
 from corpusmill.plans.retrieval import _BENCH, _BM25, _HYBRID, _SIM, _TOP, arms, asked, bench_bm25, vectors
-from corpusmill.plans.text import SENT, TOK, WORDS, cascade, pairs
+from corpusmill.plans.text import COLL, SENT, TOK, WORDS, cascade, pairs
 from corpusmill.registry import query
 from corpusmill.sources.tables import table, tables
 
@@ -126,11 +127,34 @@ def tx13(spark, d):
     return table(spark, d, C).select("conv_id", "turn", K.first_class(F.col("text"), K.QUESTION_TYPES, "factual").alias("kind"), size.alias("complexity"))
 
 
-@query("tx16_decomposition", f"with p as (select conv_id, turn, unnest(list_filter({SENT('text')}, lambda x: length(x) > 0)[1:5]) as part, generate_subscripts({SENT('text')}[1:5], 1) as i from conversations where len({WORDS('text')}) >= 15) select conv_id, turn, i::int as i, part, array_to_string({WORDS('part')}[1:3], ' ') as topic from p")
+#: The tiers with words of the generated prose, which asks no questions.
+_TIERS = {k: v + more for (k, v), more in zip(Q.TIERS.items(), (["the ", "la "], [" und ", " of ", " de "], ["thing", "ción", "ung "]))}
+
+
+def _level(text: str) -> str:
+    """SQL of a question's complexity."""
+    plain = "lower(regexp_replace(" + COLL(text) + ", '[?!.]+$', ''))"
+    held = lambda words: " + ".join(f"contains({plain}, '{w}')::int" for w in words)
+    tiers = " + ".join(f"case when {held(words)} > 0 then {i + 1} else 0 end" for i, words in enumerate(_TIERS.values()))
+    score = f"({tiers} + len(regexp_extract_all({plain}, '[?]')) + {held(Q.CONDITIONS)})"
+    return f"case when {score} >= 4 then 'complex' when {score} >= 2 then 'moderate' else 'simple' end"
+
+
+@query(
+    "tx16_decomposition",
+    rf"""with q as (select conv_id, turn, {_level('text')} as complexity, len({WORDS('text')}) as words, {SENT('text')} as s,
+        list_filter(list_transform(regexp_split_to_array(text, '(?i)\s+(?:and|or)\s+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as c from conversations),
+    r as (select conv_id, turn, complexity, case when words >= 15 and complexity <> 'simple' then case when len(s) > 1 then s when len(c) > 1 then c end end as parts,
+        greatest(0.5::double, (case when len(s) > 1 then 0.8::double else 0.7 end) * (case when words < 20 then 0.9::double when words > 100 then 0.85 else 1 end)) as confidence from q),
+    e as (select conv_id, turn, complexity, confidence, len(parts) as n, unnest(parts) as part, generate_subscripts(parts, 1) - 1 as i from r where parts is not null),
+    w as (select *, {_level('part')} as level, array_to_string({WORDS('part')}[1:3], ' ') as topic, pow(2, greatest(0, ceil(log2(n / 10.0) - 1e-9))) as step from e),
+    a as (select *, floor(i / step)::int as at_, greatest(0, ceil(n / step)::int - 5) as over_ from w),
+    g as (select *, case when at_ < 2 * over_ then at_ // 2 else at_ - over_ end + 1 as place from a)
+    select conv_id, turn, complexity, least(n, 5)::int as n_parts, round(confidence, 6) as confidence, place::int as i, string_agg(part, ' and ' order by i) as part, max(level) as part_complexity, string_agg(topic, ' + ' order by i) as topic from g group by all
+    union all select conv_id, turn, complexity, 0, 1.0::double, null, null, null, null from r where parts is null""",
+)
 def tx16(spark, d):
-    rows = table(spark, d, C).filter(F.size(T.split_words("text")) >= 15)
-    parts = rows.select("conv_id", "turn", F.posexplode(F.slice(T.sentences("text"), 1, 5)).alias("i", "part"))
-    return parts.select("conv_id", "turn", (F.col("i") + 1).alias("i"), "part", F.array_join(F.slice(T.split_words("part"), 1, 3), " ").alias("topic"))
+    return Q.decompose(table(spark, d, C), ["conv_id", "turn"], "text", _TIERS)
 
 
 @query("tx17_intent", r"select conv_id, turn, least(coalesce(try_cast(nullif(regexp_extract(lower(text), '(?:first|top|the) (\d+)', 1), '') as int), 10), 20) as n, regexp_matches(lower(text), '(recent|latest|new)') as recent from conversations")

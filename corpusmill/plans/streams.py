@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -70,9 +71,35 @@ def st06(spark, d):
     return plain(S.rates(batch(spark, d)), "start")
 
 
-@query("st07_quantiles")
+@query(
+    "st06_increase",
+    """with c as (select event_type, ts, event_id, row_number() over (partition by event_type, time_bucket(interval 1 day, ts) order by ts, event_id) * 1.5::double as value from events),
+    s as (select event_type, ts, max(value) as value from c group by 1, 2),
+    w as (select *, unnest([time_bucket(interval 12 hours, ts), time_bucket(interval 12 hours, ts) - interval 12 hours]) as start from s),
+    d as (select event_type, start, value, lag(value) over (partition by event_type, start order by ts) as prev from w)
+    select event_type, start, count(*) as samples, round(sum(case when prev is null then 0 when value < prev then value else value - prev end), 6) as increase from d group by 1, 2""",
+)
+def st06_increase(spark, d):
+    """A counter a type that starts anew each day, so that windows of a day hold a reset."""
+    day = F.window("ts", "1 day").start
+    order = F.row_number().over(Window.partitionBy("event_type", "_day").orderBy("ts", "event_id"))
+    counted = batch(spark, d).select("event_type", "ts", "event_id", day.alias("_day")).withColumn("value", order * 1.5)
+    return plain(S.counter_increase(counted.groupBy("event_type", "ts").agg(F.max("value").alias("value")), "event_type"), "start")
+
+
+#: Upper bounds of buckets of values.
+BOUNDS = [1.0, 5.0, 10.0, 20.0, 35.0, 50.0, 75.0, 100.0, 200.0]
+
+
+@query(
+    "st07_quantiles",
+    f"""with e as (select time_bucket(interval 15 minutes, ts) as start, value from events), b as (select unnest({BOUNDS}::double[]) as le),
+    t as (select start, count(value) as n from e group by 1), c as (select start, n, le, (select count(*) from e where e.start = t.start and value <= le) as c from t, b),
+    g as (select *, lag(c, 1, 0) over w as before, lag(le, 1, 0.0) over w as low, n * 0.95::double as rank from c window w as (partition by start order by le))
+    select start, n, round(coalesce(min(case when c >= rank and before < rank then case when c = before then le else low + (le - low) * (rank - before) / (c - before) end end), max(le)), 6) as p from g group by 1, 2""",
+)
 def st07(spark, d):
-    return plain(S.finished(S.quantiles(S.event_stream(spark, d)), folder(spark)), "start")
+    return plain(S.finished(S.histogram_quantiles(S.event_stream(spark, d), BOUNDS), folder(spark)), "start")
 
 
 @query("st08_freshness", "with l as (select event_type, max(ts) as last from events group by 1) select event_type, round(epoch((select max(last) from l)) - epoch(last), 3) as lag, epoch((select max(last) from l)) - epoch(last) > 600 as stale from l")

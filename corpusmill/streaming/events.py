@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -62,9 +62,50 @@ def error_alerts(events: DataFrame, window: str = "1 hour", limit: float = 0.25)
     return out.filter(F.col("share") > limit).select(F.col("w.start").alias("start"), "n", F.round("share", 6).alias("share"))
 
 
-def quantiles(events: DataFrame, window: str = "15 minutes", share: float = 0.95) -> DataFrame:
-    out = events.groupBy(F.window("ts", window).alias("w")).agg(F.percentile_approx("value", share, 10000).alias("p"))
-    return out.select(F.col("w.start").alias("start"), "p")
+def interpolated(counts: Column, bounds: list[float], share: float) -> Column:
+    """A quantile from cumulative ``counts`` of values up to each of ``bounds``, and of all values last.
+
+    Within the bucket where the rank falls values are taken to lie evenly, from zero in the first one; ranks beyond the
+    last bound give that bound, and no values give null.
+    """
+    total = F.element_at(counts, -1)
+    rank = total * F.lit(share)
+    edges = F.array(*(F.lit(float(b)) for b in bounds))
+    at = F.array_size(F.filter(counts, lambda c: c < rank))  # buckets that end below the rank
+    count = lambda i: F.get(counts, i)
+    low = F.when(at == 0, F.least(F.lit(0.0), F.get(edges, F.lit(0)))).otherwise(F.get(edges, at - 1))
+    before = F.when(at == 0, F.lit(0)).otherwise(count(at - 1))
+    inside = F.when(count(at) == before, F.get(edges, at)).otherwise(low + (F.get(edges, at) - low) * (rank - before) / (count(at) - before))
+    return F.when(total == 0, F.lit(None)).when(at >= len(bounds), F.lit(float(bounds[-1]))).otherwise(inside)
+
+
+def histogram_quantiles(events: DataFrame, bounds: list[float], window: str = "15 minutes", share: float = 0.95) -> DataFrame:
+    """``start, n, p``: a quantile of each window from cumulative bucket counts, which add up over tasks, batches and series.
+
+    Batch or stream: state is one number a bucket and window, not the values. Null values fall into no bucket.
+    """
+    counts = [F.count_if(F.col("value") <= b).alias(f"c{i}") for i, b in enumerate(bounds)]
+    out = events.groupBy(F.window("ts", window).alias("w")).agg(*counts, F.count("value").alias("n"))
+    p = interpolated(F.array(*(F.col(f"c{i}") for i in range(len(bounds))), "n"), bounds, share)
+    return out.select(F.col("w.start").alias("start"), "n", F.round(p, 6).alias("p"))
+
+
+def counter_increase(samples: DataFrame, series: str, window: str = "24 hours", slide: str = "12 hours", slice_: str = "1 hour") -> DataFrame:
+    """``series, start, samples, increase`` of counters ``(series, ts, value)`` in sliding windows; ``ts`` differs within a series.
+
+    A counter that falls was reset, and counts from zero again. A window's increase is what its samples grew by after its
+    first one; it is not stretched to the window's ends. Steps are found in slices of time, and the last value of the
+    slice before is carried on from one row a slice, so a series of a third of all rows is not sorted by one task.
+    """
+    rows = samples.select(series, "ts", "value", F.window("ts", slice_).start.alias("_slice"))
+    here = Window.partitionBy(series, "_slice").orderBy("ts")
+    ends = rows.groupBy(series, "_slice").agg(F.max_by("value", "ts").alias("_last"))
+    carried = ends.select(series, "_slice", F.lag("_last").over(Window.partitionBy(series).orderBy("_slice")).alias("_carried"))
+    rows = rows.withColumn("_prev", F.lag("value").over(here)).join(carried, [series, "_slice"])
+    before = F.coalesce("_prev", "_carried")
+    rows = rows.withColumn("step", F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before))
+    out = rows.groupBy(series, F.window("ts", window, slide).alias("w")).agg(F.count("*").alias("samples"), (F.sum("step") - F.min_by("step", "ts")).alias("increase"))
+    return out.select(series, F.col("w.start").alias("start"), "samples", F.round("increase", 6).alias("increase"))
 
 
 def rollups(events: DataFrame) -> DataFrame:
