@@ -1,13 +1,15 @@
-"""Queries over the structure of documents: hierarchical chunks, clusters of like documents."""
+"""Queries over the structure of documents and result lists: hierarchical chunks, clusters, pairs, confidence."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators import confidence as CF
 from corpusmill.operators import sections as H
 from corpusmill.operators import similarity as S
-from corpusmill.plans.text import TOK
+from corpusmill.plans.retrieval import _BENCH, _BM25, _TOP, bench_bm25
+from corpusmill.plans.text import SENT, STOP, STOPS, TOK, WORDS
 from corpusmill.registry import query
 from corpusmill.sources.scratch import stored
 from corpusmill.sources.tables import table
@@ -80,3 +82,41 @@ def jn09(spark, d):
     copies = stored(members.select("rep", "n").distinct(), "copies")
     pairs = pairs.join(copies.select(F.col("rep").alias("a"), F.col("n").alias("a_copies")), "a").join(copies.select(F.col("rep").alias("b"), F.col("n").alias("b_copies")), "b")
     return pairs.select("a", "b", "a_copies", "b_copies", F.col("common").alias("shared"), F.round("score", 6).alias("score"))
+
+
+def _counted(text: str, patterns: list[str]) -> str:
+    return "(" + " + ".join(f"len(regexp_extract_all({text}, '{p}'))" for p in patterns) + ")"
+
+
+_CLASS = f"""case when m >= 3 or (m >= 2 and k > 10) then 'expert' when m >= 2 or regexp_matches(query, '\\b(and|or|not|AND|OR|NOT)\\b') or k > 8 then 'complex'
+    when m >= 1 or contains(query, '"') or k > 4 then 'moderate' else 'simple' end"""
+
+
+@query(
+    "rt20_result_confidence",
+    f"""with {_BENCH}, {_BM25}, h as (select t.qid, t.rank, t.score / 100 as score, text, source, lower(text) as low from {_TOP('b')} t join documents using (doc_id) where rank <= 5),
+    c as (select qid, rank, score, source, {_counted('low', CF.DOUBT)} as doubts, greatest(0, least(1, 0.1::double * {_counted('low', CF.CERTAIN)} + least(0.3::double, 0.05 * len({SENT('low')}))
+        + case when regexp_matches(low, '[0-9]') then 0.2::double else 0 end - 0.15 * {_counted('low', CF.DOUBT)})) as content, len({WORDS('low')}) as words from h),
+    pp as (select qid, count(*) as n, avg(content) filter (where rank <= 3) as content, least(1, 10 * avg(doubts / greatest(1, words)) filter (where rank <= 3)) as penalty,
+        count(distinct source) as sources, stddev_pop(score) as deviation from c group by 1),
+    ss as (select qid, count(*) filter (where n > 1) / count(*) as shared from (select qid, t, count(*) as n from (select qid, unnest({TOK('text')}) as t from h where rank <= 3) group by 1, 2) group by 1),
+    e as (select qid, rank, unnest({TOK('text')}) as t from h union all select qid, 0, unnest({TOK('query')}) from queries where qid in (select qid from h)),
+    ff as (select qid, rank, t, count(*) as tf from e where length(t) > 1 and t not in {STOPS} group by 1, 2, 3),
+    l as (select qid, count(*) + 1 as n from h group by 1), d as (select qid, t, count(*) as df, sum(tf) as total from ff group by 1, 2),
+    k as (select qid, t, ln((1 + n) / (1 + df)) + 1 as idf from (select *, row_number() over (partition by qid order by total desc, t) as i from d) join l using (qid) where i <= 1000),
+    w as (select qid, rank, t, tf * idf as w from ff join k using (qid, t)),
+    m as (select a.qid, a.rank, sum(a.w * coalesce(b.w, 0)) as dot, sqrt(sum(a.w * a.w)) as len_d from w a left join w b on b.qid = a.qid and b.t = a.t and b.rank = 0 where a.rank > 0 group by 1, 2),
+    qq as (select qid, sqrt(sum(w * w)) as len_q from w where rank = 0 group by 1),
+    x as (select h.qid, avg(coalesce(dot / (len_d * len_q), 0) / h.rank) as semantic from h left join m on m.qid = h.qid and m.rank = h.rank left join qq on qq.qid = h.qid group by 1),
+    y as (select qid, query, {_counted('query', CF.TECHNICAL)} as m, len({TOK('query')}) as k from queries),
+    z as (select pp.*, semantic, {_CLASS} as question_class, case when n < 2 then 0.8::double when shared is null then 0.5 else 0.3::double * (1 - sources / n) + 0.4 * greatest(0, 1 - deviation) + 0.3 * shared end as consistency
+        from pp left join ss using (qid) join x using (qid) join y using (qid))
+    select qid, round(semantic, 6) as semantic, round(content, 6) as content, round(consistency, 6) as consistency, round(penalty, 6) as penalty, question_class,
+        round(least(1, greatest(0, (0.4 * semantic + 0.3 * content + 0.2 * consistency + 0.1 * (1 - penalty)) * case question_class when 'simple' then 1.0::double when 'moderate' then 0.95 when 'complex' then 0.9 else 0.85 end)), 6) as confidence from z""",
+)
+def rt20(spark, d):
+    """Confidence in the five best documents for each passage; documents are looked up before they are tokenised."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    hits = stored(bench_bm25(spark, d, 5).join(docs, "doc_id").withColumn("score", F.col("score") / 100), "hits")
+    return CF.result_confidence(hits, questions, "qid", STOP)
