@@ -375,6 +375,15 @@ def family_links(roots: DataFrame, parts: DataFrame, distinct: DataFrame, sets:
     return met.groupBy("root", "p", "q").applyInPandas(search, "u long, v long")
 
 
+def count_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``key, part, n``: how many texts of a batch ``(part, keys)`` each list holds of each part."""
+    for pdf in batches:
+        sizes = pdf["keys"].map(len).to_numpy(np.int64)
+        if sizes.sum():
+            rows = pd.DataFrame({"key": np.concatenate(pdf["keys"].tolist()), "part": np.repeat(pdf["part"].to_numpy(), sizes)})
+            yield rows.groupby(["key", "part"]).size().reset_index(name="n")
+
+
 def near_links(distinct: DataFrame, sets_of, similarity: float) -> DataFrame:
     """Edges ``(u, v)`` that connect the texts ``(node, wide)`` whose shingle sets are at least ``similarity`` alike.
 
@@ -398,9 +407,11 @@ def near_links(distinct: DataFrame, sets_of, similarity: float) -> DataFrame:
     sets = materialize(sets_of(active), "shingle-sets")
     edges = materialize(verified(near, distinct, sets, bounds), "near-edges")
     parts = connected(edges).withColumnRenamed("root", "part")
-    # parts are looked up a text, with all its lists, and then counted a list: a join by membership would look up each text in each list
-    listed = members.groupBy("node").agg(F.collect_list("key").alias("keys")).join(parts, "node", "left")
-    per_part = listed.select(F.explode("keys").alias("key"), F.coalesce("part", "node").alias("part")).groupBy("key", "part").agg(F.count("*").alias("n"))
+    # parts are looked up a text, with all its lists, and counted a list where the texts are: near copies of one part share
+    # most lists, so a task passes on about one row for each list, not one for each text and list
+    listed = members.groupBy("node").agg(F.collect_list("key").alias("keys")).join(parts, "node", "left").select(F.coalesce("part", "node").alias("part"), "keys")
+    per_part = listed.mapInPandas(count_parts, "key long, part long, n long").groupBy("key", "part").agg(F.sum("n").alias("n"))
+    per_part = materialize(per_part, "list-parts")
     lists = per_part.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("n_parts")).filter("n_parts > 1").select("key", "size")
     # from here lists are rows of parts, not of members: a list of many near copies has a few
     open_parts = materialize(per_part.select("key", "part").join(lists, "key"), "open-parts")
