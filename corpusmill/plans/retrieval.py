@@ -265,12 +265,22 @@ def ev08(spark, d):
     "ev09_two_sample",
     """with s as (select avg(value) filter (where event_type = 'click') as a, avg(value) filter (where event_type = 'view') as b, var_pop(value) filter (where event_type = 'click') as va,
     var_pop(value) filter (where event_type = 'view') as vb, count(value) filter (where event_type = 'click') as na, count(value) filter (where event_type = 'view') as nb from events)
-    select round(a, 6) as mean_a, round(b, 6) as mean_b, round((a - b) / sqrt(va / na + vb / nb), 6) as t, na + nb - 2 as df, round((a - b) / sqrt((va + vb) / 2), 6) as d from s""",
+    select round(a, 6) as mean_a, round(b, 6) as mean_b, round((a - b) / sqrt((na * va + nb * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)), 6) as t, na + nb - 2 as df,
+        round((a - b) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) as d, round(sqrt(va / na + vb / nb), 9) as error, na, nb from s""",
 )
 def ev09(spark, d):
     return E.two_sample(table(spark, d, "events"), "event_type", "value", "click", "view")
 
 
+@query("ev09_significance")
+def ev09_significance(spark, d):
+    """p, interval and label of the same two groups, and of two that differ."""
+    events = table(spark, d, "events")
+    shifted = events.withColumn("value", F.when(F.col("event_type") == "click", F.col("value") + 15).otherwise(F.col("value")))
+    both = [E.significance(E.two_sample(df, "event_type", "value", "click", "view")).withColumn("test", F.lit(name)) for name, df in (("as is", events), ("shifted", shifted))]
+    return both[0].unionByName(both[1])
+
+
 _KEYS = ["the", "de", "und", "en"]
 
 
