@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators.relational import equal_filters
 from corpusmill.sources.scratch import stored
 
 
@@ -248,6 +249,20 @@ def vector_top_k(
     return top(met.mapInPandas(search, f"{qid} long, {key} long, score double"), qid, key, "score", k)
 
 
+def match_chunks(queries: DataFrame, chunks: DataFrame, qid: str, key: str, k: int, threshold: float | None = None, metric: str = "cosine", **wanted: str | None) -> DataFrame:
+    """``vector_top_k`` among the ``chunks`` whose columns have the ``wanted`` values, as status, privacy, kind, product or model of
+    the embedding; ``'all'`` or None lets every value pass. Filters go before the search, so what is filtered out costs nothing
+    and takes no place among the ``k``; with a ``threshold`` scores must be above it."""
+    return vector_top_k(queries, equal_filters(chunks, **wanted), qid, key, k, metric, threshold)
+
+
+def looked_up(hits: DataFrame, docs: DataFrame, key: str, **columns: Column) -> DataFrame:
+    """``hits`` with ``columns`` of the documents they name: each document that was hit is read and worked on once."""
+    hits = stored(hits, "hits")
+    found = hits.select(key).distinct().join(docs, key).select(key, *(c.alias(n) for n, c in columns.items()))
+    return hits.join(found, key)
+
+
 def fuse(vector: DataFrame, lexical: DataFrame, qid: str, key: str, alpha: float, k: int) -> DataFrame:
     """Union of two candidate lists; a missing score is 0, each is scaled to [0, 1] in its query, then mixed by alpha."""
     both = vector.select(qid, key, F.col("score").alias("v")).join(lexical.select(qid, key, F.col("score").alias("b")), [qid, key], "full_outer").fillna(0.0, ["v", "b"])

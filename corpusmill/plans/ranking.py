@@ -219,7 +219,7 @@ def ev11(spark, d):
 def ev12(spark, d):
     bench, docs = tables(spark, d, "benchmark", D)
     q = bench.select(F.col("item_id").alias("qid"), F.array_distinct(T.tokens("text")).alias("q"))
-    hits = bench_bm25(spark, d, 5).join(docs.select("doc_id", "source", F.array_distinct(T.tokens("text")).alias("w")), "doc_id")
+    hits = R.looked_up(bench_bm25(spark, d, 5), docs, "doc_id", source=F.col("source"), w=F.array_distinct(T.tokens("text")))
     by = hits.groupBy("qid").agg(
         F.array_distinct(F.flatten(F.collect_list("w"))).alias("all5"),
         F.array_distinct(F.flatten(F.collect_list(F.when(F.col("rank") <= 3, F.col("w"))))).alias("all3"),

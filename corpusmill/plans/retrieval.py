@@ -9,6 +9,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import ranking as K
 from corpusmill.operators import retrieval as R
+from corpusmill.plans.catalog import CATALOG, catalog
 from corpusmill.plans.text import TOK, WORDS, pairs
 from corpusmill.registry import query
 from corpusmill.sources.tables import table, tables
@@ -44,19 +45,29 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
 
 
-@query("rt01_vector_top_k", f"with {_SIM} select * from {_TOP('cos')} where rank <= 10")
+def chunks(spark, d):
+    """Vectors with what filters ask for; a vector's model is told by its number."""
+    model = F.when(F.col("doc_id") % 4 == 0, "small").otherwise("large").alias("model")
+    return vectors(spark, d).join(catalog(spark, d).select("doc_id", "document_type", "product_name", "privacy_level", "status"), "doc_id").select("*", model)
+
+
+@query("rt01_vector_top_k", f"with {CATALOG}, {_SIM}, f as (select cos.* from cos join catalog using (doc_id) where status = 'completed' and privacy_level = 'public') select * from {_TOP('f')} where rank <= 10")
 def rt01(spark, d):
-    return R.vector_top_k(asked(spark, d), vectors(spark, d), "qid", "doc_id", 10)
+    return R.match_chunks(asked(spark, d), chunks(spark, d), "qid", "doc_id", 10, status="completed", privacy_level="public", document_type="all")
 
 
-@query("rt02_l2_top_k", "with " + _COS("1 - list_distance(a.embedding::double[], b.embedding::double[])") + f" select * from {_TOP('cos')} where rank <= 10")
+@query("rt02_l2_top_k", f"with {CATALOG}, " + _COS("1 - list_distance(a.embedding::double[], b.embedding::double[])") + f", f as (select cos.* from cos join catalog using (doc_id) where doc_id % 4 <> 0) select * from {_TOP('f')} where rank <= 10")
 def rt02(spark, d):
-    return R.vector_top_k(asked(spark, d), vectors(spark, d), "qid", "doc_id", 10, metric="l2")
+    return R.match_chunks(asked(spark, d), chunks(spark, d), "qid", "doc_id", 10, metric="l2", model="large")
 
 
-@query("rt03_threshold", f"with {_SIM} select * from {_TOP('(select * from cos where score > 0.3)')} where rank <= 20")
+@query("rt03_threshold", f"with {CATALOG}, {_SIM}, f as (select 'all' as filters, cos.* from cos join catalog using (doc_id) where score > 0.3 union all select 'en', cos.* from cos join catalog using (doc_id) where score > 0.05 and document_type = 'en' and privacy_level = 'private') select filters, qid, doc_id, score, rank from (select *, row_number() over (partition by filters, qid order by score desc, doc_id)::int as rank from f) where rank <= 20")
 def rt03(spark, d):
-    return R.vector_top_k(asked(spark, d), vectors(spark, d), "qid", "doc_id", 20, threshold=0.3)
+    """Wildcards for all filters, and two of them set."""
+    rows = chunks(spark, d)
+    open_ = R.match_chunks(asked(spark, d), rows, "qid", "doc_id", 20, threshold=0.3, privacy_level="all", document_type="all", product_name="all")
+    closed = R.match_chunks(asked(spark, d), rows, "qid", "doc_id", 20, threshold=0.05, privacy_level="private", document_type="en", product_name="all")
+    return open_.withColumn("filters", F.lit("all")).unionByName(closed.withColumn("filters", F.lit("en")))
 
 
 _HYBRID = f"""queries as (select doc_id as qid, text as query from documents join embeddings on doc_id = vec_id where doc_id % 20 = 0), {_BM25}, {_SIM},
@@ -137,8 +148,9 @@ def rt13(spark, d):
 )
 def rt10(spark, d):
     queries, docs = tables(spark, d, "benchmark", "documents")
-    first = bench_bm25(spark, d, 50).drop("rank").join(docs.select("doc_id", "text"), "doc_id").join(queries.select(F.col("item_id").alias("qid"), F.col("text").alias("query")), "qid")
-    scored = first.withColumn("rerank", F.round(T.overlap(T.tokens("query"), T.tokens("text")), 6)).withColumn("domain", F.contains("text", F.lit("|")).cast("int"))
+    found = R.looked_up(bench_bm25(spark, d, 50).drop("rank"), docs, "doc_id", w=F.array_distinct(T.tokens("text")), domain=F.contains("text", F.lit("|")).cast("int"))
+    first = found.join(queries.select(F.col("item_id").alias("qid"), F.array_distinct(T.tokens("text")).alias("q")), "qid")
+    scored = first.withColumn("rerank", F.round(T.overlap(F.col("q"), F.col("w")), 6)).select("qid", "doc_id", "score", "rerank", "domain")
     second = R.top(scored, "qid", "doc_id", "rerank", 20).drop("rank")
     final = second.select("qid", "doc_id", F.round(0.4 * F.col("score") / 100 + 0.4 * F.col("rerank") + 0.2 * F.col("domain"), 6).alias("score"))
     return R.top(final, "qid", "doc_id", "score", 5)
@@ -148,8 +160,8 @@ _CTX = f"with {_BENCH}, {_BM25}, r as (select t.*, source, floor(len({TOK('text'
 
 
 def contexts(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", F.floor(F.size(T.tokens("text")) * 1.3).alias("tokens"))
-    return bench_bm25(spark, d, 30).join(docs, "doc_id").withColumnRenamed("doc_id", "key")
+    hits = R.looked_up(bench_bm25(spark, d, 30), table(spark, d, "documents"), "doc_id", source=F.col("source"), tokens=F.floor(F.size(T.tokens("text")) * 1.3))
+    return hits.withColumnRenamed("doc_id", "key")
 
 
 @query("rt25_balanced_context", _CTX + " select qid, doc_id as key, rank as position from (select *, sum(tokens) over (partition by qid order by rank) as used from r) where used <= 3000")

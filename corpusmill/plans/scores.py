@@ -243,7 +243,7 @@ def rt11(spark, d):
 def rt12(spark, d):
     """Token overlap reranks the first stage; where the reranker gave nothing (every fifth question) its order stays."""
     queries, docs = tables(spark, d, "benchmark", D)
-    rows = bench_bm25(spark, d, 20).join(docs.select("doc_id", T.tokens("text").alias("w")), "doc_id").join(queries.select(F.col("item_id").alias("qid"), T.tokens("text").alias("q")), "qid")
+    rows = RT.looked_up(bench_bm25(spark, d, 20), docs, "doc_id", w=T.tokens("text")).join(queries.select(F.col("item_id").alias("qid"), T.tokens("text").alias("q")), "qid")
     rerank = F.when(F.col("qid") % 5 != 0, T.overlap(F.col("q"), F.col("w")))
     return RT.top(rows.select("qid", "doc_id", F.round(F.coalesce(rerank, "score"), 6).alias("score")), "qid", "doc_id", "score", 5)
 

@@ -17,12 +17,13 @@ def csv_lines(spark: SparkSession, path: str, most: int = 100) -> DataFrame:
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
+        import io
         from itertools import islice
 
         for pdf in batches:
             out = []
             for text in pdf["content"]:
-                rows = list(islice(csv.reader(text.splitlines(keepends=True)), most + 1))
+                rows = list(islice(csv.reader(io.StringIO(text, newline="")), most + 1))
                 lines = [" | ".join(r) for r in rows[:most]] + (["... (truncated)"] if len(rows) > most else [])
                 out.append("\n".join(["CSV Headers: " + lines[0], *lines[1:]]) if lines else "")
             yield pd.DataFrame({"file": pdf["file"], "content": out})
