@@ -78,3 +78,126 @@ def decompose(questions: DataFrame, keys: list[str], text: str, tiers: dict[str,
         *keys, "complexity", F.lit(0).alias("n_parts"), F.lit(1.0).alias("confidence"), F.lit(None).cast("int").alias("i"), none.alias("part"), none.alias("part_complexity"), none.alias("topic")
     )
     return joined.unionByName(alone)
+
+
+#: Words of technical, current and programming questions, and patterns of three more types. Fixed values.
+TECHNICAL_WORDS = ["installation", "setup", "configure", "requirements", "install", "system", "server", "database", "network", "security", "authentication", "sql", "windows", "prerequisites", "configuration", "documentation", "manual", "guide"]
+CURRENT_WORDS = ["latest", "recent", "new", "updated", "current", "2024", "2025", "released", "announced", "breaking", "trending", "now"]
+CODE_WORDS = ["code", "programming", "function", "class", "method", "api", "python", "javascript", "java", "framework", "library", "example", "snippet", "syntax", "algorithm", "implementation"]
+RECENT = ["today", "yesterday", "this week", "this month", "this year"]
+HOW_TO = [r"^how\s+to\s+", r"^how\s+do\s+i\s+", r"^how\s+can\s+i\s+", r"step\s+by\s+step", "tutorial", "walkthrough"]
+COMPARISON = [r"\b(best|top|compare|vs|versus|difference|better)\b", r"\b(pros\s+and\s+cons|advantages|disadvantages)\b", r"\b(which\s+is\s+better|what.*best)\b"]
+TROUBLE = [r"\b(error|problem|issue|fix|solve|troubleshoot)\b", r"\b(not\s+working|broken|failed|failing)\b", r"\b(debug|diagnose|resolve)\b"]
+#: Of each type: confidence, threshold, whether the web is preferred, chunks of context, strategy. Fixed values.
+TYPES = {
+    "technical_docs": (0.8, 0.2, False, 8, "rag_first"),
+    "current_events": (0.9, 0.8, True, 3, "web_first"),
+    "code_examples": (0.7, 0.4, False, 5, "adaptive_hybrid"),
+    "how_to": (0.8, 0.3, False, 8, "adaptive_hybrid"),
+    "comparison": (0.7, 0.5, True, 5, "balanced_hybrid"),
+    "troubleshooting": (0.6, 0.3, False, 5, "adaptive_hybrid"),
+    "general_knowledge": (0.5, 0.4, True, 5, "adaptive_hybrid"),
+}
+
+
+def query_type(text: Column, year: int, technical: list[str] | None = None) -> Column:
+    """The first type whose words, or else patterns, a question holds; ``year`` is the current one, never the clock's.
+
+    ``technical`` words may be added to, as names of own products.
+    """
+    low = F.lower(T.collapse(text))
+    words = F.regexp_extract_all(low, F.lit(f"({T.WORD})"), 1)
+    holds = lambda lexicon: F.arrays_overlap(words, F.array(*map(F.lit, lexicon)))
+    within = lambda parts: F.coalesce(low.rlike("|".join(f"(?:{p})" for p in parts)), F.lit(False))
+    recent = [str(y) for y in range(year - 1, year + 2)] + RECENT
+    return (
+        F.when(holds(TECHNICAL_WORDS + (technical or [])), "technical_docs")
+        .when(holds(CURRENT_WORDS) | (_held(low, recent) > 0), "current_events")
+        .when(holds(CODE_WORDS), "code_examples")
+        .when(within(HOW_TO), "how_to")
+        .when(within(COMPARISON), "comparison")
+        .when(within(TROUBLE), "troubleshooting")
+        .otherwise("general_knowledge")
+    )
+
+
+def search_params(questions: DataFrame, keys: list[str], text: str, year: int, base_threshold: float = 0.3, technical: list[str] | None = None) -> DataFrame:
+    """``keys, kind, confidence, threshold, prefer_web, chunks, strategy``: how a question should be searched.
+
+    The threshold is the type's own, but for current events 0.7 and for technical documents 0.2 bound ``base_threshold``.
+    A null question is one of general knowledge.
+    """
+    names = ("confidence", "suggested", "prefer_web", "chunks", "strategy")
+    rows = questions.select(*keys, query_type(F.coalesce(F.col(text), F.lit("")), year, technical).alias("kind"))
+    of = lambda i: F.coalesce(*(F.when(F.col("kind") == k, F.lit(v[i])) for k, v in TYPES.items()))
+    rows = rows.withColumns({n: of(i) for i, n in enumerate(names)})
+    threshold = F.when(F.col("kind") == "current_events", F.lit(max(base_threshold, 0.7))).when(F.col("kind") == "technical_docs", F.lit(min(base_threshold, 0.2))).otherwise(F.col("suggested"))
+    return rows.select(*keys, "kind", "confidence", threshold.alias("threshold"), "prefer_web", "chunks", "strategy")
+
+
+#: What is asked of a collection of documents: patterns of each intent, the first that is found. Fixed values.
+INTENTS = {
+    "list_all": [
+        r"(?:list|show|display)\s+(?:all\s+)?documents?",
+        r"what\s+documents?\s+(?:do\s+you\s+have|are\s+available)",
+        r"show\s+me\s+(?:the\s+)?(?:available\s+)?documents?",
+        r"what\s+(?:files?|pdfs?)\s+are\s+in\s+(?:the\s+)?(?:knowledge\s+)?(?:base|database)",
+        r"browse\s+(?:the\s+)?(?:knowledge\s+)?(?:base|database)",
+    ],
+    "list_by_type": [
+        r"(?:list|show|find)\s+(?:all\s+)?(\w+)\s+(?:type\s+)?documents?",
+        r"what\s+(\w+)\s+documents?\s+(?:do\s+you\s+have|are\s+available)",
+        r"show\s+me\s+(?:all\s+)?(?:the\s+)?(\w+)\s+(?:files?|pdfs?|documents?)",
+    ],
+    "list_by_product": [
+        r"(?:list|show|find)\s+documents?\s+(?:for|about|on)\s+(.+?)(?:\s+product|\s*$)",
+        r"what\s+documents?\s+(?:do\s+you\s+have\s+)?(?:for|about|on)\s+(.+?)(?:\s+product|\s*$)",
+        r"show\s+me\s+(?:all\s+)?(?:documents?\s+)?(?:for|about|on)\s+(.+?)(?:\s+product|\s*$)",
+    ],
+    "search_documents": [
+        r"(?:find|search\s+for|look\s+for)\s+documents?\s+(?:with|containing|about)\s+(.+)",
+        r"(?:find|search\s+for|look\s+for)\s+(?:files?|pdfs?)\s+(?:with|containing|about)\s+(.+)",
+        r"documents?\s+(?:with|containing|about)\s+(.+)",
+        r"(?:any\s+)?documents?\s+(?:on|about)\s+(.+)",
+    ],
+    "get_stats": [
+        r"(?:how\s+many|count)\s+documents?",
+        r"(?:knowledge\s+base|database)\s+(?:statistics|stats|summary)",
+        r"what\s+(?:types?\s+of\s+)?documents?\s+(?:do\s+you\s+have|are\s+available)",
+        r"(?:give\s+me\s+)?(?:an?\s+)?(?:overview|summary)\s+of\s+(?:the\s+)?documents?",
+    ],
+    "find_recent": [
+        r"(?:latest|most\s+recent|newest)\s+documents?",
+        r"recently\s+(?:added|uploaded|processed)\s+documents?",
+        r"what\s+(?:new\s+)?documents?\s+(?:have\s+been\s+)?(?:added|uploaded)\s+recently",
+    ],
+    "count_documents": [r"how\s+many\s+documents?\s+(?:do\s+you\s+have|are\s+there)", r"total\s+(?:number\s+of\s+)?documents?", r"document\s+count"],
+}
+#: Most documents that a question may ask for, and how many are meant without a number. Fixed values.
+MOST_ASKED, USUALLY_ASKED = 20, 10
+
+
+def document_intent(questions: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, intent, argument, privacy, most, recent``: what a question asks of a collection of documents.
+
+    The argument is the kind, product (without a last word like ``manual``) or words asked for; ``privacy`` a word of it in the
+    question; ``most`` what ``first`` or ``top`` ask for; ``recent`` whether the newest come first. Questions of no intent have nulls.
+    """
+    q = F.trim(F.coalesce(F.col(text), F.lit("")))
+    low, argued = F.lower(q), ("list_by_type", "list_by_product", "search_documents")
+    intent, argument = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, patterns in reversed(INTENTS.items()):
+        for p in reversed(patterns):
+            found = q.rlike("(?i)" + p)
+            value = F.trim(F.regexp_extract(q, "(?i)" + p, 1)) if name in argued else F.lit(None)
+            if name == "list_by_product":
+                value = F.regexp_replace(value, r"(?i)\s+(documentation|docs?|manual|guide)s?$", "")
+            intent, argument = F.when(found, F.lit(name)).otherwise(intent), F.when(found, value).otherwise(argument)
+    known = F.col("intent").isNotNull()
+    number = F.regexp_extract(low, r"(?:first|top)\s+(\d+)", 1)
+    most = F.when(number != "", F.least(F.coalesce(number.try_cast("int"), F.lit(MOST_ASKED)), F.lit(MOST_ASKED))).otherwise(USUALLY_ASKED)
+    rows = questions.select(
+        *keys, intent.alias("intent"), argument.alias("argument"), F.when(F.contains(low, F.lit("private")), "private").when(F.contains(low, F.lit("public")), "public").alias("_p"),
+        F.when(_held(low, ["first", "top"]) > 0, most).alias("_m"), (_held(low, ["recent", "latest", "newest", "new"]) > 0).alias("_r"),
+    )
+    return rows.select(*keys, "intent", "argument", F.when(known, F.col("_p")).alias("privacy"), F.when(known, F.col("_m")).alias("most"), F.when(known, F.col("_r")).alias("recent"))

@@ -64,11 +64,21 @@ def src07(spark, d):
     return files.read_jsonl(spark, path, "event_id long, k int")
 
 
-@query("src08_flatten", "select doc_id, case when quality = 1 then 0.9 else 0.1 end::double as typeprob_good, toxic::double as typeprob_toxic from labels")
+@query(
+    "src08_flatten",
+    """select doc_id, case when quality = 1 then 0.9 else 0.1 end::double as typeprob_good, case when doc_id % 3 = 0 then toxic::double end as typeprob_toxic,
+    case when toxic = 1 then 1.0::double end as domainprob_harm, case when toxic = 0 then 0.5::double end as domainprob_plain, case when quality = 1 then 'q' || (doc_id % 5) end as meta_batch from labels""",
+)
 def src08(spark, d):
+    """Maps with keys that only some rows hold, through JSON Lines to Parquet; the keys come from the data."""
+    path, rows = place(spark), table(spark, d, "labels")
     good = F.when(F.col("quality") == 1, 0.9).otherwise(0.1)
-    rows = table(spark, d, "labels").select("doc_id", F.create_map(F.lit("good"), good, F.lit("toxic"), F.col("toxic").cast("double")).alias("types"))
-    return files.flatten_maps(rows, {"types": ("typeprob", ["good", "toxic"])})
+    types = F.map_concat(F.create_map(F.lit("good"), good), F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("toxic"), F.col("toxic").cast("double"))).otherwise(F.create_map().cast("map<string,double>")))
+    domains = F.when(F.col("toxic") == 1, F.create_map(F.lit("harm"), F.lit(1.0))).when(F.col("toxic") == 0, F.create_map(F.lit("plain"), F.lit(0.5)))
+    meta = F.when(F.col("quality") == 1, F.create_map(F.lit("batch"), F.concat(F.lit("q"), F.col("doc_id") % 5)))
+    files.write_jsonl(rows.select("doc_id", types.alias("types"), domains.alias("domains"), meta.alias("meta")), path)
+    schema = "doc_id long, types map<string,double>, domains map<string,double>, meta map<string,string>"
+    return files.jsonl_to_parquet(spark, path, f"{path}-flat", schema, {"types": "typeprob", "domains": "domainprob", "meta": "meta"})
 
 
 @query("src09_round_trip", "select count(*) as written, count(*) as read, []::varchar[] as missing, true as ok from documents")

@@ -157,12 +157,6 @@ def tx16(spark, d):
     return Q.decompose(table(spark, d, C), ["conv_id", "turn"], "text", _TIERS)
 
 
-@query("tx17_intent", r"select conv_id, turn, least(coalesce(try_cast(nullif(regexp_extract(lower(text), '(?:first|top|the) (\d+)', 1), '') as int), 10), 20) as n, regexp_matches(lower(text), '(recent|latest|new)') as recent from conversations")
-def tx17(spark, d):
-    n = F.expr(r"try_cast(nullif(regexp_extract(lower(text), '(?:first|top|the) (\\d+)', 1), '') as int)")
-    return table(spark, d, C).select("conv_id", "turn", F.least(F.coalesce(n, F.lit(10)), F.lit(20)).alias("n"), F.lower("text").rlike("(recent|latest|new)").alias("recent"))
-
-
 _LINES = "len(string_split(text, chr(10)))"
 _BULLETS = r"len(regexp_extract_all(text, '(?m)^[-*#|].*$'))"
 

@@ -269,23 +269,6 @@ def tx07(spark, d):
     return M.chunk_quality(table(spark, d, C), "conv_id", "turn", "text", _DANGLING)
 
 
-@query(
-    "tx12_query_type",
-    """select conv_id, turn, case when regexp_matches(t, '(error|code|server)') then 'technical' when regexp_matches(t, '(2023|2024|2025)') then 'current'
-    when regexp_matches(t, '^(wie|comment|como|how) ') then 'how-to' when contains(t, ' oder ') or contains(t, ' ou ') then 'comparison' else 'general' end as kind
-    from (select conv_id, turn, lower(text) as t from conversations)""",
-)
-def tx12(spark, d):
-    t = F.lower("text")
-    rules = [
-        ("technical", t.rlike("(error|code|server)")),
-        ("current", t.rlike("(2023|2024|2025)")),
-        ("how-to", t.rlike("^(wie|comment|como|how) ")),
-        ("comparison", F.contains(t, F.lit(" oder ")) | F.contains(t, F.lit(" ou "))),
-    ]
-    return table(spark, d, C).select("conv_id", "turn", M.first_match(rules, "general").alias("kind"))
-
-
 _CLASSES = {"contact": {"@": 1.0, "phone": 2.0}, "legal": {"licen[sc]e": 2.0, "copyright": 1.5}, "secret": {"token = ": 3.0, "key = ": 1.0}}
 
 
@@ -336,20 +319,6 @@ def tx18(spark, d):
     return table(spark, d, D).select("doc_id", K.confidentiality(marked).alias("privacy"))
 
 
-@query(
-    "tx22_metadata",
-    r"""select doc_id, list_filter(string_split(text, chr(10))[1:10], lambda x: length(x) > 10 and not regexp_matches(lower(x), '^(page|copyright)'))[1] as title,
-    nullif(regexp_extract(text, '(?i)version\s+(\d+(?:\.\d+)*)', 1), '') as version, nullif(regexp_extract(text, '(?i)cc (by[-a-z]*)', 1), '') as licence, nullif(regexp_extract(text, '((?:19|20)\d\d)', 1), '') as year from documents""",
-)
-def tx22(spark, d):
-    lines = F.slice(F.split("text", "\n"), 1, 10)
-    title = F.get(F.filter(lines, lambda x: (F.length(x) > 10) & ~F.lower(x).rlike("^(page|copyright)")), 0)
-    first = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    return table(spark, d, D).select(
-        "doc_id", title.alias("title"), first(r"(?i)version\s+(\d+(?:\.\d+)*)").alias("version"), first(r"(?i)cc (by[-a-z]*)").alias("licence"), first(r"((?:19|20)\d\d)").alias("year")
-    )
-
-
 @query(
     "tx23_features",
     rf"""select doc_id, len({WORDS('text')}) as words, round(length(regexp_replace(text, '\s+', '', 'g')) / nullif(len({WORDS('text')}), 0), 6) as mean_word,

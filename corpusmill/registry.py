@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from corpusmill.plans import files, functions, knowledge, ranking, relational, retrieval, scores, streams, structure, text  # noqa: F401
+    from corpusmill.plans import files, functions, knowledge, ranking, relational, retrieval, scores, streams, structure, text, understanding  # noqa: F401

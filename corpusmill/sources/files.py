@@ -65,10 +65,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int | None =
     return rows if limit is None else rows.limit(limit)
 
 
-def flatten_maps(df: DataFrame, maps: dict[str, tuple[str, list[str]]]) -> DataFrame:
-    """Map columns as one column a key: ``{column: (prefix, keys)}``."""
+def map_keys(df: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The different keys of a map column, sorted; more than ``most`` are an error, as each becomes a column."""
+    found = df.select(F.explode(F.map_keys(column)).alias("k")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} keys")
+    return sorted(r["k"] for r in found)
+
+
+def flatten_maps(df: DataFrame, maps: dict[str, tuple[str, list[str] | None]]) -> DataFrame:
+    """Map columns as one column a key: ``{column: (prefix, keys)}``. Without ``keys`` they are those that rows hold, found in a
+    first pass, so that columns are the same on every run over the same rows; a row without a key has null."""
     kept = [c for c in df.columns if c not in maps]
-    return df.select(*kept, *(F.col(c)[k].alias(f"{prefix}_{k}") for c, (prefix, keys) in maps.items() for k in keys))
+    keys = {c: map_keys(df, c) if k is None else k for c, (_, k) in maps.items()}
+    return df.select(*kept, *(F.col(c)[k].alias(f"{prefix}_{k}") for c, (prefix, _) in maps.items() for k in keys[c]))
+
+
+def jsonl_to_parquet(spark: SparkSession, source: str, target: str, schema: str, maps: dict[str, str]) -> DataFrame:
+    """JSON Lines to Parquet with each map column as columns of its prefix, one a key of the data; reads the result back."""
+    rows = read_jsonl(spark, source, schema)
+    flatten_maps(rows, {c: (prefix, None) for c, prefix in maps.items()}).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
 
 
 def round_trip(df: DataFrame, path: str, required: list[str]) -> DataFrame:
