@@ -33,36 +33,51 @@ def word_windows(docs: DataFrame, key: str, text: str, size: int = 1000, overlap
     return rows.select(key, "chunk_index", F.array_join(F.slice("w", F.col("chunk_index") * (size - overlap) + 1, F.lit(size)), " ").alias("content"))
 
 
-def chunk_quality(chunks: DataFrame, key: str, order: str, content: str, dangling: list[str]) -> DataFrame:
-    """Issues of each document's chunks: empty, ending in a dangling word, unfinished though not last; and a score."""
+#: Endings that tell a chunk cut off. Fixed values.
+DANGLING = [
+    "is", "are", "was", "were", "has", "have", "can", "will", "would", "should", "could", "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by",
+]
+
+
+def chunk_quality(chunks: DataFrame, key: str, order: str, content: str, dangling: list[str] = DANGLING) -> DataFrame:
+    """Of each document: chunks, empty ones, ones that end as a dangling word does, ones unfinished though not last; shortest,
+    longest and mean length without white space around; and a score, 100 less 10 for each chunk cut off or unfinished.
+
+    An ending is compared as it stands, letters before it or not, so ``this`` ends as ``is`` does. Empty chunks have no other
+    issue and no part in the shortest and longest; without others both are null.
+    """
     w = Window.partitionBy(key).orderBy(order)
-    rows = chunks.withColumn("last", F.lead(order).over(w).isNull())
-    body = F.trim(content)
-    empty = body == ""
-    truncated = F.element_at(F.split(F.lower(body), " "), -1).isin(dangling)
-    unfinished = ~empty & ~body.rlike("[.!?]$") & ~F.col("last")
+    body = F.regexp_replace(F.coalesce(F.col(content), F.lit("")), r"^\s+|\s+$", "")
+    rows = chunks.select(key, body.alias("_body"), F.lead(order).over(w).isNull().alias("_last"))
+    full = F.col("_body") != ""
+    truncated = full & F.exists(F.array(*map(F.lit, dangling)), lambda x: F.endswith(F.col("_body"), x))
+    unfinished = full & ~F.col("_body").rlike(r"[.!?]\z") & ~F.col("_last")
+    length = F.length("_body")
     out = rows.groupBy(key).agg(
-        F.count("*").alias("chunks"), F.count_if(empty).alias("empty"), F.count_if(truncated).alias("truncated"), F.count_if(unfinished).alias("unfinished"),
-        F.round(F.avg(F.length(content)), 4).alias("mean_length"),
+        F.count("*").alias("chunks"), F.count_if(~full).alias("empty"), F.count_if(truncated).alias("truncated"), F.count_if(unfinished).alias("unfinished"),
+        F.round(F.avg(length), 4).alias("mean_length"), F.min(F.when(full, length)).alias("min_length"), F.max(F.when(full, length)).alias("max_length"),
     )
-    issues = F.col("empty") + F.col("truncated") + F.col("unfinished")
-    return out.withColumn("score", F.greatest(F.lit(0), 100 - 10 * issues))
+    return out.withColumn("score", F.greatest(F.lit(0), 100 - 10 * (F.col("truncated") + F.col("unfinished"))))
 
 
-def pattern_scores(docs: DataFrame, key: str, text: str, patterns: dict[str, dict[str, float]]) -> DataFrame:
-    """``key, label, score``: matches of each pattern times its weight, summed by label; only labels that match."""
+def pattern_scores(docs: DataFrame, key: str, text: str, patterns: dict[str, dict[str, float]], boosts: dict[str, list[str]] | None = None) -> DataFrame:
+    """``key, label, score``: matches of each pattern times its weight, and 0.5 for each of a label's boost terms that the text
+    holds, summed by label; only labels that score."""
     low = F.lower(text)
-    scored = [
-        F.struct(F.lit(label).alias("label"), reduce(Column.__add__, (F.regexp_count(low, F.lit(p)) * F.lit(w) for p, w in ps.items())).alias("score"))
-        for label, ps in patterns.items()
-    ]
+    scored = []
+    for label, ps in patterns.items():
+        parts = [F.regexp_count(low, F.lit(p)) * F.lit(w) for p, w in ps.items()]
+        parts += [F.when(F.contains(low, F.lit(t.lower())), 0.5).otherwise(0.0) for t in (boosts or {}).get(label, [])]
+        scored.append(F.struct(F.lit(label).alias("label"), reduce(Column.__add__, parts).alias("score")))
     rows = docs.select(key, F.explode(F.array(*scored)).alias("s")).select(key, "s.label", "s.score")
     return rows.filter("score > 0")
 
 
-def classify(docs: DataFrame, key: str, text: str, patterns: dict[str, dict[str, float]], default: str, default_confidence: float = 0.5) -> DataFrame:
+def classify(
+    docs: DataFrame, key: str, text: str, patterns: dict[str, dict[str, float]], default: str, default_confidence: float = 0.5, boosts: dict[str, list[str]] | None = None
+) -> DataFrame:
     """``key, label, confidence``: the label of the highest score, ties to the first by name, and its share of all."""
-    scores = pattern_scores(docs, key, text, patterns)
+    scores = pattern_scores(docs, key, text, patterns, boosts)
     best = scores.groupBy(key).agg(F.max("score").alias("top"), F.sum("score").alias("total"))
     named = scores.join(best, key).filter("score = top").groupBy(key).agg(F.min("label").alias("label"), F.first(F.col("top") / F.col("total")).alias("confidence"))
     return docs.select(key).join(named, key, "left").select(
@@ -70,6 +85,39 @@ def classify(docs: DataFrame, key: str, text: str, patterns: dict[str, dict[str,
     )
 
 
+#: Words of domains and of document types, counted within words too. Fixed values.
+DOMAINS = {
+    "electrical": ["ohm", "resistor", "capacitor", "voltage", "current", "circuit", "amplifier"],
+    "network": ["router", "switch", "tcp/ip", "protocol", "firewall", "vlan", "latency"],
+    "mechanical": ["bearing", "shaft", "gear", "torque", "load", "tolerance"],
+    "software": ["api", "database", "microservice", "endpoint", "json", "deployment"],
+    "chemical": ["ph", "compound", "reaction", "solvent", "catalyst", "concentration"],
+}
+KINDS = {
+    "manual": ["guide", "instructions", "overview", "introduction"],
+    "specification": ["specification", "spec", "requirements", "parameters", "compliance"],
+    "schematic": ["schematic", "diagram", "wiring", "layout"],
+    "report": ["analysis", "results", "observations", "summary"],
+    "drawing": ["drawing", "figure", "scale", "dimension"],
+    "procedure": ["step", "procedure", "process", "sequence"],
+}
+
+
+def class_chances(docs: DataFrame, key: str, text: str, words: dict[str, list[str]], smoothing: float = 0.05) -> DataFrame:
+    """``key, label, share, chance, best``: each label's share of all words counted, the shares with ``smoothing`` added and made to
+    add up to one again, and whether it is the greatest, ties to the first listed. A text without any has equal chances."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    counts = [reduce(Column.__add__, (F.regexp_count(low, F.lit(w)) for w in ws)).alias(f"_{i}") for i, ws in enumerate(words.values())]
+    columns = [F.col(f"_{i}") for i in range(len(words))]
+    rows = docs.select(key, *counts).withColumn("_total", F.greatest(F.lit(1), reduce(Column.__add__, columns))).withColumn("_most", F.greatest(*columns))
+    first = F.array_position(F.array(*columns), F.col("_most"))
+    labels = F.array(*(F.struct(F.lit(i + 1).alias("i"), F.lit(name).alias("label"), c.alias("n")) for i, (name, c) in enumerate(zip(words, columns))))
+    rows = rows.select(key, "_total", F.when(F.col("_most") > 0, 1.0).otherwise(0.0).alias("_found"), first.alias("_first"), F.explode(labels).alias("l"))
+    share = F.col("l.n") / F.col("_total")
+    every = F.col("_found") + smoothing * len(words)  # shares add up to one, or to zero where nothing was found
+    return rows.select(key, "l.label", F.round(share, 6).alias("share"), F.round((share + smoothing) / every, 6).alias("chance"), (F.col("l.i") == F.col("_first")).alias("best"))
+
+
 def term_counts(docs: DataFrame, text: str, patterns: list[str], top: int) -> DataFrame:
     """Most frequent matches of any pattern in the lower-cased text, ties by term."""
     found = F.concat(*(F.regexp_extract_all(F.lower(text), F.lit(f"({p})"), 1) for p in patterns))

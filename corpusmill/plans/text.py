@@ -255,25 +255,31 @@ def tx05(spark, d):
     return M.word_windows(table(spark, d, D), "doc_id", "text")
 
 
-_DANGLING = ["the", "a", "an", "of", "and", "or", "to", "in", "for", "with", "is", "are", "was"]
-
-
 @query(
     "tx07_chunk_quality",
-    f"""with r as (select conv_id, turn, text, trim(text) as b, lead(turn) over (partition by conv_id order by turn) is null as last from conversations),
-    i as (select conv_id, count(*) as chunks, count(*) filter (where b = '') as empty, count(*) filter (where list_last(string_split(lower(b), ' ')) in {tuple(_DANGLING)}) as truncated,
-    count(*) filter (where b <> '' and not regexp_matches(b, '[.!?]$') and not last) as unfinished, round(avg(length(text)), 4) as mean_length from r group by 1)
-    select *, greatest(0, 100 - 10 * (empty + truncated + unfinished)) as score from i""",
+    f"""with m as (select conv_id, turn, case when turn % 4 = 3 then ' \t' else regexp_replace(text, '[.]+\\s*$', '') || case turn % 5 when 1 then ' with' when 2 then 'is' when 3 then '! ' else '.' end end as text from conversations),
+    r as (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as b, lead(turn) over (partition by conv_id order by turn) is null as last from m),
+    i as (select conv_id, count(*) as chunks, count(*) filter (where b = '') as empty, count(*) filter (where {' or '.join(f"ends_with(b, '{w}')" for w in M.DANGLING)}) as truncated,
+    count(*) filter (where b <> '' and not regexp_matches(b, '[.!?]$') and not last) as unfinished, round(avg(length(b)), 4) as mean_length,
+    min(length(b)) filter (where b <> '')::int as min_length, max(length(b)) filter (where b <> '')::int as max_length from r group by 1)
+    select *, greatest(0, 100 - 10 * (truncated + unfinished)) as score from i""",
 )
 def tx07(spark, d):
-    return M.chunk_quality(table(spark, d, C), "conv_id", "turn", "text", _DANGLING)
+    """Turns as chunks, of which some are made empty, unfinished or to end in a dangling word."""
+    end = F.when(F.col("turn") % 5 == 1, " with").when(F.col("turn") % 5 == 2, "is").when(F.col("turn") % 5 == 3, "! ").otherwise(".")
+    made = F.when(F.col("turn") % 4 == 3, F.lit(" \t")).otherwise(F.concat(F.regexp_replace("text", r"[.]+\s*$", ""), end))
+    return M.chunk_quality(table(spark, d, C).select("conv_id", "turn", made.alias("text")), "conv_id", "turn", "text")
 
 
 _CLASSES = {"contact": {"@": 1.0, "phone": 2.0}, "legal": {"licen[sc]e": 2.0, "copyright": 1.5}, "secret": {"token = ": 3.0, "key = ": 1.0}}
 
 
+_BOOSTS = {"contact": ["mail", "Call"], "legal": ["MIT ", "rights"], "secret": ["="]}
+
+
 def _score_sql(label):
-    return " + ".join(f"{w} * len(regexp_extract_all(t, '{p}'))" for p, w in _CLASSES[label].items())
+    patterns = " + ".join(f"{w} * len(regexp_extract_all(t, '{p}'))" for p, w in _CLASSES[label].items())
+    return patterns + "".join(f" + 0.5 * contains(t, '{b.lower()}')::int" for b in _BOOSTS[label])
 
 
 @query(
@@ -284,7 +290,7 @@ def _score_sql(label):
     case when top = 0 then 0.5 else round((top / total)::double, 6) end as confidence from m""",
 )
 def tx10(spark, d):
-    return M.classify(table(spark, d, D), "doc_id", "text", _CLASSES, "general").withColumn("confidence", F.round("confidence", 6))
+    return M.classify(table(spark, d, D), "doc_id", "text", _CLASSES, "general", boosts=_BOOSTS).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("tx14_category", "select conv_id, turn, " + cascade(K.QUESTION_CATEGORIES, "text", "general") + " as category from conversations")
@@ -334,12 +340,19 @@ def tx23(spark, d):
     )
 
 
-@query(
-    "tx24_domain_scores",
-    "with s as (select doc_id, unnest([" + ", ".join(f"{{'label': '{k}', 'score': {_score_sql(k)}}}" for k in _CLASSES) + "]) as s from (select doc_id, lower(text) as t from documents)) select doc_id, s.label as label, s.score::double as score from s where s.score > 0",
-)
+def _chances(words: dict[str, list[str]], kind: str) -> str:
+    """SQL rows ``doc_id, kind, label, share, chance, best`` of a lexicon's labels."""
+    counts = ", ".join("(" + " + ".join(f"len(regexp_extract_all(t, '{w}'))" for w in ws) + ")" for ws in words.values())
+    return f"""select doc_id, '{kind}' as kind, ({list(words)})[i] as label, round(n[i] / greatest(1, list_sum(n)), 6) as share,
+        round((n[i] / greatest(1, list_sum(n)) + 0.05) / (case when list_sum(n) > 0 then 1 else 0 end + {len(words)} * 0.05), 6) as chance, i = list_position(n, list_max(n)) as best
+        from (select doc_id, [{counts}] as n from (select doc_id, lower(text) as t from documents)), range(1, {len(words) + 1}) r(i)"""
+
+
+@query("tx24_domain_scores", f"{_chances(M.DOMAINS, 'domain')} union all {_chances(M.KINDS, 'type')}")
 def tx24(spark, d):
-    return M.pattern_scores(table(spark, d, D), "doc_id", "text", _CLASSES)
+    docs = table(spark, d, D)
+    parts = [M.class_chances(docs, "doc_id", "text", words).withColumn("kind", F.lit(kind)) for kind, words in (("domain", M.DOMAINS), ("type", M.KINDS))]
+    return parts[0].unionByName(parts[1])
 
 
 _TERMS = [r"\d+\.\d+(?:\.\d+)*", r"[a-z]+ing", r"[0-9a-f]{16,}"]
