@@ -20,32 +20,60 @@ def parts(spark, d, *text):
     return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(*(F.lit(t[1:]) if t.startswith("'") else _s(t) for t in text)).alias("text"))
 
 
-def acronym_texts(spark, d):
-    return parts(spark, d, "'The Brand Part Name (BPN", "p_size", "') is used.\nAB", "p_size", "': alpha ", "p_name", "'\nAC", "p_brand", "' - no\nTHE: not one")
-
-
-_FOUND = "select p_partkey as doc_id, 'BPN' || p_size as acronym, 'The Brand Part Name' as definition, 1 as method from part union all select p_partkey, 'AB' || p_size, 'alpha ' || p_name, 2 from part"
-
-
-@query("tx33_acronyms", _FOUND)
+#: Sentences that texts are made of: several forms of each pattern, two hits in one, and lookalikes that are none. ``{n}`` and
+#: ``{k}`` are numbers of the row.
+BANK = [
+    "The Brand Part Name (BPN{n}) is used.", "Advanced Meter Reading (AMR) and Head End System (HES{k}) are here (not one).", "AB{n}: alpha {k}. More text", "AC{k} - gamma ray of {n}", "THE: not one",
+    "AAA: all the same letter", "X: too short to be one", "lower Case (abc) is none, nor (ABC) alone", "AB{n}: beta of {k}", "A Meter{n} (also known as endpoint{k}) is here.",
+    "The valve{k}, also called tap{n}, and pump (also known as mover).", "Nothing also known as", "meter also called meter", "Step 1: open it Step 2: turn {n}", "- bullet {n}", "* star {k}", "3) third of {n}",
+    "Install the part {k}", "Reinstall nothing", "remove it, then install", "", "Étude Générale (EG{k}) fini", "no hit - at all", "AB{n} - delta", "  12: twelve", "-no bullet", "AMR: another reading", "EG{k} - général",
+]
+_SENTENCES = 6
+_LINES = ", ".join(f"([{', '.join(repr(x) for x in BANK)}])[(p_partkey * {3 + 2 * j} + {5 * j}) % {len(BANK)} + 1]" for j in range(_SENTENCES))
+_MIXED = f"(select p_partkey as doc_id, replace(replace(array_to_string([{_LINES}], chr(10)), '{{n}}', p_size::varchar), '{{k}}', (p_partkey % 9)::varchar) as text from part)"
+
+
+def mixed_texts(spark, d):
+    bank = F.array(*map(F.lit, BANK))
+    lines = F.array(*(F.element_at(bank, ((F.col("p_partkey") * (3 + 2 * j) + 5 * j) % len(BANK) + 1).cast("int")) for j in range(_SENTENCES)))
+    text = F.replace(F.replace(F.array_join(lines, "\n"), F.lit("{n}"), _s("p_size")), F.lit("{k}"), (F.col("p_partkey") % 9).cast("string"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+_FOUND = rf"""with h as (select doc_id, regexp_extract_all(text, '(?:[A-Z]\p{{L}}+ ){{1,6}}\([A-Z0-9]{{2,10}}\)') as h1, regexp_extract_all(text, '(?m)^[A-Z0-9]{{2,10}}: [^\n.]{{3,100}}') as h2,
+        regexp_extract_all(text, '(?m)^[A-Z0-9]{{2,10}} - [^\n.]{{3,100}}') as h3 from {_MIXED}),
+    e as (select doc_id, 1 as method, unnest(h1) as hit, generate_subscripts(h1, 1) as pos from h union all select doc_id, 2, unnest(h2), generate_subscripts(h2, 1) from h union all select doc_id, 3, unnest(h3), generate_subscripts(h3, 1) from h),
+    n as (select *, case when method = 1 then regexp_extract(hit, '\(([A-Z0-9]+)\)', 1) else regexp_extract(hit, '^[A-Z0-9]+') end as acronym,
+        trim(case when method = 1 then regexp_extract(hit, '^(.*) \(', 1) else regexp_replace(hit, '^[A-Z0-9]+(: | - )', '') end) as definition from e),
+    found as (select doc_id, acronym, arg_max(definition, (method, pos)) as definition, max(method) as method from n
+        where acronym not in {K.COMMON_WORDS} and regexp_matches(acronym, '[A-Z]') and (length(acronym) = 1 or replace(acronym, left(acronym, 1), '') <> '') group by 1, 2)"""
+
+
+@query("tx33_acronyms", _FOUND + " select * from found")
 def tx33(spark, d):
-    return K.acronyms(acronym_texts(spark, d), "doc_id", "text")
+    return K.acronyms(mixed_texts(spark, d), "doc_id", "text")
 
 
-@query("tx34_merged_acronyms", f"select acronym, arg_max(definition, (length(definition), -doc_id)) as definition, count(distinct doc_id) as documents from ({_FOUND}) group by 1")
+@query("tx34_merged_acronyms", _FOUND + " select acronym, arg_max(definition, (length(definition), -doc_id)) as definition, count(distinct doc_id) as documents from found group by 1")
 def tx34(spark, d):
-    return K.merged_acronyms(K.acronyms(acronym_texts(spark, d), "doc_id", "text"), "doc_id")
+    return K.merged_acronyms(K.acronyms(mixed_texts(spark, d), "doc_id", "text"), "doc_id")
 
 
-@query("tx35_first_expansions", f"select acronym, arg_min(definition, doc_id) as definition from ({_FOUND}) group by 1")
+@query("tx35_first_expansions", _FOUND + " select acronym, arg_min(definition, doc_id) as definition from found group by 1")
 def tx35(spark, d):
-    return K.first_expansions(K.acronyms(acronym_texts(spark, d), "doc_id", "text"), "doc_id")
+    return K.first_expansions(K.acronyms(mixed_texts(spark, d), "doc_id", "text"), "doc_id")
 
 
-@query("tx36_synonyms", "with s as (select 'meter' || p_size as a, 'endpoint' || (p_partkey % 7) as b, p_partkey as k from part) select term, synonym, count(distinct k) as documents from (select a as term, b as synonym, k from s union all select b, a, k from s) group by 1, 2")
+_ALSO = r"(\p{L}[\p{L}\p{N}_-]*),? \(?also (?:known as|called) (\p{L}[\p{L}\p{N}_-]*)"
+
+
+@query(
+    "tx36_synonyms",
+    f"""with h as (select doc_id, unnest(regexp_extract_all(lower(text), '{_ALSO}', 1)) as a, unnest(regexp_extract_all(lower(text), '{_ALSO}', 2)) as b from {_MIXED})
+    select term, synonym, count(distinct doc_id) as documents from (select a as term, b as synonym, doc_id from h where a <> b union all select b, a, doc_id from h where a <> b) group by 1, 2""",
+)
 def tx36(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("A Meter"), _s("p_size"), F.lit(" (also known as endpoint"), (F.col("p_partkey") % 7).cast("string"), F.lit(") is here.")).alias("text"))
-    return K.synonyms(rows, "doc_id", "text")
+    return K.synonyms(mixed_texts(spark, d), "doc_id", "text")
 
 
 @query("pf10_acronym_lookup", "select p_partkey as qid, 'AB' || p_size as acronym from part")
@@ -80,10 +108,14 @@ def fn29(spark, d):
 
 @query(
     "tx40_steps",
-    "with p as (select p_partkey as doc_id, p_size as n from part) select doc_id, 1 as step, 'open it' as instruction, null::int as depends_on from p union all select doc_id, 2, 'turn ' || n, 1 from p union all select doc_id, 3, 'bullet ' || n, 2 from p union all select doc_id, 4, 'Install the part', 3 from p",
+    rf"""with l as (select doc_id, string_split(regexp_replace(text, '(?i)([^\n])(step \d+:)', '\1' || chr(10) || '\2', 'g'), chr(10)) as l from {_MIXED}),
+    e as (select doc_id, trim(unnest(l)) as line, generate_subscripts(l, 1) as pos from l),
+    i as (select *, trim(coalesce(nullif(regexp_extract(line, '(?i)^(?:step\s+)?\d+[:.)]\s*(.+)$', 1), ''), nullif(regexp_extract(line, '^[-*•]\s+(.+)$', 1), ''), nullif(regexp_extract(line, '(?i)^((?:install|remove)\b.+)$', 1), ''))) as instruction from e),
+    n as (select doc_id, row_number() over (partition by doc_id order by pos)::int as step, instruction from i where instruction is not null)
+    select *, case when step > 1 then step - 1 end as depends_on from n""",
 )
 def tx40(spark, d):
-    return K.steps(parts(spark, d, "'Step 1: open it Step 2: turn ", "p_size", "'\n- bullet ", "p_size", "'\nInstall the part\nnothing"), "doc_id", "text", ["install", "remove"])
+    return K.steps(mixed_texts(spark, d), "doc_id", "text", ["install", "remove"])
 
 
 _PUMP = "'Pump", "p_size", "' is connected to the valve of ", "p_name"
