@@ -128,15 +128,17 @@ def term_counts(docs: DataFrame, text: str, patterns: list[str], top: int) -> Da
 def phrases(docs: DataFrame, text: str, stop: list[str], top: int) -> DataFrame:
     """Two- and three-word phrases within sentences over words of letters that are no stop words."""
     words = F.filter(F.regexp_extract_all(F.lower(F.col("s")), F.lit(r"(\p{L}+)"), 1), lambda w: ~w.isin(stop))
-    rows = docs.select(F.explode(T.sentences(text)).alias("s")).select(words.alias("w"))
+    rows = docs.select(F.explode(T.sentences(text)).alias("s")).select(words.alias("w")).filter(F.size("w") > 1)
+    w = F.col("w")  # a column of its own, so that the functions below look words up and do not find them anew
 
     def grams(n: int) -> Column:
-        count = F.greatest(F.size("w") - (n - 1), F.lit(0))
-        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+        after = F.slice(w, F.lit(n), F.greatest(F.size(w) - (n - 1), F.lit(0)))
+        return F.transform(after, lambda x, i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(n - 1)), x))
 
     both = F.concat(F.filter(grams(2), lambda p: F.length(p) >= 5), F.filter(grams(3), lambda p: F.length(p) >= 8))
-    return rows.select(F.explode(both).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(top)
+    # an outer explode, as a plain one has the optimizer add a filter that makes the phrases a second time
+    found = rows.select(F.explode_outer(both).alias("phrase")).filter("phrase is not null")
+    return found.groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(top)
 
 
 def vocabulary_stats(docs: DataFrame, by: str, text: str) -> DataFrame:

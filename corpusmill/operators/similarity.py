@@ -22,7 +22,7 @@ def similar_sets(sets: DataFrame, key: str, tokens: str, threshold: float, share
     """Pairs of token sets with a Jaccard similarity of ``threshold`` or more, and the sets.
 
     Gives ``(a, b, common, score)`` with ``a < b``, and ``(key, rep, n)``: rows of equal sets are one set, named by their
-    smallest key ``rep``, with their number, so copies are not expanded into pairs. Empty sets take part in neither.
+    smallest key ``rep``, with their number, so copies are not expanded into pairs. Keys are unique. Empty sets take part in neither.
 
     Tokens are ordered from the rarest on. Sets that are alike share at least ``threshold`` of their tokens, so among the
     first ``size - ceil(threshold * size) + shared`` of each they have ``shared`` in common: only sets that meet in such a
@@ -32,9 +32,12 @@ def similar_sets(sets: DataFrame, key: str, tokens: str, threshold: float, share
     """
     if not 0 < threshold <= 1 or shared not in (1, 2) or (shared == 2 and threshold <= 0.5):
         raise ValueError("threshold must be in (0, 1], and above 0.5 for shared = 2")
-    rows = sets.select(F.col(key).alias("key"), F.sort_array(F.array_distinct(F.col(tokens))).alias("tokens")).filter(F.size("tokens") > 0)
-    rows = stored(rows.groupBy("tokens").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "token-sets")
-    members = sets.select(F.col(key).alias("key"), F.sort_array(F.array_distinct(F.col(tokens))).alias("tokens")).join(rows, "tokens").select(F.col("key").alias(key), "rep", "n")
+    plain = F.sort_array(F.array_distinct(F.col(tokens)))
+    marked = sets.select(F.col(key).alias("key"), plain.alias("tokens")).withColumn("mark", F.md5(F.array_join("tokens", "\x00")))
+    marked = stored(marked, "token-sets").filter(F.size("tokens") > 0)  # equal sets meet by their digest, not by arrays
+    counts = stored(marked.groupBy("mark").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "set-counts")
+    members = marked.select("key", "mark").join(counts, "mark").select(F.col("key").alias(key), "rep", "n")
+    rows = marked.join(counts.select(F.col("rep").alias("key"), "mark"), ["key", "mark"]).select(F.col("key").alias("rep"), "tokens")
     df = rows.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     ordered = rows.select("rep", F.explode("tokens").alias("t")).join(df, "t").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
     ordered = stored(ordered.select("rep", F.col("o.t").alias("o"), F.size("o").alias("size")), "ordered-sets")

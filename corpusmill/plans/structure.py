@@ -73,12 +73,12 @@ def tx47_concepts(spark, d):
     f"""with s as (select list_sort(list_distinct({TOK('text')})) as tokens, min(doc_id) as rep, count(*) as n from documents where len({TOK('text')}) > 0 group by 1),
     t as (select rep, n, len(tokens) as size, unnest(tokens) as w from s)
     select a.rep as a, b.rep as b, any_value(a.n) as a_copies, any_value(b.n) as b_copies, count(*)::int as shared, round(count(*) / (any_value(a.size) + any_value(b.size) - count(*)), 6) as score
-    from t a join t b on a.w = b.w and a.rep < b.rep group by 1, 2 having count(*) >= 0.6 * (any_value(a.size) + any_value(b.size) - count(*)) - 1e-9""",
+    from t a join t b on a.w = b.w and a.rep < b.rep group by 1, 2 having count(*) >= 0.8 * (any_value(a.size) + any_value(b.size) - count(*)) - 1e-9""",
 )
 def jn09(spark, d):
-    """Documents that share most of their words, counted on whole texts: a common word alone brings none together."""
+    """Near copies by their different words, counted on whole texts: a common word alone brings none together."""
     sets = table(spark, d, "documents").select("doc_id", T.tokens("text").alias("tokens"))
-    pairs, members = S.similar_sets(sets, "doc_id", "tokens", 0.6)
+    pairs, members = S.similar_sets(sets, "doc_id", "tokens", 0.8)
     copies = stored(members.select("rep", "n").distinct(), "copies")
     pairs = pairs.join(copies.select(F.col("rep").alias("a"), F.col("n").alias("a_copies")), "a").join(copies.select(F.col("rep").alias("b"), F.col("n").alias("b_copies")), "b")
     return pairs.select("a", "b", "a_copies", "b_copies", F.col("common").alias("shared"), F.round("score", 6).alias("score"))
