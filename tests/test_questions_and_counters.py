@@ -76,3 +76,51 @@ def test_counter_increase_with_resets(spark):
             if inside:
                 want[series, low] = (len(inside), sum(v if v < p else v - p for p, v in zip(inside, inside[1:])))
     assert got == want and any(x[1] > 0 for x in got.values())
+
+
+def test_question_types(spark):
+    cases = {
+        "How to set up the pump?": "technical_docs", "the manual": "technical_docs", "what is new": "current_events", "it happened in 2031": "current_events", "show an example": "code_examples",
+        "how do i  swim": "how_to", "a step by step way": "how_to", "which is better": "comparison", "pros and cons": "comparison", "it is broken": "troubleshooting", "errors": "general_knowledge",
+        "newly made": "general_knowledge", "": "general_knowledge",
+    }
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(cases)] + [(99, None)], "id long, t string")
+    got = {r["id"]: r for r in questions.search_params(df, ["id"], "t", 2030, technical=["pump"]).collect()}
+    assert [got[i]["kind"] for i in range(len(cases))] == list(cases.values()) and got[99]["kind"] == "general_knowledge"
+    assert (got[0]["threshold"], got[0]["chunks"], got[0]["strategy"]) == (0.2, 8, "rag_first")
+    assert (got[2]["threshold"], got[2]["prefer_web"], got[2]["confidence"]) == (0.7, True, 0.9)
+
+
+def test_document_intents(spark):
+    cases = [
+        ("List all documents", ("list_all", None, None, None, False)),
+        ("show me private files, top 5", ("list_by_type", "private", "private", 5, False)),
+        ("find manual documents first", ("list_by_type", "manual", None, 10, False)),
+        ("List documents for Pump 12 manuals", ("list_all", None, None, None, False)),
+        ("what documents do you have on Valve docs", ("list_all", None, None, None, False)),
+        ("search for files containing the new rule", ("search_documents", "the new rule", None, None, True)),
+        ("count documents, top 99", ("get_stats", None, None, 20, False)),
+        ("the newest document", ("find_recent", None, None, None, True)),
+        ("document count", ("count_documents", None, None, None, False)),
+        ("hello public world", (None, None, None, None, None)),
+        (None, (None, None, None, None, None)),
+    ]
+    df = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(cases)], "id long, q string")
+    got = {r["id"]: tuple(r)[1:] for r in questions.document_intent(df, ["id"], "q").collect()}
+    for i, (q, want) in enumerate(cases):
+        assert got[i] == want, q
+
+
+def test_csv_fields_keep_line_separators(spark, tmp_path):
+    from corpusmill.sources import files
+
+    (tmp_path / "a.csv").write_bytes('h,i\r\na b\x0bc,"d\ne"\r\n'.encode())
+    assert files.csv_lines(spark, str(tmp_path)).first()["content"] == "CSV Headers: h | i\na b\x0bc | d\ne"
+
+
+def test_map_keys_are_found(spark):
+    from corpusmill.sources import files
+
+    df = spark.createDataFrame([(1, {"b": 1.0}), (2, {"a": 2.0, "b": 3.0}), (3, None)], "id long, m map<string,double>")
+    got = files.flatten_maps(df, {"m": ("p", None)})
+    assert got.columns == ["id", "p_a", "p_b"] and [tuple(r) for r in got.orderBy("id").collect()] == [(1, None, 1.0), (2, 2.0, 3.0), (3, None, None)]
