@@ -11,7 +11,7 @@ from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
 from corpusmill.operators import ranking as K
 from corpusmill.operators import retrieval as R
-from corpusmill.plans.retrieval import _BENCH, _BM25, _SIM, _TOP, asked, bench_bm25, contexts, vectors
+from corpusmill.plans.retrieval import _BENCH, _BM25, _SIM, _TOP, asked, bench_bm25, contexts, told, vectors
 from corpusmill.plans.text import TOK, WORDS, pairs
 from corpusmill.registry import query
 from corpusmill.sources.tables import table, tables
@@ -189,11 +189,7 @@ _KIND_OF = "case when contains(q, '?') then 'factual' when regexp_matches(q, '[0
       - len(list_filter({sql_list(K.UNCERTAIN)}, lambda u: contains(lower(a), u))) * case kind when 'math' then 0.5 when 'technical' then 0.3 else 0.2 end::double)), 6) end as confidence from m""",
 )
 def rt22(spark, d):
-    turns = table(spark, d, C)
-    earlier = turns.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("text").alias("said"))
-    told = turns.join(earlier, (F.col("conv_id") == F.col("c")) & (F.col("t") < F.col("turn"))).groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("t", "said"))).alias("s"))
-    told = told.select("conv_id", "turn", F.array_join("s.said", " ").alias("context"), F.size("s").alias("chunks"))
-    rows = pairs(spark, d).join(told, ["conv_id", "turn"], "left").fillna({"context": "", "chunks": 0})
+    rows = pairs(spark, d).join(told(spark, d), ["conv_id", "turn"], "left").fillna({"context": "", "chunks": 0})
     kind = F.when(F.contains("q", F.lit("?")), "factual").when(F.col("q").rlike("[0-9]"), "math").when(F.length("q") > 200, "technical").otherwise("chat")
     score = K.typed_confidence(kind, F.col("q"), F.col("a"), F.col("context"), F.col("chunks"), K.array_of(["the", "und"]), F.lit(0.7))
     return rows.select("conv_id", "turn", F.round(score, 6).alias("confidence"))

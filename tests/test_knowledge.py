@@ -9,10 +9,10 @@ def docs(spark, *texts):
 
 
 def test_acronyms(spark):
-    d = docs(spark, "The Regional Network Interface (RNI) works.\nABC: Alpha beta code\nTHE: no\nAAA: no such", "ABC - longer definition text")
+    d = docs(spark, "The Modular Data Exchange (MDE) works.\nABC: Alpha beta code\nTHE: no\nAAA: no such", "ABC - longer definition text")
     found = K.acronyms(d, "doc_id", "text")
     got = {(r["doc_id"], r["acronym"]): r["definition"] for r in found.collect()}
-    assert got == {(0, "RNI"): "The Regional Network Interface", (0, "ABC"): "Alpha beta code", (1, "ABC"): "longer definition text"}
+    assert got == {(0, "MDE"): "The Modular Data Exchange", (0, "ABC"): "Alpha beta code", (1, "ABC"): "longer definition text"}
     merged = {r["acronym"]: (r["definition"], r["documents"]) for r in K.merged_acronyms(found, "doc_id").collect()}
     assert merged["ABC"] == ("longer definition text", 2)
     assert {r["acronym"]: r["definition"] for r in K.first_expansions(found, "doc_id").collect()}["ABC"] == "Alpha beta code"
@@ -24,9 +24,9 @@ def test_synonyms(spark):
 
 
 def test_lookups(spark):
-    q = spark.createDataFrame([(1, "what is rni"), (2, "METER")], "qid long, query string")
-    a = spark.createDataFrame([("RNI", "regional network", 0.9, 3), ("ABC", "is code", 0.8, 1)], "acronym string, definition string, confidence double, usage_count int")
-    assert [(r["qid"], r["acronym"]) for r in K.relevant_acronyms(q, a, 1).collect()] == [(1, "RNI")]
+    q = spark.createDataFrame([(1, "what is http"), (2, "METER")], "qid long, query string")
+    a = spark.createDataFrame([("HTTP", "text transfer", 0.9, 3), ("ABC", "is code", 0.8, 1)], "acronym string, definition string, confidence double, usage_count int")
+    assert [(r["qid"], r["acronym"]) for r in K.relevant_acronyms(q, a, 1).collect()] == [(1, "HTTP")]
     s = spark.createDataFrame([("meter", "endpoint", "x", 0.9, 1), ("gauge", "Meter", "y", 0.9, 5)], "term string, synonym string, term_type string, confidence double, usage_count int")
     assert [(r["term"], r["rank"]) for r in K.relevant_synonyms(q, s, 2).orderBy("rank").collect()] == [("gauge", 1), ("meter", 2)]
 
