@@ -125,6 +125,31 @@ def term_counts(docs: DataFrame, text: str, patterns: list[str], top: int) -> Da
     return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top)
 
 
+#: Words of families of technical terms. Fixed values.
+TERM_WORDS = [
+    "install", "installation", "setup", "configure", "configuration", "security", "authentication", "authorization", "certificate", "encryption", "integration", "connector", "interface", "api", "ldap",
+    "troubleshoot", "error", "issue", "problem", "fix", "resolve",
+]
+
+
+def technical_terms(docs: DataFrame, text: str, top: int = 100, words: list[str] = TERM_WORDS, stop: list[str] = ()) -> DataFrame:
+    """``term, n``: the most frequent technical terms of whole texts, ties by term.
+
+    Of the lower-cased text: versions, ``words`` of families, words of two to six ASCII letters (what counts as an acronym where
+    case is ignored), paths, IPv4 addresses and numbers of two to five digits, as ports; and, as written, runs of capitalised
+    ASCII words of more than three characters that are not in ``stop``. A word in two families counts in each.
+    """
+    low = docs.select(F.lower(text).alias("low"), F.col(text).alias("text"), T.tokens(text).alias("w"))
+    found = lambda c, p: F.regexp_extract_all(c, F.lit(f"({p})"), 1)
+    terms = F.concat(
+        found("low", r"\d+\.\d+(?:\.\d+)?"), F.filter("w", lambda x: x.isin(*words)), F.filter("w", lambda x: x.rlike("^[a-z]{2,6}$")), found("low", r"/[^\s]+"),
+        found("low", r"(?:\d{1,3}\.){3}\d{1,3}"), F.filter("w", lambda x: x.rlike("^[0-9]{2,5}$")),
+        F.filter(found("text", r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"), lambda x: (F.length(x) > 3) & ~x.isin(*stop)),
+    )
+    rows = low.select(F.explode_outer(terms).alias("term")).filter(F.length("term") > 1)
+    return rows.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top)
+
+
 def phrases(docs: DataFrame, text: str, stop: list[str], top: int) -> DataFrame:
     """Two- and three-word phrases within sentences over words of letters that are no stop words."""
     words = F.filter(F.regexp_extract_all(F.lower(F.col("s")), F.lit(r"(\p{L}+)"), 1), lambda w: ~w.isin(stop))

@@ -355,12 +355,19 @@ def tx24(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-_TERMS = [r"\d+\.\d+(?:\.\d+)*", r"[a-z]+ing", r"[0-9a-f]{16,}"]
+_NOT_TERMS = ["The", "That", "Und", "Les"]
 
 
-@query("tx26_term_frequency", "select term, count(*) as n from (select unnest(" + " || ".join(f"regexp_extract_all(lower(text), '{p}')" for p in _TERMS) + ") as term from documents) group by 1 order by n desc, term limit 100")
+@query(
+    "tx26_term_frequency",
+    f"""with t as (select text, lower(text) as low, {TOK('text')} as w from documents),
+    e as (select unnest(regexp_extract_all(low, '\\d+\\.\\d+(?:\\.\\d+)?') || list_filter(w, lambda x: x in {tuple(M.TERM_WORDS)}) || list_filter(w, lambda x: regexp_matches(x, '^[a-z]{{2,6}}$'))
+        || regexp_extract_all(low, '/[^\\s]+') || regexp_extract_all(low, '(?:\\d{{1,3}}\\.){{3}}\\d{{1,3}}') || list_filter(w, lambda x: regexp_matches(x, '^[0-9]{{2,5}}$'))
+        || list_filter(regexp_extract_all(text, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*'), lambda x: length(x) > 3 and x not in {tuple(_NOT_TERMS)})) as term from t)
+    select term, count(*) as n from e where length(term) > 1 group by 1 order by n desc, term limit 100""",
+)
 def tx26(spark, d):
-    return M.term_counts(table(spark, d, D), "text", _TERMS, 100)
+    return M.technical_terms(table(spark, d, D), "text", stop=_NOT_TERMS)
 
 
 @query(
