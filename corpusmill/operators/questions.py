@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators.ranking import QUESTION_TYPES, first_class
 
 #: Words of simple, moderate and complex questions. Fixed values.
 TIERS = {
@@ -201,3 +202,46 @@ def document_intent(questions: DataFrame, keys: list[str], text: str) -> DataFra
         F.when(_held(low, ["first", "top"]) > 0, most).alias("_m"), (_held(low, ["recent", "latest", "newest", "new"]) > 0).alias("_r"),
     )
     return rows.select(*keys, "intent", "argument", F.when(known, F.col("_p")).alias("privacy"), F.when(known, F.col("_m")).alias("most"), F.when(known, F.col("_r")).alias("recent"))
+
+
+#: Words that raise a question's complexity, that ask for something made, and that ask for what is current. Fixed values.
+JOINING, ASKING = ["and", "or", "but"], ["who", "what", "when", "where", "why", "how"]
+MAKING = ["write", "create", "design", "imagine", "brainstorm"]
+TIMELY = ["latest", "recent", "current", "now", "today", "this year", "2025", "newest", "updated", "breaking", "trending", "just released"]
+EXACT, LOOSE = ["exactly", "precisely", "accurate", "correct", "definitive"], ["approximately", "roughly", "about", "maybe", "suggest"]
+#: Words of domains that documents are likely to cover. Fixed values.
+COVERED = ["configure", "setup", "install", "deploy", "network", "server", "system", "code", "function", "algorithm", "programming", "debug", "syntax"]
+#: What complexity and type of question add to the threshold and to the priority of reranking. Fixed values.
+LEVELS = {"simple": (-0.1, -0.1), "moderate": (0.0, 0.0), "complex": (0.15, 0.2), "creative": (-0.05, 0.1)}
+KINDS = {"code": (0.1, 0.3), "technical": (0.05, 0.2), "math": (0.15, 0.25), "factual": (0.0, 0.1), "creative": (-0.1, 0.0), "chat": (-0.05, -0.1)}
+
+
+def linguistic_score(text: Column) -> Column:
+    """2 a joining word, 1.5 an asking one, 0.5 a word of more than eight characters, a twentieth a word up to 2, 1.5 a bracket."""
+    tokens, words = T.tokens(text), T.split_words(text)
+    among = lambda lexicon: F.size(F.filter(tokens, lambda w: w.isin(*lexicon)))
+    long_words = F.size(F.filter(words, lambda w: F.length(w) > 8))
+    return 2.0 * among(JOINING) + 1.5 * among(ASKING) + 0.5 * long_words + F.least(F.size(words) / 20.0, F.lit(2.0)) + 1.5 * F.regexp_count(text, F.lit(r"[(\[]"))
+
+
+def question_analysis(questions: DataFrame, keys: list[str], text: str, base_threshold: float = 0.5) -> DataFrame:
+    """``keys, score, complexity, kind, certainty, threshold, priority, strategy`` of each question.
+
+    Words that ask for something made are told within words and override the score (complex from 4, moderate from 2). The
+    threshold is the base with what complexity and kind add, less 0.2 where something current is asked for, between 0.1 and
+    0.9; priority is 0.5 with what they add, between 0 and 1. A null question is empty.
+    """
+    q = F.coalesce(F.col(text), F.lit(""))
+    low = F.lower(q)
+    score = linguistic_score(q)
+    rows = questions.select(
+        *keys, F.round(score, 6).alias("score"), F.when(_held(low, MAKING) > 0, "creative").when(score >= 4, "complex").when(score >= 2, "moderate").otherwise("simple").alias("complexity"),
+        first_class(q, QUESTION_TYPES, "factual").alias("kind"), (_held(low, TIMELY) > 0).alias("_timely"), (_held(low, COVERED) > 0).alias("_covered"),
+        F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), 0.6 + 0.2 * _held(low, EXACT) - 0.1 * _held(low, LOOSE))), 6).alias("certainty"),
+    )
+    adds = lambda i: sum((F.coalesce(*(F.when(F.col(c) == k, F.lit(v[i])) for k, v in table.items())) for c, table in (("complexity", LEVELS), ("kind", KINDS))), F.lit(0.0))
+    threshold = F.greatest(F.lit(0.1), F.least(F.lit(0.9), base_threshold + adds(0) - F.when(F.col("_timely"), 0.2).otherwise(0.0)))
+    strategy = F.when(F.col("_timely"), "web_preferred").when(F.col("complexity") == "complex", "fusion").when(F.col("_covered"), "rag_only").otherwise("hybrid_balanced")
+    return rows.select(
+        *keys, "score", "complexity", "kind", "certainty", F.round(threshold, 6).alias("threshold"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + adds(1))), 6).alias("priority"), strategy.alias("strategy")
+    )

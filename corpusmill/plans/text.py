@@ -298,20 +298,6 @@ def tx14(spark, d):
     return table(spark, d, C).select("conv_id", "turn", K.first_class(F.col("text"), K.QUESTION_CATEGORIES, "general").alias("category"))
 
 
-@query(
-    "tx15_complexity",
-    f"""with t as (select conv_id, turn, {TOK('text')} as w, text from conversations)
-    select conv_id, turn, round(2.0 * len(list_filter(w, lambda x: x in ('and', 'und', 'et', 'y', 'or', 'oder'))) + 0.5 * len(list_filter(w, lambda x: length(x) > 10))
-    + least(len(w) / 20.0, 2.0) + 1.5 * len(regexp_extract_all(text, '[(\\[]')), 6) as complexity from t""",
-)
-def tx15(spark, d):
-    w = F.col("w")
-    joined = F.size(F.filter(w, lambda x: x.isin("and", "und", "et", "y", "or", "oder")))
-    long = F.size(F.filter(w, lambda x: F.length(x) > 10))
-    score = 2.0 * joined + 0.5 * long + F.least(F.size(w) / 20.0, F.lit(2.0)) + 1.5 * F.regexp_count("text", F.lit(r"[(\[]"))
-    return table(spark, d, C).withColumn("w", T.tokens("text")).select("conv_id", "turn", F.round(score, 6).alias("complexity"))
-
-
 @query(
     "tx18_privacy",
     "select doc_id, case when " + " or ".join(f"contains(lower(text), '{w}')" for w in K.CONFIDENTIAL) + " or " + " or ".join(f"regexp_matches(lower(text), '{p}')" for p in K.CONFIDENTIAL_PATTERNS)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import metadata as M
 from corpusmill.operators import questions as Q
-from corpusmill.plans.text import TOK, WORDS
+from corpusmill.operators.ranking import QUESTION_TYPES
+from corpusmill.plans.text import TOK, WORDS, cascade
 from corpusmill.registry import query
 from corpusmill.sources.tables import table
 
@@ -103,3 +104,27 @@ def tx22(spark, d):
     mark = F.element_at(F.array(*map(F.lit, _MARKS)), (F.col("doc_id") % len(_MARKS) + 1).cast("int"))
     rows = table(spark, d, "documents").select("doc_id", F.concat(mark, F.lit("\n"), "text").alias("text"))
     return M.document_metadata(rows, "doc_id", "text", _PRODUCTS, _PUBLISHERS)
+
+
+def _count(words: list[str]) -> str:
+    return "(" + " + ".join(f"contains(low, '{w}')::int" for w in words) + ")"
+
+
+def _adds(i: int) -> str:
+    return " + ".join("case " + c + " " + " ".join(f"when '{k}' then {v[i]}::double" for k, v in table.items()) + " end" for c, table in (("complexity", Q.LEVELS), ("kind", Q.KINDS)))
+
+
+@query(
+    "tx15_complexity",
+    f"""with q as (select conv_id, turn, text, lower(text) as low, {TOK('text')} as w, {WORDS('text')} as s from (select conv_id, turn, text from {_MADE} union all select conv_id, turn + 1000, text from conversations)),
+    c as (select *, 2.0::double * len(list_filter(w, lambda x: x in {tuple(Q.JOINING)})) + 1.5 * len(list_filter(w, lambda x: x in {tuple(Q.ASKING)})) + 0.5 * len(list_filter(s, lambda x: length(x) > 8))
+        + least(len(s) / 20.0, 2.0)::double + 1.5 * len(regexp_extract_all(text, '[(\\[]')) as score, {cascade(QUESTION_TYPES, 'text', 'factual')} as kind from q),
+    l as (select *, case when {_count(Q.MAKING)} > 0 then 'creative' when score >= 4 then 'complex' when score >= 2 then 'moderate' else 'simple' end as complexity, {_count(Q.TIMELY)} > 0 as timely from c)
+    select conv_id, turn, round(score, 6) as score, complexity, kind, round(greatest(0.1::double, least(1.0, 0.6::double + 0.2 * {_count(Q.EXACT)} - 0.1 * {_count(Q.LOOSE)})), 6) as certainty,
+        round(greatest(0.1::double, least(0.9::double, 0.5::double + {_adds(0)} - case when timely then 0.2::double else 0 end)), 6) as threshold, round(greatest(0.0::double, least(1.0::double, 0.5::double + {_adds(1)})), 6) as priority,
+        case when timely then 'web_preferred' when complexity = 'complex' then 'fusion' when {_count(Q.COVERED)} > 0 then 'rag_only' else 'hybrid_balanced' end as strategy from l""",
+)
+def tx15(spark, d):
+    """Made questions, and whole turns beside them."""
+    whole = table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1000).alias("turn"), "text")
+    return Q.question_analysis(made(spark, d).select("conv_id", "turn", "text").unionByName(whole), ["conv_id", "turn"], "text")

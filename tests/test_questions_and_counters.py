@@ -124,3 +124,17 @@ def test_map_keys_are_found(spark):
     df = spark.createDataFrame([(1, {"b": 1.0}), (2, {"a": 2.0, "b": 3.0}), (3, None)], "id long, m map<string,double>")
     got = files.flatten_maps(df, {"m": ("p", None)})
     assert got.columns == ["id", "p_a", "p_b"] and [tuple(r) for r in got.orderBy("id").collect()] == [(1, None, 1.0), (2, 2.0, 3.0), (3, None, None)]
+
+
+def test_question_analysis(spark):
+    cases = {
+        "How and why (or when) is it so": ("complex", "factual", 0.6, 0.65, 0.8, "fusion"),
+        "design a latest server": ("creative", "technical", 0.6, 0.3, 0.8, "web_preferred"),
+        "fix the network": ("simple", "technical", 0.6, 0.45, 0.6, "rag_only"),
+        "exactly and roughly calculate it": ("moderate", "math", 0.7, 0.65, 0.75, "hybrid_balanced"),
+        "": ("simple", "factual", 0.6, 0.4, 0.5, "hybrid_balanced"),
+    }
+    df = spark.createDataFrame([(x,) for x in cases], "q string")
+    got = {r["q"]: tuple(r)[2:] for r in questions.question_analysis(df, ["q"], "q").collect()}
+    assert got == cases
+    assert questions.question_analysis(spark.createDataFrame([(1, None)], "i int, q string"), ["i"], "q").first()["score"] == 0.0
