@@ -256,6 +256,15 @@ def match_chunks(queries: DataFrame, chunks: DataFrame, qid: str, key: str, k: i
     return vector_top_k(queries, equal_filters(chunks, **wanted), qid, key, k, metric, threshold)
 
 
+def cross_modal_search(queries: DataFrame, vectors: DataFrame, qid: str, key: str, k: int, types: list | None, type_col: str = "type", confidence: str = "confidence") -> DataFrame:
+    """``qid, key, score, rank, confidence``: the ``k`` nearest among vectors of the given ``types`` of content, or of all, whatever the
+    query's own type. Twice as many are found before the cut; confidence is the stored one of a vector times its similarity."""
+    rows = vectors if types is None else vectors.filter(F.col(type_col).isin(types))
+    hits = vector_top_k(queries, rows, qid, key, 2 * k).filter(F.col("rank") <= k)
+    known = hits.join(vectors.select(key, F.col(confidence).alias("_stored")), key)
+    return known.select(qid, key, "score", "rank", F.round(F.col("_stored") * F.col("score"), 8).alias("confidence"))
+
+
 def looked_up(hits: DataFrame, docs: DataFrame, key: str, **columns: Column) -> DataFrame:
     """``hits`` with ``columns`` of the documents they name: each document that was hit is read and worked on once."""
     hits = stored(hits, "hits")

@@ -119,9 +119,17 @@ def rt15(spark, d):
     return rows.groupBy("label", "i").agg(F.round(F.sum(F.col("x").cast("double") * w) / F.sum(w), 5).alias("weight"))
 
 
-@query("rt30_cross_modal", f"with {_SIM} select * from {_TOP('(select c.qid, c.doc_id, c.score from cos c join embeddings e on e.vec_id = c.doc_id where e.label = 3)')} where rank <= 5")
+@query(
+    "rt30_cross_modal",
+    f"""with {_SIM}, f as (select '1 and 3' as types, c.* from cos c join embeddings e on e.vec_id = c.doc_id where e.label in (1, 3) union all select 'all', * from cos),
+    r as (select *, row_number() over (partition by types, qid order by score desc, doc_id)::int as rank from f)
+    select types, qid, doc_id, score, rank, round((doc_id % 10) / 10.0::double * score, 8) as confidence from r where rank <= 5""",
+)
 def rt30(spark, d):
-    return R.vector_top_k(asked(spark, d), vectors(spark, d).filter("label = 3"), "qid", "doc_id", 5)
+    """Two types of content, and all; a vector's stored confidence is told by its number."""
+    rows = vectors(spark, d).withColumn("confidence", (F.col("doc_id") % 10) / 10.0)
+    some = R.cross_modal_search(asked(spark, d), rows, "qid", "doc_id", 5, [1, 3], "label").withColumn("types", F.lit("1 and 3"))
+    return some.unionByName(R.cross_modal_search(asked(spark, d), rows, "qid", "doc_id", 5, None).withColumn("types", F.lit("all")))
 
 
 @query("rt34_verify_vectors", "select vec_id, round(list_cosine_similarity(embedding::double[], list_transform(embedding, lambda x: round(x::double, 2))), 4) > 0.9 as ok from embeddings")
