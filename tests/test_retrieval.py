@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from corpusmill.operators import retrieval
@@ -29,3 +30,29 @@ def test_bm25_top_of_empty_tables(spark):
     as_queries = lambda df: df.selectExpr("doc_id as qid", "text as query")
     assert retrieval.bm25_top(as_queries(none), docs, "qid", "doc_id", "text", 5).count() == 0
     assert retrieval.bm25_top(as_queries(docs), none, "qid", "doc_id", "text", 5).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_vectors_meet_in_bounded_blocks(spark, monkeypatch, metric):
+    rng = np.random.default_rng(5)
+    given = rng.normal(size=(90, 6)).astype(np.float32)
+    given[40:70] = given[3]  # copies: ties go to the smaller key
+    given[80] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(given)] + [(90, None)], "doc_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(retrieval, "MOST_CELLS", 40)  # a few queries at a time
+    found = retrieval.vector_top_k(df.withColumnRenamed("doc_id", "qid"), df, "qid", "doc_id", 5, metric=metric, threshold=-9.0, rows=11)
+    assert not any(x in found._jdf.queryExecution().toString() for x in ("BroadcastNestedLoopJoin", "CartesianProduct"))
+    got = {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in found.collect()}
+    x = given.astype(float)
+    s = x @ x.T
+    if metric == "l2":
+        s = 1 - np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    if metric == "cosine":
+        n = np.linalg.norm(x, axis=1)
+        s = s / np.where(n == 0, 1, n) / np.where(n == 0, 1, n)[:, None]
+    want = {}
+    for q in range(90):
+        order = [i for i in np.lexsort((np.arange(90), -np.round(s[q], 6))) if i != q][:5]
+        want |= {(q, r + 1): (i, s[q, i]) for r, i in enumerate(order) if np.round(s[q, i], 6) > -9}
+    assert got.keys() == want.keys()
+    assert all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 2e-6 for p in want)
