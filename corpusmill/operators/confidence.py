@@ -28,13 +28,13 @@ FACTORS = {"simple": 1.0, "moderate": 0.95, "complex": 0.9, "expert": 0.85}
 
 
 def counted(text: Column, patterns: list[str]) -> Column:
-    return sum((F.regexp_count(text, F.lit(p)) for p in patterns), F.lit(0))
+    return sum((F.regexp_count(text, F.lit(T.ascii_bounds(p))) for p in patterns), F.lit(0))
 
 
 def question_class(question: Column) -> Column:
     """``simple``, ``moderate``, ``complex`` or ``expert``, by technical marks, length, connectives and quotes."""
     marks, words = counted(question, TECHNICAL), F.size(T.tokens(question))
-    operators = question.rlike(r"\b(and|or|not|AND|OR|NOT)\b")
+    operators = question.rlike(T.ascii_bounds(r"\b(and|or|not|AND|OR|NOT)\b"))
     return (
         F.when((marks >= 3) | ((marks >= 2) & (words > 10)), "expert")
         .when((marks >= 2) | operators | (words > 8), "complex")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as T
+
 #: Short words in capitals that are no acronyms, for texts in English; pass a list of the corpus's own.
 COMMON_WORDS = ("THE", "AND", "FOR", "NOT", "ALL", "ARE", "BUT", "CAN", "HAS", "YOU", "WAS", "WHO", "NO", "OR", "IF", "IT", "IS", "IN", "ON", "AT", "TO")
 
@@ -144,7 +146,7 @@ def steps(docs: DataFrame, key: str, text: str, verbs: list[str]) -> DataFrame:
     lines = docs.select(key, F.posexplode(F.split(marked, "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
     numbered = F.regexp_extract("line", r"(?i)^(?:step\s+)?\d+[:.)]\s*(.+)$", 1)
     bullet = F.regexp_extract("line", r"^[-*•]\s+(.+)$", 1)
-    verb = F.regexp_extract("line", r"(?i)^((?:" + "|".join(verbs) + r")\b.+)$", 1)
+    verb = F.regexp_extract("line", r"(?i)^((?:" + "|".join(verbs) + T.ascii_bounds(r")\b.+)$"), 1)
     text_of = F.coalesce(F.nullif(numbered, F.lit("")), F.nullif(bullet, F.lit("")), F.nullif(verb, F.lit("")))
     rows = lines.withColumn("instruction", F.trim(text_of)).filter("instruction is not null")
     nth = F.row_number().over(Window.partitionBy(key).orderBy("pos"))

@@ -109,7 +109,7 @@ def query_type(text: Column, year: int, technical: list[str] | None = None) -> C
     low = F.lower(T.collapse(text))
     words = F.regexp_extract_all(low, F.lit(f"({T.WORD})"), 1)
     holds = lambda lexicon: F.arrays_overlap(words, F.array(*map(F.lit, lexicon)))
-    within = lambda parts: F.coalesce(low.rlike("|".join(f"(?:{p})" for p in parts)), F.lit(False))
+    within = lambda parts: F.coalesce(low.rlike("|".join(f"(?:{T.ascii_bounds(p)})" for p in parts)), F.lit(False))
     recent = [str(y) for y in range(year - 1, year + 2)] + RECENT
     return (
         F.when(holds(TECHNICAL_WORDS + (technical or [])), "technical_docs")

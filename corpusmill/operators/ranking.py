@@ -39,7 +39,7 @@ def enhanced(df: DataFrame, text: str, patterns: dict[str, list[str]], synonyms:
     """
     low = F.lower(text)
     known = F.filter(array_of(list(synonyms)), lambda k: F.contains(low, F.lower(k)))
-    terms = F.array_distinct(F.concat(F.filter(F.regexp_extract_all(text, F.lit(f"({T.WORD})"), 1), lambda w: w.rlike("^[A-Z]{2,}$")), F.regexp_extract_all(text, F.lit(r"\b(\d+\.\d+(?:\.\d+)?)\b"), 1), known))
+    terms = F.array_distinct(F.concat(F.filter(F.regexp_extract_all(text, F.lit(f"({T.WORD})"), 1), lambda w: w.rlike("^[A-Z]{2,}$")), F.regexp_extract_all(text, F.lit(T.ascii_bounds(r"\b(\d+\.\d+(?:\.\d+)?)\b")), 1), known))
     df = df.withColumn("query_type", best_class(F.col(text), patterns, "general")).withColumn("terms", F.sort_array(terms))
     meant = [F.when(F.array_contains("terms", k), array_of(v)) for k, v in synonyms.items()]
     meant += [F.when(F.array_contains("terms", k), array_of([v])) for k, v in acronyms.items()]
@@ -123,7 +123,7 @@ def typed_confidence(kind: Column, question: Column, answer: Column, context: Co
     form = (
         flag(F.length(answer) > 500)
         + flag((F.regexp_count(answer, F.lit("\n")) > 2) | (F.regexp_count(answer, F.lit("•")) > 1))
-        + flag(answer.rlike(r"\b\d+\b"))
+        + flag(answer.rlike(T.ascii_bounds(r"\b\d+\b")))
         + flag(low.rlike("according to|research shows|studies indicate"))
     )
     unsure = sum((F.contains(low, F.lit(p)).cast("int") for p in UNCERTAIN), F.lit(0))
@@ -141,8 +141,8 @@ def importance(text: Column, terms: Column) -> Column:
     words = F.size(T.split_words(text))
     length = F.when(words.between(50, 200), 0.2).when(words.between(20, 400), 0.1).otherwise(0.0)
     heading = ((F.upper(text) == text) & (F.lower(text) != text)) | text.rlike(r"^#+\s+")
-    procedure = F.lower(text).rlike(r"\b(?:step|procedure|method|instruction|how to)\b")
-    numbers = F.regexp_count(text, F.lit(r"\b\d+(?:\.\d+)?\b"))
+    procedure = F.lower(text).rlike(T.ascii_bounds(r"\b(?:step|procedure|method|instruction|how to)\b"))
+    numbers = F.regexp_count(text, F.lit(T.ascii_bounds(r"\b\d+(?:\.\d+)?\b")))
     flag = lambda c: F.when(c, 0.2).otherwise(0.0)
     return F.least(F.lit(1.0), length + F.least(F.lit(0.3), 5 * F.size(terms) / F.greatest(words, F.lit(1))) + flag(heading) + flag(procedure) + F.least(F.lit(0.1), numbers * 0.02))
 
@@ -198,7 +198,7 @@ def confidentiality(text: Column, words: list[str] = CONFIDENTIAL, patterns: lis
     for w in words:
         private = private | F.contains(low, F.lit(w))
     for p in patterns:
-        private = private | low.rlike(p)
+        private = private | low.rlike(T.ascii_bounds(p))
     marked = F.exists(edges, lambda x: sum((F.contains(x, F.lit(m)).cast("int") for m in marks), F.lit(0)) > 0)
     return F.when(F.coalesce(private | marked, F.lit(False)), "private").otherwise("public")
 
@@ -216,7 +216,7 @@ REFERENCES = [
 
 def cross_references(text: Column) -> Column:
     """What the six patterns find, pattern by pattern, whatever its case."""
-    return F.concat(*(F.regexp_extract_all(text, F.lit("(?i)" + p), 1) for p in REFERENCES))
+    return F.concat(*(F.regexp_extract_all(text, F.lit("(?i)" + T.ascii_bounds(p)), 1) for p in REFERENCES))
 
 
 #: Categories of questions, first match wins; fixed values.

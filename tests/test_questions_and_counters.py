@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from corpusmill.operators import questions
@@ -138,3 +139,14 @@ def test_question_analysis(spark):
     got = {r["q"]: tuple(r)[2:] for r in questions.question_analysis(df, ["q"], "q").collect()}
     assert got == cases
     assert questions.question_analysis(spark.createDataFrame([(1, None)], "i int, q string"), ["i"], "q").first()["score"] == 0.0
+
+
+def test_words_end_where_sql_ends_them(spark):
+    """A letter beyond ASCII ends a word in SQL, and in Java only from 19 on."""
+    texts = ["bestß enst einver", "bestü problem", "nichtfixé", "fixé", "bester", "der best", "ébest"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r["i"]: r["kind"] for r in questions.search_params(rows, ["i"], "text", 2030).collect()}
+    con = duckdb.connect()
+    sql = lambda patterns, t: any(con.execute("select regexp_matches(?, ?)", [t, p]).fetchone()[0] for p in patterns)
+    want = {i: "comparison" if sql(questions.COMPARISON, t) else "troubleshooting" if sql(questions.TROUBLE, t) else "general_knowledge" for i, t in enumerate(texts)}
+    assert got == want and [want[i] for i in range(4)] == ["comparison", "comparison", "general_knowledge", "troubleshooting"]
