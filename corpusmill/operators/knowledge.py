@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.sources.scratch import stored
 
 #: Short words in capitals that are no acronyms, for texts in English; pass a list of the corpus's own.
 COMMON_WORDS = ("THE", "AND", "FOR", "NOT", "ALL", "ARE", "BUT", "CAN", "HAS", "YOU", "WAS", "WHO", "NO", "OR", "IF", "IT", "IS", "IN", "ON", "AT", "TO")
@@ -55,23 +56,30 @@ def synonyms(docs: DataFrame, key: str, text: str) -> DataFrame:
     return both.groupBy(F.col("a").alias("term"), F.col("b").alias("synonym")).agg(F.countDistinct(key).alias("documents"))
 
 
+#: Entries of acronyms and best synonyms of words that are sent to every task, so that questions with a common word do not meet in one; more are joined by key.
+MOST_SENT = 500_000
+
+
 def relevant_acronyms(queries: DataFrame, table: DataFrame, n: int) -> DataFrame:
     """For each query the ``n`` best entries whose acronym it names or whose definition holds one of its words."""
     q = queries.select("qid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("w"))
     words = F.array_distinct(F.concat(F.array(F.lower("acronym")), F.regexp_extract_all(F.lower("definition"), F.lit(r"([\p{L}\p{N}_]+)"), 1)))
-    entries = table.withColumn("w", F.explode(words))
-    hits = q.join(entries, "w").drop("w").dropDuplicates(["qid", "acronym", "definition"])
+    entries = stored(table.withColumn("w", F.explode(words)), "entries")
+    hits = q.join(F.broadcast(entries) if entries.count() <= MOST_SENT else entries, "w").drop("w").dropDuplicates(["qid", "acronym", "definition"])
     order = Window.partitionBy("qid").orderBy(F.desc("confidence"), F.desc("usage_count"), "acronym", "definition")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
 def relevant_synonyms(queries: DataFrame, table: DataFrame, n: int, kind: str | None = None) -> DataFrame:
-    """For each term the ``n`` best rows in which it is the term or the synonym, whatever its case."""
+    """For each term the ``n`` best rows in which it is the term or the synonym, whatever its case.
+
+    The rows are ranked once a word, not once a question; a ``qid`` names one question.
+    """
     rows = table if kind is None else table.filter(F.col("term_type") == kind)
     sides = rows.withColumn("w", F.explode(F.array_distinct(F.array(F.lower("term"), F.lower("synonym")))))
-    hits = queries.withColumn("w", F.lower("query")).join(sides, "w").drop("w")
-    order = Window.partitionBy("qid").orderBy(F.desc("confidence"), F.desc("usage_count"), "term", "synonym")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    order = Window.partitionBy("w").orderBy(F.desc("confidence"), F.desc("usage_count"), "term", "synonym")
+    best = stored(sides.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n), "synonyms")
+    return queries.withColumn("w", F.lower("query")).join(F.broadcast(best) if best.count() <= MOST_SENT else best, "w").drop("w")
 
 
 # --- spans --------------------------------------------------------------------------------------------------------
@@ -178,6 +186,10 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+#: Characters of texts whose chunks a worker holds before it passes them on.
+MOST_CHARACTERS = 4 << 20
+
+
 def pack_sentences(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 0) -> DataFrame:
     """``key, chunk_index, content, hash``: sentences packed into chunks of at most ``size`` characters.
 
@@ -188,9 +200,14 @@ def pack_sentences(docs: DataFrame, key: str, text: str, size: int = 1000, overl
     import re
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [key, "chunk_index", "content", "hash"]
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for k, t in zip(pdf[key], pdf[text].fillna("")):
+                held += len(t)
+                if held > MOST_CHARACTERS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], len(t)
                 own: list[str] = []
                 tail: list[str] = []
                 n = 0
@@ -213,7 +230,7 @@ def pack_sentences(docs: DataFrame, key: str, text: str, size: int = 1000, overl
                     if s:
                         own.append(s)
                 close()
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "content", "hash"])
+            yield pd.DataFrame(rows, columns=columns)
 
     return docs.select(key, text).mapInPandas(run, f"{key} long, chunk_index int, content string, hash string")
 

@@ -81,3 +81,21 @@ def test_dictionary_and_index_export(spark):
     acr = spark.createDataFrame([("ABC", "alpha", 0.5, False, ["x", "y", "z"]), ("ABD", "beta", 0.9, True, ["x"])], "acronym string, definition string, confidence double, verified boolean, sources array<string>")
     lines = [r["line"] for r in files.markdown_index(acr).collect()]
     assert lines == ["## A\n\n### ABC\nalpha\n*Confidence: 0.5 | Sources: x, y*", "### ABD\nbeta"]
+
+
+def test_synonyms_are_ranked_once_a_word(spark):
+    table = spark.createDataFrame([("Meter", f"gauge{i}", "x", i / 10, i) for i in range(8)] + [("dial", "METER", "x", 0.65, 1), ("meter", "other", "y", 9.0, 9)], "term string, synonym string, term_type string, confidence double, usage_count int")
+    asked = spark.createDataFrame([(i, "METER") for i in range(40)] + [(40, "gauge2"), (41, "none"), (42, None)], "qid long, query string")
+    found = K.relevant_synonyms(asked, table, 3, "x")
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()  # questions do not meet in a task for their word
+    got = {(r["qid"], r["rank"]): (r["term"], r["synonym"]) for r in found.collect()}
+    want = {(i, k + 1): x for i in range(40) for k, x in enumerate([("Meter", "gauge7"), ("dial", "METER"), ("Meter", "gauge6")])}
+    assert got == want | {(40, 1): ("Meter", "gauge2")}
+
+
+def test_chunks_are_passed_on_in_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"One {i}. Two {i}. " * (i % 5)) for i in range(60)] + [(60, None)], "doc_id long, text string").coalesce(1)
+    rows = lambda: sorted(map(tuple, K.pack_sentences(docs, "doc_id", "text", 20, 8).collect()))
+    whole = rows()
+    monkeypatch.setattr(K, "MOST_CHARACTERS", 50)
+    assert rows() == whole and len(whole) > 100
