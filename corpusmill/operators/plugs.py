@@ -1,7 +1,7 @@
 """Places where a model can be plugged in: texts to vectors, and pairs of question and passage to scores.
 
 Both take a factory. It is called once a task, in the worker, so a model is loaded there and never sent; what it returns is
-called with batches as Arrow brings them.
+called with pieces of the batches that Arrow brings.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
@@ -44,16 +46,25 @@ def hashed_bag(size: int = 768, most_words: int = 100) -> Callable[[], Embedder]
     return make
 
 
+#: Texts that an embedder gets at once; its vectors are packed before the next.
+TEXTS_AT_ONCE = 256
+
+
 def embedding(text: Column | str, make: Callable[[], Embedder] = hashed_bag()) -> Column:
     """A vector of each text; a null text has none."""
 
-    @F.pandas_udf(ArrayType(FloatType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embed = make()
         for texts in batches:
-            known = texts[texts.notna()]
-            vectors = pd.Series(list(map(list, embed(known.tolist()))), index=known.index, dtype=object) if len(known) else pd.Series(dtype=object)
-            yield vectors.reindex(texts.index).where(texts.notna(), None)
+            known = texts.drop_null()
+            found = [np.zeros(0, np.float32)]
+            for i in range(0, len(known), TEXTS_AT_ONCE):
+                found += (np.asarray(v, np.float32) for v in embed(known.slice(i, TEXTS_AT_ONCE).to_pylist()))
+            lengths = np.zeros(len(texts), np.int32)
+            lengths[texts.is_valid().to_numpy(zero_copy_only=False)] = list(map(len, found[1:]))
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)), mask=texts.is_null())
 
     return run(text)
 

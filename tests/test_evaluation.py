@@ -88,3 +88,16 @@ def test_derived_columns_follow_the_content(spark):
     got = table_functions.derived_columns(df, "at").select("content_length", "lexemes", "updated_at").collect()
     assert [tuple(r) for r in got] == [(7, ["a", "b"], 5), (None, [], 6)]
     assert df.select(F.lit(1)).count() == 2
+
+
+def test_embedders_get_pieces(spark):
+    def make():
+        def embed(texts):
+            assert len(texts) <= 256 and None not in texts
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return embed
+
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else "x" * (i % 11)) for i in range(700)], "i long, text string").coalesce(1)
+    got = {r["i"]: r["v"] for r in df.select("i", plugs.embedding("text", make).alias("v")).collect()}
+    assert got == {i: None if i % 7 == 0 else [float(i % 11), 1.0] for i in range(700)}
