@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions
 
 from corpusmill.operators import ranking, sections, similarity
 from corpusmill.plans import structure
@@ -133,3 +134,15 @@ def test_components_and_clusters(spark):
     sets = spark.createDataFrame([(1, list("abcdefghij")), (2, list("bcdefghijk")), (3, list("cdefghijkl")), (4, list("xyz")), (5, list("xyz")), (6, ["q"])], "id long, tokens array<string>")
     found = {r["id"]: (r["cluster"], r["size"], r["confidence"]) for r in similarity.clusters(sets, "id", "tokens").collect()}
     assert found == {1: (1, 3, 0.8), 2: (1, 3, 0.8), 3: (1, 3, 0.8), 4: (4, 2, 0.7), 5: (4, 2, 0.7)}
+
+
+def test_sketches_bound_what_differs(spark):
+    rng = random.Random(9)
+    sets = [(i, [rng.getrandbits(63) - 2**62 for _ in range(rng.randint(1, 300))]) for i in range(40)]
+    sets += [(40 + i, x[: len(x) // 2] + [5, 6]) for i, x in sets]
+    rows = spark.createDataFrame(sets, "i int, o array<long>").select("i", similarity._sketch(functions.col("o")).alias("s")).collect()
+    bits = {r["i"]: sum((r["s"][f"s{w}"] & (2**64 - 1)) << (64 * w) for w in range(similarity.SKETCH_WORDS)) for r in rows}
+    held = {i: set(x) for i, x in sets}
+    apart = {(a, b): (bits[a] ^ bits[b]).bit_count() for a in held for b in held}
+    assert all(n <= len(held[a] ^ held[b]) and (n - len(held[a] ^ held[b])) % 2 == 0 for (a, b), n in apart.items())
+    assert sum(n > 60 for n in apart.values()) > 1000  # sets without much in common are told apart
