@@ -30,8 +30,8 @@ class ChunkEncoder:
     """Token ids, and where tokens start, of whole texts.
 
     ``byte_level``: chunks after the first carry the space before them, or begin with their line feed. ``starts``:
-    whether :meth:`token_starts` will be asked for. ``limit``: distinct chunks kept per worker; beyond it the cache is
-    emptied, which costs time but never changes a result.
+    whether :meth:`token_starts` will be asked for. ``limit``: distinct chunks kept; beyond it those met in fewest calls are
+    forgotten, which costs time but never changes a result.
     """
 
     def __init__(self, path: str, byte_level: bool, starts: bool = False, limit: int = 500_000):
@@ -63,13 +63,33 @@ class ChunkEncoder:
         self.starts = np.zeros(1 << 16 if self.with_starts else 0, np.int32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
+        self.met = np.zeros(1 << 16, np.int32)
         self.used = 0
 
+    def _forget(self) -> None:
+        """Keep at most half as many chunks as ``limit``, those met in most calls, and halve what is counted of them."""
+        met = self.met[: self.numbered]
+        as_often = np.append(np.cumsum(np.bincount(met)[::-1])[::-1], 0)
+        least = max(2, int(np.argmax(as_often <= self.limit // 2)))
+        kept = np.flatnonzero(met >= least)
+        number, first_number, with_starts = self.number, self.first_number, self.with_starts
+        ids, ends = self._gather(kept, self.ids)
+        starts = self._gather(kept, self.starts)[0] if with_starts else None
+        halved = met[kept] >> 1
+        place = np.full(self.numbered, -1)
+        place[kept] = np.arange(len(kept))
+        self._clear()
+        for old, new in ((number, self.number), (first_number, self.first_number)):
+            new.update((c, to) for c, to in zip(old, place[np.fromiter(old.values(), np.int64, len(old))].tolist()) if to >= 0)
+        self.numbered = len(kept)
+        self._store(np.arange(len(kept)), ids, starts, np.diff(ends))
+        self.met[: len(kept)] = halved
+
     def _store(self, numbers: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids, self.starts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.ids, self.starts))
         while self.numbered > len(self.begin):
-            self.begin, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.count))
+            self.begin, self.count, self.met = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.count, self.met))
         self.ids[self.used : self.used + len(ids)] = ids
         if self.with_starts:
             self.starts[self.used : self.used + len(ids)] = starts
@@ -181,6 +201,7 @@ class ChunkEncoder:
         if new:
             self._learn(new)
         numbers = np.fromiter(map(self.number.__getitem__, different), np.int64, len(different))
+        self.met[numbers] += 1
         return numbers[coded.indices.to_numpy()]
 
     def _first_numbers(self, chunks: list[str]) -> np.ndarray:
@@ -190,11 +211,13 @@ class ChunkEncoder:
             self.first_number[c] = self.numbered
             self.numbered += 1
         self._single([self.first_number[c] for c in new], new)
-        return np.fromiter(map(self.first_number.__getitem__, chunks), np.int64, len(chunks))
+        numbers = np.fromiter(map(self.first_number.__getitem__, chunks), np.int64, len(chunks))
+        self.met[np.unique(numbers)] += 1
+        return numbers
 
-    def _split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    def _split(self, texts: list[str] | pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Chunks of all texts in a row, and where each text's begin."""
-        array = pa.array(texts, pa.string())
+        array = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if self.byte_level:
             awkward = pc.match_substring_regex(array, _AWKWARD).to_numpy(zero_copy_only=False)
             cut = pc.split_pattern(pc.replace_substring(array, "\n", " \n"), " ")
@@ -203,21 +226,20 @@ class ChunkEncoder:
                 at = 0
                 ends = cut.offsets.to_numpy()
                 for i in np.flatnonzero(awkward):  # rows between awkward ones stay as Arrow cut them
-                    parts += [cut.values.slice(ends[at], ends[i] - ends[at]), pa.array(_SAFE.split(texts[i]), pa.string())]
+                    parts += [cut.values.slice(ends[at], ends[i] - ends[at]), pa.array(_SAFE.split(array[i].as_py()), pa.string())]
                     sizes += [np.diff(ends[at : i + 1]), [len(parts[-1])]]
                     at = i + 1
                 parts.append(cut.values.slice(ends[at], ends[-1] - ends[at]))
                 sizes.append(np.diff(ends[at:]))
                 return pa.concat_arrays(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             return cut.values, cut.offsets.to_numpy()
-        lowered = pc.match_substring_regex(array, _LOWERED).to_numpy(zero_copy_only=False)
-        array = pa.array([t.lower() if low else t for t, low in zip(texts, lowered)], pa.string())
+        array = pc.if_else(pc.match_substring_regex(array, _LOWERED), pc.utf8_lower(array), array)
         cut = pc.split_pattern(pc.replace_substring(array, "\n", " "), " ")
         return cut.values, cut.offsets.to_numpy()
 
-    def _look_up(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    def _look_up(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         if self.numbered > self.limit:
-            self._clear()
+            self._forget()
         chunks, begin = self._split(texts)
         numbers = self._numbers(chunks)
         if self.byte_level:
@@ -231,12 +253,23 @@ class ChunkEncoder:
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[numbers] - (ends - counts), counts)
         return flat[at], np.concatenate([[0], ends])
 
-    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_flat(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin and the last ends."""
         numbers, _, begin = self._look_up(texts)
         flat, ends = self._gather(numbers, self.ids)
         return flat, ends[begin]
 
+    def encode_parts(self, texts: list[str] | pa.Array, most: int = 500_000):
+        """``lo, hi`` and what ``encode_flat`` gives of the texts from ``lo`` to ``hi``, which hold ``most`` ids at most or are one text."""
+        numbers, _, begin = self._look_up(texts)
+        before = np.concatenate([[0], np.cumsum(self.count[numbers])])[begin]
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(before, before[lo] + most, "right")) - 1)
+            flat, ends = self._gather(numbers[begin[lo] : begin[hi]], self.ids)
+            yield lo, hi, flat, ends[begin[lo : hi + 1] - begin[lo]]
+            lo = hi
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         flat, ends = self.encode_flat(texts)
         return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
@@ -265,3 +298,13 @@ def text_batches(texts, size: int = 8_000_000):
         total += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+def array_batches(texts: pa.Array, size: int = 8_000_000):
+    """Slices of an array of texts holding at most ``size`` bytes each, or one text."""
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + size, "right")) - 1)
+        yield lo, hi
+        lo = hi

@@ -4,22 +4,31 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, text_batches
+from .chunks import ChunkEncoder, array_batches
 from .common import documents, id_back, id_key
 
 END_ID = 1
 
+#: Distinct chunks that a worker keeps the ids of.
+MOST_CHUNKS = 300_000
+
 STORED = "doc_key long, n_tokens int, part int, part_start long, ids array<int>"
 
 
+@lru_cache(1)
+def encoder_of(tokenizer: str, byte_level: bool) -> ChunkEncoder:
+    """A worker's encoder, which later tasks of the same worker use again."""
+    return ChunkEncoder(tokenizer, byte_level, limit=MOST_CHUNKS)
+
+
 def closed(flat: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts in a row with ``end_id`` after each, and where each text's begin and the last ends."""
     return np.insert(flat, ends[1:], np.uint32(end_id)), ends + np.arange(len(ends))
@@ -32,23 +41,24 @@ def encode_documents(df: DataFrame, tokenizer: str, byte_level: bool, end_id: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, byte_level)
+        encoder = encoder_of(tokenizer, byte_level)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in text_batches(texts):
-                ids, ends = closed(*encoder.encode_flat(texts[lo:hi]), end_id)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_key").slice(lo, hi - lo),
-                        pa.array(np.diff(ends).astype(np.int32)),
-                        pa.array(np.full(hi - lo, part, np.int32)),
-                        pa.array(before + ends[:-1]),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))),
-                    ],
-                    names=["doc_key", "n_tokens", "part", "part_start", "ids"],
-                )
-                before += int(ends[-1])
+            texts = batch.column("text")
+            for begin, end in array_batches(texts):
+                for lo, hi, *found in encoder.encode_parts(texts.slice(begin, end - begin)):
+                    ids, ends = closed(*found, end_id)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("doc_key").slice(begin + lo, hi - lo),
+                            pa.array(np.diff(ends).astype(np.int32)),
+                            pa.array(np.full(hi - lo, part, np.int32)),
+                            pa.array(before + ends[:-1]),
+                            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                        ],
+                        names=["doc_key", "n_tokens", "part", "part_start", "ids"],
+                    )
+                    before += int(ends[-1])
 
     return df.select("doc_key", "text").mapInArrow(run, STORED)
 
@@ -92,13 +102,17 @@ def token_digest(spark, path: str) -> DataFrame:
     ranges, and there is one row a part in the only sum that has an order, so no file is ever sorted or held whole.
     """
 
-    def crc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sums = [zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) for x in pdf["ids"]]
-            yield pdf.drop(columns=["ids"]).assign(ids_crc32=sums)
+    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            flat, ends = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
+            sums = pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64())
+            names = ["doc_key", "n_tokens", "part", "part_start"]
+            columns = [batch.column("doc_key"), batch.column("n_tokens").cast(pa.int64()), batch.column("part"), batch.column("part_start")]
+            yield pa.RecordBatch.from_arrays([*columns, sums], names=[*names, "ids_crc32"])
 
     stored = spark.read.schema(STORED).orc(path)
-    rows = stored.mapInPandas(crc, "doc_key long, n_tokens long, part int, part_start long, ids_crc32 long")
+    rows = stored.mapInArrow(crc, "doc_key long, n_tokens long, part int, part_start long, ids_crc32 long")
     # the sums read the stored counts only: the ids column is pruned from that scan
     per_part = stored.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

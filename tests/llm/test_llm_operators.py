@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -79,6 +80,32 @@ def test_chunks_equal_whole_texts_of_odd_characters():
                 assert [x.tolist() for x in encoder.token_starts(part)] == [[o[0] for o in e.offsets] for e in want]
 
 
+def test_encoding_comes_in_bounded_parts_and_keeps_common_chunks():
+    rng = random.Random(6)
+    common = ["the", "of", "und", "straße,"]
+    texts = [" ".join([*common, *("".join(rng.choices("abcdefgéß", k=7)) for _ in range(rng.randint(0, 30)))]) for _ in range(300)]
+    texts += ["", " ".join(texts[:40]), "\u0130 A\u0301"]
+    for path, byte_level in ((BYTES, True), (LOWER, False)):
+        encoder = chunks.ChunkEncoder(path, byte_level, limit=200)
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        got, calls = [], []
+        array = pa.array(["outside", *texts]).slice(1)
+        for begin, end in chunks.array_batches(array, 2000):
+            assert end - begin == 1 or sum(len(t.encode()) for t in texts[begin:end]) <= 2000
+            for lo, hi, ids, ends in encoder.encode_parts(array.slice(begin, end - begin), most=150):
+                assert hi - lo == 1 or len(ids) <= 150
+                got += [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+            calls.append(encoder.numbered)
+        assert got == want and min(calls[1:]) < 200 < max(calls)
+        encoder = chunks.ChunkEncoder(path, byte_level)
+        for i in range(0, 300, 60):
+            encoder.encode(texts[i : i + 60])
+        encoder.limit = 200
+        encoder._forget()
+        assert len(encoder.number) + len(encoder.first_number) == encoder.numbered <= 100 and {*common[1:]} <= {*encoder.number}
+        assert [x.tolist() for x in encoder.encode(texts)] == want
+
+
 def test_section_tokens(docs, none, rows):
     for rule in tokens.RULES:
         got = tokens.section_tokens(docs, BYTES, rule).toPandas()
