@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from corpusmill.operators import retrieval
+from corpusmill.plans import retrieval as plans
 
 
 @pytest.mark.parametrize("most,block", [(32 << 20, 8 << 20), (0, 1500)])
@@ -56,3 +57,9 @@ def test_vectors_meet_in_bounded_blocks(spark, monkeypatch, metric):
         want |= {(q, r + 1): (i, s[q, i]) for r, i in enumerate(order) if np.round(s[q, i], 6) > -9}
     assert got.keys() == want.keys()
     assert all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 2e-6 for p in want)
+
+
+@pytest.mark.parametrize("query", ["ev08", "rt06", "rt05"])
+def test_both_searches_run_once(spark, query):
+    rows = getattr(plans, query)(spark, "/root/testdata/sf0.001")
+    assert "FlatMapCoGroupsInPandas" not in rows._jdf.queryExecution().toString() and rows.count() > 0
