@@ -63,3 +63,20 @@ def test_vectors_meet_in_bounded_blocks(spark, monkeypatch, metric):
 def test_both_searches_run_once(spark, query):
     rows = getattr(plans, query)(spark, "/root/testdata/sf0.001")
     assert "FlatMapCoGroupsInPandas" not in rows._jdf.queryExecution().toString() and rows.count() > 0
+
+
+@pytest.mark.parametrize("features", [3, 25, 40, 100, 5000])
+def test_tfidf_top_is_the_top_of_tfidf(spark, monkeypatch, features):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(25)] + ["x y", "the", "é"]
+    texts = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 25)))) for i in range(90)]
+    texts += [(900, None), (901, ""), (902, "?!"), (903, texts[3][1]), (904, texts[3][1]), (905, "alone alone alone")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    queries = docs.filter("doc_id % 7 = 0 or doc_id > 899").selectExpr("doc_id as qid", "text as query")
+    monkeypatch.setattr(retrieval, "MOST_WEIGHED", 7)
+    given = (queries, docs, "qid", "doc_id", "text", ["the"])
+    want = retrieval.top(retrieval.tfidf(*given, features=features), "qid", "doc_id", "score", 5)
+    got = retrieval.tfidf_top(*given, 5, features=features)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((r["qid"], r["rank"], r["doc_id"], round(r["score"], 5)) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 20
