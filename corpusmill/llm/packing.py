@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, text_batches
+from .chunks import array_batches
 from .common import documents, id_back, id_key, materialize
-from .output import END_ID, closed, encode_documents
+from .output import END_ID, closed, encode_documents, encoder_of
 
 TIERS = (256, 512, 1024, 2048)
 
@@ -106,21 +107,26 @@ def cut_documents(docs: DataFrame, tokenizer: str, window: int = TIERS[-1], with
 def encode_digests(rows: DataFrame, tokenizer: str, window: int, end_id: int = END_ID) -> DataFrame:
     """The pieces of :func:`cut_documents` without their ids, which never leave the worker."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder(tokenizer, byte_level=True)
-        for pdf in batches:
-            keys, texts = pdf["doc_key"].tolist(), pdf["text"].tolist()
-            for lo, hi in text_batches(texts):
-                out = []
-                ids, ends = closed(*encoder.encode_flat(texts[lo:hi]), end_id)
-                data, ends = ids.astype("<u4").data.cast("B"), ends.tolist()
-                for key, begin, end in zip(keys[lo:hi], ends[:-1], ends[1:]):
-                    for start in range(begin, end, window):
-                        stop = min(start + window, end)
-                        out.append((key, start - begin, stop - start, zlib.crc32(data[4 * start : 4 * stop]), end - begin))
-                yield pd.DataFrame(out, columns=["doc_key", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return rows.mapInPandas(run, "doc_key long, start long, length int, ids_crc32 long, doc_tokens long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(tokenizer, True)
+        for batch in batches:
+            keys, texts = batch.column("doc_key"), batch.column("text")
+            for begin, end in array_batches(texts):
+                for lo, hi, *found in encoder.encode_parts(texts.slice(begin, end - begin)):
+                    ids, ends = closed(*found, end_id)
+                    tokens = np.diff(ends)
+                    pieces = -(-tokens // window)
+                    doc = np.repeat(np.arange(hi - lo), pieces)
+                    start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                    length = np.minimum(tokens[doc] - start, window)
+                    at, data = ends[doc] + start, ids.astype("<u4", copy=False)
+                    sums = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.slice(begin + lo, hi - lo).take(pa.array(doc)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(sums, pa.int64()), pa.array(tokens[doc])],
+                        names=["doc_key", "start", "length", "ids_crc32", "doc_tokens"],
+                    )
+
+    return rows.mapInArrow(run, "doc_key long, start long, length int, ids_crc32 long, doc_tokens long")
 
 
 def pack(pieces: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 17) -> DataFrame:

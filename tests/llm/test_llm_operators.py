@@ -199,6 +199,30 @@ def test_packing(docs, none, rows):
     assert sequences.ids.map(len).sum() == got.length.sum()
 
 
+def test_pieces_reuse_the_workers_encoder(monkeypatch):
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    made = []
+    monkeypatch.setattr(output, "ChunkEncoder", lambda *a, **b: made.append(a) or chunks.ChunkEncoder(*a, **b))
+    output.encoder_of.cache_clear()
+    run = packing.encode_digests(Rows(), BYTES, 7)
+    texts = ["", "one two, three\n four", "Zwei  Wörter. " * 9, "a b c d e f", " x" * 70]
+    tokenizer = Tokenizer.from_file(BYTES)
+    for task in ([texts[:2], texts[2:]], [texts[::-1], []]):
+        batches = [pa.record_batch([pa.array(range(len(t)), pa.int64()), pa.array(t, pa.string())], names=["doc_key", "text"]) for t in task]
+        got = [tuple(r.values()) for b in run(iter(batches)) for r in b.to_pylist()]
+        want = []
+        for t in task:
+            for key, text in enumerate(t):
+                ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [1], "<u4")
+                want += [(key, s, len(ids[s : s + 7]), zlib.crc32(ids[s : s + 7].tobytes()), len(ids)) for s in range(0, len(ids), 7)]
+        assert got == want
+    assert len(made) == 1
+    output.encoder_of.cache_clear()
+
+
 def test_plan_fills_windows():
     rng = random.Random(5)
     histogram = collections.Counter(rng.randint(1, 2048) for _ in range(20000))
