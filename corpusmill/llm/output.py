@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +30,14 @@ def encoder_of(tokenizer: str, byte_level: bool) -> ChunkEncoder:
     return ChunkEncoder(tokenizer, byte_level, limit=MOST_CHUNKS)
 
 
+def give_back() -> None:
+    """Return to the system what a task has freed. A worker lives on beside the executor's heap and would keep it in
+    reserve through all later stages, which took more than the encoder itself."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def closed(flat: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts in a row with ``end_id`` after each, and where each text's begin and the last ends."""
     return np.insert(flat, ends[1:], np.uint32(end_id)), ends + np.arange(len(ends))
@@ -59,6 +68,8 @@ def encode_documents(df: DataFrame, tokenizer: str, byte_level: bool, end_id: in
                         names=["doc_key", "n_tokens", "part", "part_start", "ids"],
                     )
                     before += int(ends[-1])
+            batch = texts = found = ids = ends = None  # a batch may have no rows
+            give_back()
 
     return df.select("doc_key", "text").mapInArrow(run, STORED)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .chunks import array_batches
 from .common import documents, id_back, id_key, materialize
-from .output import END_ID, closed, encode_documents, encoder_of
+from .output import END_ID, closed, encode_documents, encoder_of, give_back
 
 TIERS = (256, 512, 1024, 2048)
 
@@ -108,27 +108,34 @@ def encode_digests(rows: DataFrame, tokenizer: str, window: int, end_id: int = E
     """The pieces of :func:`cut_documents` without their ids, which never leave the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer, True)
-        for batch in batches:
-            keys, texts = batch.column("doc_key"), batch.column("text")
-            for begin, end in array_batches(texts):
-                for lo, hi, *found in encoder.encode_parts(texts.slice(begin, end - begin)):
-                    ids, ends = closed(*found, end_id)
-                    tokens = np.diff(ends)
-                    pieces = -(-tokens // window)
-                    doc = np.repeat(np.arange(hi - lo), pieces)
-                    start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
-                    length = np.minimum(tokens[doc] - start, window)
-                    at, data = ends[doc] + start, ids.astype("<u4", copy=False)
-                    sums = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.slice(begin + lo, hi - lo).take(pa.array(doc)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(sums, pa.int64()), pa.array(tokens[doc])],
-                        names=["doc_key", "start", "length", "ids_crc32", "doc_tokens"],
-                    )
+        return digests(batches, tokenizer, window, end_id)
 
     return rows.mapInArrow(run, "doc_key long, start long, length int, ids_crc32 long, doc_tokens long")
 
 
+def digests(batches: Iterator[pa.RecordBatch], tokenizer: str, window: int, end_id: int = END_ID) -> Iterator[pa.RecordBatch]:
+    """Batches of pieces from batches of ``(doc_key, text)``."""
+    encoder = encoder_of(tokenizer, True)
+    for batch in batches:
+        keys, texts = batch.column("doc_key"), batch.column("text")
+        for begin, end in array_batches(texts):
+            for lo, hi, *found in encoder.encode_parts(texts.slice(begin, end - begin)):
+                ids, ends = closed(*found, end_id)
+                tokens = np.diff(ends)
+                pieces = -(-tokens // window)
+                doc = np.repeat(np.arange(hi - lo), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                length = np.minimum(tokens[doc] - start, window)
+                at, data = ends[doc] + start, ids.astype("<u4", copy=False)
+                sums = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(begin + lo, hi - lo).take(pa.array(doc)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(sums, pa.int64()), pa.array(tokens[doc])],
+                    names=["doc_key", "start", "length", "ids_crc32", "doc_tokens"],
+                )
+        batch = keys = texts = found = ids = ends = data = None
+        give_back()
+
+
 def pack(pieces: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 17) -> DataFrame:
     """Add ``sequence_id``, ``offset``, ``window``, ``step_id`` to pieces that have ``doc_key, start, length``.
 

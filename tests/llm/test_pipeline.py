@@ -2,11 +2,14 @@
 
 import collections
 import random
+import re
 
 import corpus_pipeline
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusmill.llm import mixing
+from corpusmill.llm import mixing, packing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -95,3 +98,22 @@ def test_near_duplicates_and_passages_against_brute_force(spark):
     got = corpus_pipeline.repeated_passages(spark, docs, DATA).collect()
     assert collections.Counter((r["doc_id"], " ".join((r["text"] or "").split())) for r in got) == want
     assert all(r["n_chars"] == len(r["text"] or "") for r in got)
+
+
+def test_a_worker_gives_back_what_encoding_took():
+    """Workers outlive the stage that encodes, beside the executor's heap; the encoder stays, its working memory does not."""
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(map(int, re.findall(r"Pss_Anon:\s+(\d+)", f.read()))) / 1024
+
+    def encode(n):
+        text = " ".join(f"word{i}" for i in range(2000))
+        batch = pa.RecordBatch.from_pydict({"doc_key": pa.array(range(n), pa.int64()), "text": [text] * n})
+        return sum(b.num_rows for b in packing.digests(iter([batch]), public_tokenizers.path("byte_bpe_50k.json"), 2048))
+
+    assert encode(1) > 0  # the encoder is loaded and knows the words
+    before = held()
+    assert encode(1200) > 0
+    assert held() - before < 30
+    assert sum(b.num_rows for b in packing.digests(iter([pa.RecordBatch.from_pydict({"doc_key": pa.array([], pa.int64()), "text": pa.array([], pa.string())})]), public_tokenizers.path("byte_bpe_50k.json"), 2048)) == 0
