@@ -33,6 +33,20 @@ def test_bm25_top_of_empty_tables(spark):
     assert retrieval.bm25_top(as_queries(docs), none, "qid", "doc_id", "text", 5).count() == 0
 
 
+def test_bm25_top_shuffles_no_blocks(spark, monkeypatch):
+    """Blocks of queries are sent one after the other and tasks keep the best of all their blocks, so rows do not grow with blocks."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices([f"w{j}" for j in range(30)], k=30))) for i in range(400)], "doc_id long, text string").repartition(2)
+    kept = []
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(retrieval, "stored", lambda df, name, f=retrieval.stored: kept.append((name, f(df, name))) or kept[-1][1])
+    got = retrieval.bm25_top(docs.filter("doc_id % 4 = 0").selectExpr("doc_id as qid", "text as query"), docs, "qid", "doc_id", "text", 3)
+    assert "FlatMapCoGroupsInPandas" not in got._jdf.queryExecution().toString()
+    assert [n for n, _ in kept].count("hits") > 1
+    hits = [df for n, df in kept if n == "hits"]
+    assert got.count() == 300 and sum(df.count() for df in hits) <= 300 * max(df.rdd.getNumPartitions() for df in [kept[0][1].coalesce(3 * spark.sparkContext.defaultParallelism)])
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
 def test_vectors_meet_in_bounded_blocks(spark, monkeypatch, metric):
     rng = np.random.default_rng(5)
