@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,13 +138,18 @@ def typed_confidence(kind: Column, question: Column, answer: Column, context: Co
     return F.when(chunks == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
+def holds(text: Column, signs: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in signs))
+
+
 def importance(text: Column, terms: Column) -> Column:
     """Importance of a chunk: moderate length, density of technical ``terms``, a heading or capitals, a procedure, numbers."""
     words = F.size(T.split_words(text))
     length = F.when(words.between(50, 200), 0.2).when(words.between(20, 400), 0.1).otherwise(0.0)
     heading = ((F.upper(text) == text) & (F.lower(text) != text)) | text.rlike(r"^#+\s+")
-    procedure = F.lower(text).rlike(T.ascii_bounds(r"\b(?:step|procedure|method|instruction|how to)\b"))
-    numbers = F.regexp_count(text, F.lit(T.ascii_bounds(r"\b\d+(?:\.\d+)?\b")))
+    names = ["step", "procedure", "method", "instruction", "how to"]
+    procedure = holds(F.lower(text), names) & F.lower(text).rlike(T.ascii_bounds(rf"\b(?:{'|'.join(names)})\b"))
+    numbers = F.when(~text.rlike("[0-9]"), F.lit(0)).otherwise(F.regexp_count(text, F.lit(T.ascii_bounds(r"\b\d+(?:\.\d+)?\b"))))
     flag = lambda c: F.when(c, 0.2).otherwise(0.0)
     return F.least(F.lit(1.0), length + F.least(F.lit(0.3), 5 * F.size(terms) / F.greatest(words, F.lit(1))) + flag(heading) + flag(procedure) + F.least(F.lit(0.1), numbers * 0.02))
 
@@ -214,9 +221,15 @@ REFERENCES = [
 ]
 
 
+#: One of these is in every text, in lower case, where a pattern of ``REFERENCES`` finds anything; looking for them first costs less.
+REFERENCE_SIGNS = [["see"], ["refer"], ["described", "shown", "outlined"], ["section", "chapter", "page", "figure", "table"], ["["], ["(see"]]
+
+
 def cross_references(text: Column) -> Column:
     """What the six patterns find, pattern by pattern, whatever its case."""
-    return F.concat(*(F.regexp_extract_all(text, F.lit("(?i)" + T.ascii_bounds(p)), 1) for p in REFERENCES))
+    low, none = F.lower(text), F.array().cast("array<string>")
+    found = lambda p, signs: F.when(~holds(low, signs), none).otherwise(F.regexp_extract_all(text, F.lit("(?i)" + T.ascii_bounds(p)), 1))
+    return F.concat(*map(found, REFERENCES, REFERENCE_SIGNS))
 
 
 #: Categories of questions, first match wins; fixed values.

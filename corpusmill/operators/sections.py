@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import ranking as K
+from corpusmill.sources.scratch import stored
 
 #: What makes a line a heading. Fixed values.
 MARKED = re.compile(r"(#+)\s+(.+)")
@@ -117,20 +118,23 @@ def hierarchical_chunks(docs: DataFrame, key: str, text: str, most: int = 512, l
     rows = rows.mapInPandas(run, f"key {kind}, chunk_no int, titles array<string>, cut_off boolean, content string")
     n_words, found = F.size(T.split_words("content")), F.array_distinct(F.regexp_extract_all("content", F.lit(terms), 1))
     parts = F.filter(F.split("content", BREAK), lambda s: s != "")
-    before = Window.partitionBy("key").orderBy("chunk_no")
-    tail = F.array_join(F.slice(F.lag("_parts").over(before), F.greatest(F.lit(1), F.lag("n_sentences").over(before) - 1), F.lit(2)), " ")
+    tail = F.array_join(F.slice("_parts", F.greatest(F.lit(1), F.size("_parts") - 1), F.lit(2)), " ")
+    rows = rows.select("key", "chunk_no", "titles", "content", "cut_off", n_words.alias("n_words"), parts.alias("_parts"), found.alias("_found"))
     rows = rows.select(
-        "key", "chunk_no", "titles", "content", chunk_type(F.col("content"), F.col("cut_off")).alias("chunk_type"), n_words.alias("n_words"), parts.alias("_parts"),
-        F.size(parts).alias("n_sentences"), F.round(K.importance(F.col("content"), found), 6).alias("importance"),
-        F.round(K.readability(n_words, F.size(parts), found), 6).alias("readability"), K.cross_references(F.col("content")).alias("refs"),
-    ).withColumn("overlap", tail)
-    rows = rows.withColumn("overlap", F.when(F.length("overlap").between(1, overlap), F.col("overlap"))).drop("_parts")
+        "key", "chunk_no", "titles", "content", chunk_type(F.col("content"), F.col("cut_off")).alias("chunk_type"), "n_words",
+        F.size("_parts").alias("n_sentences"), F.round(K.importance(F.col("content"), F.col("_found")), 6).alias("importance"),
+        F.round(K.readability(F.col("n_words"), F.size("_parts"), F.col("_found")), 6).alias("readability"), K.cross_references(F.col("content")).alias("refs"),
+        tail.alias("_tail"),
+    )
+    # all below reads these rows again, and cutting and matching is most of the work
+    rows = stored(rows, "chunks")
     asked = rows.select("key", "chunk_no", F.explode(F.array_distinct(F.transform("refs", F.lower))).alias("ref")).filter("ref != ''")
     under = rows.select("key", F.col("chunk_no").alias("other"), F.explode(F.array_distinct("titles")).alias("title"))
     refs, named = asked.select("key", "ref").distinct(), under.select("key", "title").distinct()
     met = refs.join(named, (refs.key == named.key) & F.contains(F.lower("title"), F.col("ref"))).select(refs.key, "ref", "title")
-    links = asked.join(met, ["key", "ref"]).join(under, ["key", "title"]).filter("chunk_no != other").select("key", "chunk_no", "other")
-    links = links.unionByName(rows.filter("overlap is not null").select("key", "chunk_no", (F.col("chunk_no") - 1).alias("other")))
-    links = links.groupBy("key", "chunk_no").agg(F.sort_array(F.collect_set("other")).alias("depends"))
-    out = rows.join(links, ["key", "chunk_no"], "left").withColumn("depends", F.coalesce("depends", F.array().cast("array<int>")))
+    links = asked.join(met, ["key", "ref"]).join(under, ["key", "title"]).filter("chunk_no != other").select("key", "chunk_no", "other", F.lit(None).cast("string").alias("overlap"))
+    # a chunk's tail is the overlap of the next; what stands behind the last chunk finds none
+    overlaps = rows.filter(F.length("_tail").between(1, overlap)).select("key", (F.col("chunk_no") + 1).alias("chunk_no"), F.col("chunk_no").alias("other"), F.col("_tail").alias("overlap"))
+    links = links.unionByName(overlaps).groupBy("key", "chunk_no").agg(F.max("overlap").alias("overlap"), F.sort_array(F.collect_set("other")).alias("depends"))
+    out = rows.drop("_tail").join(links, ["key", "chunk_no"], "left").withColumn("depends", F.coalesce("depends", F.array().cast("array<int>")))
     return out.withColumnRenamed("key", key)

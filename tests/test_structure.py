@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions
 
+from corpusmill.functions import text as T
 from corpusmill.operators import ranking, sections, similarity
 from corpusmill.plans import structure
 
@@ -178,3 +179,20 @@ def test_similar_sets_of_many_sizes(spark, threshold):
     assert len(want) > 50
     pairs, _ = similarity.similar_sets(spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>"), "id", "tokens", threshold)
     assert {(r["a"], r["b"]): r["common"] for r in pairs.collect()} == want
+
+
+def test_chunks_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, "# A\n" + "See section B. Some words here. " * 30 + "\n# B\n" + "More words. " * 30)], "doc_id long, text string")
+    rows = sections.hierarchical_chunks(docs, "doc_id", "text")
+    assert "MapInPandas" not in rows._jdf.queryExecution().toString()
+    got = sorted(rows.collect(), key=lambda r: r["chunk_no"])
+    assert len(got) > 2 and any(r["overlap"] for r in got) and got[0]["overlap"] is None and any(len(r["depends"]) > 1 for r in got)
+
+
+def test_signs_of_references_miss_none(spark):
+    parts = ["SEE  Section 4.2", "foresee page 3", "Refer to [Part 8]", "refer\nto x", "As Shown in B.", "as described", "Figure 7", "figure", "(see the end)", "(See)", "[a] [B]", "KKelvin İ", "seen", ""]
+    texts = [" ".join(x) for x in itertools.permutations(parts, 2)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    plain = functions.concat(*(functions.regexp_extract_all("t", functions.lit("(?i)" + T.ascii_bounds(p)), 1) for p in ranking.REFERENCES))
+    rows = df.select("t", ranking.cross_references(functions.col("t")).alias("a"), plain.alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and sum(len(r["a"] or []) > 0 for r in rows) > 100
